@@ -1,0 +1,61 @@
+"""The corpus pipeline: language identification, quality rules, near-duplicates, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrane.llm import host_rules, langid, mixing, piece_codec, simhash
+from terrane.session import stored, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents whose predicted language is less likely than this are rejected.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of an identified language. Learns from the rows of the stage's input that have a language."""
+    found = langid.identify(docs, docs, carry=COLUMNS)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(COLUMNS)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules and whose host isn't rejected."""
+    return host_rules.with_verdicts(docs, COLUMNS).where("kept").select(COLUMNS)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one of the smallest doc_id; of repeated rows of that id one."""
+    groups = simhash.near_duplicates(docs)
+    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them. Keys are computed again on the texts, so no text is shuffled for its cut."""
+    keyed = mixing.keyed(docs)
+    cuts = mixing.cuts(stored(keyed.select("source", "mix"), "mix"))
+    taken = mixing.taken(keyed, cuts).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every copy."""
+    return piece_codec.digests(piece_codec.decode(piece_codec.encode(docs)))
+
+
+STAGES = [("language", language), ("rules", rules), ("deduplicate", deduplicate), ("mix", mix), ("encode", encode)]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; between stages the rows are written and read again."""
+    docs = table(spark, sf_dir, "documents").select(COLUMNS)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, name)
+    return docs
