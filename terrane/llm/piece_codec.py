@@ -12,6 +12,7 @@ from __future__ import annotations
 import codecs
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,11 +28,16 @@ codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 class PieceCodec:
     def __init__(self, vocabulary: pieces.Vocabulary):
         self.vocabulary = vocabulary
-        self.matches = vocabulary.automaton(len)
         self.cut = vocabulary.gap_starts
-        self.compatible = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], 1_000_000)
-        self.whole = Memo(lambda piece: self.merged(piece) == [piece], 100_000)
-        self.words = Memo(lambda w: self.encode_run(pieces.GAP + w))
+        self.line_cut = self.cut and not any("\n" in p for p in vocabulary.ids)
+        self.matches = ahocorasick.Automaton()  # only pieces that merges leave whole can be last tokens
+        for piece in vocabulary.ids:
+            if self.merged(piece) == [piece]:
+                self.matches.add_word(piece, (len(piece), piece))
+        self.matches.make_automaton()
+        self.compatible = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], 500_000)
+        self.words = Memo(lambda w: self.encode_run(pieces.GAP + w), 700_000)
+        self.bare = Memo(self.encode_run, 50_000)
         self.raw = [bytes([vocabulary.bytes.index(i)]) if i in set(vocabulary.bytes) else b"" if i in vocabulary.control else t.replace(pieces.GAP, " ").encode() for i, t in enumerate(vocabulary.texts)]
         self.raw[vocabulary.unknown] = " ⁇ ".encode()
 
@@ -45,19 +51,20 @@ class PieceCodec:
             k = min(found)[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def last_tokens(self, run: str) -> list[str]:
+    def last_tokens(self, run: str) -> list[str | None]:
         """The prefix table: entry i is the last token of the encoding of the first i characters."""
-        last = [""] * (len(run) + 1)
-        ends: list[list[int]] = [[1] for _ in run]  # a character is a token of its own, known or not
-        for end, length in self.matches.iter(run):
-            if length > 1:
-                ends[end].append(length)
-        for end, lengths in enumerate(ends, 1):
-            for length in sorted(lengths, reverse=True):
-                token, before = run[end - length : end], last[end - length]
-                if self.whole[token] and (not before or self.compatible[before, token]):
-                    last[end] = token
-                    break
+        last: list[str | None] = [None] * (len(run) + 1)
+        done, compatible = 0, self.compatible
+        for end, (length, token) in self.matches.iter(run):  # by end; for one end the longest first
+            while done < end:
+                done += 1
+                if last[done] is None:  # a character that is in no piece is a token of its own
+                    last[done] = run[done - 1]
+            if last[end + 1] is None and (length == end + 1 or compatible[last[end + 1 - length], token]):
+                last[end + 1] = token
+        for k in range(done + 1, len(run) + 1):
+            if last[k] is None:
+                last[k] = run[k - 1]
         return last
 
     def encode_run(self, run: str) -> tuple[int, ...]:
@@ -75,9 +82,15 @@ class PieceCodec:
         if not self.cut:
             return list(self.encode_run(pieces.escaped(text)))
         out: list[int] = []
-        if "  " not in text and pieces.GAP not in text and text[0] != " " and text[-1] != " ":
-            for w in text.split(" "):
-                out += self.words[w]
+        if "  " not in text and pieces.GAP not in text and text[0] != " " and self.line_cut:
+            newline = self.vocabulary.bytes[10]
+            for k, line in enumerate(text.split("\n")):
+                first, *rest = line.split(" ")
+                if k:
+                    out.append(newline)
+                out += self.bare[first] if k else self.words[first]
+                for w in rest:
+                    out += self.words[w]
         else:
             for run in pieces.RUNS.findall(pieces.escaped(text)):
                 out += self.words[run[1:]] if run[1:2] != pieces.GAP else self.encode_run(run)

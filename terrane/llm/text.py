@@ -39,14 +39,19 @@ def by_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], s
 
 
 class Memo(dict):
-    """A dict that fills itself by ``make`` and starts afresh at ``limit`` entries, so that its memory is bounded."""
+    """A dict that fills itself by ``make`` and holds ``limit`` entries at most, in two generations: when the younger is
+    full it becomes the older, and entries in use move back to the younger."""
 
     def __init__(self, make: Callable, limit: int = 300_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit // 2, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value

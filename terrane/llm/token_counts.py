@@ -27,25 +27,32 @@ class UnigramCounter:
         self.matches = vocabulary.automaton(lambda p: (len(p), vocabulary.scores[p]))
         self.unknown = min(vocabulary.scores.values()) - UNKNOWN_PENALTY
         self.cut = vocabulary.gap_starts
-        self.words = Memo(lambda w: self.best(pieces.GAP + w))
+        self.line_cut = self.cut and not any("\n" in p for p in vocabulary.ids)
+        self.words = Memo(lambda w: self.best(pieces.GAP + w), 700_000)
+        self.bare = Memo(self.best, 50_000)
 
     def best(self, run: str) -> tuple[float, int]:
         """(score, pieces) of the best segmentation of an escaped text."""
-        n = len(run)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.matches.iter(run):
-            ends[end].append(match)
-        for end in range(n):
-            top, pieces_, single = float("-inf"), 0, False
-            for length, own in sorted(ends[end], reverse=True):
-                single |= length == 1
-                start = end + 1 - length
-                if (x := score[start] + own) > top:
-                    top, pieces_ = x, count[start] + 1
-            if not single and (x := score[end] + self.unknown) > top:
-                top, pieces_ = x, count[end] + len(run[end].encode())
-            score[end + 1], count[end + 1] = top, pieces_
+        n, unknown = len(run), self.unknown
+        low = float("-inf")
+        score, count, single = [0.0] + [low] * n, [0] * (n + 1), [False] * (n + 1)
+        done = 0  # positions whose best is final
+
+        def close(upto: int) -> None:
+            for k in range(done + 1, upto + 1):
+                if not single[k] and (x := score[k - 1] + unknown) > score[k]:
+                    score[k], count[k] = x, count[k - 1] + len(run[k - 1].encode())
+
+        for end, (length, own) in self.matches.iter(run):  # by end; for one end the longest, which starts first, first
+            if end > done:
+                close(end)
+                done = end
+            start = end + 1 - length
+            if length == 1:
+                single[end + 1] = True
+            if (x := score[start] + own) > score[end + 1]:
+                score[end + 1], count[end + 1] = x, count[start] + 1
+        close(n)
         return score[n], count[n]
 
     def __call__(self, text: str | None) -> tuple[float, int]:
@@ -53,8 +60,12 @@ class UnigramCounter:
             return 0.0, 0
         if not self.cut:
             return self.best(pieces.escaped(text))
-        if "  " not in text and pieces.GAP not in text and text[0] != " " and text[-1] != " ":
-            parts = [self.words[w] for w in text.split(" ")]
+        if "  " not in text and pieces.GAP not in text and text[0] != " " and self.line_cut:
+            parts = []
+            for k, line in enumerate(text.split("\n")):
+                first, *rest = line.split(" ")
+                parts += [self.bare["\n"], self.bare[first]] if k else [self.words[first]]
+                parts += map(self.words.__getitem__, rest)
         else:
             parts = [self.words[r[1:]] if r[1:2] != pieces.GAP else self.best(r) for r in pieces.RUNS.findall(pieces.escaped(text))]
         return sum(p[0] for p in parts), sum(p[1] for p in parts)
