@@ -1,11 +1,15 @@
-"""Registry of the queries on the reference-style operators, each beside its SQL for the oracle."""
+"""Registry of the queries on the territory operators, each beside its SQL for the oracle."""
 
 from __future__ import annotations
 
+from terrane.plans import aggregates, containment, ownership, rules, scenarios, text_geometry
+
+MODULES = (containment, ownership, aggregates, rules, scenarios, text_geometry)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.SQL.items()}
