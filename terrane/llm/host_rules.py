@@ -58,14 +58,14 @@ def document_rules(documents: DataFrame) -> DataFrame:
     return counts.select("doc.*", F.struct(*fields, base.alias("base_failed"), (base | more).alias("failed")).alias("rules"))
 
 
-def host_verdicts(marked: DataFrame) -> DataFrame:
-    """(host, n, n_failed, rate, host_kept) for each source of ``marked`` (source, rules); a null source is a host of its own.
+def host_verdicts(marked: DataFrame, host: str = "source") -> DataFrame:
+    """(host, n, n_failed, rate, host_kept) for each value of column ``host`` of ``marked`` (host, rules); null is a host of its own.
 
     Failure rates are shrunk to (failed + a) / (n + a + b). a and b come from the hosts' own rates by the method of moments:
     mean m over all documents, variance v between hosts weighted by size, less the part that sampling explains; a + b =
     m (1 - m) / v - 1, kept within 1 and a million. One host may hold any share of the rows: rows are pre-aggregated.
     """
-    host = marked.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("rules.failed").cast("long")).alias("n_failed"))
+    host = marked.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("rules.failed").cast("long")).alias("n_failed"))
     sums = host.agg(F.sum("n").alias("n_all"), F.sum("n_failed").alias("f_all"), F.count("*").alias("hosts"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n")).alias("ss"))
     m = F.col("f_all") / F.col("n_all")
     v = F.greatest((F.col("ss") - F.col("n_all") * m * m) / F.col("n_all") - m * (1 - m) * (F.col("hosts") - 1) / F.col("n_all"), F.lit(1e-9))
@@ -82,7 +82,7 @@ def with_verdicts(documents: DataFrame, carry: list[str]) -> DataFrame:
     host table is broadcast only if Spark finds it small). An empty table gives no rows.
     """
     marked = stored(document_rules(documents).select(*carry, F.col("source").alias("_host"), "rules"), "rules")
-    hosts = host_verdicts(marked.withColumnRenamed("_host", "source")).select("host", "host_kept")
+    hosts = host_verdicts(marked, "_host").select("host", "host_kept")
     joined = marked.join(hosts, F.col("_host").eqNullSafe(F.col("host")), "left")
     return joined.select(*carry, "rules", (~F.col("rules.failed") & F.col("host_kept")).alias("kept"))
 
