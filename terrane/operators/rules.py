@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.session import ship
+
 #: Materiality weights, level cuts in rising order, and levels.
 W_MAGNITUDE, W_SEVERITY, W_PERSISTENCE, W_STRATEGIC, FULL_PERSISTENCE = 0.40, 0.30, 0.20, 0.10, 4
 LEVELS = [("Negligible", 0.0), ("Monitor", 0.15), ("Review", 0.35), ("Material", 0.50), ("Critical", 0.80)]
@@ -83,6 +85,7 @@ def fold_cooldown(observed: DataFrame, entry: float, exit_: float, min_persisten
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(step_scope(pdf.sort_values("n"), {"run": 0, "last": None}, entry, exit_, min_persistence, cooldown), columns=["scope", "n", "decision"])
 
+    ship(observed.sparkSession)
     return observed.groupBy("scope").applyInPandas(fold, "scope long, n long, decision string")
 
 

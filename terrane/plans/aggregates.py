@@ -1,2 +1,129 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries on workload, balance, quantiles, occupancy, overlap and adjacency."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from terrane import bindings as B
+from terrane.bindings import sql
+from terrane.operators import sizing as Z
+from terrane.operators import spatial as S
+from terrane.plans import containment as P
+from terrane.session import table
+
+CAPACITY = 3000.0
+
+
+def loads(spark, d):
+    return Z.loads(B.workloads(spark, d))
+
+
+def occupancy(spark, d):
+    """Distinct grid cells and stores per dealer, dealers of two cells or more."""
+    held = S.contain(B.stores(spark, d), B.fences(spark, d), ["dealer_id"])
+    cell = F.struct(F.floor(F.col("x") / 5000), F.floor(F.col("y") / 5000))
+    return held.groupBy("dealer_id").agg(F.count_distinct(cell).alias("cells"), F.count_distinct("store_id").alias("stores")).where("cells >= 2")
+
+
+def unit_truth(spark, d):
+    return S.contain(B.units(spark).select("unit_id", "x", "y"), B.fences(spark, d), ["dealer_id", "comp"]).select("unit_id", "dealer_id").distinct()
+
+
+def compose(spark, d):
+    """Share of each street's units that a dealer holds, with its tag."""
+    total = B.units(spark).groupBy("street").agg(F.count("*").alias("total"))
+    own = unit_truth(spark, d).join(B.units(spark).select("unit_id", "street"), "unit_id").groupBy("dealer_id", "street").agg(F.count("*").alias("n")).join(total, "street")
+    share = F.col("n") / F.col("total")
+    tag = F.when(share > 0.95, "全部").when(share >= 0.6, "大部").when(share >= 0.3, "约半").otherwise(F.concat(F.lit("约"), F.bround(share * 100).cast("int").cast("string"), F.lit("%")))
+    return own.select("dealer_id", "street", F.round(share, 9).alias("share"), tag.alias("tag"))
+
+
+def overlap(spark, d):
+    """Predicted units (those of streets held by 30 % or more) against true ones, per dealer."""
+    predicted = compose(spark, d).where("share >= 0.3").select("dealer_id", "street").join(B.units(spark).select("street", "unit_id"), "street").select("dealer_id", "unit_id", F.lit(1).alias("p"))
+    both = predicted.join(unit_truth(spark, d).withColumn("t", F.lit(1)), ["dealer_id", "unit_id"], "full")
+    s = both.groupBy("dealer_id").agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("hit"), F.count_if(F.col("t").isNull()).alias("over"), F.count_if(F.col("p").isNull()).alias("miss"))
+    return s.select("*", F.round(F.when(F.col("hit") + F.col("over") > 0, F.col("hit") / (F.col("hit") + F.col("over"))), 9).alias("precision"), F.round(F.col("hit") / (F.col("hit") + F.col("miss")), 9).alias("recall"), F.round(F.col("hit") / (F.col("hit") + F.col("over") + F.col("miss")), 9).alias("jaccard"))
+
+
+def nearest_rank(spark, d):
+    """Nearest-rank quantiles of order values per priority: the element at floor((n - 1) p)."""
+    o = table(spark, d, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey")
+    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")
+    ranked = o.withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("o_orderpriority")))
+    at = lambda p: F.max(F.when(F.col("r") == F.floor((F.col("n") - 1) * p) + 1, F.col("o_totalprice")))
+    return ranked.groupBy("o_orderpriority").agg(at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.9).alias("q90"), F.count_if(F.col("o_totalprice") >= 250000).alias("high"))
+
+
+def adjacency(spark, d):
+    """Dealers whose L-shapes' boxes overlap."""
+    b = S.with_box(B.fences(spark, d).where("comp = 1"))
+    cell = 100_000
+    down = lambda c: F.floor(F.col(c) / cell)
+    filed = b.withColumn("kx", F.explode(F.sequence(down("bx0"), down("bx1")))).withColumn("ky", F.explode(F.sequence(down("by0"), down("by1")))).select("dealer_id", "bx0", "by0", "bx1", "by1", "kx", "ky")
+    o = filed.select("kx", "ky", *(F.col(c).alias(f"o_{c}") for c in ("dealer_id", "bx0", "by0", "bx1", "by1")))
+    near = filed.join(o, ["kx", "ky"]).where("dealer_id < o_dealer_id AND bx0 <= o_bx1 AND o_bx0 <= bx1 AND by0 <= o_by1 AND o_by0 <= by1")
+    return near.select(F.col("dealer_id").alias("a"), F.col("o_dealer_id").alias("b")).distinct()
+
+
+def unit_edges(spark, d):
+    """Units that share a border, by the key of the border."""
+    u = B.units(spark)
+    border = lambda di, dj: F.struct((F.col("i") * 2 + di).alias("bi"), (F.col("j") * 2 + dj).alias("bj"))
+    e = u.select("unit_id", F.explode(F.array(border(1, 0), border(-1, 0), border(0, 1), border(0, -1))).alias("k")).select("unit_id", "k.*")
+    return e.join(e.withColumnRenamed("unit_id", "o"), ["bi", "bj"]).where("unit_id < o").select(F.col("unit_id").alias("a"), F.col("o").alias("b"))
+
+
+def tiling(spark, d):
+    """Per street: units in no fence, one fence, two or more."""
+    owners = unit_truth(spark, d).groupBy("unit_id").agg(F.count("*").alias("n"))
+    return B.units(spark).join(owners, "unit_id", "left").groupBy("street").agg(F.count_if(F.col("n").isNull()).alias("none"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") > 1).alias("many"))
+
+
+def rebalanced(spark, d):
+    w = B.workloads(spark, d).select(F.expr("territory_id div 5").cast("long").alias("scope"), "account_id", F.col("territory_id").cast("long").alias("territory_id"), (F.col("calls") * F.col("minutes")).alias("load"))
+    return Z.rebalance(w)
+
+
+QUERIES = {
+    "a8_territory_loads": loads,
+    "a9_required_reps": lambda s, d: loads(s, d).select("territory_id", Z.required_reps(F.col("load"), CAPACITY).alias("reps")),
+    "a10_eq_index": lambda s, d: Z.eq_index(loads(s, d)),
+    "a11_balance": lambda s, d: Z.balance(loads(s, d), CAPACITY),
+    "j7_nearby": lambda s, d: Z.nearby(B.containers(s, d), 20.0, 3),
+    "g1_rebalance": rebalanced,
+    "a24_occupancy": occupancy,
+    "j11_unit_in_fence": unit_truth,
+    "a16_street_composition": compose,
+    "a17_street_summary": lambda s, d: compose(s, d).where("share >= 0.15").select("dealer_id", "street", F.when(F.col("share") > 0.95, "full").otherwise("part").alias("held")),
+    "a19_set_overlap": overlap,
+    "a25_nearest_rank": nearest_rank,
+    "a26_median": lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", 0.5), 4).alias("median")),
+    "a33_correlation": lambda s, d: table(s, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("r")),
+    "a34_tiling": tiling,
+    "j13_fence_adjacency": adjacency,
+    "j14_unit_adjacency": unit_edges,
+}
+_LOAD = "SELECT territory_id, CAST(sum(calls * minutes) AS BIGINT) AS load FROM workload GROUP BY 1"
+_TRUE = "SELECT DISTINCT unit_id, dealer_id FROM unit_in"
+_COMP = "SELECT dealer_id, street, n / total AS s FROM (SELECT dealer_id, street, count(*) AS n FROM truth JOIN unit USING (unit_id) GROUP BY 1, 2) JOIN (SELECT street, count(*) AS total FROM unit GROUP BY 1) USING (street)"
+_EQ = "SELECT count(*) AS n, round(CASE WHEN count(*) <= 1 OR coalesce(sum(load), 0) <= 0 THEN 1.0 ELSE CAST(sum(load) AS DOUBLE) * CAST(sum(load) AS DOUBLE) / (count(*) * sum(CAST(load AS DOUBLE) * load)) END, 9) AS eq FROM load"
+SQL = {
+    "a8_territory_loads": sql("SELECT * FROM load", load=_LOAD),
+    "a9_required_reps": sql("SELECT territory_id, CASE WHEN load <= 0 THEN 0 ELSE CAST(ceil(load / 3000.0) AS BIGINT) END AS reps FROM load", load=_LOAD),
+    "a10_eq_index": sql(_EQ, load=_LOAD),
+    "a11_balance": sql(f"SELECT CAST(sum(load) AS BIGINT) AS total, CAST(ceil(sum(load) / 3000.0) AS BIGINT) AS reps_on_total, CAST(sum(ceil(load / 3000.0)) AS BIGINT) AS reps_by_territory, (SELECT eq FROM ({_EQ})) AS eq, round(CASE WHEN min(load) > 0 THEN max(load) / min(load) END, 9) AS max_min FROM load", load=_LOAD),
+    "j7_nearby": sql("SELECT territory_id, near_id, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY territory_id ORDER BY distance, near_id) AS rank FROM (SELECT a.territory_id, b.territory_id AS near_id, round_even(sqrt(pow(a.x_km - b.x_km, 2) + pow(a.y_km - b.y_km, 2)), 4) AS distance FROM container a JOIN container b ON a.territory_id <> b.territory_id AND b.headroom > 0 AND sqrt(pow(a.x_km - b.x_km, 2) + pow(a.y_km - b.y_km, 2)) <= 20.0)) WHERE rank <= 3"),
+    "a24_occupancy": sql("SELECT dealer_id, count(DISTINCT (x // 5000, y // 5000)) AS cells, count(DISTINCT store_id) AS stores FROM held JOIN store USING (store_id) GROUP BY 1 HAVING cells >= 2"),
+    "j11_unit_in_fence": sql(_TRUE),
+    "a16_street_composition": sql("SELECT dealer_id, street, round(s, 9) AS share, CASE WHEN s > 0.95 THEN '全部' WHEN s >= 0.6 THEN '大部' WHEN s >= 0.3 THEN '约半' ELSE '约' || CAST(CAST(round_even(s * 100, 0) AS INTEGER) AS VARCHAR) || '%' END AS tag FROM comp", truth=_TRUE, comp=_COMP),
+    "a17_street_summary": sql("SELECT dealer_id, street, CASE WHEN s > 0.95 THEN 'full' ELSE 'part' END AS held FROM comp WHERE round(s, 9) >= 0.15", truth=_TRUE, comp=_COMP),
+    "a19_set_overlap": sql("SELECT *, round(CASE WHEN hit + over_ > 0 THEN hit / (hit + over_) END, 9) AS precision, round(hit / (hit + miss), 9) AS recall, round(hit / (hit + over_ + miss), 9) AS jaccard FROM (SELECT dealer_id, count(*) FILTER (WHERE p = 1 AND t = 1) AS hit, count(*) FILTER (WHERE t IS NULL) AS over_, count(*) FILTER (WHERE p IS NULL) AS miss FROM (SELECT dealer_id, unit_id, 1 AS p FROM comp JOIN unit USING (street) WHERE round(s, 9) >= 0.3) FULL JOIN (SELECT *, 1 AS t FROM truth) USING (dealer_id, unit_id) GROUP BY 1)", truth=_TRUE, comp=_COMP).replace("over_", '"over"'),
+    "a25_nearest_rank": "SELECT o_orderpriority, max(o_totalprice) FILTER (WHERE r = floor((n - 1) * 0.25) + 1) AS q25, max(o_totalprice) FILTER (WHERE r = floor((n - 1) * 0.5) + 1) AS q50, max(o_totalprice) FILTER (WHERE r = floor((n - 1) * 0.9) + 1) AS q90, count(*) FILTER (WHERE o_totalprice >= 250000) AS high FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) GROUP BY 1",
+    "a26_median": "SELECT o_orderpriority, round(median(o_totalprice), 4) AS median FROM orders GROUP BY 1",
+    "a33_correlation": "SELECT round(corr(l_quantity, l_extendedprice), 8) AS r FROM lineitem",
+    "a34_tiling": sql("SELECT street, count(*) FILTER (WHERE n IS NULL) AS none, count(*) FILTER (WHERE n = 1) AS one, count(*) FILTER (WHERE n > 1) AS many FROM unit LEFT JOIN (SELECT unit_id, count(*) AS n FROM truth GROUP BY 1) USING (unit_id) GROUP BY 1", truth=_TRUE),
+    "j13_fence_adjacency": sql("SELECT p.dealer_id AS a, q.dealer_id AS b FROM b p JOIN b q ON p.dealer_id < q.dealer_id AND p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1", b="SELECT dealer_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fence_vertex WHERE comp = 1 GROUP BY 1"),
+    "j14_unit_adjacency": sql("SELECT p.unit_id AS a, q.unit_id AS b FROM unit p JOIN unit q ON (q.i = p.i + 1 AND q.j = p.j) OR (q.i = p.i AND q.j = p.j + 1)"),
+}

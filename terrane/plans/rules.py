@@ -1,2 +1,64 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries on gap rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terrane import bindings as B
+from terrane.bindings import sql
+from terrane.operators import rules as R
+
+#: Diagnoses and the decision problems they lead to, for the test binding.
+ROUTES = [("Coverage", "DP01"), ("Workload", "DP02"), ("Boundary", "DP03")]
+
+
+def scored(spark, d):
+    """Gaps with scores derived from scope and period by whole numbers."""
+    g = B.gaps(spark, d).withColumn("n", F.datediff("period", F.lit("2024-01-01").cast("date")).cast("long"))
+    g = g.withColumn("gap_value", F.when(F.col("n") % 5 != 0, F.col("observed") - F.col("reference")))
+    g = g.withColumns({"severity": (F.col("scope") % 5) / 4, "confidence": (F.col("n") % 10) / 9, "strategic": (F.col("scope") % 2).cast("double"), "value": F.col("observed") - 3, "identity_problem": (F.col("scope") == 3) & (F.col("n") % 7 == 0)})
+    g = R.persistence(R.normalised(g).withColumn("breach", F.col("observed") > F.col("reference")))
+    return R.materiality(g)
+
+
+def folded(spark, d):
+    g = scored(spark, d).select("scope", "n", R.magnitude(F.col("gap_value"), F.col("reference")).alias("gap"))
+    return R.fold_cooldown(g, 0.3, 0.15, 2, 3)
+
+
+def decided(spark, d):
+    g = scored(spark, d)
+    p = {"exit": F.lit(0.15), "entry": F.lit(0.3), "cooldown_left": F.col("n") % 4 - 2, "level": F.col("level"), "gate": F.lit("Monitor"), "confidence": F.col("confidence"), "confidence_gate": F.lit(0.3), "persistence": F.col("persistence"), "min_persistence": F.lit(2)}
+    return g.select("scope", "n", R.decide(R.magnitude(F.col("gap_value"), F.col("reference")), p).alias("decision"))
+
+
+def routed(spark, d):
+    g = B.gaps(spark, d).select("scope", "period", F.get(F.array(*map(F.lit, ["NoGap", "Coverage", "Workload", "Boundary", "Other"])), (F.col("observed") % 5).cast("int")).alias("diagnosis"))
+    return R.route(g, spark.createDataFrame(ROUTES, "diagnosis string, problem string")).select("scope", F.col("period").cast("string").alias("period"), "problem")
+
+
+QUERIES = {
+    "r1_normalised": lambda s, d: scored(s, d).select("scope", "n", F.round("gap_value", 6).alias("gap_value"), "valid"),
+    "r2_magnitude": lambda s, d: scored(s, d).select("scope", "n", F.round(R.magnitude(F.col("gap_value"), F.col("reference")), 9).alias("magnitude")),
+    "r3_materiality": lambda s, d: scored(s, d).select("scope", "n", "score", "level"),
+    "r4_identity_cap": lambda s, d: R.identity_capped(scored(s, d)).select("scope", "n", "level"),
+    "r6_trigger": decided,
+    "r7_route": routed,
+    "w7_persistence": lambda s, d: scored(s, d).select("scope", "n", F.col("persistence").cast("int").alias("persistence")),
+    "w8_cooldown": folded,
+}
+_G = "SELECT scope, period, CAST(date_diff('day', DATE '2024-01-01', period) AS BIGINT) AS n, observed, reference, observed - reference AS gap_value, (scope % 5) / 4 AS severity, strategic, observed - 3 AS value, observed > reference AS breach FROM (SELECT *, CAST(scope % 2 AS DOUBLE) AS strategic FROM gap)"
+_PERS = "SELECT *, CASE WHEN breach THEN row_number() OVER (PARTITION BY scope, breach, island ORDER BY n) ELSE 0 END AS persistence, (n % 10) / 9 AS confidence, least(abs(gap_value) / greatest(abs(reference), 1e-12), 1.0) AS mag FROM (SELECT *, n - row_number() OVER (PARTITION BY scope, breach ORDER BY n) AS island FROM g)"
+_SCORE = "SELECT *, round(0.40::DOUBLE * mag + 0.30::DOUBLE * severity + 0.20::DOUBLE * least(persistence / 4, 1.0) + 0.10::DOUBLE * strategic, 9) AS score FROM pers"
+_LEVEL = "SELECT *, least(CAST(score >= 0.15::DOUBLE AS INTEGER) + CAST(score >= 0.35::DOUBLE AS INTEGER) + CAST(score >= 0.50::DOUBLE AS INTEGER) + CAST(score >= 0.80::DOUBLE AS INTEGER), CASE WHEN confidence < 0.5 THEN 2 ELSE 4 END, CASE WHEN value <= 0 THEN 2 ELSE 4 END) AS lv FROM scored"
+_NAME = "['Negligible', 'Monitor', 'Review', 'Material', 'Critical'][{} + 1]"
+_C = {"g": _G, "pers": _PERS, "scored": _SCORE, "leveled": _LEVEL}
+SQL = {
+    "r1_normalised": sql("SELECT scope, n, round(gap_value, 6) AS gap_value, severity BETWEEN 0 AND 1 AND confidence BETWEEN 0 AND 1 AS valid FROM leveled", **_C),
+    "r2_magnitude": sql("SELECT scope, n, round(mag, 9) AS magnitude FROM pers", **_C),
+    "r3_materiality": sql(f"SELECT scope, n, score, {_NAME.format('lv')} AS level FROM leveled", **_C),
+    "r4_identity_cap": sql(f"SELECT scope, n, CASE WHEN avg(CASE WHEN scope = 3 AND n % 7 = 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY scope) > 0.05 THEN {_NAME.format('least(lv, 2)')} ELSE {_NAME.format('lv')} END AS level FROM leveled", **_C),
+    "r6_trigger": sql("SELECT scope, n, CASE WHEN mag < 0.15 THEN 'CLOSE:below_exit' WHEN n % 4 - 2 > 0 AND lv <> 4 THEN 'HOLD:cooldown' WHEN lv < 1 THEN 'HOLD:materiality' WHEN confidence < 0.3 THEN 'EVIDENCE:confidence' WHEN persistence < 2 THEN 'HOLD:persistence' WHEN mag >= 0.3 THEN 'CREATE:entry' ELSE 'HOLD:hysteresis' END AS decision FROM leveled", **_C),
+    "r7_route": sql("SELECT scope, CAST(period AS VARCHAR) AS period, CASE observed % 5 WHEN 0 THEN 'NoAction' WHEN 1 THEN 'DP01' WHEN 2 THEN 'DP02' WHEN 3 THEN 'DP03' ELSE 'MoreEvidence' END AS problem FROM gap"),
+    "w7_persistence": sql("SELECT scope, n, CAST(persistence AS INTEGER) AS persistence FROM pers", **_C),
+}
