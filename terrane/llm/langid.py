@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,14 +30,18 @@ ROUNDS, SMOOTHING = 2, 0.05
 UNKNOWN = 1e-7
 #: Words of which a worker keeps the scores.
 KEPT_WORDS = 300_000
+#: Words scored at once, and their most characters (longer ones are scored one by one).
+CHUNK, SHORT = 8192, 24
+#: An automaton's values are piece numbers times 1024 plus the piece's length.
+LENGTH = 1023
 UNDETERMINED = "und"
 
 
 def matches_of(automaton: ahocorasick.Automaton, word: str) -> list[list[tuple[int, int]]]:
     """For each end position the (start, piece) of the pieces that end there; (start, -1) for an uncovered character."""
     ends: list[list[tuple[int, int]]] = [[] for _ in word]
-    for end, (length, piece) in automaton.iter(word):
-        ends[end].append((end + 1 - length, piece))
+    for end, packed in automaton.iter(word):
+        ends[end].append((end + 1 - (packed & LENGTH), packed >> 10))
     for end, found in enumerate(ends):
         if not any(start == end for start, _ in found):
             found.append((end, -1))
@@ -47,7 +52,7 @@ def matches_of(automaton: ahocorasick.Automaton, word: str) -> list[list[tuple[i
 def _automaton(path: str) -> tuple[ahocorasick.Automaton, int]:
     vocabulary = pieces.load(path)
     number = {p: k for k, p in enumerate(vocabulary.ids)}
-    return vocabulary.automaton(lambda p: (len(p), number[p])), len(number)
+    return vocabulary.automaton(lambda p: number[p] << 10 | len(p)), len(number)
 
 
 def fit_language(counts: Counter, automaton: ahocorasick.Automaton, size: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -128,60 +133,85 @@ class LanguageScorer:
                 forward = {k: v / by for k, v in forward.items()}
         return scale + np.log(np.maximum(forward[len(word)], 1e-300))
 
+    def short_words(self, words: list[str]) -> np.ndarray:
+        """words x languages; the automaton reads all words at once, each after a space, which no piece has."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1  # with the gap
+        firsts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        found = np.fromiter(chain.from_iterable(self.automaton.iter("".join(f"{pieces.GAP}{w} " for w in words))), np.int64).reshape(-1, 2)
+        at = np.searchsorted(firsts, found[:, 0], side="right") - 1
+        end, length, piece = found[:, 0] - firsts[at] + 1, found[:, 1] & LENGTH, found[:, 1] >> 10
+        bare = np.arange(1, SHORT + 2)[:, None] <= lengths[None, :]  # ends at which no piece of one character matches
+        bare[end[length == 1] - 1, at[length == 1]] = False
+        bare_end, bare_at = np.nonzero(bare)
+        end, at = np.concatenate([end, bare_end + 1]), np.concatenate([at, bare_at])
+        start, piece = end - np.concatenate([length, np.ones(len(bare_at), np.int64)]), np.concatenate([piece, np.full(len(bare_at), -1)])
+        order = np.argsort(end * len(words) + at, kind="stable")
+        start, end, at, piece = start[order], end[order], at[order], piece[order]
+        cuts = np.searchsorted(end, np.arange(1, SHORT + 3))
+        forward = np.zeros((SHORT + 2, len(words), self.prob.shape[1]))
+        forward[0] = 1.0
+        for k in range(1, SHORT + 2):
+            own = slice(cuts[k - 1], cuts[k])
+            if own.start == own.stop:
+                break
+            first = np.flatnonzero(np.diff(at[own], prepend=-1))
+            forward[k, at[own][first]] = np.add.reduceat(forward[start[own], at[own]] * self.prob[piece[own]], first, axis=0)
+        return np.log(np.maximum(forward[lengths, np.arange(len(words))], 1e-300))
+
     def add(self, new: list[str]) -> None:
-        short = [w for w in new if len(w) <= 24]
+        short = [w for w in new if len(w) <= SHORT]
         if len(self.row) + len(new) > KEPT_WORDS:
             self.row.clear()
         for w in new:
-            if len(w) > 24:
+            if len(w) > SHORT:
                 self.row[w] = len(self.row)
                 self.scores[self.row[w]] = self.long_word(pieces.GAP + w)
-        by_end: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in range(26)]
-        for i, w in enumerate(short):
-            for end, found in enumerate(matches_of(self.automaton, pieces.GAP + w), 1):
-                at, starts, found_pieces = by_end[end]
-                for s, k in found:
-                    at.append(i)
-                    starts.append(s)
-                    found_pieces.append(k)
-        forward = np.zeros((26, len(short), self.prob.shape[1]))
-        forward[0] = 1.0
-        for end in range(1, 26):
-            at, starts, found_pieces = by_end[end]
-            if not at:
-                break
-            first = np.flatnonzero(np.diff(at, prepend=-1))
-            parts = forward[starts, at] * self.prob[found_pieces]
-            forward[end, np.array(at)[first]] = np.add.reduceat(parts, first, axis=0)
-        base = len(self.row)
-        if short:
-            lengths = np.array([len(w) + 1 for w in short])
-            self.scores[base : base + len(short)] = np.log(np.maximum(forward[lengths, np.arange(len(short))], 1e-300))
-            self.row.update({w: base + i for i, w in enumerate(short)})
-
-    def texts(self, texts: list[str]) -> np.ndarray:
-        """texts x languages log probabilities."""
-        out = np.zeros((len(texts), self.prob.shape[1]))
-        for k, text in enumerate(texts):
-            own = text.lower().split()
-            for start in range(0, len(own), KEPT_WORDS // 2):
-                part = own[start : start + KEPT_WORDS // 2]
-                new = list({w for w in part if w not in self.row})
-                if new:
-                    full = len(self.row) + len(new) > KEPT_WORDS
-                    self.add(list(set(part)) if full else new)
-                out[k] += self.scores[np.fromiter(map(self.row.__getitem__, part), np.int64, len(part))].sum(axis=0)
+        for k in range(0, len(short), CHUNK):
+            part, base = short[k : k + CHUNK], len(self.row)
+            self.scores[base : base + len(part)] = self.short_words(part)
+            self.row.update(zip(part, range(base, base + len(part)), strict=True))
+
+    def long_text(self, text: str) -> np.ndarray:
+        """Log probabilities of one text of any length."""
+        own, out = text.lower().split(), np.zeros(self.prob.shape[1])
+        for start in range(0, len(own), KEPT_WORDS // 2):
+            part = own[start : start + KEPT_WORDS // 2]
+            out += self.scores[self.rows(part)].sum(axis=0)
         return out
 
-    def batch(self, texts: list[str]) -> np.ndarray:
-        """As texts(); the new words of all are scored at once."""
-        new = list({w for t in texts for w in t.lower().split() if w not in self.row})
-        if len(self.row) + len(new) <= KEPT_WORDS:
-            self.add(new)
-        elif len(new) < KEPT_WORDS // 2:
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Rows of ``scores`` for at most half as many words as are kept; unknown words are scored first."""
+        new = list({w for w in words if w not in self.row})
+        if len(self.row) + len(new) > KEPT_WORDS:
             self.row.clear()
-            self.add(new)
-        return self.texts(texts)
+            new = list(set(words))
+        self.add(new)
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+
+    def batch(self, texts: list[str]) -> np.ndarray:
+        """texts x languages log probabilities; short texts are handled together."""
+        out, group, chars = np.zeros((len(texts), self.prob.shape[1])), [], 0
+
+        def flush() -> None:
+            own = [texts[k].lower().split() for k in group]
+            filled = [(k, w) for k, w in zip(group, own, strict=True) if w]
+            if filled:
+                rows = self.rows([x for _, w in filled for x in w])
+                starts = np.concatenate([[0], np.cumsum([len(w) for _, w in filled])[:-1]])
+                out[[k for k, _ in filled]] = np.add.reduceat(self.scores[rows], starts, axis=0)
+
+        for k, text in enumerate(texts):
+            if len(text) > KEPT_WORDS // 2:
+                out[k] = self.long_text(text)
+                continue
+            if chars + len(text) > KEPT_WORDS // 2 and group:
+                flush()
+                group, chars = [], 0
+            group.append(k)
+            chars += len(text)
+        if group:
+            flush()
+        return out
 
 
 _scorers: dict[str, LanguageScorer] = {}
