@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrane.plans import aggregates, containment, ownership, rules, scenarios, streams, text_geometry
+from terrane.plans import aggregates, containment, files, ownership, rules, scenarios, streams, text_geometry
 
-MODULES = (containment, ownership, aggregates, rules, scenarios, text_geometry, streams)
+MODULES = (containment, ownership, aggregates, rules, scenarios, text_geometry, files, streams)
 
 
 def queries() -> dict:
