@@ -18,6 +18,7 @@ from tokenizers import Tokenizer, models
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 
+import corpus_pipeline  # noqa: E402
 from terrane.llm import components, host_rules, langid, lm_scores, mixing, ngram_trie, piece_codec, pieces, quality_mil, sharding, simhash, token_counts, topk  # noqa: E402
 
 TEXTS = [None, "", " ", "\n", "one", "The cat  sat\non the mat.", "The cat sat on the mat. " * 40, "日本語 テキスト 🙂 é ▁x", "a" * 5000, "## $$ 12 || " * 20, "The cat  sat\non the mat."]
@@ -173,6 +174,43 @@ def test_rules_of_edge_cases(docs):
     assert got[0].n_words == 0 and got[6].n_repeat_words == 240 and got[6].base_failed and got[9].n_symbols == 20 * 6
 
 
+def test_language_scores_equal_word_by_word_forward(docs):
+    path = pieces.default_model()
+    automaton, size = langid._automaton(path)
+    prob = np.random.default_rng(4).dirichlet(np.ones(size), 3).T
+    texts = [t for t in TEXTS if t] + ["x" * 40 + " é日本 🙂 " * 30, "many short words " * 9000]
+    got = langid.LanguageScorer(path, np.log(prob)).batch(texts)
+    full = np.vstack([prob, np.full((1, 3), langid.UNKNOWN)])
+    for text, row in zip(texts, got, strict=True):
+        want = np.zeros(3)
+        for word, n in Counter(text.lower().split()).items():
+            if len(word) < 100:
+                forward = [np.ones(3)]
+                for found in langid.matches_of(automaton, pieces.GAP + word):
+                    forward.append(sum(forward[s] * full[k] for s, k in found))
+                want += n * np.log(forward[-1])
+        if "aaaa" not in text:  # one very long word underflows without rescaling
+            assert np.allclose(row, want, rtol=1e-9)
+        assert np.isfinite(row).all()
+
+
+def test_pipeline_stages_keep_columns_and_drop_repeats(spark):
+    words_ = "the cat and the dog were in a small house near the old river while people of this town went to market every day with their own bread and some wine so that nobody would stay at home on such a fine morning except for those who had work left from before and could not wait for it any longer".split()
+    rng = np.random.default_rng(5)
+    made = [" ".join(rng.permutation(words_)) for _ in range(12)]
+    rows_ = [(k, t, "en", "a", len(t)) for k, t in enumerate(made)] + [(20, made[0], "en", "b", 1), (1, made[1], "en", "a", 1), (30, None, None, None, None), (31, "", "en", None, 0)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        assert docs.columns == corpus_pipeline.COLUMNS
+        ids = [r.doc_id for r in docs.collect()]
+        if name == "rules":
+            assert set(ids) == {*range(12), 20}
+        if name == "deduplicate":
+            assert sorted(ids) == list(range(12))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
 def test_empty_tables(spark, empty):
     for made in (token_counts.token_counts(empty), piece_codec.decode(piece_codec.encode(empty)), simhash.near_duplicates(empty), host_rules.verdicts(empty), mixing.mix(empty), sharding.balanced_shards(empty), lm_scores.score(empty), langid.language_of(empty), quality_mil.quality(empty, empty.select("doc_id", F.lit(1).alias("quality")))):
         assert made.count() == 0
