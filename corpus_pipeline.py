@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import host_rules, langid, mixing, piece_codec, simhash
+from terrane.llm.text import spread
 from terrane.session import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,10 +29,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of the smallest doc_id; of repeated rows of that id one."""
+    """One document of each near-duplicate group: the one of the smallest doc_id; of repeated rows of that id one.
+
+    Texts are shuffled once, by id, into partitions whose number follows the size of the stage's input.
+    """
     groups = simhash.near_duplicates(docs)
     stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
+    return spread(docs.select(COLUMNS), "doc_id").join(stay, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

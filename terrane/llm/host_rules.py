@@ -78,11 +78,13 @@ def with_verdicts(documents: DataFrame, carry: list[str]) -> DataFrame:
     """The columns ``carry`` of ``documents`` (which has source and text), ``rules`` and ``kept``: false if base_failed,
     else true if the document passes the other rules and its host is not rejected.
 
-    Rule results and ``carry`` are written once in the shared folder; hosts are aggregated from there and joined back (the
-    host table is broadcast only if Spark finds it small). An empty table gives no rows.
+    Rule results and ``carry`` are written once in the shared folder; hosts are aggregated from there and joined back. The
+    host table is written too, so that its size is known before the join is planned: Spark broadcasts it if that is below
+    its threshold, and texts are not shuffled by host; else rows meet hosts by a shuffle whose hot hosts adaptive execution
+    splits. An empty table gives no rows.
     """
     marked = stored(document_rules(documents).select(*carry, F.col("source").alias("_host"), "rules"), "rules")
-    hosts = host_verdicts(marked, "_host").select("host", "host_kept")
+    hosts = stored(host_verdicts(marked, "_host").select("host", "host_kept"), "hosts")
     joined = marked.join(hosts, F.col("_host").eqNullSafe(F.col("host")), "left")
     return joined.select(*carry, "rules", (~F.col("rules.failed") & F.col("host_kept")).alias("kept"))
 

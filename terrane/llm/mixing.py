@@ -74,8 +74,12 @@ def cuts(rows: DataFrame) -> DataFrame:
 
 
 def taken(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``rows`` (source, mix, ...) with source_size, target and copies (how often the mix takes the document)."""
-    chosen = chosen.withColumnRenamed("source", "_s")
+    """``rows`` (source, mix, ...) with source_size, target and copies (how often the mix takes the document).
+
+    ``chosen`` (one row per source) is written first: its size is then known when the join is planned, and Spark broadcasts
+    it if that is below its threshold instead of shuffling ``rows`` by source.
+    """
+    chosen = stored(chosen, "cuts").withColumnRenamed("source", "_s")
     again = F.coalesce((F.struct("mix.key", "mix.id") <= F.struct("cut.key", "cut.id")) & F.col("cut").isNotNull(), F.lit(False))
     joined = rows.join(chosen, rows["source"].eqNullSafe(F.col("_s")))
     return joined.withColumn("copies", (F.col("epochs") + again.cast("int")).cast("int")).drop("_s", "epochs", "cut")

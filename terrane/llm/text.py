@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BREAK = r"[\x20\x09-\x0D]+"
 #: Rows handled at once inside a task, so that many very long texts don't meet in memory.
 ROWS = 200
+#: Stored (compressed) bytes for each partition when whole rows are shuffled, and the most partitions.
+PARTITION_BYTES, MOST_PARTITIONS, UNKNOWN_BYTES = 16 << 20, 200_000, 1 << 55
 
 
 def words(text: Column | str) -> Column:
@@ -27,6 +29,17 @@ def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into as many partitions as its size asks for, and not fewer than the session's setting.
+
+    A size that Spark doesn't know (rows that come from no table) leaves the setting as it is.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = size // PARTITION_BYTES if size < UNKNOWN_BYTES else 0
+    return df.repartition(min(MOST_PARTITIONS, max(least, asked)), *keys)
+
+
 def by_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` that hands ``work`` at most ROWS rows at once; rows stay in their partitions."""
 
