@@ -25,6 +25,8 @@ from terrane.session import ship
 
 #: Bounds of the fit: documents for each language (those of smallest id hash) and words counted of each of them.
 SAMPLE_PER_LANGUAGE, SAMPLE_WORDS = 300, 2000
+#: Ids put in order for each one that is sampled, as expected by their hashes.
+SPARE = 3
 ROUNDS, SMOOTHING = 2, 0.05
 #: Probability of a character that no piece covers, in any language.
 UNKNOWN = 1e-7
@@ -85,15 +87,24 @@ def fit_language(counts: Counter, automaton: ahocorasick.Automaton, size: int, r
 def fit(documents: DataFrame, model: str | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, pieces x languages log probabilities, log priors) from ``documents`` (doc_id, text, lang).
 
-    At most ``per_language`` documents of each language are looked at, chosen by hash of their id; rows with a null
-    language or text aren't. Languages are fitted in parallel; what reaches the driver is bounded by the vocabulary.
+    At most ``per_language`` documents of each language are looked at, those of smallest id hash; rows with a null
+    language or text aren't. Only ids whose hash is below SPARE times the share that is wanted are put in order, so a hot
+    language sends no more than a small one; of rows of equal language and id, the smallest text counts. Languages are
+    fitted in parallel; what reaches the driver is bounded by the vocabulary.
     """
     ship(documents.sparkSession)
     path = model or pieces.default_model()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     labelled = documents.where("lang is not null and text is not null")
-    ids = labelled.select("lang", "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "doc_id")
-    chosen = labelled.select("lang", "doc_id", "text").join(F.broadcast(ids.distinct()), ["lang", "doc_id"])  # a bounded sample
+    seen = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).collect()  # one row per language
+    priors, share = {r.lang: r.n for r in seen}, {r.lang: SPARE * per_language / max(1, r.ids) for r in seen}
+    if not priors:
+        return [], np.empty((0, 0)), np.empty(0)
+    below = F.create_map(*[F.lit(x) for name, part in share.items() for x in (name, (1 << 63) - 1 if part >= 1 else int(2.0**63 * (2 * part - 1)))])
+    few = labelled.where(F.xxhash64("doc_id") <= below[F.col("lang")]).select("lang", "doc_id")
+    ids = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "doc_id").distinct()
+    chosen = labelled.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"])  # a bounded sample
+    chosen = chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         automaton, size = _automaton(path)
@@ -104,7 +115,6 @@ def fit(documents: DataFrame, model: str | None = None, per_language: int = SAMP
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "prob": [prob.tolist()]})
 
     rows = sorted(chosen.groupBy("lang").applyInPandas(work, "lang string, prob array<double>").collect(), key=lambda r: r.lang)
-    priors = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
     names = [r.lang for r in rows]
     if not names:
         return [], np.empty((0, 0)), np.empty(0)
