@@ -19,7 +19,7 @@ from tokenizers import Tokenizer, models
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 
 import corpus_pipeline  # noqa: E402
-from terrane.llm import components, host_rules, langid, lm_scores, mixing, ngram_trie, piece_codec, pieces, quality_mil, sharding, simhash, token_counts, topk  # noqa: E402
+from terrane.llm import components, host_rules, langid, lm_scores, mixing, ngram_trie, piece_codec, pieces, quality_mil, sharding, simhash, text, token_counts, topk  # noqa: E402
 
 TEXTS = [None, "", " ", "\n", "one", "The cat  sat\non the mat.", "The cat sat on the mat. " * 40, "日本語 テキスト 🙂 é ▁x", "a" * 5000, "## $$ 12 || " * 20, "The cat  sat\non the mat."]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, shard string"
@@ -221,3 +221,16 @@ def test_every_row_gets_a_result(docs):
     n = docs.count()
     for made in (token_counts.token_counts(docs), simhash.near_duplicates(docs), host_rules.verdicts(docs), mixing.mix(docs), sharding.balanced_shards(docs), lm_scores.score(docs), langid.language_of(docs)):
         assert made.count() == n
+
+
+def test_fit_survives_a_hot_repeated_id(spark):
+    rows = [(7, "le chat noir dort", "fr", None, None, 1, "x")] * 500 + [(k, "the black cat sleeps", "en", None, None, 1, "x") for k in range(100, 140)]
+    names, log_probs, priors = langid.fit(spark.createDataFrame(rows, SCHEMA), per_language=2)
+    assert names == ["en", "fr"] and log_probs.shape[1] == 2
+    assert np.allclose(np.exp(priors), [40 / 540, 500 / 540])
+
+
+def test_spread_keeps_rows_and_follows_the_setting(docs, empty):
+    out = text.spread(docs, "doc_id")
+    assert out.count() == docs.count() and text.spread(empty, "doc_id").count() == 0
+    assert out.rdd.getNumPartitions() >= 4
