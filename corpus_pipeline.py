@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import host_rules, langid, mixing, piece_codec, simhash
+from terrane.llm import host_rules, langid, mixing, near_copies, piece_codec
 from terrane.llm.text import spread
 from terrane.session import stored, table
 
@@ -29,12 +29,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of the smallest doc_id; of repeated rows of that id one.
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one of the smallest doc_id; of repeated rows of that id one.
 
-    Texts are shuffled once, by id, into partitions whose number follows the size of the stage's input.
+    Texts are shuffled once to pick candidates and once to pick what stays.
     """
-    groups = simhash.near_duplicates(docs)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    stay = near_copies.groups(docs).groupBy("label").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return spread(docs.select(COLUMNS), "doc_id").join(stay, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
 
 

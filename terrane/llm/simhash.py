@@ -31,24 +31,33 @@ BLOCK = 8192
 PAIR_COST = 0.1
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a text; 0 if it has no word."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 hashes of the word shingles of a text, repeats included; a text of few words is one shingle, no word gives none."""
     own = (text or "").encode().lower().split()
     if not own:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(own)
     if len(own) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in own])
     starts = np.concatenate([[0], ends[:-1]])
     spans = zip(starts[: len(own) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(own) - shingle + 1)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(own) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit by bit the majority of ``hashes``; 0 if there are none."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a text; 0 if it has no word."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row of ``documents`` (doc_id, text); fp holds the 64 bits as a signed long. No shuffle."""
     ship(documents.sparkSession)

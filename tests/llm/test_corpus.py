@@ -234,3 +234,39 @@ def test_spread_keeps_rows_and_follows_the_setting(docs, empty):
     out = text.spread(docs, "doc_id")
     assert out.count() == docs.count() and text.spread(empty, "doc_id").count() == 0
     assert out.rdd.getNumPartitions() >= 4
+
+
+NUMBERED = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def stayed(spark, rows_):
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows_], NUMBERED)
+    return sorted(((r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, docs, "").collect()), key=str)
+
+
+def five(text_):
+    w = text_.split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def test_deduplicate_finds_pairs_of_similarity_080(spark):
+    rng = np.random.default_rng(7)
+    rows_, alike = [], 0
+    for k in range(60):
+        words_ = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        changed = list(words_)
+        for at in (20, 90, 150)[: k % 3 + 1]:
+            changed[at] = "other"
+        a, b = " ".join(words_), " ".join(changed)
+        assert len(five(a) & five(b)) / len(five(a) | five(b)) >= 0.8
+        rows_ += [(2 * k, a), (2 * k + 1, b)]
+    far = [f"v{x}" for x in rng.integers(0, 5000, 200)]
+    rows_ += [(500, " ".join(far)), (501, " ".join(far[:120] + [f"u{x}" for x in range(80)]))]
+    assert [k for k, _ in stayed(spark, rows_)] == sorted([*range(0, 120, 2), 500, 501], key=str)
+
+
+def test_deduplicate_links_what_the_first_of_a_bucket_misses(spark):
+    words_ = [f"w{x}" for x in range(200)]
+    chain = [" ".join([*(f"z{x}" for x in range(k)), *words_[k:]]) for k in range(0, 100, 12)]
+    assert len(five(chain[0]) & five(chain[-1])) / len(five(chain[0]) | five(chain[-1])) < 0.5
+    assert [k for k, _ in stayed(spark, list(enumerate(chain)))] == [0]
