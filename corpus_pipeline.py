@@ -29,12 +29,15 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one of the smallest doc_id; of repeated rows of that id one.
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one of the smallest doc_id.
 
-    Texts are shuffled once to pick candidates and once to pick what stays.
+    A null doc_id comes after all others; of rows of one id the first in order of shingle set and text stays, of repeated
+    rows one. Texts are shuffled once to pick candidates and once to pick what stays.
     """
-    stay = near_copies.groups(docs).groupBy("label").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return spread(docs.select(COLUMNS), "doc_id").join(stay, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
+    groups = near_copies.groups(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "row"))
+    stay = groups.groupBy("label").agg(first.alias("s")).select("s.row")
+    return spread(docs.select(*COLUMNS, near_copies.row_key().alias("row")), "row").join(stay, "row", "left_semi").dropDuplicates(["row"]).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -270,3 +270,10 @@ def test_deduplicate_links_what_the_first_of_a_bucket_misses(spark):
     chain = [" ".join([*(f"z{x}" for x in range(k)), *words_[k:]]) for k in range(0, 100, 12)]
     assert len(five(chain[0]) & five(chain[-1])) / len(five(chain[0]) | five(chain[-1])) < 0.5
     assert [k for k, _ in stayed(spark, list(enumerate(chain)))] == [0]
+
+
+def test_deduplicate_keeps_one_of_each_group_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 5000, 100)) for _ in range(4))
+    assert stayed(spark, [(None, a), (None, a), (None, b), (3, b), (7, c), (7, d), (7, d)]) == sorted([(None, a), (3, b), (7, c), (7, d)], key=str)
+    assert stayed(spark, [(1, a), (5, a + " more"), (5, b)]) == [(1, a), (5, b)]
