@@ -57,8 +57,8 @@ def nearest_rank(spark, d):
 
 
 def adjacency(spark, d):
-    """Dealers whose L-shapes' boxes overlap."""
-    b = S.with_box(B.fences(spark, d).where("comp = 1"))
+    """Dealers of whose fences, all components, boxes overlap."""
+    b = S.with_box(B.fences(spark, d))
     cell = 100_000
     down = lambda c: F.floor(F.col(c) / cell)
     filed = b.withColumn("kx", F.explode(F.sequence(down("bx0"), down("bx1")))).withColumn("ky", F.explode(F.sequence(down("by0"), down("by1")))).select("dealer_id", "bx0", "by0", "bx1", "by1", "kx", "ky")

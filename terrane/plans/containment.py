@@ -75,9 +75,11 @@ def first_district(spark, d):
 
 
 def haversine(spark, d):
-    n = nearest_fence(spark, d).select("store_id", "dealer_id")
-    c = centroids(spark, d).where("comp = 1").select("dealer_id", "mx", "my")
-    j = B.stores(spark, d).select("store_id", "x", "y").join(n, "store_id").join(c, "dealer_id")
+    """Kilometres from each store to the centroid of its nearest component."""
+    c = centroids(spark, d).select("dealer_id", "comp", "mx", "my")
+    points = B.stores(spark, d).select("store_id", "x", "y")
+    n = S.nearest(points, c.withColumn("fence", F.struct("dealer_id", "comp")), "store_id", "fence", ["dealer_id", "comp"]).select("store_id", "fence.*")
+    j = points.join(n, "store_id").join(c, ["dealer_id", "comp"])
     return j.select("store_id", "dealer_id", F.round(S.haversine_km(F.col("x") / 1e6, F.col("y") / 1e6, F.col("mx") / 1e6, F.col("my") / 1e6), 6).alias("km"))
 
 
@@ -91,9 +93,12 @@ def direction(spark, d):
 
 
 def clipped(spark, d):
-    cut = B.fences(spark, d).where("comp = 1").join(B.dealers(spark, d).select("dealer_id", F.col("cx").alias("px"), (F.col("cy") - F.expr("h div 2")).alias("py")), "dealer_id")
-    out = S.clip_half_plane(cut.withColumns({"nx": F.lit(0), "ny": F.lit(1)}), "dealer_id")
-    return out.groupBy("dealer_id").agg(F.count("*").alias("vertices"), F.round(F.min("y"), 3).alias("low"), F.round(F.max("y"), 3).alias("high"))
+    """What each component keeps north of its dealer's line; a component all south of it has no vertices."""
+    f = B.fences(spark, d).withColumn("fence", F.struct("dealer_id", "comp"))
+    cut = f.join(B.dealers(spark, d).select("dealer_id", F.col("cx").alias("px"), (F.col("cy") - F.expr("h div 2")).alias("py")), "dealer_id")
+    out = S.clip_half_plane(cut.withColumns({"nx": F.lit(0), "ny": F.lit(1)}), "fence").select("fence.*", "y")
+    kept = out.groupBy("dealer_id", "comp").agg(F.count("*").alias("vertices"), F.round(F.min("y"), 3).alias("low"), F.round(F.max("y"), 3).alias("high"))
+    return f.select("dealer_id", "comp").join(kept, ["dealer_id", "comp"], "left").select("dealer_id", "comp", F.coalesce("vertices", F.lit(0)).alias("vertices"), "low", "high")
 
 
 def lines(spark, d):

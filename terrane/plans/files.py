@@ -33,12 +33,12 @@ def stores(spark, d):
 
 
 def rep_rows(spark, d):
-    """Rep fences through CSV: every 10th without geometry, every 7th under its neighbour's code, stated areas of h * h."""
+    """Rep fences through CSV: every 10th without geometry, every 7th under its neighbour's code, stated areas of h * h. Later components have codes of their own."""
     path = _folder(spark, "reps")
-    f = B.fences(spark, d).where("comp = 1")
+    f = B.fences(spark, d)
     code = "CASE WHEN dealer_id % 7 = 0 THEN dealer_id + 1 ELSE dealer_id END"
     area = F.round(spatial.ring_area_km2(F.col("ring"), B.X0, B.Y0, 22.5) * F.when(F.col("dealer_id") % 4 == 0, 2.0).otherwise(1.1), 6)
-    f.select(F.expr(f"CAST({code} AS STRING)").alias("code"), F.lit("x").alias("owner"), area.alias("area_km2"), F.when(F.col("dealer_id") % 10 != 0, packs.wkt(F.col("ring"))).otherwise("POLYGON EMPTY").alias("wkt")).write.option("header", True).csv(path)
+    f.select(F.expr(f"concat({code}, CASE WHEN comp > 1 THEN concat('-', comp) ELSE '' END)").alias("code"), F.lit("x").alias("owner"), area.alias("area_km2"), F.when(F.col("dealer_id") % 10 != 0, packs.wkt(F.col("ring"))).otherwise("POLYGON EMPTY").alias("wkt")).write.option("header", True).csv(path)
     return packs.read_rep_fences(spark, path)
 
 

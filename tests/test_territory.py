@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+from collections import Counter
 from datetime import date
 from pathlib import Path
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from terrane import catalog  # noqa: E402
+from terrane import bindings, catalog  # noqa: E402
 from terrane.operators import classify, ownership, rules, sizing, spatial  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -83,3 +84,32 @@ def test_exclusive_conflicts_of_all_years(spark, tmp_path):
     want = {(s, a % 5, b % 5) for a, s, _ in data for b, t, _ in data if s == t and a % 5 < b % 5 and abs((day[a] - day[b]).days) < 30}
     assert (7, 1, 2) in want
     assert rows(catalog.queries()["m10_exclusive_conflicts"](spark, str(tmp_path)).collect()) == rows(want)
+
+
+def test_fence_queries_read_all_components(spark):
+    q = {k: catalog.queries()[k](spark, SF).collect() for k in ("j13_fence_adjacency", "p11_haversine", "p23_clip_half_plane", "s5_wkt_fences", "s6_rep_fence_problems")}
+    rings = {(r.dealer_id, r.comp): [(p.x, p.y) for p in r.ring] for r in bindings.fences(spark, SF).collect()}
+    assert any(comp == 2 for _, comp in rings)
+    box = {k: (min(x for x, _ in v), min(y for _, y in v), max(x for x, _ in v), max(y for _, y in v)) for k, v in rings.items()}
+    meet = {(a, b) for (a, m), p in box.items() for (b, n), o in box.items() if a < b and p[0] <= o[2] and o[0] <= p[2] and p[1] <= o[3] and o[1] <= p[3]}
+    assert rows(q["j13_fence_adjacency"]) == rows(meet)
+    centre = {k: (sum(x for x, _ in v) / len(v), sum(y for _, y in v) / len(v)) for k, v in rings.items()}
+    stores, seconds = {r.store_id: (r.x, r.y) for r in bindings.stores(spark, SF).collect()}, 0
+    for r in q["p11_haversine"]:
+        x, y = stores.pop(r.store_id)
+        _, *near = min(((x - mx) ** 2 + (y - my) ** 2, *k) for k, (mx, my) in centre.items())
+        mx, my = (math.radians(c / 1e6) for c in centre[tuple(near)])
+        x, y = math.radians(x / 1e6), math.radians(y / 1e6)
+        km = 2 * 6371.0 * math.asin(math.sqrt(math.sin((my - y) / 2) ** 2 + math.cos(y) * math.cos(my) * math.sin((mx - x) / 2) ** 2))
+        assert r.dealer_id == near[0] and r.km == pytest.approx(km, abs=2e-6)
+        seconds += near[1] == 2
+    assert not stores and seconds
+    line = {r.dealer_id: r.cy - r.h // 2 for r in bindings.dealers(spark, SF).collect()}
+    assert {(r.dealer_id, r.comp) for r in q["p23_clip_half_plane"]} == set(rings)
+    for r in q["p23_clip_half_plane"]:
+        low, high = box[r.dealer_id, r.comp][1::2]
+        assert (r.low, r.high) == ((max(low, line[r.dealer_id]), high) if high >= line[r.dealer_id] else (None, None)) and (r.vertices > 0) == (r.low is not None)
+    assert len(q["s5_wkt_fences"]) == sum(k % 10 != 0 for k, _ in rings)
+    found = Counter(r.problem for r in q["s6_rep_fence_problems"])
+    assert found["empty_geometry"] == sum(k % 10 == 0 for k, _ in rings) and found["area_off"] == sum(k % 4 == 0 and k % 10 != 0 for k, _ in rings)
+    assert found["duplicate_code"] == sum(k % 7 == 0 and (k + 1, 1) in rings for k, comp in rings if comp == 1)
