@@ -103,7 +103,7 @@ def groups(documents: DataFrame) -> DataFrame:
     A group is a component of candidate pairs with a similarity of 0.8 or more. Equal shingle sets are one key and always
     one group; texts without words are one group. In each bucket every key first meets the bucket's first key; keys that
     aren't similar to it then meet all keys of the bucket that aren't in their component yet, so every candidate pair is
-    either tested or already connected, and a dense group costs one pair for each key.
+    either tested or already connected. Their number grows with the square of a bucket whose keys aren't similar to its first.
     """
     ship(documents.sparkSession)
     rows = checkpoint(marked(documents))
