@@ -3,7 +3,7 @@
 Candidates: texts whose fingerprints over all shingles are linked within 3 bits by the generalised pigeonhole, and texts that
 share one of SAMPLES further fingerprints, each the SimHash of a consistent sample of SAMPLE shingles (those least under
 as many hash orders). Two sets of similarity J share a given sample's shingles with chance J ** SAMPLE, so a pair of
-similarity 0.8 is a candidate with chance 1 - (1 - 0.8 ** 5) ** 16 = 0.998 at least. Candidates are verified on their texts.
+similarity 0.8 is a candidate with chance 1 - (1 - 0.8 ** 5) ** 24 = 0.9999 at least. Candidates are verified on their texts.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from terrane.llm.components import components
 from terrane.llm.text import Memo, by_slices, spread
 from terrane.session import checkpoint, ship, stored
 
-SHINGLE, SIMILARITY, SAMPLES, SAMPLE = 5, 0.8, 16, 5
+SHINGLE, SIMILARITY, SAMPLES, SAMPLE = 5, 0.8, 24, 5
 #: Odd multipliers and addends of the hash orders, fixed.
 _MIX = np.random.default_rng(5).integers(0, 1 << 63, (2, SAMPLES * SAMPLE), dtype=np.uint64) | np.uint64(1)
-#: Shingles that are ordered at once, and texts whose shingles a task holds while it verifies.
-PIECE, HELD = 1 << 12, 64
+#: Shingles that are ordered at once, texts whose shingles a task holds while it verifies, and shingles of a block of keys.
+PIECE, HELD, BLOCK = 1 << 12, 64, 1 << 17
 
 
 def row_key() -> Column:
@@ -97,13 +97,69 @@ def _near_sizes(met: DataFrame) -> DataFrame:
     return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
+def links_in_unit(keys: np.ndarray, labels: np.ndarray, left: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (a, b) that join the ``labels`` of rows, at least one of them ``left``, with similar shingle sets ``own``.
+
+    All left rows are compared with all others by counting shared shingles; only links between rows whose labels the earlier
+    links of the unit haven't joined are returned, so a dense group gives a link for each label and not for each pair.
+    """
+    sizes = np.array([len(x) for x in own])
+    cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    names, at = np.unique(np.concatenate(own), return_inverse=True)
+    flags, labels, out = np.zeros(len(names), np.int32), labels.copy(), []
+    for i in np.flatnonzero(left).tolist():
+        mine = at[cuts[i] : cuts[i] + sizes[i]]
+        flags[mine] = 1
+        both = np.add.reduceat(flags[at], cuts)
+        flags[mine] = 0
+        near = np.flatnonzero((both * 5 >= (sizes[i] + sizes - both) * 4) & (labels != labels[i]))
+        for j in near.tolist():
+            if labels[j] != labels[i]:
+                out.append((int(keys[i]), int(keys[j])))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def links_of_rest(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links within each unit of ``units`` (unit, key, label, left), found on ``texts`` (key, text).
+
+    A unit holds BLOCK shingles of either side as expected, so a task holds a few MB of hashes and one text at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows = None, {}
+
+        def found() -> pa.RecordBatch:
+            keys = np.fromiter(rows, np.int64, len(rows))
+            labels, left, own = (list(x) for x in zip(*rows.values(), strict=True)) if rows else ([], [], [])
+            links = links_in_unit(keys, np.array(labels, np.int64), np.array(left, bool), own) if rows else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for u, key, label, left, text in zip(*(batch.column(k) for k in range(5)), strict=True):
+                if u.as_py() != unit and rows:
+                    yield found()
+                    rows = {}
+                unit, known = u.as_py(), rows.get(key.as_py())
+                if known is None:
+                    rows[key.as_py()] = (label.as_py(), left.as_py(), np.unique(simhash.shingle_hashes(text.as_py(), SHINGLE)))
+                elif left.as_py():
+                    rows[key.as_py()] = (known[0], True, known[2])
+        if rows:
+            yield found()
+
+    with_text = units.join(texts, "key").select("unit", "key", "label", "left", "text")
+    return with_text.repartition("unit").sortWithinPartitions("unit", "key").mapInArrow(run, "a bigint, b bigint")
+
+
 def groups(documents: DataFrame) -> DataFrame:
     """(doc_id, row, key, label) of every row of ``documents`` (doc_id, text): rows of one label are one group.
 
     A group is a component of candidate pairs with a similarity of 0.8 or more. Equal shingle sets are one key and always
-    one group; texts without words are one group. In each bucket every key first meets the bucket's first key; keys that
-    aren't similar to it then meet all keys of the bucket that aren't in their component yet, so every candidate pair is
-    either tested or already connected. Their number grows with the square of a bucket whose keys aren't similar to its first.
+    one group; texts without words are one group. In each bucket every key first meets the bucket's first key. Keys that
+    aren't in its component then meet all other keys of the bucket, so every candidate pair is either tested or already
+    connected. They meet in units of a block of such keys and a block of all keys: texts are sent once for each unit, never
+    once for each pair, and a unit gives no more links than it has labels.
     """
     ship(documents.sparkSession)
     rows = checkpoint(marked(documents))
@@ -112,9 +168,9 @@ def groups(documents: DataFrame) -> DataFrame:
     whole = classes.join(near, "fp", "left").select(F.xxhash64(F.lit(-1), F.coalesce("near", "fp")).alias("bucket"), "key", "size")
     sampled = classes.select("key", "size", F.posexplode("samples").alias("n", "print")).select(F.xxhash64("n", "print").alias("bucket"), "key", "size")
     filed = whole.unionByName(sampled)
-    first = filed.groupBy("bucket").agg(F.min(F.struct("key", "size")).alias("c"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("c.key").alias("centre"), F.col("c.size").alias("centre_size"))
+    first = filed.groupBy("bucket").agg(F.min(F.struct("key", "size")).alias("c"), F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1").select("bucket", F.col("c.key").alias("centre"), F.col("c.size").alias("centre_size"), "n", "weight")
     filed = checkpoint(filed.join(first, "bucket"))
-    stars = checkpoint(_near_sizes(filed.select("key", "size", F.col("centre").alias("other"), F.col("centre_size").alias("other_size"))))
+    stars = _near_sizes(filed.select("key", "size", F.col("centre").alias("other"), F.col("centre_size").alias("other_size")))
 
     wanted = filed.select("key").distinct().join(rows.groupBy("key").agg(F.min("row").alias("row")), "key")
     texts = spread(documents.select(row_key().alias("row"), "text"), "row")
@@ -124,10 +180,13 @@ def groups(documents: DataFrame) -> DataFrame:
     label = components(linked)
     named = filed.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     at_centre = label.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-    named = checkpoint(named.join(at_centre, "centre", "left").withColumn("centre_label", F.coalesce("centre_label", "centre")))
-    left = named.where("label <> centre_label").select("bucket", "key", "size", "label")
-    others = named.where("key <> centre").select("bucket", F.col("key").alias("other"), F.col("size").alias("other_size"), F.col("label").alias("other_label"))
-    rest = _near_sizes(left.join(others, "bucket").where("label <> other_label"))
-    rest = checkpoint(rest.join(stars, ["a", "b"], "left_anti"))
-    label = components(linked.unionByName(verified(rest, texts))).select(F.col("node").alias("key"), "label")
+    named = named.join(at_centre, "centre", "left").withColumn("left", F.col("label") != F.coalesce("centre_label", "centre"))
+    named = checkpoint(named.where("n > 2 AND key <> centre").select("bucket", "key", "label", "left", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")))
+    open_ = named.where("left").select("bucket").distinct()  # buckets with a key outside their first key's component
+    rest = named.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asks = rest.where("left").withColumn("other", every).select(F.xxhash64("bucket", "block", "other").alias("unit"), "key", "label", "left")
+    sides = rest.join(rest.where("left").select("bucket", F.col("block").alias("ask")).distinct(), "bucket")
+    sides = sides.select(F.xxhash64("bucket", "ask", "block").alias("unit"), "key", "label", F.lit(False).alias("left"))
+    label = components(linked.unionByName(links_of_rest(asks.unionByName(sides), texts))).select(F.col("node").alias("key"), "label")
     return rows.select("doc_id", "row", "key").join(label, "key", "left").select("doc_id", "row", "key", F.coalesce("label", "key").alias("label"))

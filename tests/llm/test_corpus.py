@@ -277,3 +277,21 @@ def test_deduplicate_keeps_one_of_each_group_with_null_and_repeated_ids(spark):
     a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 5000, 100)) for _ in range(4))
     assert stayed(spark, [(None, a), (None, a), (None, b), (3, b), (7, c), (7, d), (7, d)]) == sorted([(None, a), (3, b), (7, c), (7, d)], key=str)
     assert stayed(spark, [(1, a), (5, a + " more"), (5, b)]) == [(1, a), (5, b)]
+
+
+def test_deduplicate_of_a_dense_group_equals_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    texts = []
+    for _ in range(250):
+        own = list(base)
+        for at in rng.integers(0, 120, rng.integers(1, 7)):
+            own[at] = f"x{rng.integers(0, 9999)}"
+        texts.append(" ".join(own))
+    sets, label = [five(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if label[a] != label[b] and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+                label = [label[b] if x == label[a] else x for x in label]
+    assert 1 < len(set(label)) < 200
+    assert [k for k, _ in stayed(spark, list(enumerate(texts)))] == sorted((label.index(x) for x in set(label)), key=str)
