@@ -1,10 +1,10 @@
 """Operator 6, exact top-k by inner product: Fagin's threshold algorithm over sorted per-dimension lists.
 
-Vectors are cut into blocks. For a block of candidates each dimension gets a list sorted by component. A query walks all
-lists at once from their favourable ends; every vector that it meets is scored whole, and no vector not yet met can score
-above the sum of the products at the depth reached. It stops when that bound is below its kth score. Depth doubles from
-round to round for all queries of a block at once; when the lists have given as many entries as the block has vectors
-and the bound still doesn't exclude the rest, the rest is scored in one product. Lists of k per block are merged.
+Vectors are cut into blocks. For a block of candidates each dimension gets a list sorted by component. A query walks the
+lists from their favourable ends; every vector that it meets is scored whole, and no vector not yet met can score above
+the sum of the products at the places reached. It stops when that bound is below its kth score, or when it has met every
+vector of the block, and not before: no depth or size ends the walk. Lists need not be walked evenly for the bound to hold,
+so each step goes to the list where an entry lowers the bound most. Lists of k per block are merged.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from terrane.session import checkpoint, ship
 SCALE, K, EVERY = 64, 20, 20
 #: Vectors in a block of candidates and in a block of queries.
 CANDIDATES, QUERIES = 16384, 4096
-FIRST_DEPTH = 16
+#: Entries that a list is walked at once, at first and at most (a share of the list); entries of the first round for each query.
+STEP, STEPS, FIRST = 16, 64, 1024
 
 
 def whole(vector: Column | str, scale: int = SCALE) -> Column:
@@ -32,54 +33,71 @@ def whole(vector: Column | str, scale: int = SCALE) -> Column:
     return F.when(col.isNotNull() & ~bad, F.transform(wide, lambda x: F.floor(x * scale)))
 
 
-def threshold_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, id, score) of the k best candidates of each query, other ids than its own only; ties to smaller ids."""
+class Lists:
+    """A block of candidates as lists, one for each dimension and direction, each sorted from its favourable end."""
+
+    def __init__(self, x: np.ndarray):
+        n = len(x)
+        up = np.argsort(x, axis=0, kind="stable").T
+        self.order = np.stack([up, up[:, ::-1]]).astype(np.int32)  # [0] rising, for negative weights; [1] falling
+        rising = np.take_along_axis(x.T, up, 1)
+        widths = np.unique(np.minimum(n, np.concatenate([STEP * 2 ** np.arange(0, 5), n * np.arange(1, STEPS + 1) // STEPS])))
+        self.places = np.concatenate([[0], widths[widths > 0]])  # a walk stops at these depths
+        last = np.maximum(self.places - 1, 0)
+        self.values = np.stack([rising[:, last], rising[:, ::-1][:, last]])  # the least favourable value met by then
+
+    def steps(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(list, place, entries so far, bound) after each step of the walk for weights ``q``, steepest steps first."""
+        side, size = (q > 0).astype(int), np.diff(self.places)
+        product = np.abs(q)[:, None] * np.where(side[:, None] == 1, self.values[1], -self.values[0])
+        drop = product[:, :-1] - product[:, 1:]
+        slope = np.minimum.accumulate(drop / size, axis=1)  # a step comes after those before it in its list
+        at = np.argsort(-slope.ravel(), kind="stable")
+        own, place = np.divmod(at, len(size))
+        return own, place, np.cumsum(size[place]), product[:, 0].sum() - np.cumsum(drop.ravel()[at])
+
+
+def threshold_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int = K, seen: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, score) of the k best candidates of each query, other ids than its own only; ties to smaller ids.
+
+    ``seen`` collects counts of queries, of those that the bound ended, of entries read and of vectors scored.
+    """
     n, d = x.shape
-    if n == 0 or len(q) == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    tally = seen if seen is not None else {}
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]  # smaller ids first: position breaks ties
     reach = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * d
     kind = np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else np.int64
-    up = np.argsort(x, axis=0, kind="stable")
-    values = np.take_along_axis(x, up, 0)
-    xs, qs = x.astype(kind), q.astype(kind)
-    rows: list[np.ndarray] = []
-    best: dict[int, np.ndarray] = {}
-
-    def order_keys(scores: np.ndarray, where: np.ndarray) -> np.ndarray:
-        return scores.astype(np.int64) * n + (n - 1 - where)
-
-    def top(keys: np.ndarray) -> np.ndarray:
-        return keys if len(keys) <= k else keys[np.argpartition(keys, len(keys) - k)[-k:]]
-
-    active, depth, seen_to = np.arange(len(q)), min(FIRST_DEPTH, n), 0
-    seen = {int(i): np.zeros(n, bool) for i in active} if n * len(q) <= 1 << 28 else None
-    while len(active) and seen is not None and depth * d <= n:
-        high = (qs[active] > 0).astype(kind) * qs[active]
-        low = qs[active] - high
-        bound = high @ values[n - depth].astype(kind) + low @ values[depth - 1].astype(kind)
-        going = []
-        for a, i in enumerate(active.tolist()):
-            sign = q[i] > 0
-            met = np.concatenate([up[n - depth : n - seen_to][:, sign].ravel(), up[seen_to:depth][:, q[i] < 0].ravel()])
-            met = np.unique(met[~seen[i][met]])
-            seen[i][met] = True
-            met = met[ids[met] != query_ids[i]]
-            best[i] = top(np.concatenate([best.get(i, np.empty(0, np.int64)), order_keys(xs[met] @ qs[i], met)]))
-            if len(best[i]) < k or bound[a] >= best[i].min() // n:
-                going.append(i)
-        active, seen_to, depth = np.array(going, np.int64), depth, depth * 2
-    for s in range(0, len(active), 256):  # the bound doesn't exclude the rest of the block
-        part = active[s : s + 256]
-        keys = order_keys(qs[part] @ xs.T, np.arange(n)[None, :])
-        keys[query_ids[part][:, None] == ids[None, :]] = np.iinfo(np.int64).min
-        kept = np.partition(keys, max(0, n - k), axis=1)[:, max(0, n - k) :]
-        for i, own in zip(part.tolist(), kept, strict=True):
-            best[i] = own[own != np.iinfo(np.int64).min]
-    rows = [np.full(len(best[i]), i, np.int64) for i in range(len(q))]
-    keys = np.concatenate([best[i] for i in range(len(q))])
-    return np.concatenate(rows), ids[n - 1 - keys % n], keys // n
+    lists, xs, qs = Lists(x) if n else None, x.astype(kind), q.astype(kind)
+    for i in range(len(q) if n else 0):
+        own, place, read, bound = lists.steps(q[i])
+        side = (q[i] > 0).astype(int)
+        best, met, at, goal = np.empty(0, np.int64), np.zeros(n, bool), 0, FIRST
+        while True:
+            kth = best.min() // n if len(best) == k else None
+            enough = len(bound) - np.searchsorted(bound[::-1], kth) if kth is not None else len(bound)  # steps until the bound is below the kth score
+            to = max(at + 1, min(int(np.searchsorted(read, goal)) + 1, int(enough) + 1, len(bound)))
+            new = np.zeros(n, bool)
+            for j, p in zip(own[at:to].tolist(), place[at:to].tolist(), strict=True):
+                new[lists.order[side[j], j, lists.places[p] : lists.places[p + 1]]] = True
+            new = np.flatnonzero(new & ~met)
+            met[new] = True
+            tally["scored"] = tally.get("scored", 0) + len(new)
+            new = new[ids[new] != query_ids[i]]
+            best = np.concatenate([best, (xs[new] @ qs[i]).astype(np.int64) * n + (n - 1 - new)])
+            best = best if len(best) <= k else np.partition(best, len(best) - k)[-k:]
+            at, goal = to, goal * 4
+            if len(best) == k and bound[at - 1] < best.min() // n:
+                tally["ended"] = tally.get("ended", 0) + int(not met.all())
+                break
+            if at == len(bound) or met.all():
+                break
+        tally["queries"], tally["entries"] = tally.get("queries", 0) + 1, tally.get("entries", 0) + int(read[at - 1])
+        rows.append(np.full(len(best), i, np.int64))
+        keys.append(best)
+    keys = np.concatenate(keys)
+    return np.concatenate(rows), ids[n - 1 - keys % n] if n else keys, keys // max(n, 1)
 
 
 def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
@@ -87,38 +105,41 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = SC
     ``every``, the ``k`` other rows of largest integer inner product (all, if fewer), ties to smaller vec_id.
 
     Vectors that are null, hold null or non-finite components, or have a null vec_id take no part; vectors of another
-    length than the query's aren't compared. Rows of equal vec_id are not candidates of each other; repeated rows are
-    answered once and count once. The query set grows with the table, so both sides are dealt in blocks: each block of
-    candidates meets each block of queries in one task of bounded size. No rows give no rows.
+    length than the query's aren't compared, empty ones neither. Rows of one vec_id are not candidates of each other; each
+    counts as a candidate of others, so a repeated row takes a place for each repeat. A vec_id that occurs in several rows
+    with different vectors is a query with each of them, with equal ones once. The query set grows with the table, so both
+    sides are dealt in blocks: each block of candidates meets each block of queries in one task of bounded size. No rows
+    give no rows.
     """
     spark = ship(embeddings.sparkSession)
-    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), whole("embedding", scale).alias("v")).where("vec_id is not null and v is not null").distinct()
-    vectors = checkpoint(vectors.withColumn("d", F.size("v")))
+    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), whole("embedding", scale).alias("v")).where("vec_id is not null and size(v) > 0")
+    vectors = checkpoint(vectors.groupBy("vec_id", "v").agg(F.count("*").alias("copies")).withColumns({"d": F.size("v"), "which": F.xxhash64("v")}))
     n, nq = vectors.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     blocks, query_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-nq // QUERIES))
-    side = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     asks = vectors.where(F.col("vec_id") % every == 0)
-    candidates = vectors.withColumn("b", side).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("ask", F.lit(False))
-    asks = asks.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(query_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("ask", F.lit(True))
-    dealt = candidates.select("b", "qb", "d", "vec_id", "v", "ask").unionByName(asks.select("b", "qb", "d", "vec_id", "v", "ask"))
+    columns = ["b", "qb", "d", "vec_id", "which", "v", "copies", "ask"]
+    candidates = vectors.withColumn("b", F.pmod(F.xxhash64("vec_id", "which"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("ask", F.lit(False))
+    asks = asks.withColumn("qb", F.pmod(F.xxhash64("vec_id", "which", F.lit(7)), F.lit(query_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("ask", F.lit(True))
+    dealt = candidates.select(columns).unionByName(asks.select(columns))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf["ask"].to_numpy(bool)
-        x = np.stack(pdf["v"].to_numpy()).astype(np.int64) if len(pdf) else np.empty((0, 0), np.int64)
-        ids = pdf["vec_id"].to_numpy(np.int64)
-        row, found, score = threshold_top(ids[~own], x[~own], ids[own], x[own], k)
-        return pd.DataFrame({"query_id": ids[own][row], "vec_id": found, "score": score})
+        x = np.stack(pdf["v"].to_numpy()).astype(np.int64)
+        ids, copies = pdf["vec_id"].to_numpy(np.int64), np.minimum(pdf["copies"].to_numpy(np.int64), k)
+        more = np.repeat(np.flatnonzero(~own), copies[~own])  # k of the same row fill any answer
+        row, found, score = threshold_top(ids[more], x[more], ids[own], x[own], k)
+        return pd.DataFrame({"query_id": ids[own][row], "which": pdf["which"].to_numpy(np.int64)[own][row], "vec_id": found, "score": score})
 
-    found = dealt.groupBy("b", "qb", "d").applyInPandas(work, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = dealt.groupBy("b", "qb", "d").applyInPandas(work, "query_id long, which long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT DISTINCT * FROM s))
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.v AS qv, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM (SELECT DISTINCT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
