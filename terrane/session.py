@@ -28,14 +28,21 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and written tables: what ``spark.checkpoint.dir`` names, or a temporary one in local tests."""
+    """The folder for checkpoints and written tables: what ``spark.checkpoint.dir`` names, or a temporary one on a local master.
+
+    On a cluster without that setting there is no folder that all machines see, which is an error.
+    """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="terrane-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
