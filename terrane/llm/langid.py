@@ -23,15 +23,17 @@ from terrane.llm import pieces
 from terrane.llm.text import by_slices, held_out
 from terrane.session import ship
 
-#: Bounds of the fit: documents for each language (those of smallest id hash) and words counted of each of them.
-SAMPLE_PER_LANGUAGE, SAMPLE_WORDS = 300, 2000
+#: Bound of the fit: documents for each language, those of smallest id hash. Their whole texts are counted.
+SAMPLE_PER_LANGUAGE = 300
+#: Characters of the parts that a longer word is cut into while fitting, and words whose matches are held at once.
+PART, HELD_WORDS = 64, 20_000
 #: Ids put in order for each one that is sampled, as expected by their hashes.
 SPARE = 3
 ROUNDS, SMOOTHING = 2, 0.05
 #: Probability of a character that no piece covers, in any language.
 UNKNOWN = 1e-7
-#: Words of which a worker keeps the scores.
-KEPT_WORDS = 300_000
+#: Words of which a worker keeps the scores, and the most characters of such a word.
+KEPT_WORDS, KEPT_CHARS = 300_000, 64
 #: Words scored at once, and their most characters (longer ones are scored one by one).
 CHUNK, SHORT = 8192, 24
 #: An automaton's values are piece numbers times 1024 plus the piece's length.
@@ -54,17 +56,31 @@ def matches_of(automaton: ahocorasick.Automaton, word: str) -> list[list[tuple[i
 def _automaton(path: str) -> tuple[ahocorasick.Automaton, int]:
     vocabulary = pieces.load(path)
     number = {p: k for k, p in enumerate(vocabulary.ids)}
+    if max(map(len, number)) > LENGTH:
+        raise ValueError(f"{path} has a piece of more than {LENGTH} characters")
     return vocabulary.automaton(lambda p: number[p] << 10 | len(p)), len(number)
 
 
+@lru_cache(maxsize=2)
+def _longest(path: str) -> int:
+    return max(map(len, pieces.load(path).ids))
+
+
+def parts_of(word: str) -> list[str]:
+    """A word with its gap, in parts of PART characters."""
+    word = pieces.GAP + word
+    return [word] if len(word) <= PART else [word[k : k + PART] for k in range(0, len(word), PART)]
+
+
 def fit_language(counts: Counter, automaton: ahocorasick.Automaton, size: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities that expectation-maximisation finds for word counts, from equal ones on. Very long words are cut."""
-    lattice = [(matches_of(automaton, pieces.GAP + w[:64]), n) for w, n in counts.items()]
+    """Piece probabilities that expectation-maximisation finds for counts of words or their parts, from equal ones on."""
+    held = {w: matches_of(automaton, w) for w in list(counts)[:HELD_WORDS]}  # the rest is matched again in each round
     prob = np.full(size + 1, 1.0 / size)
     prob[-1] = UNKNOWN  # index -1
     for _ in range(rounds):
         p, expected = prob.tolist(), [0.0] * (size + 1)
-        for ends, n in lattice:
+        for word, n in counts.items():
+            ends = held.get(word) or matches_of(automaton, word)
             forward = [1.0] + [0.0] * len(ends)
             for end, found in enumerate(ends, 1):
                 forward[end] = sum(forward[s] * p[k] for s, k in found)
@@ -88,9 +104,10 @@ def fit(documents: DataFrame, model: str | None = None, per_language: int = SAMP
     """(languages, pieces x languages log probabilities, log priors) from ``documents`` (doc_id, text, lang).
 
     At most ``per_language`` documents of each language are looked at, those of smallest id hash; rows with a null
-    language or text aren't. Only ids whose hash is below SPARE times the share that is wanted are put in order, so a hot
-    language sends no more than a small one; of rows of equal language and id, the smallest text counts. Languages are
-    fitted in parallel; what reaches the driver is bounded by the vocabulary.
+    language or text aren't. Only ids whose hash is below SPARE times the share that is wanted are put in order, each once,
+    so a hot language or id sends no more than a small one; of rows of equal language and id, the smallest text counts.
+    All words of these texts count; words of more than PART characters count as their parts. Languages are fitted in
+    parallel; what reaches the driver is bounded by the vocabulary and one row for each language.
     """
     ship(documents.sparkSession)
     path = model or pieces.default_model()
@@ -101,8 +118,8 @@ def fit(documents: DataFrame, model: str | None = None, per_language: int = SAMP
     if not priors:
         return [], np.empty((0, 0)), np.empty(0)
     below = F.create_map(*[F.lit(x) for name, part in share.items() for x in (name, (1 << 63) - 1 if part >= 1 else int(2.0**63 * (2 * part - 1)))])
-    few = labelled.where(F.xxhash64("doc_id") <= below[F.col("lang")]).select("lang", "doc_id")
-    ids = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "doc_id").distinct()
+    few = labelled.where(F.xxhash64("doc_id") <= below[F.col("lang")]).select("lang", "doc_id").distinct()
+    ids = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "doc_id")
     chosen = labelled.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"])  # a bounded sample
     chosen = chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
@@ -110,7 +127,9 @@ def fit(documents: DataFrame, model: str | None = None, per_language: int = SAMP
         automaton, size = _automaton(path)
         counts: Counter = Counter()
         for t in pdf["text"]:
-            counts.update(t.lower().split()[:SAMPLE_WORDS])
+            for word, n in Counter(t.lower().split()).items():
+                for part in parts_of(word):
+                    counts[part] += n
         prob = fit_language(counts, automaton, size)
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "prob": [prob.tolist()]})
 
@@ -127,6 +146,7 @@ class LanguageScorer:
 
     def __init__(self, path: str, log_probs: np.ndarray):
         self.automaton, size = _automaton(path)
+        self.longest = _longest(path)
         self.prob = np.vstack([np.exp(log_probs), np.full((1, log_probs.shape[1]), UNKNOWN)])  # -1: uncovered
         self.row: dict[str, int] = {}
         self.scores = np.zeros((KEPT_WORDS, log_probs.shape[1]), np.float64)
@@ -136,7 +156,7 @@ class LanguageScorer:
         forward, scale = {0: np.ones(self.prob.shape[1])}, np.zeros(self.prob.shape[1])
         for end, found in enumerate(matches_of(self.automaton, word), 1):
             forward[end] = sum(forward[s] * self.prob[k] for s, k in found)
-            forward.pop(end - 32, None)  # longer than any piece
+            forward.pop(end - self.longest, None)  # no later piece starts there
             if end % 16 == 0:
                 by = np.maximum(forward[end], 1e-300)
                 scale += np.log(by)
@@ -169,6 +189,7 @@ class LanguageScorer:
         return np.log(np.maximum(forward[lengths, np.arange(len(words))], 1e-300))
 
     def add(self, new: list[str]) -> None:
+        """Scores of words of up to KEPT_CHARS characters."""
         short = [w for w in new if len(w) <= SHORT]
         if len(self.row) + len(new) > KEPT_WORDS:
             self.row.clear()
@@ -183,12 +204,20 @@ class LanguageScorer:
 
     def long_text(self, text: str) -> np.ndarray:
         """Log probabilities of one text of any length."""
-        own, out = text.lower().split(), np.zeros(self.prob.shape[1])
+        own, out = self.sifted(text)
         for start in range(0, len(own), KEPT_WORDS // 2):
             part = own[start : start + KEPT_WORDS // 2]
             out += self.scores[self.rows(part)].sum(axis=0)
         return out
 
+    def sifted(self, text: str) -> tuple[list[str], np.ndarray]:
+        """(words whose scores are kept, log probabilities of all longer words together)."""
+        own, out = text.lower().split(), np.zeros(self.prob.shape[1])
+        for word in own:
+            if len(word) > KEPT_CHARS:
+                out += self.long_word(pieces.GAP + word)
+        return [w for w in own if len(w) <= KEPT_CHARS], out
+
     def rows(self, words: list[str]) -> np.ndarray:
         """Rows of ``scores`` for at most half as many words as are kept; unknown words are scored first."""
         new = list({w for w in words if w not in self.row})
@@ -203,12 +232,13 @@ class LanguageScorer:
         out, group, chars = np.zeros((len(texts), self.prob.shape[1])), [], 0
 
         def flush() -> None:
-            own = [texts[k].lower().split() for k in group]
-            filled = [(k, w) for k, w in zip(group, own, strict=True) if w]
+            own = [self.sifted(texts[k]) for k in group]
+            out[group] = [longer for _, longer in own]
+            filled = [(k, w) for k, (w, _) in zip(group, own, strict=True) if w]
             if filled:
                 rows = self.rows([x for _, w in filled for x in w])
                 starts = np.concatenate([[0], np.cumsum([len(w) for _, w in filled])[:-1]])
-                out[[k for k, _ in filled]] = np.add.reduceat(self.scores[rows], starts, axis=0)
+                out[[k for k, _ in filled]] += np.add.reduceat(self.scores[rows], starts, axis=0)
 
         for k, text in enumerate(texts):
             if len(text) > KEPT_WORDS // 2:

@@ -82,7 +82,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose ``texts`` (key, text) are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Memo(lambda t: np.unique(simhash.shingle_hashes(t, SHINGLE)), HELD)
+        shingles = Memo(lambda t: np.unique(simhash.shingle_hashes(t, SHINGLE)), HELD, longest=1 << 20)
         for batch in batches:
             same = [alike(shingles[x], shingles[y]) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))

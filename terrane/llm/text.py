@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BREAK = r"[\x20\x09-\x0D]+"
-#: Rows handled at once inside a task, so that many very long texts don't meet in memory.
-ROWS = 200
+#: Rows handled at once inside a task and their bytes (one row may have more), so that many very long texts don't meet in memory.
+ROWS, SLICE_BYTES = 200, 4 << 20
+#: Characters of the longest key that a worker remembers; longer ones are worked out each time.
+KEPT_KEY = 64
 #: Stored (compressed) bytes for each partition when whole rows are shuffled, and the most partitions.
 PARTITION_BYTES, MOST_PARTITIONS, UNKNOWN_BYTES = 16 << 20, 200_000, 1 << 55
 
@@ -41,25 +43,32 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def by_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` that hands ``work`` at most ROWS rows at once; rows stay in their partitions."""
+    """``mapInArrow`` that hands ``work`` at most ROWS rows and about SLICE_BYTES at once; rows stay in their partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                yield work(batch.slice(start, ROWS))
+            start = 0
+            while start < batch.num_rows:
+                n = min(ROWS, batch.num_rows - start)
+                while n > 1 and batch.slice(start, n).nbytes > SLICE_BYTES:
+                    n = (n + 1) // 2
+                yield work(batch.slice(start, n))
+                start += n
 
     return df.mapInArrow(run, schema)
 
 
 class Memo(dict):
     """A dict that fills itself by ``make`` and holds ``limit`` entries at most, in two generations: when the younger is
-    full it becomes the older, and entries in use move back to the younger."""
+    full it becomes the older, and entries in use move back to the younger. Keys longer than ``longest`` aren't kept."""
 
-    def __init__(self, make: Callable, limit: int = 300_000):
+    def __init__(self, make: Callable, limit: int = 300_000, longest: int = KEPT_KEY):
         super().__init__()
-        self.make, self.limit, self.older = make, limit // 2, {}
+        self.make, self.limit, self.longest, self.older = make, limit // 2, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
