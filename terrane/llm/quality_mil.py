@@ -1,35 +1,43 @@
 """Operator 2, quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Each passage is encoded by counts over its bytes and words; a gated
-attention (tanh times sigmoid) learnt from document labels alone weighs the passages, and the weighted passage
-representation is scored by a logistic output.
+A document is a bag of passages of PASSAGE words. Each passage is encoded by what it says, an embedding of its words hashed
+to BUCKETS, and by how it is written, counts over its bytes and repeated words; embedding and encoder are learnt together
+with a gated attention (tanh times sigmoid) from document labels alone. The attention weighs the passages, and the weighted
+passage representation is scored by a logistic output.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.text import by_slices, held_out
 from terrane.session import ship
 
 PASSAGE = 64
-#: Bounds of the fit: labelled documents (those of smallest id hash), and passages of each of them, evenly spaced.
-SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 6000, 32
-HIDDEN, GATE, STEPS, RATE, DECAY = 16, 8, 250, 0.03, 1e-4
+#: Bounds of the fit: labelled documents, those of smallest id hash, and the bytes of their texts together. Texts of more than
+#: LONG bytes come last in this order. Whole texts are learnt from.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES, LONG = 6000, 32 << 20, 1 << 20
+HIDDEN, GATE, STEPS, RATE, DECAY, BATCH = 16, 8, 250, 0.03, 1e-4, 512
 CUTOFF = 0.3
+#: Added to the spread of a word bucket before it is scaled by it, so that rare words don't count more than frequent ones.
+RARE = 0.5
+#: Passages whose bytes and word counts a task holds at once.
+RUN = 256
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Byte classes: upper case, digits, symbols, bar, exclamation and question marks, full stops and commas, other ASCII marks, non-ASCII, line ends.
-CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>", b"|", b"!?", b".,", b"\"'()+-/:;=@[\\]^_`{}~", bytes(range(128, 256)), b"\n"]
+#: Byte classes: upper case, digits, symbols, bar, exclamation and question marks, full stops and commas, other ASCII marks, non-ASCII.
+CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>", b"|", b"!?", b".,", b"\"'()+-/:;=@[\\]^_`{}~", bytes(range(128, 256))]
 _CLASS = np.full(256, len(CLASSES), np.uint8)
 for _k, _members in enumerate(CLASSES):
     _CLASS[list(_members)] = _k
-FEATURES = len(CLASSES) + 7
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+BUCKETS = 256
+SURFACE = len(CLASSES) + 7
+FEATURES = SURFACE + BUCKETS
 
 
 def _repeated(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -43,53 +51,51 @@ def _repeated(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of each passage, document of each passage). A text without words is one passage of zeros, marked so."""
-    raw = [(t or "").encode() + b" " for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    ends = np.cumsum([len(r) for r in raw])
-    space = _SPACE[data]
-    start = ~space & np.concatenate([[True], space[:-1]])
-    begin, stop = np.flatnonzero(start), np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    doc = np.searchsorted(ends, begin, side="right")
-    n_docs = len(texts)
-    per_doc = np.bincount(doc, minlength=n_docs)
-    nth = np.arange(len(begin)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+def encode_runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features of each passage, document of each passage) in runs of RUN passages, in order of the texts.
+
+    A text without words is one passage of zeros, marked so. Beside the texts only a few numbers for each word and the
+    features of one run are held, so a very long text costs little more than its words.
+    """
+    own = [(t or "").encode().split() for t in texts]
+    per_doc = np.array([len(w) for w in own], np.int64)
+    words = [w for part in own for w in part]
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    doc = np.repeat(np.arange(len(texts)), per_doc)
+    nth = np.arange(len(words)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
     first = np.flatnonzero(nth % PASSAGE == 0)
     passage = np.cumsum(nth % PASSAGE == 0) - 1
-    owner, n = doc[first], len(first)
-    power = np.cumprod(np.full(len(data), _BASE | np.uint64(1), np.uint64))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)])
-    inverse = np.uint64(pow(int(_BASE | np.uint64(1)), -1, 1 << 64))
-    back = np.cumprod(np.full(len(data), inverse, np.uint64))
-    word = (sums[stop] - sums[begin]) * back[begin]
-    word ^= word >> np.uint64(29)
     three = word.copy()
     three[:-2] = word[:-2] + word[1:-1] * np.uint64(0xBF58476D1CE4E5B9) + word[2:] * np.uint64(0x94D049BB133111EB)
     whole = np.zeros(len(word), bool)
     whole[:-2] = doc[:-2] == doc[2:]
+    same = np.zeros(len(word), bool)
+    same[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
+    n = len(first)
     share = lambda flag: np.bincount(passage, weights=flag, minlength=n)
-    words = np.bincount(passage, minlength=n).astype(float)
-    chars = np.bincount(passage, weights=stop - begin, minlength=n)
-    x = np.zeros((n, FEATURES))
-    if n:
-        cells = np.repeat(np.arange(n), np.diff(np.concatenate([begin[first], [len(data)]])))
-        classes = _CLASS[data[begin[0] :]].astype(np.int64)
-        table = np.bincount(cells * (len(CLASSES) + 1) + classes, minlength=n * (len(CLASSES) + 1)).reshape(n, -1)
-        x[:, : len(CLASSES)] = np.sqrt(table[:, : len(CLASSES)] / np.maximum(chars, 1)[:, None])
-        same = np.zeros(len(word), bool)
-        same[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
-        k = len(CLASSES)
-        x[:, k] = chars / np.maximum(words, 1) / 10
-        x[:, k + 1] = share(same) / words
-        x[:, k + 2] = share(_repeated(passage, word)) / words
-        x[:, k + 3] = share(_repeated(doc, three) & whole) / words
-        x[:, k + 4] = share(_repeated(doc, word)) / words / np.log2(2 + per_doc[owner])
-        x[:, k + 5] = np.log1p(words) / 5
+    count = np.bincount(passage, minlength=n).astype(float)
+    chars = np.bincount(passage, weights=length, minlength=n)
+    rest = np.stack([chars / count / 10, share(same) / count, share(_repeated(passage, word)) / count, share(_repeated(doc, three) & whole) / count, share(_repeated(doc, word)) / count / np.log2(2 + per_doc[doc[first]]), np.log1p(count) / 5], axis=1) if n else np.zeros((0, 6))
+    bucket = (word >> np.uint64(20)).astype(np.int64) % BUCKETS
+    ends = np.concatenate([first, [len(words)]])
+    for k in range(0, n, RUN):
+        m = min(RUN, n - k)
+        a, b = ends[k], ends[k + m]
+        x = np.zeros((m, FEATURES))
+        data = np.frombuffer(b"".join(words[a:b]), np.uint8)
+        cut = np.concatenate([[0], np.cumsum(length[a:b])])
+        for i in range(m):
+            x[i, : len(CLASSES)] = np.bincount(_CLASS[data[cut[ends[k + i] - a] : cut[ends[k + i + 1] - a]]], minlength=len(CLASSES) + 1)[:-1]
+        x[:, : len(CLASSES)] = np.sqrt(x[:, : len(CLASSES)] / chars[k : k + m, None])
+        x[:, len(CLASSES) : SURFACE - 1] = rest[k : k + m]
+        x[:, SURFACE:] = np.sqrt(np.bincount((passage[a:b] - k) * BUCKETS + bucket[a:b], minlength=m * BUCKETS).reshape(m, BUCKETS) / count[k : k + m, None])
+        yield x, doc[first[k : k + m]]
     empty = np.flatnonzero(per_doc == 0)
-    blank = np.zeros((len(empty), FEATURES))
-    blank[:, -1] = 1
-    return np.vstack([x, blank]), np.concatenate([owner, empty])
+    if len(empty):
+        blank = np.zeros((len(empty), FEATURES))
+        blank[:, SURFACE - 1] = 1
+        yield blank, empty
 
 
 class Bags:
@@ -102,69 +108,107 @@ class Bags:
         self.bag = np.cumsum(np.diff(self.doc, prepend=-1) != 0) - 1
 
 
-def forward(p: dict[str, np.ndarray], bags: Bags) -> dict[str, np.ndarray]:
-    x = (bags.x - p["mean"]) / p["scale"]
-    h = np.tanh(x @ p["E"] + p["e"])
+def hidden(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Passage representations."""
+    return np.tanh(((x - p["mean"]) / p["scale"]) @ p["E"] + p["e"])
+
+
+def attend(p: dict[str, np.ndarray], h: np.ndarray, first: np.ndarray, bag: np.ndarray) -> dict[str, np.ndarray]:
+    """Attention weights, weighted representations and scores of bags of passage representations."""
     t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
     a = (t * s) @ p["w"]
-    a = np.exp(a - np.maximum.reduceat(a, bags.first)[bags.bag])
-    a /= np.add.reduceat(a, bags.first)[bags.bag]
-    z = np.add.reduceat(a[:, None] * h, bags.first)
-    return {"x": x, "h": h, "t": t, "s": s, "a": a, "z": z, "y": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["b"], -30, 30)))}
+    a = np.exp(a - np.maximum.reduceat(a, first)[bag])
+    a /= np.add.reduceat(a, first)[bag]
+    z = np.add.reduceat(a[:, None] * h, first)
+    return {"h": h, "t": t, "s": s, "a": a, "z": z, "y": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["b"], -30, 30)))}
+
+
+def loss_and_gradients(p: dict[str, np.ndarray], bags: Bags, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy of the bags' labels and its gradient for each learnt parameter."""
+    f = attend(p, hidden(p, bags.x), bags.first, bags.bag)
+    loss = -np.mean(y * np.log(f["y"] + 1e-300) + (1 - y) * np.log(1 - f["y"] + 1e-300))
+    d = (f["y"] - y) / len(y)
+    per = (d[:, None] * p["c"])[bags.bag]
+    da = (per * f["h"]).sum(axis=1)
+    da = f["a"] * (da - np.add.reduceat(f["a"] * da, bags.first)[bags.bag])
+    gate = da[:, None] * p["w"]
+    dt, ds = gate * f["s"] * (1 - f["t"] ** 2), gate * f["t"] * f["s"] * (1 - f["s"])
+    dh = f["a"][:, None] * per + dt @ p["V"].T + ds @ p["U"].T
+    dx = dh * (1 - f["h"] ** 2)
+    x = (bags.x - p["mean"]) / p["scale"]
+    return loss, {"E": x.T @ dx, "e": dx.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (da[:, None] * f["t"] * f["s"]).sum(axis=0), "c": f["z"].T @ d, "b": np.array([d.sum()])}
 
 
-def train(bags: Bags, y: np.ndarray, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
-    """Parameters fitted to one label per bag, in order of ``bags.first``, by Adam on the cross-entropy."""
+def start(x: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
+    """First parameters for passages like ``x``, with the mean and scale of its features."""
     r = np.random.default_rng(seed)
     draw = lambda *shape: r.normal(0, 1 / np.sqrt(shape[0]), shape)
     p = {"E": draw(FEATURES, HIDDEN), "e": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "w": draw(GATE), "c": draw(HIDDEN), "b": np.zeros(1)}
-    fixed = {"mean": bags.x.mean(axis=0), "scale": bags.x.std(axis=0) + 1e-3}
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    mean = x.mean(axis=0, dtype=np.float64)
+    spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - mean**2, 0))
+    return p | {"mean": mean, "scale": spread + np.repeat([0.02, RARE], [SURFACE, BUCKETS])}
+
+
+def train(x: np.ndarray, lengths: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
+    """Parameters fitted to one label per bag (``lengths`` passages each, one after the other in ``x``) by Adam on batches."""
+    p, r = start(x, seed), np.random.default_rng(seed)
+    learnt = [k for k in p if k not in ("mean", "scale")]
+    first, second = ({k: np.zeros_like(p[k]) for k in learnt} for _ in range(2))
+    begin, order = np.cumsum(lengths) - lengths, np.empty(0, np.int64)
     for step in range(1, steps + 1):
-        f = forward(p | fixed, bags)
-        d = (f["y"] - y) / len(y)
-        dz = d[:, None] * p["c"]
-        per = dz[bags.bag]
-        da = (per * f["h"]).sum(axis=1)
-        da = f["a"] * (da - np.add.reduceat(f["a"] * da, bags.first)[bags.bag])
-        gate = da[:, None] * p["w"]
-        dt, ds = gate * f["s"] * (1 - f["t"] ** 2), gate * f["t"] * f["s"] * (1 - f["s"])
-        dh = f["a"][:, None] * per + dt @ p["V"].T + ds @ p["U"].T
-        dx = dh * (1 - f["h"] ** 2)
-        g = {"E": f["x"].T @ dx, "e": dx.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (da[:, None] * f["t"] * f["s"]).sum(axis=0), "c": f["z"].T @ d, "b": np.array([d.sum()])}
-        for k in p:
+        if len(order) < min(BATCH, len(y)):
+            order = r.permutation(len(y))
+        own, order = order[:BATCH], order[BATCH:]
+        rows = np.concatenate([np.arange(begin[k], begin[k] + lengths[k]) for k in own])
+        bags = Bags(x[rows].astype(np.float64), np.repeat(np.arange(len(own)), lengths[own]))
+        _, g = loss_and_gradients(p, bags, y[own])
+        for k in learnt:
             grad = g[k] + DECAY * p[k]
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.999 * second[k] + 0.001 * grad**2
-            p[k] = p[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return p | fixed
+            p[k] = p[k] - RATE * (1 - step / (steps + 1)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    return p
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> dict[str, np.ndarray] | None:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, np.ndarray] | None:
     """Parameters learnt from ``labels`` (doc_id, quality) and the texts of ``documents``; None without labelled texts.
 
-    Of the labels, ``sample`` documents of smallest id hash are looked at; of several labels of one document the smallest
-    counts. Only passage features of this bounded sample reach the driver.
+    The sample is the first ``sample`` documents with a label, in order of their id's hash, as long as their texts have
+    ``sample_bytes`` together (the first counts in any case); texts of more than LONG bytes come after all others. Of
+    several labels of one document, and of several rows of one id, the smallest counts. Only features of this bounded
+    sample reach the driver, as 16-bit floats.
     """
     ship(documents.sparkSession)
     ids = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("quality", "text")  # a bounded sample
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)  # some have no text
+    sizes = documents.where("text is not null").select("doc_id", F.octet_length("text").cast("long").alias("bytes")).join(F.broadcast(ids), "doc_id")  # a bounded sample
+    sizes = sizes.groupBy("doc_id", "quality").agg(F.min("bytes").alias("bytes"))
+    order = Window.orderBy(F.col("bytes") > LONG, F.xxhash64("doc_id"), "doc_id")  # 2 * sample rows at most
+    ranked = sizes.withColumns({"nth": F.row_number().over(order), "sum": F.sum("bytes").over(order)})
+    ids = ranked.where((F.col("nth") <= sample) & ((F.col("sum") <= sample_bytes) | (F.col("nth") == 1)))
+    chosen = documents.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "quality", "bytes")), "doc_id").where(F.octet_length("text") == F.col("bytes"))
+    chosen = chosen.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, doc = encode(batch.column(1).to_pylist())
-        bags = [np.flatnonzero(doc == k) for k in range(batch.num_rows)]
-        picked = [b[np.unique(np.linspace(0, len(b) - 1, min(len(b), SAMPLE_PASSAGES)).astype(int))] for b in bags]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[b].ravel().tolist() for b in picked], pa.list_(pa.float64()))], ["quality", "x"])
-
-    rows = by_slices(chosen, work, "quality double, x array<double>").toArrow()
-    bags = [np.array(v).reshape(-1, FEATURES) for v in rows["x"].to_pylist()]
-    if not bags:
+        rows = [np.concatenate([x for x, _ in encode_runs([t])]).astype(np.float16) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["quality", "x"])
+
+    rows = by_slices(chosen, work, "quality double, x binary").toArrow()
+    if not rows.num_rows:
         return None
-    order = sorted(range(len(bags)), key=lambda k: bags[k].tobytes())  # the same fit whatever order rows come in
+    bags = rows["x"].to_pylist()
+    order = sorted(range(len(bags)), key=lambda k: bags[k])  # the same fit whatever order rows come in
     y = rows["quality"].to_numpy()[order]
-    joined = Bags(np.concatenate([bags[k] for k in order]), np.repeat(np.arange(len(order)), [len(bags[k]) for k in order]))
-    return train(joined, y)
+    lengths = np.array([len(bags[k]) // (2 * FEATURES) for k in order])
+    joined = np.frombuffer(b"".join(bags[k] for k in order), np.float16).reshape(-1, FEATURES).astype(np.float32)
+    return train(joined, lengths, y)
+
+
+def scores(p: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarray:
+    """Score of each text. Only representations of passages are kept from run to run."""
+    made = [(hidden(p, x), doc) for x, doc in encode_runs(texts)]
+    bags = Bags(np.concatenate([h for h, _ in made]), np.concatenate([d for _, d in made]))
+    return attend(p, bags.x, bags.first, bags.bag)["y"]
 
 
 def score(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
@@ -174,12 +218,12 @@ def score(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENT
     All passages of a text count, however long it is. Repeated rows give a row each. No shuffle of texts.
     """
     fitted = fit(documents, labels, sample)
-    shared = documents.sparkSession.sparkContext.broadcast(fitted)  # a few hundred numbers
+    shared = documents.sparkSession.sparkContext.broadcast(fitted)  # a few thousand numbers
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         y = np.full(batch.num_rows, 0.5)
         if shared.value is not None and batch.num_rows:
-            y = forward(shared.value, Bags(*encode(batch.column(1).to_pylist())))["y"]
+            y = scores(shared.value, batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(y), pa.array((y >= CUTOFF).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
