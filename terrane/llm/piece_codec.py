@@ -143,6 +143,22 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return by_slices(encoded.select("doc_id", "ids"), work, f"doc_id {kind}, ids array<int>, decoded string")
 
 
+def round_trip(documents: DataFrame, model: str | None = None) -> DataFrame:
+    """(doc_id, ids, decoded) of every row of ``documents`` (doc_id, text): encode and decode in one pass over the texts."""
+    ship(documents.sparkSession)
+    path = model or pieces.default_model()
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = codec(path)
+        rows = [own.encode(t) for t in batch.column(1).to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.array(r, np.int32) for r in rows]) if rows else np.empty(0, np.int32), pa.int32()))
+        return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(map(own.decode, rows), pa.string())], ["doc_id", "ids", "decoded"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return by_slices(documents.select("doc_id", "text"), work, f"doc_id {kind}, ids array<int>, decoded string")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, decoded)."""
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

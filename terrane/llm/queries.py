@@ -22,7 +22,7 @@ QUERIES = {
     "op6_topk": lambda spark, sf_dir: topk.top_k(table(spark, sf_dir, "embeddings")),
     "op7_host_rules": lambda spark, sf_dir: host_rules.verdicts(documents(spark, sf_dir)),
     "op8_mixing": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)),
-    "op9_piece_codec": lambda spark, sf_dir: piece_codec.digests(piece_codec.decode(piece_codec.encode(documents(spark, sf_dir)))),
+    "op9_piece_codec": lambda spark, sf_dir: piece_codec.digests(piece_codec.round_trip(documents(spark, sf_dir))),
     "op10_sharding": lambda spark, sf_dir: sharding.balanced_shards(documents(spark, sf_dir)),
     "pipeline": run,
 }
