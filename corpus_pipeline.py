@@ -50,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every copy."""
-    return piece_codec.digests(piece_codec.decode(piece_codec.encode(docs)))
+    return piece_codec.digests(piece_codec.round_trip(docs))
 
 
 STAGES = [("language", language), ("rules", rules), ("deduplicate", deduplicate), ("mix", mix), ("encode", encode)]
