@@ -6,7 +6,9 @@ views as DuckDB common table expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.session import table
@@ -76,11 +78,24 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealers(spark, sf_dir).selectExpr("dealer_id AS territory_id", "cx / 9000 AS x_km", "cy / 9000 AS y_km", "(dealer_id * 7) % 9 - 2 AS headroom")
 
 
-def units(spark: SparkSession, cells: int = 50) -> DataFrame:
-    """(unit_id, i, j, x, y, street, district): a grid of unit centres over the window; streets are 5 x 5 blocks of units."""
-    step = SIDE // cells
-    return spark.range(cells * cells).selectExpr("id AS unit_id", f"id div {cells} AS i", f"id % {cells} AS j").selectExpr(
-        "unit_id", "i", "j", f"{X0} + i * {step} + {step // 2} AS x", f"{Y0} + j * {step} + {step // 2} AS y", "(i div 5) * 10 + j div 5 AS street", "(i div 10) * 5 + j div 10 AS district")
+def grid(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """(cells along a side, width of a cell) of the unit grid, which grows finer with the number of stores."""
+    n = 10 * max(1, math.ceil(math.sqrt(table(spark, sf_dir, "customer").count() / 600)))
+    return n, SIDE // n
+
+
+def cell(n: int, step: int, x: str = "x", y: str = "y") -> str:
+    """SQL of the unit_id of a point."""
+    return f"least(({x} - {X0}) div {step}, {n - 1}) * {n} + least(({y} - {Y0}) div {step}, {n - 1})"
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit_id, i, j, x, y, street, district): the grid cells that hold a store, by their centres; streets are blocks of
+    5 x 5 cells, districts of 10 x 10."""
+    n, step = grid(spark, sf_dir)
+    cells = stores(spark, sf_dir).selectExpr(f"{cell(n, step)} AS unit_id").distinct().selectExpr("unit_id", f"unit_id div {n} AS i", f"unit_id % {n} AS j")
+    return cells.selectExpr(
+        "unit_id", "i", "j", f"{X0} + i * {step} + {step // 2} AS x", f"{Y0} + j * {step} + {step // 2} AS y", f"(i div 5) * {n // 5} + j div 5 AS street", f"(i div 10) * {n // 10} + j div 10 AS district")
 
 
 def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +119,8 @@ VIEWS = {
     "gap": "SELECT scope, period, observed, (SELECT avg(observed) FROM daily) AS reference FROM daily",
     "workload": "SELECT account_id, c_nationkey AS territory_id, calls, 10 + q // calls AS minutes FROM (SELECT o_custkey AS account_id, count(DISTINCT o_orderkey) AS calls, coalesce(CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT), 0) AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) JOIN customer ON c_custkey = account_id",
     "container": "SELECT dealer_id AS territory_id, cx / 9000 AS x_km, cy / 9000 AS y_km, (dealer_id * 7) % 9 - 2 AS headroom FROM dealer",
-    "unit": "SELECT id AS unit_id, id // 50 AS i, id % 50 AS j, 113000000 + (id // 50) * 20000 + 10000 AS x, 22500000 + (id % 50) * 20000 + 10000 AS y, (id // 50 // 5) * 10 + (id % 50) // 5 AS street, (id // 50 // 10) * 5 + (id % 50) // 10 AS district FROM range(2500) t(id)",
+    "grid": "SELECT n, 1000000 // n AS step FROM (SELECT 10 * greatest(1, CAST(ceil(sqrt(count(*) / 600.0)) AS BIGINT)) AS n FROM customer)",
+    "unit": f"SELECT i * n + j AS unit_id, i, j, {X0} + i * step + step // 2 AS x, {Y0} + j * step + step // 2 AS y, (i // 5) * (n // 5) + j // 5 AS street, (i // 10) * (n // 10) + j // 10 AS district FROM (SELECT DISTINCT least((x - {X0}) // step, n - 1) AS i, least((y - {Y0}) // step, n - 1) AS j, n, step FROM store, grid)",
     "landmark": f"SELECT p_brand AS name, p_partkey % 4 AS seg, p_partkey AS pos, {X0} + (p_partkey * 611953) % {SIDE} AS x, {Y0} + (p_partkey * 746773) % {SIDE} AS y FROM part",
     "unit_in": "SELECT unit_id, dealer_id, comp FROM (SELECT unit_id, dealer_id, comp, count(*) AS n FROM unit s JOIN fence_edge e ON (e.y1 > s.y) <> (e.y2 > s.y) AND CASE WHEN e.y2 > e.y1 THEN (s.x - e.x1) * (e.y2 - e.y1) < (s.y - e.y1) * (e.x2 - e.x1) ELSE (s.x - e.x1) * (e.y2 - e.y1) > (s.y - e.y1) * (e.x2 - e.x1) END GROUP BY ALL) WHERE n % 2 = 1",
 }

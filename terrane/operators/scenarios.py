@@ -13,22 +13,27 @@ from terrane.operators.classify import kind
 
 # Words for a whole area, for its halves, and selectors that only stores can answer.
 WHOLE = ["全部", "整体", "所有", "", "不做了", "退出", "整个区域", "整个"]
-HALVES = {"东": "east", "西": "west", "南": "south", "北": "north"}
-HALF_ENDINGS = ["部", "边", "侧", "半区", "部片区", "部半区", "部区域"]
+HALVES = {
+    "东": "east", "南": "south", "西": "west", "北": "north",
+    "东边": "east", "南边": "south", "西边": "west", "北边": "north",
+    "东部": "east", "南部": "south", "西部": "west", "北部": "north",
+    "东侧": "east", "南侧": "south", "西侧": "west", "北侧": "north",
+    "东半区": "east", "南半区": "south", "西半区": "west", "北半区": "north",
+}
 NOT_AREAS = ["OOF", "跨界", "跨界供货", "非围栏供货", "错位", "错位片区"]
 
 
 def half(selector: Column) -> Column:
     """east, west, north or south if the selector names a half, else null."""
-    words = {side + end: name for side, name in HALVES.items() for end in HALF_ENDINGS}
-    return F.element_at(F.create_map(*(F.lit(v) for kv in words.items() for v in kv)), selector)
+    return F.element_at(F.create_map(*(F.lit(v) for kv in HALVES.items() for v in kv)), selector)
 
 
 def select_units(proposals: DataFrame, sets: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(picked, verdicts). picked: (proposal_id, unit_id, src, dst). verdicts: (proposal_id, n, reason).
 
     ``units``: (unit_id, x, y, street, district), the latter two as text. The first that applies: same dealer (rejected), whole
-    area, half on its side of the mean of the area's units (ties belong to both), street, district, not an area (rejected).
+    area, half on its side of the mean of the area's units (ties go east and north), street, district (also by its name
+    without 区), not an area (rejected).
     A half, street or district without a unit is rejected as unknown.
     """
     asked = proposals.withColumns({"selector": F.trim(F.coalesce("selector", F.lit("全部")))}).withColumn("half", half(F.col("selector")))
@@ -36,7 +41,7 @@ def select_units(proposals: DataFrame, sets: DataFrame, units: DataFrame) -> tup
     middle = own.groupBy("proposal_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))  # one row per proposal
     own = own.join(middle, "proposal_id")
     on_side = F.when(F.col("half") == "east", F.col("x") >= F.col("mx")).when(F.col("half") == "west", F.col("x") < F.col("mx")).when(F.col("half") == "north", F.col("y") >= F.col("my")).when(F.col("half") == "south", F.col("y") < F.col("my"))
-    tier = F.when(F.col("src") == F.col("dst"), None).when(F.col("selector").isin(WHOLE), 1).when(F.col("half").isNotNull(), F.when(on_side, 2)).when(F.col("street") == F.col("selector"), 3).when((F.col("district") == F.col("selector")), 4)
+    tier = F.when(F.col("src") == F.col("dst"), None).when(F.col("selector").isin(WHOLE), 1).when(F.col("half").isNotNull(), F.when(on_side, 2)).when(F.col("street") == F.col("selector"), 3).when((F.col("district") == F.col("selector")) | (F.col("district") == F.replace("selector", F.lit("区"), F.lit(""))), 4)
     hit = own.withColumn("tier", tier).where("tier IS NOT NULL")
     first = hit.groupBy("proposal_id").agg(F.min("tier").alias("tier"))
     picked = hit.join(first.select("proposal_id", "tier"), ["proposal_id", "tier"])

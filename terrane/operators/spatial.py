@@ -7,9 +7,13 @@ ordinary equi-join, which Spark may run as a broadcast, hash or sort-merge join
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.session import stored
+
 #: Width of a cell on the finest level; each further level is RATIO times as wide. Rings get the finest level on which
 #: their box spans RATIO cells at most.
 CELL, RATIO, LEVELS = 25_000, 8, 4
@@ -77,28 +81,32 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius:
 def nearest(points: DataFrame, sites: DataFrame, key: str, site: str, order: list[str]) -> DataFrame:
     """(key, site, d2): for each of ``points`` (key, x, y) the nearest of ``sites`` (site, mx, my, order) by planar squared distance.
 
-    Sites are keyed by expanding squares of cells: a point first meets the sites of its own and neighbouring cells; a site
-    found within one cell width is final. Points left over meet the next, coarser level, the last of which is all sites, so
-    each point has an answer. Ties go to the first in ``order``.
+    Points meet the sites of their own and the neighbouring cells in an equi-join; a site found within one cell width is
+    final. What is left is written and meets cells RATIO / 2 times as wide, until a cell spans all points and sites. The first
+    width holds one site a cell as expected. Ties go to the first in ``order``. Points without coordinates have no answer.
     """
-    def search(left: DataFrame, width: int | None) -> DataFrame:
-        if width is None:
-            near = left.crossJoin(sites)
-        else:
-            cell = lambda c: F.floor(F.col(c) / width)
-            around = F.explode(F.array(*(F.struct((cell("mx") + dx).alias("kx"), (cell("my") + dy).alias("ky")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-            filed = sites.withColumn("k", around).select(*sites.columns, "k.kx", "k.ky")
-            near = left.withColumn("kx", cell("x")).withColumn("ky", cell("y")).join(filed, ["kx", "ky"])
+    sites, left = stored(sites, "sites"), stored(points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL"), "points")
+    low_high = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n")]
+    box, others = sites.selectExpr("mx AS x", "my AS y").agg(*low_high).first(), left.agg(*low_high).first()
+    if not box.n or not others.n:
+        return points.select(key).crossJoin(sites.select(site)).withColumn("d2", F.lit(0.0)).limit(0)  # no rows
+    span = max(max(box.x1, others.x1) - min(box.x0, others.x0), max(box.y1, others.y1) - min(box.y0, others.y0), 1)
+    width, out = max(1, math.ceil(span / math.sqrt(box.n))), None
+    while True:
+        cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
+        around = F.explode(F.array(*(F.struct((cell("mx") + dx).alias("kx"), (cell("my") + dy).alias("ky")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
+        filed = sites.withColumn("k", around).select(*sites.columns, "k.kx", "k.ky")
+        near = left.withColumn("kx", cell("x")).withColumn("ky", cell("y")).join(filed, ["kx", "ky"])
         d2 = (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")) + (F.col("y") - F.col("my")) * (F.col("y") - F.col("my"))
-        best = near.withColumn("d2", d2.cast("double")).groupBy(key).agg(F.min_by(F.struct(site, "d2"), F.struct("d2", *order)).alias("b")).select(key, f"b.{site}", "b.d2")
-        return best if width is None else best.where(F.col("d2") <= float(width) * width)
-
-    found, left = None, points.select(key, "x", "y")
-    for width in (CELL * 2, CELL * RATIO, CELL * RATIO * RATIO):
-        step = search(left, width)
-        found = step if found is None else found.unionByName(step)
-        left = left.join(found.select(key), key, "left_anti")
-    return found.unionByName(search(left, None))
+        best = near.withColumn("d2", d2.cast("double")).groupBy(key).agg(F.min_by(F.struct(site, "d2"), F.struct("d2", *order)).alias("b"))
+        met = stored(left.join(best.select(key, f"b.{site}", "b.d2"), key, "left"), "nearest")
+        final = F.coalesce(F.col("d2") <= float(width) * width, F.lit(False))
+        done = met.where(final).select(key, site, "d2")
+        out = done if out is None else out.unionByName(done)
+        left = met.where(~final).select(key, "x", "y")
+        if not left.limit(1).count():
+            return out
+        width *= RATIO // 2
 
 
 def clip_half_plane(polygons: DataFrame, key: str) -> DataFrame:

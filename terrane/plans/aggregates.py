@@ -27,13 +27,13 @@ def occupancy(spark, d):
 
 
 def unit_truth(spark, d):
-    return S.contain(B.units(spark).select("unit_id", "x", "y"), B.fences(spark, d), ["dealer_id", "comp"]).select("unit_id", "dealer_id").distinct()
+    return S.contain(B.units(spark, d).select("unit_id", "x", "y"), B.fences(spark, d), ["dealer_id", "comp"]).select("unit_id", "dealer_id").distinct()
 
 
 def compose(spark, d):
     """Share of each street's units that a dealer holds, with its tag."""
-    total = B.units(spark).groupBy("street").agg(F.count("*").alias("total"))
-    own = unit_truth(spark, d).join(B.units(spark).select("unit_id", "street"), "unit_id").groupBy("dealer_id", "street").agg(F.count("*").alias("n")).join(total, "street")
+    total = B.units(spark, d).groupBy("street").agg(F.count("*").alias("total"))
+    own = unit_truth(spark, d).join(B.units(spark, d).select("unit_id", "street"), "unit_id").groupBy("dealer_id", "street").agg(F.count("*").alias("n")).join(total, "street")
     share = F.col("n") / F.col("total")
     tag = F.when(share > 0.95, "全部").when(share >= 0.6, "大部").when(share >= 0.3, "约半").otherwise(F.concat(F.lit("约"), F.bround(share * 100).cast("int").cast("string"), F.lit("%")))
     return own.select("dealer_id", "street", F.round(share, 9).alias("share"), tag.alias("tag"))
@@ -41,7 +41,7 @@ def compose(spark, d):
 
 def overlap(spark, d):
     """Predicted units (those of streets held by 30 % or more) against true ones, per dealer."""
-    predicted = compose(spark, d).where("share >= 0.3").select("dealer_id", "street").join(B.units(spark).select("street", "unit_id"), "street").select("dealer_id", "unit_id", F.lit(1).alias("p"))
+    predicted = compose(spark, d).where("share >= 0.3").select("dealer_id", "street").join(B.units(spark, d).select("street", "unit_id"), "street").select("dealer_id", "unit_id", F.lit(1).alias("p"))
     both = predicted.join(unit_truth(spark, d).withColumn("t", F.lit(1)), ["dealer_id", "unit_id"], "full")
     s = both.groupBy("dealer_id").agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("hit"), F.count_if(F.col("t").isNull()).alias("over"), F.count_if(F.col("p").isNull()).alias("miss"))
     return s.select("*", F.round(F.when(F.col("hit") + F.col("over") > 0, F.col("hit") / (F.col("hit") + F.col("over"))), 9).alias("precision"), F.round(F.col("hit") / (F.col("hit") + F.col("miss")), 9).alias("recall"), F.round(F.col("hit") / (F.col("hit") + F.col("over") + F.col("miss")), 9).alias("jaccard"))
@@ -67,18 +67,10 @@ def adjacency(spark, d):
     return near.select(F.col("dealer_id").alias("a"), F.col("o_dealer_id").alias("b")).distinct()
 
 
-def unit_edges(spark, d):
-    """Units that share a border, by the key of the border."""
-    u = B.units(spark)
-    border = lambda di, dj: F.struct((F.col("i") * 2 + di).alias("bi"), (F.col("j") * 2 + dj).alias("bj"))
-    e = u.select("unit_id", F.explode(F.array(border(1, 0), border(-1, 0), border(0, 1), border(0, -1))).alias("k")).select("unit_id", "k.*")
-    return e.join(e.withColumnRenamed("unit_id", "o"), ["bi", "bj"]).where("unit_id < o").select(F.col("unit_id").alias("a"), F.col("o").alias("b"))
-
-
 def tiling(spark, d):
     """Per street: units in no fence, one fence, two or more."""
     owners = unit_truth(spark, d).groupBy("unit_id").agg(F.count("*").alias("n"))
-    return B.units(spark).join(owners, "unit_id", "left").groupBy("street").agg(F.count_if(F.col("n").isNull()).alias("none"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") > 1).alias("many"))
+    return B.units(spark, d).join(owners, "unit_id", "left").groupBy("street").agg(F.count_if(F.col("n").isNull()).alias("none"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") > 1).alias("many"))
 
 
 def rebalanced(spark, d):
@@ -103,7 +95,6 @@ QUERIES = {
     "a33_correlation": lambda s, d: table(s, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("r")),
     "a34_tiling": tiling,
     "j13_fence_adjacency": adjacency,
-    "j14_unit_adjacency": unit_edges,
 }
 _LOAD = "SELECT territory_id, CAST(sum(calls * minutes) AS BIGINT) AS load FROM workload GROUP BY 1"
 _TRUE = "SELECT DISTINCT unit_id, dealer_id FROM unit_in"
@@ -124,6 +115,5 @@ SQL = {
     "a26_median": "SELECT o_orderpriority, round(median(o_totalprice), 4) AS median FROM orders GROUP BY 1",
     "a33_correlation": "SELECT round(corr(l_quantity, l_extendedprice), 8) AS r FROM lineitem",
     "a34_tiling": sql("SELECT street, count(*) FILTER (WHERE n IS NULL) AS none, count(*) FILTER (WHERE n = 1) AS one, count(*) FILTER (WHERE n > 1) AS many FROM unit LEFT JOIN (SELECT unit_id, count(*) AS n FROM truth GROUP BY 1) USING (unit_id) GROUP BY 1", truth=_TRUE),
-    "j13_fence_adjacency": sql("SELECT p.dealer_id AS a, q.dealer_id AS b FROM b p JOIN b q ON p.dealer_id < q.dealer_id AND p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1", b="SELECT dealer_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fence_vertex WHERE comp = 1 GROUP BY 1"),
-    "j14_unit_adjacency": sql("SELECT p.unit_id AS a, q.unit_id AS b FROM unit p JOIN unit q ON (q.i = p.i + 1 AND q.j = p.j) OR (q.i = p.i AND q.j = p.j + 1)"),
+    "j13_fence_adjacency": sql("SELECT p.dealer_id AS a, q.dealer_id AS b FROM b p JOIN b q ON p.dealer_id < q.dealer_id AND p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1", b="SELECT dealer_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fence_vertex GROUP BY dealer_id, comp").replace("SELECT p.dealer_id", "SELECT DISTINCT p.dealer_id"),
 }

@@ -65,10 +65,12 @@ def ring_edges(spark, d):
 
 def first_district(spark, d):
     """First district (square of the window, by number) that holds each store."""
-    square = B.units(spark).groupBy("district").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    h = B.SIDE // 100
+    n, step = B.grid(spark, d)
+    square = B.units(spark, d).select("district").distinct()
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    x0, x1, y0, y1 = F.col("x0") - h, F.col("x1") + h, F.col("y0") - h, F.col("y1") + h
+    edge = lambda k, at: F.when(k == n // 10, at + B.SIDE).otherwise(at + k * 10 * step)
+    across, up = F.expr(f"district div {n // 10}"), F.expr(f"district % {n // 10}")
+    x0, x1, y0, y1 = edge(across, X0), edge(across + 1, X0), edge(up, Y0), edge(up + 1, Y0)
     rings = square.select("district", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("ring"))
     points = B.stores(spark, d).select("store_id", "x", "y")
     return S.contain(points, rings, ["district"]).groupBy("store_id").agg(F.min("district").alias("district"))
@@ -149,7 +151,7 @@ QUERIES = {
 _HEALTH = "SELECT a.dealer_id, coalesce(stores, 0) AS stores, coalesce(n_ok, 0) AS n_ok, coalesce(n_oof, 0) AS n_oof, coalesce(n_multi, 0) AS n_multi, coalesce(n_direct_in, 0) AS n_direct_in, a.area_km2 FROM (SELECT dealer_id, sum(area_km2) AS area_km2 FROM area GROUP BY 1) a LEFT JOIN (SELECT h.dealer_id, count(*) AS stores, count(*) FILTER (WHERE kind = 'OK') AS n_ok, count(*) FILTER (WHERE kind = 'OOF') AS n_oof, count(*) FILTER (WHERE kind = 'MULTI') AS n_multi, count(*) FILTER (WHERE kind = 'DIRECT_IN') AS n_direct_in FROM (SELECT DISTINCT store_id, dealer_id FROM held) h JOIN kinded USING (store_id) GROUP BY 1) USING (dealer_id)"
 _RATED = f"SELECT *, CASE WHEN stores > 0 THEN n_ok / stores ELSE 0.0 END AS ok_r, CASE WHEN stores > 0 THEN n_oof / stores ELSE 0.0 END AS oof_r FROM ({_HEALTH})"
 _VERDICT = f"SELECT dealer_id, stores, n_ok, n_oof, n_multi, n_direct_in, round(CAST(ok_r AS DOUBLE), 9) AS ok_rate, round(CAST(oof_r AS DOUBLE), 9) AS oof_rate, CASE WHEN oof_r > 0.20 THEN '调查' WHEN ok_r >= 0.79 THEN '健康' ELSE '观察' END AS verdict, round(stores / area_km2, 6) AS density FROM ({_RATED})"
-_NEAR = "SELECT store_id, arg_min(dealer_id, (d2, dealer_id, comp)) AS dealer_id, min(d2) AS d2 FROM (SELECT store_id, dealer_id, comp, (x - mx) * (x - mx) + (y - my) * (y - my) AS d2 FROM store, centroid) GROUP BY 1"
+_NEAR = "SELECT store_id, arg_min(dealer_id, (d2, dealer_id, comp)) AS dealer_id, arg_min(comp, (d2, dealer_id, comp)) AS comp, min(d2) AS d2 FROM (SELECT store_id, dealer_id, comp, (x - mx) * (x - mx) + (y - my) * (y - my) AS d2 FROM store, centroid) GROUP BY 1"
 _CLASSES = "SELECT k.store_id, district, CASE WHEN upstream IS NULL THEN 'no_upstream' WHEN EXISTS (SELECT 1 FROM dealer d WHERE d.dealer_id = upstream) THEN 'dealer_outside' ELSE 'other_upstream' END AS class, d2 > 60000.0 * 60000.0 AS structural FROM kinded k JOIN near USING (store_id) WHERE kind = 'GAP'"
 _RUN = "SELECT name, seg, pos, x, y, coalesce(sum(sqrt(CAST((x - px) * (x - px) + (y - py) * (y - py) AS DOUBLE))) OVER (PARTITION BY name, seg ORDER BY pos), 0) AS along FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM landmark WINDOW w AS (PARTITION BY name, seg ORDER BY pos))"
 SQL = {
@@ -175,10 +177,10 @@ SQL = {
     "a6_gap_summary": sql("SELECT CAST(grouping(class, district, structural) AS INTEGER) AS g, class, district, structural, count(*) AS n FROM classes GROUP BY GROUPING SETS ((class), (district), (structural), ())", near=_NEAR, classes=_CLASSES),
     "t4_gap_districts": sql("SELECT district, count(*) AS n FROM kinded WHERE kind = 'GAP' GROUP BY 1 ORDER BY n DESC, district"),
     "a14_conflicts": sql("SELECT kind, max(c) AS n, string_agg(store_id, ',' ORDER BY store_id) FILTER (WHERE r <= 5) AS head FROM (SELECT kind, store_id, row_number() OVER (PARTITION BY kind ORDER BY store_id) AS r, count(*) OVER (PARTITION BY kind) AS c FROM kinded WHERE kind IN ('OOF', 'MULTI', 'GAP')) GROUP BY 1"),
-    "j9_first_district": sql("SELECT store_id, ((x - 113000000) // 200000) * 5 + (y - 22500000) // 200000 AS district FROM store"),
-    "p11_haversine": sql("SELECT store_id, n.dealer_id, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(my / 1e6 - y / 1e6) / 2), 2) + cos(radians(y / 1e6)) * cos(radians(my / 1e6)) * pow(sin(radians(mx / 1e6 - x / 1e6) / 2), 2))), 6) AS km FROM near n JOIN store USING (store_id) JOIN centroid c ON c.dealer_id = n.dealer_id AND c.comp = 1", near=_NEAR),
+    "j9_first_district": sql("SELECT store_id, (least((x - 113000000) // step, n - 1) // 10) * (n // 10) + least((y - 22500000) // step, n - 1) // 10 AS district FROM store, grid"),
+    "p11_haversine": sql("SELECT store_id, n.dealer_id, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(my / 1e6 - y / 1e6) / 2), 2) + cos(radians(y / 1e6)) * cos(radians(my / 1e6)) * pow(sin(radians(mx / 1e6 - x / 1e6) / 2), 2))), 6) AS km FROM near n JOIN store USING (store_id) JOIN centroid c ON c.dealer_id = n.dealer_id AND c.comp = n.comp", near=_NEAR),
     "p13_direction": sql("SELECT dealer_id, comp, CASE WHEN abs(dx) > abs(dy) THEN CASE WHEN dx > 0 THEN 'E' ELSE 'W' END ELSE CASE WHEN dy > 0 THEN 'N' ELSE 'S' END END AS direction FROM (SELECT dealer_id, comp, mx - (SELECT avg(mx) FROM centroid) AS dx, my - (SELECT avg(my) FROM centroid) AS dy FROM centroid)"),
-    "p23_clip_half_plane": sql("SELECT dealer_id, CAST(6 AS BIGINT) AS vertices, round(CAST(cy - h // 2 AS DOUBLE), 3) AS low, round(CAST(cy + h AS DOUBLE), 3) AS high FROM dealer"),
+    "p23_clip_half_plane": sql("SELECT dealer_id, comp, count(y) AS vertices, round(min(y), 3) AS low, round(max(y), 3) AS high FROM (SELECT dealer_id, comp, unnest(CASE WHEN a >= 0 AND b >= 0 THEN [y2::DOUBLE] WHEN a >= 0 THEN [y1 + a / (a - b) * (y2 - y1)] WHEN b >= 0 THEN [y1 + a / (a - b) * (y2 - y1), y2::DOUBLE] ELSE [NULL] END) AS y FROM (SELECT e.*, y1 - (cy - h // 2) AS a, y2 - (cy - h // 2) AS b FROM fence_edge e JOIN dealer USING (dealer_id))) GROUP BY 1, 2"),
     "p20_running_length": sql("SELECT name, seg, count(*) AS vertices, round(max(along), 3) AS length FROM run GROUP BY 1, 2", run=_RUN),
     "p21_resample": sql("SELECT name, seg, count(*) AS n, round(avg(x + (k * 250000.0::DOUBLE - along) / (t - along) * (x2 - x)), 2) AS ax, round(avg(y + (k * 250000.0::DOUBLE - along) / (t - along) * (y2 - y)), 2) AS ay FROM (SELECT *, unnest(range(CAST(ceil(along / 250000.0::DOUBLE) AS BIGINT), CAST(ceil(t / 250000.0::DOUBLE) AS BIGINT))) AS k FROM (SELECT *, lead(along) OVER w AS t, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM run WINDOW w AS (PARTITION BY name, seg ORDER BY pos)) WHERE t > along) GROUP BY 1, 2", run=_RUN),
     "p22_fit_line": sql("SELECT name, var_pop(x) >= var_pop(y) AS by_x, round(covar_pop(x, y) / greatest(var_pop(x), var_pop(y)), 8) AS slope FROM landmark GROUP BY 1"),

@@ -56,7 +56,8 @@ def problems(spark, d):
 def set_sink(spark, d):
     """Unit sets before and, for the dealers that a move touches, after it; the latest of each."""
     path = _folder(spark, "sets")
-    before, chosen = scenarios.sets(spark, d), scenarios.picked(spark, d)[0]
+    case = scenarios.Case(spark, d)
+    before, chosen = case.sets, case.picked
     touched = chosen.select(F.explode(F.array("src", "dst")).alias("dealer_id")).distinct()
     packs.append_sets(before, before, path, 1)
     packs.append_sets(S.transfer_units(before, chosen), touched, path, 2)
@@ -64,12 +65,13 @@ def set_sink(spark, d):
 
 
 QUERIES = {"s1_fence_pack": fences, "s2_store_pack": stores, "s5_wkt_fences": boxes, "s6_rep_fence_problems": problems, "s12_unit_set_sink": set_sink}
-_CODE = "CAST(CASE WHEN dealer_id % 7 = 0 THEN dealer_id + 1 ELSE dealer_id END AS VARCHAR)"
+_CODE = "CASE WHEN dealer_id % 7 = 0 THEN dealer_id + 1 ELSE dealer_id END || CASE WHEN comp > 1 THEN '-' || comp ELSE '' END"
+_REP = "SELECT DISTINCT dealer_id, comp FROM fence_vertex"
 _TOUCH = "SELECT src AS dealer_id FROM picked UNION SELECT dst FROM picked"
 SQL = {
     "s1_fence_pack": sql("SELECT CAST(dealer_id % 3 AS INTEGER) AS region_id, dealer_id || '-' || comp AS area_id, CAST(dealer_id AS VARCHAR) AS dealer, 1.5::DOUBLE AS area_km2, count(*) AS points, round(sum(x / 1e6), 5) AS lon, round(sum(y / 1e6), 5) AS lat FROM fence_vertex GROUP BY dealer_id, comp"),
     "s2_store_pack": sql("SELECT district AS region_id, CAST(store_id AS VARCHAR) AS name, channel AS category, direct, round(x / 1e6, 6) AS lon, round(y / 1e6, 6) AS lat FROM store"),
-    "s5_wkt_fences": sql(f"SELECT {_CODE} AS code, CAST(count(*) AS INTEGER) AS points, round(min(x) / 1e6, 6) AS x0, round(min(y) / 1e6, 6) AS y0, round(max(x) / 1e6, 6) AS x1, round(max(y) / 1e6, 6) AS y1 FROM fence_vertex WHERE comp = 1 AND dealer_id % 10 <> 0 GROUP BY dealer_id"),
-    "s6_rep_fence_problems": sql(f"SELECT {_CODE} AS code, 'empty_geometry' AS problem FROM dealer WHERE dealer_id % 10 = 0 UNION ALL SELECT {_CODE}, 'duplicate_code' FROM dealer GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT {_CODE}, 'area_off' FROM dealer WHERE dealer_id % 10 <> 0 AND dealer_id % 4 = 0"),
+    "s5_wkt_fences": sql(f"SELECT {_CODE} AS code, CAST(count(*) AS INTEGER) AS points, round(min(x) / 1e6, 6) AS x0, round(min(y) / 1e6, 6) AS y0, round(max(x) / 1e6, 6) AS x1, round(max(y) / 1e6, 6) AS y1 FROM fence_vertex WHERE dealer_id % 10 <> 0 GROUP BY dealer_id, comp"),
+    "s6_rep_fence_problems": sql(f"SELECT {_CODE} AS code, 'empty_geometry' AS problem FROM rep WHERE dealer_id % 10 = 0 UNION ALL SELECT {_CODE}, 'duplicate_code' FROM rep GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT {_CODE}, 'area_off' FROM rep WHERE dealer_id % 10 <> 0 AND dealer_id % 4 = 0", rep=_REP),
     "s12_unit_set_sink": sql(f"SELECT dealer_id, CAST(2 AS INTEGER) AS set_version, count(*) AS units FROM later WHERE dealer_id IN ({_TOUCH}) GROUP BY 1 UNION ALL SELECT dealer_id, 1, count(*) FROM sets WHERE dealer_id NOT IN ({_TOUCH}) GROUP BY 1", **scenarios._V),
 }

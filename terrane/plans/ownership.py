@@ -76,7 +76,7 @@ def dossier(spark, d):
 def ledger(spark, d):
     """Instructions (nation by nation) over units of the streets that they name; the last one wins."""
     log = table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS seq", "CAST(n_regionkey AS BIGINT) AS owner", "explode(sequence(n_nationkey * 3, n_nationkey * 3 + 9)) AS street")
-    return O.replay(log.join(B.units(spark).select("street", "unit_id"), "street").select("unit_id", "seq", "owner"))
+    return O.replay(log.join(B.units(spark, d).select("street", "unit_id"), "street").select("unit_id", "seq", "owner"))
 
 
 def upsert(spark, d):
@@ -130,5 +130,5 @@ SQL = {
     "s14_upsert": sql("SELECT dealer_id, h + dealer_id % 2 AS size, CAST(1 + dealer_id % 2 AS INTEGER) AS version FROM dealer UNION ALL SELECT -dealer_id - 1, h, 2 FROM dealer"),
     "g9_ledger_replay": sql(_LEDGER),
     "a31_ledger_summary": sql("SELECT owner, count(*) AS units FROM led GROUP BY 1", led=_LEDGER),
-    "m10_exclusive_conflicts": "WITH v AS (SELECT o_custkey AS store_id, o_orderkey % 5 AS owner, o_orderdate AS s, o_orderdate + INTERVAL 30 DAY AS e FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') SELECT DISTINCT a.store_id, a.owner AS a, b.owner AS b FROM v a JOIN v b ON a.store_id = b.store_id AND a.owner < b.owner AND a.s < b.e AND b.s < a.e",
+    "m10_exclusive_conflicts": "WITH v AS (SELECT o_custkey AS store_id, o_orderkey % 5 AS owner, o_orderdate AS s, o_orderdate + INTERVAL 30 DAY AS e FROM orders) SELECT DISTINCT a.store_id, a.owner AS a, b.owner AS b FROM v a JOIN v b ON a.store_id = b.store_id AND a.owner < b.owner AND a.s < b.e AND b.s < a.e",
 }

@@ -2,131 +2,187 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from terrane import bindings as B
 from terrane.bindings import X0, Y0, sql
+from terrane.operators import graph as G
 from terrane.operators import scenarios as S
 from terrane.operators.spatial import contain
 from terrane.plans import containment as P
-from terrane.session import table
+from terrane.session import stored, table
 
-_UNIT = f"((x - {X0}) {{div}} 20000) * 50 + (y - {Y0}) {{div}} 20000"
-_AREA = f"CASE (dealer_id {{div}} 3) % 6 WHEN 0 THEN '全部' WHEN 1 THEN '东部' WHEN 2 THEN '北半区' WHEN 3 THEN concat('街', ((cx - {X0}) {{div}} 100000) * 10 + (cy - {Y0}) {{div}} 100000) WHEN 4 THEN concat('区', ((cx - {X0}) {{div}} 200000) * 5 + (cy - {Y0}) {{div}} 200000) ELSE 'OOF' END"
+_AREA = (
+    "CASE (dealer_id {div} 3) % 10 WHEN 0 THEN '全部' WHEN 1 THEN '东部' WHEN 2 THEN '北半区' WHEN 3 THEN concat('街', {street}) WHEN 4 THEN concat('区', {district}) WHEN 5 THEN 'OOF'"
+    " WHEN 6 THEN '西' WHEN 7 THEN '南侧' WHEN 8 THEN concat('区', {district}, '区') ELSE '东部片区' END"
+)
 _TERM = "CASE k % 5 WHEN 0 THEN concat('街', k % 100) WHEN 1 THEN concat('区', k % 25) WHEN 2 THEN concat('街', k % 100, ' 沿 ', 'Brand#', 11 + k % 5) WHEN 3 THEN concat('无名沿区', k % 25) ELSE '无名' END"
 
 
-def proposals(spark, d):
-    return B.dealers(spark, d).where("dealer_id % 3 = 0").selectExpr("dealer_id AS proposal_id", "dealer_id AS src", "CASE WHEN dealer_id % 30 = 0 THEN dealer_id ELSE dealer_id + 1 END AS dst", f"{_AREA.format(div='div')} AS selector")
+def _blocks(n, step, div, x="cx", y="cy"):
+    """Street and district of a point, as SQL."""
+    i, j = f"least(({x} - {X0}) {div} {step}, {n} - 1)", f"least(({y} - {Y0}) {div} {step}, {n} - 1)"
+    return {"street": f"(({i}) {div} 5) * ({n} {div} 5) + ({j}) {div} 5", "district": f"(({i}) {div} 10) * ({n} {div} 10) + ({j}) {div} 10", "div": div}
+
+
+class Case:
+    """The proposals of one query run and what follows from them. What several steps read is computed and written once."""
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
 
+    @cached_property
+    def units(self):
+        return stored(B.units(self.spark, self.d), "units")
 
-def units(spark):
-    return B.units(spark).selectExpr("unit_id", "x", "y", "concat('街', street) AS street", "concat('区', district) AS district")
+    @cached_property
+    def named_units(self):
+        return self.units.selectExpr("unit_id", "x", "y", "concat('街', street) AS street", "concat('区', district) AS district")
 
+    @cached_property
+    def sets(self):
+        """(dealer_id, unit_id): units whose centre one of the dealer's fences holds."""
+        return stored(contain(self.units.select("unit_id", "x", "y"), B.fences(self.spark, self.d), ["dealer_id"]).select("dealer_id", "unit_id").distinct(), "sets")
 
-def sets(spark, d):
-    """(dealer_id, unit_id): units whose centre one of the dealer's fences holds."""
-    return contain(B.units(spark).select("unit_id", "x", "y"), B.fences(spark, d), ["dealer_id"]).select("dealer_id", "unit_id").distinct()
+    @cached_property
+    def proposals(self):
+        area = _AREA.format(**_blocks(*B.grid(self.spark, self.d), "div"))
+        return B.dealers(self.spark, self.d).where("dealer_id % 3 = 0").selectExpr("dealer_id AS proposal_id", "dealer_id AS src", "CASE WHEN dealer_id % 30 = 0 THEN dealer_id ELSE dealer_id + 1 END AS dst", f"{area} AS selector")
 
+    @cached_property
+    def _selected(self):
+        chosen, verdicts = S.select_units(self.proposals, self.sets, self.named_units)
+        chosen = stored(chosen, "picked")
+        return chosen, verdicts
 
-def store_units(spark, d):
-    return B.stores(spark, d).selectExpr("store_id", f"{_UNIT.format(div='div')} AS unit_id")
+    @property
+    def picked(self):
+        return self._selected[0]
 
+    @property
+    def verdicts(self):
+        return self._selected[1]
 
-def picked(spark, d):
-    return S.select_units(proposals(spark, d), sets(spark, d), units(spark))
+    @cached_property
+    def kinded(self):
+        return stored(P.kinded(self.spark, self.d), "kinded")
 
+    @cached_property
+    def store_units(self):
+        return B.stores(self.spark, self.d).selectExpr("store_id", f"{B.cell(*B.grid(self.spark, self.d))} AS unit_id")
 
-def moved(spark, d):
-    return S.moved_stores(P.kinded(spark, d), store_units(spark, d), picked(spark, d)[0])
+    @cached_property
+    def moved(self):
+        return stored(S.moved_stores(self.kinded, self.store_units, self.picked), "moved")
+
+    @cached_property
+    def later(self):
+        """Sets after all moves."""
+        return S.transfer_units(self.sets, self.picked)
 
 
 def impact(spark, d):
+    c = Case(spark, d)
     area = P.dealer_area(spark, d).select("dealer_id", "area_km2")
-    return S.move_impact(proposals(spark, d), P.kinded(spark, d), moved(spark, d), area)
+    return S.move_impact(c.proposals, c.kinded, c.moved, area)
 
 
 def kind_changes(spark, d):
-    return moved(spark, d).groupBy("proposal_id", "kind", "new_kind").agg(F.count("*").alias("n"))
+    return Case(spark, d).moved.groupBy("proposal_id", "kind", "new_kind").agg(F.count("*").alias("n"))
 
 
 def become_out(spark, d):
     """Per proposal: stores that were served well and are out of fence after it, and those that were in several fences."""
-    return moved(spark, d).groupBy("proposal_id").agg(F.count_if(F.col("kind").isin("OK", "DIRECT_IN") & (F.col("new_kind") == "OOF")).alias("become_oof"), F.count_if(F.col("kind") == "MULTI").alias("multi"))
+    return Case(spark, d).moved.groupBy("proposal_id").agg(F.count_if(F.col("kind").isin("OK", "DIRECT_IN") & (F.col("new_kind") == "OOF")).alias("become_oof"), F.count_if(F.col("kind") == "MULTI").alias("multi"))
 
 
 def proposal_summary(spark, d):
     """Every proposal with its verdict, units before and after on both sides and the number of stores that move."""
-    chosen, verdicts = picked(spark, d)
-    size = sets(spark, d).groupBy("dealer_id").agg(F.count("*").alias("c"))
-    new = chosen.join(sets(spark, d).select(F.col("dealer_id").alias("dst"), "unit_id"), ["dst", "unit_id"], "left_anti").groupBy("proposal_id").agg(F.count("*").alias("gained"))
-    stores = moved(spark, d).groupBy("proposal_id").agg(F.count("*").alias("stores"))
-    j = verdicts.join(proposals(spark, d), "proposal_id").join(size.select(F.col("dealer_id").alias("src"), F.col("c").alias("src_units")), "src", "left").join(size.select(F.col("dealer_id").alias("dst"), F.col("c").alias("dst_units")), "dst", "left").join(new, "proposal_id", "left").join(stores, "proposal_id", "left")
+    c = Case(spark, d)
+    size = c.sets.groupBy("dealer_id").agg(F.count("*").alias("c"))
+    new = c.picked.join(c.sets.select(F.col("dealer_id").alias("dst"), "unit_id"), ["dst", "unit_id"], "left_anti").groupBy("proposal_id").agg(F.count("*").alias("gained"))
+    stores = c.moved.groupBy("proposal_id").agg(F.count("*").alias("stores"))
+    j = c.verdicts.join(c.proposals, "proposal_id").join(size.select(F.col("dealer_id").alias("src"), F.col("c").alias("src_units")), "src", "left").join(size.select(F.col("dealer_id").alias("dst"), F.col("c").alias("dst_units")), "dst", "left").join(new, "proposal_id", "left").join(stores, "proposal_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return j.select("proposal_id", "reason", F.col("n").alias("units"), zero("src_units").alias("src_before"), (zero("src_units") - F.col("n")).alias("src_after"), zero("dst_units").alias("dst_before"), (zero("dst_units") + zero("gained")).alias("dst_after"), zero("stores").alias("stores"))
 
 
 def after(spark, d):
-    return S.applied(P.kinded(spark, d), moved(spark, d)).select("store_id", F.array_join(F.array_sort(F.col("dealers")).cast("array<string>"), ",").alias("dealers"), "kind")
+    c = Case(spark, d)
+    return S.applied(c.kinded, c.moved).select("store_id", F.array_join(F.array_sort(F.col("dealers")).cast("array<string>"), ",").alias("dealers"), "kind")
+
+
+def components_after(spark, d):
+    """Per dealer after all moves: how many components its units form (cells that share a border), and the sizes of the largest."""
+    c = Case(spark, d)
+    own = c.later.join(c.units.select("unit_id", "i", "j"), "unit_id")
+    return G.numbered_components(own, "dealer_id").groupBy("dealer_id").agg(F.count("*").alias("components"), F.max("size").alias("largest"), F.sum("size").alias("units"))
 
 
 def compared(spark, d):
     """Stores in fences now against stores whose unit is in the dealer's set after all moves."""
-    now = P.store_fence(spark, d).select("dealer_id", "store_id")
-    then = S.transfer_units(sets(spark, d), picked(spark, d)[0]).join(store_units(spark, d), "unit_id").select("dealer_id", "store_id")
+    c = Case(spark, d)
+    now = c.kinded.select(F.explode("dealers").alias("dealer_id"), "store_id")
+    then = c.later.join(c.store_units, "unit_id").select("dealer_id", "store_id")
     return S.compare(now, then)
 
 
 def merged(spark, d):
     ids = B.dealers(spark, d).select("dealer_id")
     merges = ids.where("dealer_id % 7 = 0").select("dealer_id", (F.col("dealer_id") + 1).alias("into"))
-    return S.merge_zones(sets(spark, d), merges, ids.where("dealer_id % 11 = 0"))
+    return S.merge_zones(Case(spark, d).sets, merges, ids.where("dealer_id % 11 = 0"))
 
 
 def directional(spark, d):
     """The northern half of every fourth zone goes to the next zone."""
+    c = Case(spark, d)
     p = B.dealers(spark, d).where("dealer_id % 4 = 0").selectExpr("dealer_id AS proposal_id", "dealer_id AS src", "dealer_id + 1 AS dst", "'北部' AS selector")
-    return S.transfer_units(sets(spark, d), S.select_units(p, sets(spark, d), units(spark))[0])
+    return S.transfer_units(c.sets, S.select_units(p, c.sets, c.named_units)[0])
 
 
 def terms(spark, d):
     """Streets, districts and roads; a road has the units of its vertices."""
-    u = units(spark)
-    road = B.landmarks(spark, d).selectExpr("2 AS kind_rank", "name", f"{_UNIT.format(div='div')} AS unit_id").distinct()
+    c = Case(spark, d)
+    u = c.named_units
+    road = B.landmarks(spark, d).selectExpr("2 AS kind_rank", "name", f"{B.cell(*B.grid(spark, d))} AS unit_id").distinct()
     attributes = u.selectExpr("1 AS kind_rank", "street AS name", "unit_id").unionByName(road).unionByName(u.selectExpr("3 AS kind_rank", "district AS name", "unit_id"))
     return S.resolve_terms(table(spark, d, "supplier").selectExpr("s_suppkey AS k").selectExpr("k AS term_id", f"{_TERM} AS term"), attributes)
 
 
 def clause_mismatch(spark, d):
     """Per dealer: units of the streets that its set touches against the set itself; over is what the clauses add."""
-    s = sets(spark, d)
-    street = B.units(spark).select("unit_id", "street")
-    clause = s.join(street, "unit_id").select("dealer_id", "street").distinct().join(street, "street").select("dealer_id", "unit_id")
-    over = clause.exceptAll(s.select("dealer_id", "unit_id"))
+    c = Case(spark, d)
+    street = c.units.select("unit_id", "street")
+    clause = c.sets.join(street, "unit_id").select("dealer_id", "street").distinct().join(street, "street").select("dealer_id", "unit_id")
+    over = clause.exceptAll(c.sets.select("dealer_id", "unit_id"))
     return over.groupBy("dealer_id").agg(F.count("*").alias("over"))
 
 
 QUERIES = {
-    "u8_area_selector": lambda s, d: picked(s, d)[1],
-    "u1_transfer_units": lambda s, d: S.transfer_units(sets(s, d), picked(s, d)[0]),
+    "u8_area_selector": lambda s, d: Case(s, d).verdicts,
+    "u1_transfer_units": lambda s, d: Case(s, d).later,
     "u2_merge_zones": merged,
     "u3_directional_transfer": directional,
     "u4_term_resolution": terms,
     "u5_clause_union": clause_mismatch,
-    "u6_uncovered_units": lambda s, d: S.uncovered(B.units(s), sets(s, d)),
+    "u6_uncovered_units": lambda s, d: S.uncovered(Case(s, d).units, Case(s, d).sets),
     "r11_proposal": proposal_summary,
     "r13_apply": after,
+    "r13_components": components_after,
     "a12_move_impact": impact,
     "a12_kind_changes": kind_changes,
     "a13_become_oof": become_out,
     "a15_compare": compared,
 }
 _SETS = "SELECT DISTINCT dealer_id, unit_id FROM unit_in"
-_PROPOSED = f"SELECT dealer_id AS proposal_id, dealer_id AS src, CASE WHEN dealer_id % 30 = 0 THEN dealer_id ELSE dealer_id + 1 END AS dst, {_AREA.format(div='//')} AS selector FROM dealer WHERE dealer_id % 3 = 0"
-_HIT = "SELECT p.proposal_id, p.src, p.dst, s.unit_id, CASE WHEN src = dst THEN NULL WHEN selector = '全部' THEN 'whole' WHEN selector = '东部' AND x >= avg(x) OVER w THEN 'half' WHEN selector = '北半区' AND y >= avg(y) OVER w THEN 'half' WHEN '街' || street = selector THEN 'street' WHEN '区' || district = selector THEN 'district' END AS reason FROM proposed p JOIN sets s ON s.dealer_id = p.src JOIN unit USING (unit_id) WINDOW w AS (PARTITION BY p.proposal_id)"
+_PROPOSED = f"SELECT dealer_id AS proposal_id, dealer_id AS src, CASE WHEN dealer_id % 30 = 0 THEN dealer_id ELSE dealer_id + 1 END AS dst, {_AREA.format(**_blocks('n', 'step', '//'))} AS selector FROM dealer, grid WHERE dealer_id % 3 = 0"
+_HIT = "SELECT p.proposal_id, p.src, p.dst, s.unit_id, CASE WHEN src = dst THEN NULL WHEN selector = '全部' THEN 'whole' WHEN selector = '东部' AND x >= avg(x) OVER w THEN 'half' WHEN selector = '北半区' AND y >= avg(y) OVER w THEN 'half' WHEN selector = '西' AND x < avg(x) OVER w THEN 'half' WHEN selector = '南侧' AND y < avg(y) OVER w THEN 'half' WHEN '街' || street = selector THEN 'street' WHEN '区' || district IN (selector, replace(selector, '区', '')) THEN 'district' END AS reason FROM proposed p JOIN sets s ON s.dealer_id = p.src JOIN unit USING (unit_id) WINDOW w AS (PARTITION BY p.proposal_id)"
 _PICKED = "SELECT * FROM hit WHERE reason IS NOT NULL"
 _AFTER = "SELECT dealer_id, unit_id FROM (SELECT * FROM sets EXCEPT SELECT src, unit_id FROM picked) UNION SELECT dst, unit_id FROM picked"
-_AT = f"SELECT store_id, {_UNIT.format(div='//')} AS unit_id FROM store"
+_CELL = f"least((x - {X0}) // step, n - 1) * n + least((y - {Y0}) // step, n - 1)"
+_AT = f"SELECT store_id, {_CELL} AS unit_id FROM store, grid"
 _KEPT = "SELECT DISTINCT store_id, dealer_id FROM held"
 _MOVED = "SELECT p.proposal_id, p.src, p.dst, k.*, CASE WHEN n_dealers > 1 THEN 'MULTI' WHEN direct THEN 'DIRECT_IN' WHEN upstream = dst THEN 'OK' ELSE 'OOF' END AS new_kind FROM kinded k JOIN placed USING (store_id) JOIN picked p USING (unit_id) JOIN kept h ON h.store_id = k.store_id AND h.dealer_id = p.src WHERE NOT EXISTS (SELECT 1 FROM kept o WHERE o.store_id = k.store_id AND o.dealer_id = p.dst)"
 _V = {"sets": _SETS, "proposed": _PROPOSED, "hit": _HIT, "picked": _PICKED, "later": _AFTER, "placed": _AT, "kept": _KEPT, "moved": _MOVED}
@@ -135,7 +191,7 @@ _SIDES = "SELECT proposal_id, 'src' AS side, src AS dealer_id FROM proposed UNIO
 _STATE = "SELECT proposal_id, side, kind, CAST(m.store_id IS NULL AS INTEGER) AS after, 1 AS before FROM sides s JOIN kept h USING (dealer_id) JOIN kinded k USING (store_id) LEFT JOIN (SELECT proposal_id, store_id, src FROM moved) m USING (proposal_id, store_id) WHERE m.store_id IS NULL OR side = 'src' UNION ALL SELECT proposal_id, 'dst', new_kind, 1, 0 FROM moved"
 _COUNTS = "SELECT proposal_id, side, dealer_id, CAST(sum(before) AS BIGINT) AS stores_before, CAST(sum(after) AS BIGINT) AS stores_after, " + ", ".join(f"count(*) FILTER (WHERE after = 1 AND kind = '{k}') AS n_{k.lower()}" for k in ("OK", "OOF", "MULTI", "DIRECT_IN")) + " FROM state JOIN sides USING (proposal_id, side) WHERE proposal_id IN (SELECT proposal_id FROM moved) GROUP BY 1, 2, 3"
 _NORTH = "SELECT s.dealer_id AS src, s.unit_id, y >= avg(y) OVER (PARTITION BY s.dealer_id) AS north FROM sets s JOIN unit USING (unit_id) WHERE s.dealer_id % 4 = 0"
-_ATTR = f"SELECT 1 AS r, '街' || street AS name, unit_id FROM unit UNION SELECT 2, name, {_UNIT.format(div='//')} FROM landmark UNION SELECT 3, '区' || district, unit_id FROM unit"
+_ATTR = f"SELECT 1 AS r, '街' || street AS name, unit_id FROM unit UNION SELECT 2, name, {_CELL} FROM landmark, grid UNION SELECT 3, '区' || district, unit_id FROM unit"
 _SIDE = f"SELECT term_id, p, trim(list_extract(string_split(term, '沿'), p)) AS name, len(string_split(term, '沿')) AS sides FROM (SELECT term_id, term, unnest(range(1, len(string_split(term, '沿')) + 1)) AS p FROM (SELECT k AS term_id, {_TERM} AS term FROM (SELECT s_suppkey AS k FROM supplier)))"
 _FOUND = "SELECT DISTINCT term_id, p, sides, unit_id FROM (SELECT *, min(r) OVER (PARTITION BY term_id, p) AS best FROM side JOIN attr USING (name)) WHERE r = best"
 SQL = {
@@ -148,6 +204,7 @@ SQL = {
     "u6_uncovered_units": sql("SELECT district, count(*) AS n FROM unit WHERE unit_id NOT IN (SELECT unit_id FROM unit_in) GROUP BY 1"),
     "r11_proposal": sql("SELECT proposal_id, reason, n AS units, coalesce(a.c, 0) AS src_before, coalesce(a.c, 0) - n AS src_after, coalesce(b.c, 0) AS dst_before, coalesce(b.c, 0) + coalesce(g.c, 0) AS dst_after, coalesce(m.c, 0) AS stores FROM verdict v LEFT JOIN (SELECT dealer_id, count(*) AS c FROM sets GROUP BY 1) a ON a.dealer_id = v.src LEFT JOIN (SELECT dealer_id, count(*) AS c FROM sets GROUP BY 1) b ON b.dealer_id = v.dst LEFT JOIN (SELECT proposal_id, count(*) AS c FROM picked p WHERE NOT EXISTS (SELECT 1 FROM sets s WHERE s.dealer_id = p.dst AND s.unit_id = p.unit_id) GROUP BY 1) g USING (proposal_id) LEFT JOIN (SELECT proposal_id, count(*) AS c FROM moved GROUP BY 1) m USING (proposal_id)", **_V, verdict=_VERDICT),
     "r13_apply": sql("SELECT k.store_id, CASE WHEN m.store_id IS NULL THEN coalesce(k.dealers, '') ELSE (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT dealer_id AS x FROM kept h WHERE h.store_id = k.store_id AND h.dealer_id <> m.src UNION SELECT m.dst)) END AS dealers, coalesce(m.new_kind, k.kind) AS kind FROM kinded k LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY proposal_id) AS r FROM moved) WHERE r = 1) m ON m.store_id = k.store_id", **_V),
+    "r13_components": sql("SELECT dealer_id, count(*) AS components, max(n) AS largest, CAST(sum(n) AS BIGINT) AS units FROM (SELECT dealer_id, label, count(*) AS n FROM lab GROUP BY 1, 2) GROUP BY 1", **_V, cells="SELECT dealer_id, unit_id, i, j FROM later JOIN unit USING (unit_id)", lab="SELECT dealer_id, unit_id, min(root) AS label FROM reach GROUP BY 1, 2").replace("WITH ", "WITH RECURSIVE ", 1).replace("lab AS (", "reach AS (SELECT dealer_id, unit_id AS root, unit_id, i, j FROM cells UNION SELECT c.dealer_id, r.root, c.unit_id, c.i, c.j FROM reach r JOIN cells c ON c.dealer_id = r.dealer_id AND abs(c.i - r.i) + abs(c.j - r.j) = 1),\nlab AS (", 1),
     "a12_move_impact": sql("SELECT proposal_id, side, stores_before, stores_after, n_ok, n_oof, n_multi, n_direct_in, round(stores_after / a.area_km2, 6) AS density FROM counts JOIN (SELECT dealer_id, sum(area_km2) AS area_km2 FROM area GROUP BY 1) a USING (dealer_id)", **_V, sides=_SIDES, state=_STATE, counts=_COUNTS),
     "a12_kind_changes": sql("SELECT proposal_id, kind, new_kind, count(*) AS n FROM moved GROUP BY 1, 2, 3", **_V),
     "a13_become_oof": sql("SELECT proposal_id, count(*) FILTER (WHERE kind IN ('OK', 'DIRECT_IN') AND new_kind = 'OOF') AS become_oof, count(*) FILTER (WHERE kind = 'MULTI') AS multi FROM moved GROUP BY 1", **_V),
