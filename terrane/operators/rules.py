@@ -12,6 +12,37 @@ from terrane.session import ship
 W_MAGNITUDE, W_SEVERITY, W_PERSISTENCE, W_STRATEGIC, FULL_PERSISTENCE = 0.40, 0.30, 0.20, 0.10, 4
 LEVELS = [("Negligible", 0.0), ("Monitor", 0.15), ("Review", 0.35), ("Material", 0.50), ("Critical", 0.80)]
 MIN_CONFIDENCE, IDENTITY_LIMIT = 0.5, 0.05
+# Subtypes and the type they belong to; those of identity belong to none.
+SUBTYPES = {
+    "CoverageAllocationGap": "CoverageGap", "SchedulingCoverageGap": "CoverageGap", "ExecutionCoverageGap": "CoverageGap",
+    "CapacityGlobalGap": "CapacityGap", "CapacityLocalGap": "CapacityGap", "CapacityResourceTypeGap": "CapacityGap", "CapacityTemporalGap": "CapacityGap",
+    "OpportunityUnserved": "OpportunityGap", "OpportunityUnderServed": "OpportunityGap", "OpportunityMisallocated": "OpportunityGap",
+    "SpatialTravelBaseLocation": "SpatialTravelGap", "SpatialTravelTerritoryShape": "SpatialTravelGap", "SpatialTravelRoadNetwork": "SpatialTravelGap",
+    "SpatialTravelCrossBoundary": "SpatialTravelGap", "SpatialTravelRouteStructure": "SpatialTravelGap",
+    "IdentityDuplicate": None, "IdentityFalseMatch": None, "IdentityUnresolved": None, "HierarchyMisattribution": None,
+}
+# What a diagnosis is routed to.
+ROUTES = {
+    "CapacityShortage": "DP01 Resource Sizing",
+    "CapacitySurplus": "DP01 Resource Sizing",
+    "ResourceLocationMismatch": "DP02 Resource Location",
+    "TerritoryImbalance": "DP03 Territory Alignment",
+    "CapabilityMismatch": "DP04 Personnel Matching",
+    "PersonnelConstraint": "DP04 Personnel Matching",
+    "CoveragePolicyMismatch": "DP05 Coverage Allocation",
+    "CoverageAllocationMismatch": "DP05 Coverage Allocation",
+    "SchedulingInfeasibility": "DP06 Visit Scheduling",
+    "RoutingInefficiency": "DP07 Daily Routing",
+    "DataQualityIssue": "World Model Repair",
+    "ModelQualityIssue": "Model Governance",
+    "PolicyConflict": "Policy Review",
+}
+REPAIR = "World Model Repair"
+
+
+def lookup(names: dict[str, str | None], key: Column) -> Column:
+    """The value of a small fixed table; null for unknown keys."""
+    return F.element_at(F.create_map(*(F.lit(v) for kv in names.items() for v in kv)), key)
 
 
 def magnitude(gap: Column, reference: Column) -> Column:
@@ -20,9 +51,21 @@ def magnitude(gap: Column, reference: Column) -> Column:
 
 
 def normalised(gaps: DataFrame) -> DataFrame:
-    """Fills gap_value = observed - reference where it is missing, and flags rows whose scores are out of [0, 1]."""
-    ok = F.col("severity").between(0, 1) & F.col("confidence").between(0, 1)
-    return gaps.withColumn("gap_value", F.coalesce("gap_value", F.col("observed") - F.col("reference"))).withColumn("valid", F.coalesce(ok, F.lit(False)))
+    """Fills gap_value = observed - reference where it is missing, and adds problem: the first of no_id, confidence, severity
+    (not in [0, 1]), unknown_subtype and subtype_of_other_type that holds, else null. Identity subtypes fit any type.
+
+    ``gaps``: (gap_id, gap_type, subtype, observed, reference, gap_value, severity, confidence).
+    """
+    out_of_range = lambda c: ~F.coalesce(F.col(c).between(0, 1), F.lit(False))
+    identity = F.col("subtype").isin([k for k, v in SUBTYPES.items() if v is None])
+    problem = (
+        F.when(F.coalesce(F.col("gap_id").cast("string"), F.lit("")) == "", "no_id")
+        .when(out_of_range("confidence"), "confidence")
+        .when(out_of_range("severity"), "severity")
+        .when(F.col("subtype").isNotNull() & ~F.col("subtype").isin(list(SUBTYPES)), "unknown_subtype")
+        .when(F.col("subtype").isNotNull() & ~identity & ~F.coalesce(lookup(SUBTYPES, F.col("subtype")) == F.col("gap_type"), F.lit(False)), "subtype_of_other_type")
+    )
+    return gaps.withColumn("gap_value", F.coalesce("gap_value", F.col("observed") - F.col("reference"))).withColumn("problem", problem)
 
 
 def level_rank(level: Column) -> Column:
@@ -60,8 +103,9 @@ def persistence(observed: DataFrame) -> DataFrame:
 
 
 def trigger_policy(policies: DataFrame) -> DataFrame:
-    """Exit threshold: half the entry threshold where none is given, and never above it."""
-    return policies.withColumn("exit", F.least(F.coalesce("exit", F.col("entry") / 2), F.col("entry")))
+    """Adds exit, half the entry threshold where none is given, and problem: exit_above_entry or confidence_gate (not in [0, 1])."""
+    out = policies.withColumn("exit", F.coalesce("exit", F.col("entry") / 2))
+    return out.withColumn("problem", F.when(F.col("exit") > F.col("entry"), "exit_above_entry").when(~F.coalesce(F.col("confidence_gate").between(0, 1), F.lit(False)), "confidence_gate"))
 
 
 def decide(gap: Column, p: dict[str, Column]) -> Column:
@@ -106,8 +150,23 @@ def step_scope(rows: pd.DataFrame, state: dict, entry: float, exit_: float, min_
     return out
 
 
-def route(diagnoses: DataFrame, table: DataFrame) -> DataFrame:
-    """(…, problem): the decision problem of each diagnosis by ``table`` (diagnosis, problem); none means no action, an
-    unknown one more evidence."""
-    joined = diagnoses.join(table, "diagnosis", "left")
-    return joined.withColumn("problem", F.when(F.col("diagnosis") == "NoGap", "NoAction").otherwise(F.coalesce("problem", F.lit("MoreEvidence"))))
+def route(diagnoses: DataFrame, limit: float = IDENTITY_LIMIT) -> DataFrame:
+    """Adds output, route and alternative to ``diagnoses`` (diagnosis, unresolved): NoGap needs no action; identity subtypes go
+    to repair; known ones by ROUTES, with repair as alternative if the unresolved share is above ``limit``; all others, null
+    included, need more evidence."""
+    d = F.col("diagnosis")
+    known = F.when(d.isin([k for k, v in SUBTYPES.items() if v is None]), REPAIR).otherwise(lookup(ROUTES, d))
+    out = F.when(d == "NoGap", "NoAction").when(known.isNotNull(), "Route").otherwise("RequestMoreEvidence")
+    also = F.when(lookup(ROUTES, d).isNotNull() & (F.col("unresolved") > limit), REPAIR)
+    return diagnoses.withColumns({"output": out, "route": known, "alternative": also})
+
+
+def route_of_decision(decision: Column) -> Column:
+    """Output of a trigger's decision; ERROR for one that creates a case, which needs a diagnosis first."""
+    kind = F.split_part(decision, F.lit(":"), F.lit(1))
+    return F.when(kind == "CLOSE", "NoAction").when(kind == "HOLD", "Monitor").when(kind == "EVIDENCE", "RequestMoreEvidence").otherwise("ERROR")
+
+
+def route_of_level(level: Column) -> Column:
+    """Output of a materiality level alone."""
+    return F.when(level == "Review", "RequestMoreEvidence").when(level == "Monitor", "Monitor").otherwise("NoAction")

@@ -46,30 +46,34 @@ def nearby(sites: DataFrame, radius_km: float, k: int) -> DataFrame:
 
 
 def rebalance(accounts: DataFrame, moves: int = 5) -> DataFrame:
-    """(scope, step, account_id, src, dst, eq): up to ``moves`` moves per scope, each the largest account that fits from the
-    most to the least loaded territory, as long as equality rises. ``accounts``: (scope, account_id, territory_id, load).
+    """(scope, step, account_id, src, dst, eq): up to ``moves`` moves per scope, each the largest account of the most loaded
+    territory to the least loaded one, as long as equality rises; ties go to smaller ids. A scope with fewer than two loaded
+    territories has no moves. ``accounts``: (scope, account_id, territory_id, load).
 
-    A scope is planned in one task; scopes are independent planning regions of bounded size.
+    Only each territory's load and its ``moves`` largest accounts matter, since no more can leave it; these are worked out
+    first, and a scope is planned on them in one task.
     """
+    sums = accounts.groupBy("scope", "territory_id").agg(F.sum(F.col("load").cast("double")).alias("total"))
+    order = Window.partitionBy("scope", "territory_id").orderBy(F.desc("load"), "account_id")
+    top = accounts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= moves).select("scope", "territory_id", "account_id", F.col("load").cast("double").alias("load"))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = {t: dict(zip(g["account_id"], g["load"].astype(float), strict=True)) for t, g in pdf.groupby("territory_id")}
+        total = dict(zip(pdf["territory_id"], pdf["total"], strict=True))
+        own = {t: dict(zip(g["account_id"], g["load"], strict=True)) for t, g in pdf[pdf["account_id"].notna()].groupby("territory_id")}
         equality = lambda v: 1.0 if len(v) <= 1 or sum(v) <= 0 else sum(v) ** 2 / (len(v) * sum(x * x for x in v))
-        rows, now = [], equality([sum(a.values()) for a in own.values()])
-        for step in range(1, moves + 1):
-            total = {t: sum(a.values()) for t, a in own.items()}
-            src = min(total, key=lambda t: (-total[t], t))
-            dst = min(total, key=lambda t: (total[t], t))
-            best = min(((-load, a) for a, load in own[src].items()), default=None)
-            if src == dst or best is None:
+        rows, now = [], equality(total.values())
+        for step in range(1, moves + 1 if sum(x > 0 for x in total.values()) >= 2 else 1):
+            src, dst = min(total, key=lambda t: (-total[t], t)), min(total, key=lambda t: (total[t], t))
+            best = min(((-load, a) for a, load in own.get(src, {}).items()), default=None)
+            if src == dst or best is None or total[src] <= 0:
                 break
             after = total | {src: total[src] + best[0], dst: total[dst] - best[0]}
-            new = equality(list(after.values()))
+            new = equality(after.values())
             if new - now <= 1e-12:
                 break
-            own[dst][best[1]] = own[src].pop(best[1])
-            now = new
-            rows.append((pdf["scope"].iloc[0], step, best[1], src, dst, round(new, 9)))
+            own.setdefault(dst, {})[best[1]] = own[src].pop(best[1])
+            now, total = new, after
+            rows.append((int(pdf["scope"].iloc[0]), step, int(best[1]), int(src), int(dst), round(new, 9)))
         return pd.DataFrame(rows, columns=["scope", "step", "account_id", "src", "dst", "eq"])
 
-    return accounts.groupBy("scope").applyInPandas(plan, "scope long, step int, account_id long, src long, dst long, eq double")
+    return sums.join(top, ["scope", "territory_id"], "left").groupBy("scope").applyInPandas(plan, "scope long, step int, account_id long, src long, dst long, eq double")
