@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrane.plans import aggregates, containment, files, graphs, ownership, rules, scenarios, streams, text_geometry
+from terrane.plans import aggregates, containment, files, graphs, landmarks, ownership, rules, scenarios, streams, text_geometry
 
-MODULES = (containment, ownership, aggregates, rules, scenarios, text_geometry, files, streams, graphs)
+MODULES = (containment, ownership, aggregates, rules, scenarios, text_geometry, files, streams, graphs, landmarks)
 
 
 def queries() -> dict:

@@ -87,6 +87,12 @@ def move_impact(proposals: DataFrame, kinded: DataFrame, moved: DataFrame, areas
     return sides.join(counts, ["proposal_id", "side"]).join(areas, "dealer_id").select("proposal_id", "side", "stores_before", "stores_after", "n_ok", "n_oof", "n_multi", "n_direct_in", F.round(F.col("stores_after") / F.col("area_km2"), 6).alias("density"))
 
 
+def heads(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """(key, n, order): the first ``n`` rows of each key."""
+    w = Window.partitionBy(key).orderBy(order)
+    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).select(key, "n", order)
+
+
 def applied(kinded: DataFrame, moved: DataFrame) -> DataFrame:
     """(store_id, dealers, kind) of every store after all moves; of several moves of one store the first proposal's counts."""
     once = moved.groupBy("store_id").agg(F.min_by(F.struct("new_dealers", "new_kind"), "proposal_id").alias("m"))

@@ -19,6 +19,8 @@ from terrane.session import stored
 CELL, RATIO, LEVELS = 25_000, 8, 4
 #: Kilometres per degree of latitude, and of longitude at latitude 0.
 KM_PER_DEGREE = 111.32
+#: Kilometres per degree at the latitude of the landmarks, fixed values.
+LON_KM, LAT_KM = 102.2, 110.574
 
 
 def edges(ring: Column) -> Column:
@@ -78,37 +80,56 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius:
     return 2 * radius * F.asin(F.sqrt(a))
 
 
-def nearest(points: DataFrame, sites: DataFrame, key: str, site: str, order: list[str]) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, key: str, site: str, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """(key, site, d2): for each of ``points`` (key, x, y) the nearest of ``sites`` (site, mx, my, order) by planar squared distance.
 
     Points meet the sites of their own and the neighbouring cells in an equi-join; a site found within one cell width is
     final. What is left is written and meets cells RATIO / 2 times as wide, until a cell spans all points and sites. The first
     width holds one site a cell as expected. Ties go to the first in ``order``. Points without coordinates have no answer.
+    ``by``: columns of both in which a point and its site must be equal; points without such a site have no answer.
     """
-    sites, left = stored(sites, "sites"), stored(points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL"), "points")
+    sites, left = stored(sites, "sites"), stored(points.select(key, *by, "x", "y").where("x IS NOT NULL AND y IS NOT NULL"), "points")
     low_high = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n")]
     box, others = sites.selectExpr("mx AS x", "my AS y").agg(*low_high).first(), left.agg(*low_high).first()
     if not box.n or not others.n:
         return points.select(key).crossJoin(sites.select(site)).withColumn("d2", F.lit(0.0)).limit(0)  # no rows
     span = max(max(box.x1, others.x1) - min(box.x0, others.x0), max(box.y1, others.y1) - min(box.y0, others.y0), 1)
+    if by:
+        left = left.join(sites.select(*by).distinct(), list(by), "left_semi")
     width, out = max(1, math.ceil(span / math.sqrt(box.n))), None
     while True:
         cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
         around = F.explode(F.array(*(F.struct((cell("mx") + dx).alias("kx"), (cell("my") + dy).alias("ky")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
         filed = sites.withColumn("k", around).select(*sites.columns, "k.kx", "k.ky")
-        near = left.withColumn("kx", cell("x")).withColumn("ky", cell("y")).join(filed, ["kx", "ky"])
+        near = left.withColumn("kx", cell("x")).withColumn("ky", cell("y")).join(filed, ["kx", "ky", *by])
         d2 = (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")) + (F.col("y") - F.col("my")) * (F.col("y") - F.col("my"))
         best = near.withColumn("d2", d2.cast("double")).groupBy(key).agg(F.min_by(F.struct(site, "d2"), F.struct("d2", *order)).alias("b"))
         met = stored(left.join(best.select(key, f"b.{site}", "b.d2"), key, "left"), "nearest")
         final = F.coalesce(F.col("d2") <= float(width) * width, F.lit(False))
         done = met.where(final).select(key, site, "d2")
         out = done if out is None else out.unionByName(done)
-        left = met.where(~final).select(key, "x", "y")
+        left = met.where(~final).select(key, *by, "x", "y")
         if not left.limit(1).count():
             return out
         width *= RATIO // 2
 
 
+def km2(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Squared kilometres between points in micro-degrees, on a plane at one latitude."""
+    return F.pow((x1 - x2) / 1e6 * LON_KM, 2) + F.pow((y1 - y2) / 1e6 * LAT_KM, 2)
+
+
+def within(points: DataFrame, sites: DataFrame, radius_km: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``points`` (x, y, ...) with every row of ``sites`` (mx, my, ...) less than ``radius_km`` away, and their d2 in
+    square kilometres. They meet by cells as wide as the radius; ``by``: columns of both that must be equal."""
+    width = math.ceil(radius_km / min(LON_KM, LAT_KM) * 1e6)
+    cell = lambda c: F.floor(F.col(c) / width)
+    around = F.explode(F.array(*(F.struct((cell("mx") + dx).alias("kx"), (cell("my") + dy).alias("ky")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
+    filed = sites.withColumn("k", around).select(*sites.columns, "k.kx", "k.ky")
+    near = points.withColumns({"kx": cell("x"), "ky": cell("y")}).join(filed, ["kx", "ky", *by]).drop("kx", "ky")
+    return near.withColumn("d2", km2(F.col("x"), F.col("y"), F.col("mx"), F.col("my"))).where(F.col("d2") < radius_km * radius_km)
+
+
 def clip_half_plane(polygons: DataFrame, key: str) -> DataFrame:
     """(key, n, x, y): vertices of each ring of ``polygons`` (key, ring, px, py, nx, ny) on the side of its line where
     (v - p) . n >= 0, in order; an edge gives its end if that is kept and its crossing if it crosses."""
