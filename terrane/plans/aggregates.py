@@ -92,7 +92,6 @@ QUERIES = {
     "a19_set_overlap": overlap,
     "a25_nearest_rank": nearest_rank,
     "a26_median": lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", 0.5), 4).alias("median")),
-    "a33_correlation": lambda s, d: table(s, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("r")),
     "a34_tiling": tiling,
     "j13_fence_adjacency": adjacency,
 }
@@ -113,7 +112,6 @@ SQL = {
     "a19_set_overlap": sql("SELECT *, round(CASE WHEN hit + over_ > 0 THEN hit / (hit + over_) END, 9) AS precision, round(hit / (hit + miss), 9) AS recall, round(hit / (hit + over_ + miss), 9) AS jaccard FROM (SELECT dealer_id, count(*) FILTER (WHERE p = 1 AND t = 1) AS hit, count(*) FILTER (WHERE t IS NULL) AS over_, count(*) FILTER (WHERE p IS NULL) AS miss FROM (SELECT dealer_id, unit_id, 1 AS p FROM comp JOIN unit USING (street) WHERE round(s, 9) >= 0.3) FULL JOIN (SELECT *, 1 AS t FROM truth) USING (dealer_id, unit_id) GROUP BY 1)", truth=_TRUE, comp=_COMP).replace("over_", '"over"'),
     "a25_nearest_rank": "SELECT o_orderpriority, max(o_totalprice) FILTER (WHERE r = floor((n - 1) * 0.25) + 1) AS q25, max(o_totalprice) FILTER (WHERE r = floor((n - 1) * 0.5) + 1) AS q50, max(o_totalprice) FILTER (WHERE r = floor((n - 1) * 0.9) + 1) AS q90, count(*) FILTER (WHERE o_totalprice >= 250000) AS high FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) GROUP BY 1",
     "a26_median": "SELECT o_orderpriority, round(median(o_totalprice), 4) AS median FROM orders GROUP BY 1",
-    "a33_correlation": "SELECT round(corr(l_quantity, l_extendedprice), 8) AS r FROM lineitem",
     "a34_tiling": sql("SELECT street, count(*) FILTER (WHERE n IS NULL) AS none, count(*) FILTER (WHERE n = 1) AS one, count(*) FILTER (WHERE n > 1) AS many FROM unit LEFT JOIN (SELECT unit_id, count(*) AS n FROM truth GROUP BY 1) USING (unit_id) GROUP BY 1", truth=_TRUE),
     "j13_fence_adjacency": sql("SELECT p.dealer_id AS a, q.dealer_id AS b FROM b p JOIN b q ON p.dealer_id < q.dealer_id AND p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1", b="SELECT dealer_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fence_vertex GROUP BY dealer_id, comp").replace("SELECT p.dealer_id", "SELECT DISTINCT p.dealer_id"),
 }
