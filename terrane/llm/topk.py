@@ -39,7 +39,7 @@ class Lists:
     def __init__(self, x: np.ndarray):
         n = len(x)
         up = np.argsort(x, axis=0, kind="stable").T
-        self.order = np.stack([up, up[:, ::-1]]).astype(np.int32)  # [0] rising, for negative weights; [1] falling
+        self.order = np.stack([up, up[:, ::-1]])  # [0] rising, for negative weights; [1] falling
         rising = np.take_along_axis(x.T, up, 1)
         widths = np.unique(np.minimum(n, np.concatenate([STEP * 2 ** np.arange(0, 5), n * np.arange(1, STEPS + 1) // STEPS])))
         self.places = np.concatenate([[0], widths[widths > 0]])  # a walk stops at these depths
@@ -74,20 +74,23 @@ def threshold_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.n
         own, place, read, bound = lists.steps(q[i])
         side = (q[i] > 0).astype(int)
         best, met, at, goal = np.empty(0, np.int64), np.zeros(n, bool), 0, FIRST
+        depth = np.zeros(d, np.int64)
         while True:
             kth = best.min() // n if len(best) == k else None
             enough = len(bound) - np.searchsorted(bound[::-1], kth) if kth is not None else len(bound)  # steps until the bound is below the kth score
             to = max(at + 1, min(int(np.searchsorted(read, goal)) + 1, int(enough) + 1, len(bound)))
             new = np.zeros(n, bool)
-            for j, p in zip(own[at:to].tolist(), place[at:to].tolist(), strict=True):
-                new[lists.order[side[j], j, lists.places[p] : lists.places[p + 1]]] = True
+            deeper = depth + np.bincount(own[at:to], minlength=d)
+            for j in np.flatnonzero(deeper > depth).tolist():
+                new[lists.order[side[j], j, lists.places[depth[j]] : lists.places[deeper[j]]]] = True
+            depth = deeper
             new = np.flatnonzero(new & ~met)
             met[new] = True
             tally["scored"] = tally.get("scored", 0) + len(new)
             new = new[ids[new] != query_ids[i]]
-            best = np.concatenate([best, (xs[new] @ qs[i]).astype(np.int64) * n + (n - 1 - new)])
+            best = np.concatenate([best, (np.take(xs, new, axis=0) @ qs[i]).astype(np.int64) * n + (n - 1 - new)])
             best = best if len(best) <= k else np.partition(best, len(best) - k)[-k:]
-            at, goal = to, goal * 4
+            at, goal = to, goal * 2
             if len(best) == k and bound[at - 1] < best.min() // n:
                 tally["ended"] = tally.get("ended", 0) + int(not met.all())
                 break
