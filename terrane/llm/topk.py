@@ -38,9 +38,12 @@ class Lists:
 
     def __init__(self, x: np.ndarray):
         n = len(x)
-        up = np.argsort(x, axis=0, kind="stable").T
-        self.order = np.stack([up, up[:, ::-1]])  # [0] rising, for negative weights; [1] falling
-        rising = np.take_along_axis(x.T, up, 1)
+        columns = np.ascontiguousarray(x.T)
+        if np.abs(columns).max() < 1 << 15:
+            columns = columns.astype(np.int16)
+        up = np.argsort(columns, axis=1, kind="stable")
+        self.order = np.ascontiguousarray(np.stack([up, up[:, ::-1]]))  # [0] rising, for negative weights; [1] falling
+        rising = np.take_along_axis(columns, up, 1).astype(np.int64)
         widths = np.unique(np.minimum(n, np.concatenate([STEP * 2 ** np.arange(0, 5), n * np.arange(1, STEPS + 1) // STEPS])))
         self.places = np.concatenate([[0], widths[widths > 0]])  # a walk stops at these depths
         last = np.maximum(self.places - 1, 0)
