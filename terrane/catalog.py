@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrane.plans import aggregates, containment, files, graphs, landmarks, ownership, rules, scenarios, scores, streams, text_geometry
+from terrane.plans import aggregates, containment, files, graphs, landmarks, ownership, records, rules, scenarios, scores, streams, text_geometry
 
-MODULES = (containment, ownership, aggregates, rules, scenarios, text_geometry, files, streams, graphs, landmarks, scores)
+MODULES = (containment, ownership, aggregates, rules, scenarios, text_geometry, files, streams, graphs, landmarks, scores, records)
 
 
 def queries() -> dict:
