@@ -54,14 +54,6 @@ def contracts(spark, d):
     return s.select((F.col("s_suppkey") * 2).alias("dealer_id"), F.col("s_nationkey").alias("district"))
 
 
-def validation(spark, d):
-    """Broken rules of the order pack: every violation is counted by rule."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
-    rows = o.where("o_totalprice IS NULL OR o_totalprice < 10000").select(F.lit("price").alias("rule")).unionByName(o.where("o_orderstatus NOT IN ('O', 'F')").select(F.lit("status").alias("rule"))).unionByName(c.join(o, "o_custkey", "left_anti").select(F.lit("no_orders").alias("rule")))
-    return rows.groupBy("rule").agg(F.count("*").alias("n"))
-
-
 def listing(spark, d):
     f = B.fences(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("dealer_id"), F.col("s_nationkey").alias("district")), "dealer_id").groupBy("district").agg(F.count("*").alias("fences"))
     return f.join(B.stores(spark, d).groupBy("district").agg(F.count("*").alias("stores")), "district", "full").select("district", F.coalesce("fences", F.lit(0)).alias("fences"), F.coalesce("stores", F.lit(0)).alias("stores"))
@@ -100,7 +92,6 @@ QUERIES = {
     "j5_allocation": allocation,
     "r10_current_assignment": lambda s, d: O.current(history(s, d)),
     "j15_orphan_contracts": lambda s, d: O.orphans(contracts(s, d), B.fences(s, d)),
-    "s10_pack_validation": validation,
     "s11_region_listing": listing,
     "s13_dossier": dossier,
     "s14_upsert": upsert,
@@ -124,7 +115,6 @@ SQL = {
     "j5_allocation": sql("SELECT k.store_id, CASE WHEN k.store_id % 41 <> 0 THEN coalesce(d.dealer_id, k.first_dealer, n.dealer_id) END AS dealer_id, CASE WHEN k.store_id % 41 = 0 THEN 'EXCLUDED' WHEN d.dealer_id IS NOT NULL THEN 'UPSTREAM' WHEN k.first_dealer IS NOT NULL THEN 'CURRENT_FENCE' WHEN n.dealer_id IS NOT NULL THEN 'NEAREST_CENTROID' ELSE 'UNASSIGNED' END AS rule FROM kinded k LEFT JOIN dealer d ON d.dealer_id = k.upstream LEFT JOIN near n ON n.store_id = k.store_id", near=P._NEAR),
     "r10_current_assignment": "SELECT o_custkey AS store_id, arg_max(o_orderkey % 10, (o_orderdate, o_orderkey)) AS dealer_id FROM orders GROUP BY 1",
     "j15_orphan_contracts": "SELECT s_suppkey * 2 AS dealer_id, s_nationkey AS district FROM supplier WHERE s_suppkey * 2 NOT IN (SELECT s_suppkey FROM supplier)",
-    "s10_pack_validation": "SELECT rule, count(*) AS n FROM (SELECT 'price' AS rule FROM orders WHERE o_totalprice IS NULL OR o_totalprice < 10000 UNION ALL SELECT 'status' FROM orders WHERE o_orderstatus NOT IN ('O', 'F') UNION ALL SELECT 'no_orders' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) GROUP BY 1",
     "s11_region_listing": sql("SELECT district, coalesce(fences, 0) AS fences, coalesce(stores, 0) AS stores FROM (SELECT s_nationkey AS district, count(*) AS fences FROM (SELECT DISTINCT dealer_id, comp FROM fence_vertex) JOIN supplier ON s_suppkey = dealer_id GROUP BY 1) FULL JOIN (SELECT district, count(*) AS stores FROM store GROUP BY 1) USING (district)"),
     "s13_dossier": sql("SELECT a.dealer_id, components, round(area_km2, 6) AS area_km2, coalesce(stores, 0) AS stores, first_store, c.district FROM (SELECT dealer_id, sum(area_km2) AS area_km2, count(*) AS components FROM area GROUP BY 1) a LEFT JOIN (SELECT dealer_id, count(DISTINCT store_id) AS stores, min(store_id) AS first_store FROM held GROUP BY 1) USING (dealer_id) LEFT JOIN (SELECT s_suppkey * 2 AS dealer_id, s_nationkey AS district FROM supplier) c USING (dealer_id)"),
     "s14_upsert": sql("SELECT dealer_id, h + dealer_id % 2 AS size, CAST(1 + dealer_id % 2 AS INTEGER) AS version FROM dealer UNION ALL SELECT -dealer_id - 1, h, 2 FROM dealer"),
