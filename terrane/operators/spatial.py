@@ -145,6 +145,16 @@ def clip_half_plane(polygons: DataFrame, key: str) -> DataFrame:
     return polygons.select(key, F.posexplode(F.flatten(F.transform(edges(F.col("ring")), cut))).alias("n", "v")).select(key, "n", "v.x", "v.y")
 
 
+def fit_line(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, by_x, slope, px, py, nx, ny): least-squares line through each group of ``points`` (keys, x, y), free along the axis
+    of larger variance (by_x: y as a function of x), with a point on it and its unit normal, which points north or east."""
+    f = points.groupBy(*keys).agg(F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("c"), F.avg("x").alias("px"), F.avg("y").alias("py"))
+    wide = F.greatest("vx", "vy")
+    f = f.withColumns({"by_x": F.col("vx") >= F.col("vy"), "slope": F.when(wide > 0, F.col("c") / wide).otherwise(0.0)})
+    norm = F.sqrt(1 + F.col("slope") * F.col("slope"))
+    return f.select(*keys, "by_x", "slope", "px", "py", (F.when(F.col("by_x"), -F.col("slope")).otherwise(1.0) / norm).alias("nx"), (F.when(F.col("by_x"), 1.0).otherwise(-F.col("slope")) / norm).alias("ny"))
+
+
 def running_length(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Adds ``along``: the length of the line up to each vertex of ``lines`` (keys, order, x, y)."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -67,6 +67,34 @@ def adjacency(spark, d):
     return near.select(F.col("dealer_id").alias("a"), F.col("o_dealer_id").alias("b")).distinct()
 
 
+def close_fences(spark, d):
+    """Dealers whose boxes overlap and of whose vertices, every second one, some pair is less than 3 km apart."""
+    v = B.fence_vertices(spark, d).where("pos % 2 = 0").select("dealer_id", "x", "y")
+    near = S.within(v, v.select(F.col("dealer_id").alias("b"), F.col("x").alias("mx"), F.col("y").alias("my")), 3.0).where("dealer_id < b")
+    return near.select(F.col("dealer_id").alias("a"), "b").distinct().join(adjacency(spark, d), ["a", "b"], "left_semi")
+
+
+SUB = 5
+
+
+def unit_shares(spark, d):
+    """Units of which a dealer's fences hold half or more, or which are three tenths or more of all that they hold, by 5 x 5 points in each."""
+    _, step = B.grid(spark, d)
+    at = lambda c: F.explode(F.expr(f"transform(sequence(0, {SUB - 1}), k -> {c} - {step // 2} + k * {step // SUB} + {step // (2 * SUB)})"))
+    p = B.units(spark, d).select("unit_id", F.col("x").alias("ux"), F.col("y").alias("uy")).withColumn("x", at("ux")).withColumn("y", at("uy")).select("unit_id", "x", "y")
+    n = S.contain(p, B.fences(spark, d), ["dealer_id"]).distinct().groupBy("dealer_id", "unit_id").agg(F.count("*").alias("n"))
+    own = n.groupBy("dealer_id").agg(F.sum("n").alias("own"))
+    return n.join(own, "dealer_id").where(f"n >= 0.5 * {SUB * SUB} OR n >= 0.3 * own").select("dealer_id", "unit_id", "n")
+
+
+def overlaps(spark, d):
+    """Pairs of dealers that share units, and how many; the share of the region's units that some dealer holds is in each row."""
+    t = unit_truth(spark, d)
+    covered = t.select("unit_id").distinct().agg(F.count("*").alias("c")).crossJoin(B.units(spark, d).agg(F.count("*").alias("u"))).select(F.round(F.col("c") / F.col("u"), 9).alias("covered"))  # one row
+    pairs = t.join(t.select("unit_id", F.col("dealer_id").alias("b")), "unit_id").where("dealer_id < b").groupBy(F.col("dealer_id").alias("a"), "b").agg(F.count("*").alias("units"))
+    return pairs.crossJoin(F.broadcast(covered))
+
+
 def tiling(spark, d):
     """Per street: units in no fence, one fence, two or more."""
     owners = unit_truth(spark, d).groupBy("unit_id").agg(F.count("*").alias("n"))
@@ -94,6 +122,10 @@ QUERIES = {
     "a26_median": lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", 0.5), 4).alias("median")),
     "a34_tiling": tiling,
     "j13_fence_adjacency": adjacency,
+    "j13_close_fences": close_fences,
+    "j11_unit_shares": unit_shares,
+    "a34_overlaps": overlaps,
+    "t2_candidate_top": lambda s, d: Z.nearby(B.containers(s, d), 40.0, 1).select("territory_id", "near_id", "distance"),
 }
 _LOAD = "SELECT territory_id, CAST(sum(calls * minutes) AS BIGINT) AS load FROM workload GROUP BY 1"
 _TRUE = "SELECT DISTINCT unit_id, dealer_id FROM unit_in"
@@ -113,5 +145,9 @@ SQL = {
     "a25_nearest_rank": "SELECT o_orderpriority, max(o_totalprice) FILTER (WHERE r = floor((n - 1) * 0.25) + 1) AS q25, max(o_totalprice) FILTER (WHERE r = floor((n - 1) * 0.5) + 1) AS q50, max(o_totalprice) FILTER (WHERE r = floor((n - 1) * 0.9) + 1) AS q90, count(*) FILTER (WHERE o_totalprice >= 250000) AS high FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) GROUP BY 1",
     "a26_median": "SELECT o_orderpriority, round(median(o_totalprice), 4) AS median FROM orders GROUP BY 1",
     "a34_tiling": sql("SELECT street, count(*) FILTER (WHERE n IS NULL) AS none, count(*) FILTER (WHERE n = 1) AS one, count(*) FILTER (WHERE n > 1) AS many FROM unit LEFT JOIN (SELECT unit_id, count(*) AS n FROM truth GROUP BY 1) USING (unit_id) GROUP BY 1", truth=_TRUE),
+    "j13_close_fences": sql("SELECT DISTINCT v.dealer_id AS a, w.dealer_id AS b FROM fence_vertex v JOIN fence_vertex w ON v.dealer_id < w.dealer_id AND v.pos % 2 = 0 AND w.pos % 2 = 0 AND pow((v.x - w.x) / 1e6 * 102.2, 2) + pow((v.y - w.y) / 1e6 * 110.574, 2) < 9 JOIN b p ON p.dealer_id = v.dealer_id JOIN b q ON q.dealer_id = w.dealer_id AND p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1", b="SELECT dealer_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fence_vertex GROUP BY dealer_id, comp"),
+    "j11_unit_shares": sql("SELECT dealer_id, unit_id, n FROM (SELECT *, sum(n) OVER (PARTITION BY dealer_id) AS own FROM (SELECT dealer_id, unit_id, count(*) AS n FROM (SELECT DISTINCT dealer_id, unit_id, x, y FROM (SELECT s.unit_id, s.x, s.y, e.dealer_id, e.comp, count(*) AS c FROM pt s JOIN fence_edge e ON (e.y1 > s.y) <> (e.y2 > s.y) AND CASE WHEN e.y2 > e.y1 THEN (s.x - e.x1) * (e.y2 - e.y1) < (s.y - e.y1) * (e.x2 - e.x1) ELSE (s.x - e.x1) * (e.y2 - e.y1) > (s.y - e.y1) * (e.x2 - e.x1) END GROUP BY ALL) WHERE c % 2 = 1) GROUP BY 1, 2)) WHERE n >= 12.5 OR n >= 0.3 * own", pt="SELECT unit_id, x - step // 2 + a * (step // 5) + step // 10 AS x, y - step // 2 + b * (step // 5) + step // 10 AS y FROM unit, grid, range(5) p(a), range(5) q(b)"),
+    "a34_overlaps": sql("SELECT p.dealer_id AS a, q.dealer_id AS b, count(*) AS units, (SELECT round(count(DISTINCT unit_id) / (SELECT count(*) FROM unit), 9) FROM truth) AS covered FROM truth p JOIN truth q ON p.unit_id = q.unit_id AND p.dealer_id < q.dealer_id GROUP BY 1, 2", truth=_TRUE),
+    "t2_candidate_top": sql("SELECT territory_id, near_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY territory_id ORDER BY distance, near_id) AS rank FROM (SELECT a.territory_id, b.territory_id AS near_id, round_even(sqrt(pow(a.x_km - b.x_km, 2) + pow(a.y_km - b.y_km, 2)), 4) AS distance FROM container a JOIN container b ON a.territory_id <> b.territory_id AND b.headroom > 0 AND sqrt(pow(a.x_km - b.x_km, 2) + pow(a.y_km - b.y_km, 2)) <= 40.0)) WHERE rank <= 1"),
     "j13_fence_adjacency": sql("SELECT p.dealer_id AS a, q.dealer_id AS b FROM b p JOIN b q ON p.dealer_id < q.dealer_id AND p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1", b="SELECT dealer_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fence_vertex GROUP BY dealer_id, comp").replace("SELECT p.dealer_id", "SELECT DISTINCT p.dealer_id"),
 }

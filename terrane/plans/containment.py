@@ -113,8 +113,16 @@ def resampled(spark, d):
 
 def fitted(spark, d):
     """Least-squares line per landmark: the axis of larger variance is the free one."""
-    f = B.landmarks(spark, d).groupBy("name").agg(F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("c"))
-    return f.select("name", (F.col("vx") >= F.col("vy")).alias("by_x"), F.round(F.col("c") / F.greatest("vx", "vy"), 8).alias("slope"))
+    f = S.fit_line(B.landmarks(spark, d), ["name"])
+    return f.select("name", "by_x", F.round("slope", 8).alias("slope"), F.round("px", 3).alias("px"), F.round("py", 3).alias("py"), F.round("nx", 8).alias("nx"), F.round("ny", 8).alias("ny"))
+
+
+def in_one_ring(spark, d):
+    """Whether each store lies in the first component of the dealer of its number."""
+    n = table(spark, d, "supplier").count()
+    first = B.fences(spark, d).where("comp = 1").select("dealer_id", S.edges(F.col("ring")).alias("e"))
+    s = B.stores(spark, d).select("store_id", "x", "y", (F.col("store_id") % n).alias("dealer_id"))
+    return s.join(first, "dealer_id").select("store_id", "dealer_id", S.inside(F.col("e"), F.col("x"), F.col("y")).alias("inside"))
 
 
 QUERIES = {
@@ -143,6 +151,7 @@ QUERIES = {
     "j9_first_district": first_district,
     "p11_haversine": haversine,
     "p13_direction": direction,
+    "p1_point_in_ring": in_one_ring,
     "p23_clip_half_plane": clipped,
     "p20_running_length": lines,
     "p21_resample": resampled,
@@ -183,5 +192,6 @@ SQL = {
     "p23_clip_half_plane": sql("SELECT dealer_id, comp, count(y) AS vertices, round(min(y), 3) AS low, round(max(y), 3) AS high FROM (SELECT dealer_id, comp, unnest(CASE WHEN a >= 0 AND b >= 0 THEN [y2::DOUBLE] WHEN a >= 0 THEN [y1 + a / (a - b) * (y2 - y1)] WHEN b >= 0 THEN [y1 + a / (a - b) * (y2 - y1), y2::DOUBLE] ELSE [NULL] END) AS y FROM (SELECT e.*, y1 - (cy - h // 2) AS a, y2 - (cy - h // 2) AS b FROM fence_edge e JOIN dealer USING (dealer_id))) GROUP BY 1, 2"),
     "p20_running_length": sql("SELECT name, seg, count(*) AS vertices, round(max(along), 3) AS length FROM run GROUP BY 1, 2", run=_RUN),
     "p21_resample": sql("SELECT name, seg, count(*) AS n, round(avg(x + (k * 250000.0::DOUBLE - along) / (t - along) * (x2 - x)), 2) AS ax, round(avg(y + (k * 250000.0::DOUBLE - along) / (t - along) * (y2 - y)), 2) AS ay FROM (SELECT *, unnest(range(CAST(ceil(along / 250000.0::DOUBLE) AS BIGINT), CAST(ceil(t / 250000.0::DOUBLE) AS BIGINT))) AS k FROM (SELECT *, lead(along) OVER w AS t, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM run WINDOW w AS (PARTITION BY name, seg ORDER BY pos)) WHERE t > along) GROUP BY 1, 2", run=_RUN),
-    "p22_fit_line": sql("SELECT name, var_pop(x) >= var_pop(y) AS by_x, round(covar_pop(x, y) / greatest(var_pop(x), var_pop(y)), 8) AS slope FROM landmark GROUP BY 1"),
+    "p22_fit_line": sql("SELECT name, by_x, round(slope, 8) AS slope, round(px, 3) AS px, round(py, 3) AS py, round(CASE WHEN by_x THEN -slope ELSE 1 END / sqrt(1 + slope * slope), 8) AS nx, round(CASE WHEN by_x THEN 1 ELSE -slope END / sqrt(1 + slope * slope), 8) AS ny FROM (SELECT name, var_pop(x) >= var_pop(y) AS by_x, covar_pop(x, y) / greatest(var_pop(x), var_pop(y)) AS slope, avg(x) AS px, avg(y) AS py FROM landmark GROUP BY 1)"),
+    "p1_point_in_ring": sql("SELECT store_id, dealer_id, EXISTS (SELECT 1 FROM held h WHERE h.store_id = s.store_id AND h.dealer_id = s.dealer_id AND h.comp = 1) AS inside FROM (SELECT store_id, store_id % (SELECT count(*) FROM supplier) AS dealer_id FROM store) s"),
 }

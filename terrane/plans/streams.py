@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from terrane import bindings as B
+from terrane.operators import rules as R
 from terrane.plans import containment as P
+from terrane.plans import rules
+from terrane.session import shared_dir, stored
 from terrane.streaming import jobs as J
 
+STORE = ["c_custkey AS store_id", "c_mktsegment AS channel", "c_nationkey AS district", "c_mktsegment = 'FURNITURE' AS direct", f"{B.X0} + (c_custkey * 7919 * 31) % {B.SIDE} AS x", f"{B.Y0} + (c_custkey * 104729 * 17) % {B.SIDE} AS y"]
+
 SCOPE, BAD = "user_id % 8", "CAST(event_type = 'error' AS BIGINT)"
 
 
@@ -15,10 +23,21 @@ def events(spark, d):
 
 
 def live(spark, d):
-    """Stores of arriving orders, classified; the count of orders per kind."""
-    known = P.kinded(spark, d).select("store_id", "kind")
-    arriving = J.read_stream(spark, f"{d}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("store_id"))
-    return J.drain(J.classified(arriving, known).select("o_orderkey", "store_id", "kind"), "live").groupBy("kind").agg(F.count("*").alias("n"))
+    """Arriving stores, classified by the fences that hold them; the count of stores per kind."""
+    arriving = J.read_stream(spark, f"{d}/customer.parquet").selectExpr(*STORE)
+    fences, suppliers = stored(B.fences(spark, d), "fences"), stored(B.main_suppliers(spark, d), "suppliers")
+    return J.classified(arriving, fences, suppliers, "live").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def decisions(spark, d):
+    """The trigger state machine over gaps that arrive in four parts, in order of period."""
+    g = stored(rules.scored(spark, d).select("scope", "n", R.magnitude(F.col("gap_value"), F.col("reference")).alias("gap")), "gaps")
+    low, high = g.agg(F.min("n"), F.max("n")).first()
+    path = f"{shared_dir(spark)}/gaps-{uuid.uuid4().hex}"
+    for k in range(4):
+        g.where(F.expr(f"(n - {low}) * 4 div ({high} - {low} + 1) = {k}")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return J.drain(J.triggered(stream, 0.3, 0.15, 2, 3), "x3")
 
 
 def owners(spark, d):
@@ -29,6 +48,7 @@ def owners(spark, d):
 QUERIES = {
     "x1_windowed_gaps": lambda s, d: J.drain(J.windowed(events(s, d), SCOPE, BAD, "1 hour", "1 day"), "x1"),
     "x2_sliding_gaps": lambda s, d: J.drain(J.windowed(events(s, d), SCOPE, BAD, "1 hour", "2 days", "1 day"), "x2"),
+    "x3_trigger_states": decisions,
     "x4_ownership_changelog": owners,
     "x5_live_classification": live,
     "x6_instruction_once": lambda s, d: J.drain(J.once(events(s, d).withColumn("day", F.to_date("ts")), ["user_id", "event_type", "day"], "40 days"), "x6").groupBy("day").agg(F.count("*").alias("n")),
@@ -42,4 +62,5 @@ SQL = {
     "x6_instruction_once": "SELECT day, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events) GROUP BY 1",
     "x7_sessions": f"WITH {_MARK}, s AS (SELECT user_id % 8 AS scope, ts, sum(CAST(p IS NULL OR ts - p >= INTERVAL 30 MINUTE AS INTEGER)) OVER (PARTITION BY user_id % 8 ORDER BY ts) AS island FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id % 8 ORDER BY ts) AS p FROM events)), g AS (SELECT scope, island, count(*) AS n, max(ts) + INTERVAL 30 MINUTE AS e FROM s GROUP BY 1, 2 HAVING e <= (SELECT m FROM mark)) SELECT scope, count(*) AS sessions, max(n) AS longest, CAST(sum(n) AS BIGINT) AS events FROM g GROUP BY 1",
 }
-SQL["x5_live_classification"] = P.sql("SELECT coalesce(kind, 'GAP') AS kind, count(*) AS n FROM orders LEFT JOIN kinded ON store_id = o_custkey GROUP BY 1")
+SQL["x3_trigger_states"] = rules.SQL["w8_cooldown"]
+SQL["x5_live_classification"] = P.sql("SELECT kind, count(*) AS n FROM kinded GROUP BY 1")

@@ -6,11 +6,16 @@ Late rows are dropped by the watermark, and windows come out once the watermark
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from terrane.session import shared_dir
+from terrane.operators import classify, rules
+from terrane.session import shared_dir, ship
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -47,31 +52,60 @@ def once(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def classified(stores: DataFrame, known: DataFrame) -> DataFrame:
-    """Arriving stores (store_id) with their kind from the static table ``known`` (store_id, kind); unseen ones are GAP."""
-    return stores.join(known, "store_id", "left").withColumn("kind", F.coalesce("kind", F.lit("GAP")))
+def kept(stream: DataFrame, name: str, work: Callable[[DataFrame], DataFrame], base: str | None = None) -> DataFrame:
+    """Runs ``work`` on each micro-batch and returns all that it made so far. Each batch writes a part of its own, which a batch
+    that is run again overwrites; with the same ``base`` folder a restarted run goes on where the last one stopped."""
+    base = base or f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    schema: list[StructType] = []
 
+    def write(batch: DataFrame, number: int) -> None:
+        out = work(batch)
+        schema[:] = [out.schema]
+        out.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-def changelog(log: DataFrame, name: str) -> DataFrame:
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    if not schema:  # nothing new: what earlier runs wrote, if any
+        schema.append(work(spark.createDataFrame([], stream.schema)).schema)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema[0])
+    return spark.read.schema(schema[0]).parquet(f"{base}/out")
+
+
+def classified(stores: DataFrame, fences: DataFrame, suppliers: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Arriving stores (store_id, x, y, direct, ...) with their dealers, upstream and kind, found by containment in ``fences`` batch by batch."""
+
+    def work(batch: DataFrame) -> DataFrame:
+        known = classify.with_upstream(classify.store_dealers(batch, fences), suppliers)
+        return known.withColumn("kind", classify.kind(F.col("dealers"), F.col("direct"), F.col("upstream")))
+
+    return kept(stores, name, work, base)
+
+
+def changelog(log: DataFrame, name: str, base: str | None = None) -> DataFrame:
     """(unit_id, owner, seq): the last writer of each unit in a stream (unit_id, seq, owner).
 
-    Each micro-batch is merged with the state so far and written as the next version, so that a batch that is run again
-    overwrites only its own version.
+    Each micro-batch writes the last writers among its own rows, so its cost is that of its rows; the view over all batches
+    picks the last of them.
     """
-    spark = log.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     latest = F.max_by(F.struct("owner", "seq"), F.struct("seq", "owner")).alias("s")
-    schema = log.select("unit_id", "owner", "seq").schema
-    done: list[int] = []
-
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select("unit_id", "owner", "seq")
-        if number:
-            rows = rows.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{base}/v{number - 1}"))
-        rows.groupBy("unit_id").agg(latest).select("unit_id", "s.owner", "s.seq").write.mode("overwrite").parquet(f"{base}/v{number}")
-        done.append(number)
-
-    log.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
-    if not done:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/v{max(done)}")
+    last = lambda df: df.groupBy("unit_id").agg(latest).select("unit_id", "s.owner", "s.seq")
+    return last(kept(log.select("unit_id", "owner", "seq"), name, last, base))
+
+
+def triggered(gaps: DataFrame, entry: float, exit_: float, min_persistence: int, cooldown: int) -> DataFrame:
+    """(scope, n, decision) of a stream (scope, n, gap): persistence and cooldown are kept as state of each scope. Rows of a
+    scope must arrive in order of n from batch to batch; within a batch they are put in order. Equal to rules.fold_cooldown
+    over the same rows."""
+    ship(gaps.sparkSession)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run, last = state.get if state.exists else (0, None)
+        now = {"run": run, "last": last}
+        rows = pd.concat(list(frames)).sort_values("n")
+        out = rules.step_scope(rows, now, entry, exit_, min_persistence, cooldown)
+        state.update((now["run"], now["last"]))
+        yield pd.DataFrame(out, columns=["scope", "n", "decision"])
+
+    return gaps.groupBy("scope").applyInPandasWithState(step, "scope long, n long, decision string", "run int, last long", "append", GroupStateTimeout.NoTimeout)
