@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrane.plans import aggregates, containment, files, graphs, landmarks, ownership, records, rules, scenarios, scores, sources, streams, text_geometry
+from terrane.plans import aggregates, containment, files, graphs, landmarks, ownership, rebuilt, records, rules, scenarios, scores, sources, streams, text_geometry
 
-MODULES = (containment, ownership, aggregates, rules, scenarios, text_geometry, files, streams, graphs, landmarks, scores, records, sources)
+MODULES = (containment, ownership, aggregates, rules, scenarios, text_geometry, files, streams, graphs, landmarks, scores, records, sources, rebuilt)
 
 
 def queries() -> dict:
