@@ -16,7 +16,7 @@ from terrane.session import stored
 
 WEIGHTS, MAX_EPOCHS, SALT = (5, 2, 1), 3, "|mix|"
 #: Documents of one source that one task puts in order, and parts that an interval of keys is cut into until they are so few.
-PER_RANGE, BINS = 10_000, 256
+PER_RANGE, BINS = 256, 1024
 STATE = ["s", "source_size", "target", "epochs", "rest", "lo", "hi", "start", "n", "prev"]
 
 
