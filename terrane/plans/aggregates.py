@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrane import bindings as B
 from terrane.bindings import sql
+from terrane.operators import scores as Q
 from terrane.operators import sizing as Z
 from terrane.operators import spatial as S
 from terrane.plans import containment as P
@@ -49,11 +49,9 @@ def overlap(spark, d):
 
 def nearest_rank(spark, d):
     """Nearest-rank quantiles of order values per priority: the element at floor((n - 1) p)."""
-    o = table(spark, d, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey")
-    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")
-    ranked = o.withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("o_orderpriority")))
-    at = lambda p: F.max(F.when(F.col("r") == F.floor((F.col("n") - 1) * p) + 1, F.col("o_totalprice")))
-    return ranked.groupBy("o_orderpriority").agg(at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.9).alias("q90"), F.count_if(F.col("o_totalprice") >= 250000).alias("high"))
+    o = table(spark, d, "orders").select("o_orderpriority", "o_totalprice")
+    high = o.groupBy("o_orderpriority").agg(F.count_if(F.col("o_totalprice") >= 250000).alias("high"))
+    return Q.quantiles(o, "o_orderpriority", "o_totalprice", {"q25": 0.25, "q50": 0.5, "q90": 0.9}, 1000.0).join(high, "o_orderpriority")
 
 
 def adjacency(spark, d):

@@ -82,7 +82,7 @@ def haversine(spark, d):
     points = B.stores(spark, d).select("store_id", "x", "y")
     n = S.nearest(points, c.withColumn("fence", F.struct("dealer_id", "comp")), "store_id", "fence", ["dealer_id", "comp"]).select("store_id", "fence.*")
     j = points.join(n, "store_id").join(c, ["dealer_id", "comp"])
-    return j.select("store_id", "dealer_id", F.round(S.haversine_km(F.col("x") / 1e6, F.col("y") / 1e6, F.col("mx") / 1e6, F.col("my") / 1e6), 6).alias("km"))
+    return j.select("store_id", "dealer_id", F.round(S.haversine_km(F.col("x") / 1e6, F.col("y") / 1e6, F.col("mx") / 1e6, F.col("my") / 1e6), 6).alias("km"), F.round(F.sqrt(S.km2(F.col("x"), F.col("y"), F.col("mx"), F.col("my"))), 6).alias("flat_km"), F.round(F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")), 2).alias("units"))
 
 
 def direction(spark, d):
@@ -187,7 +187,7 @@ SQL = {
     "t4_gap_districts": sql("SELECT district, count(*) AS n FROM kinded WHERE kind = 'GAP' GROUP BY 1 ORDER BY n DESC, district"),
     "a14_conflicts": sql("SELECT kind, max(c) AS n, string_agg(store_id, ',' ORDER BY store_id) FILTER (WHERE r <= 5) AS head FROM (SELECT kind, store_id, row_number() OVER (PARTITION BY kind ORDER BY store_id) AS r, count(*) OVER (PARTITION BY kind) AS c FROM kinded WHERE kind IN ('OOF', 'MULTI', 'GAP')) GROUP BY 1"),
     "j9_first_district": sql("SELECT store_id, (least((x - 113000000) // step, n - 1) // 10) * (n // 10) + least((y - 22500000) // step, n - 1) // 10 AS district FROM store, grid"),
-    "p11_haversine": sql("SELECT store_id, n.dealer_id, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(my / 1e6 - y / 1e6) / 2), 2) + cos(radians(y / 1e6)) * cos(radians(my / 1e6)) * pow(sin(radians(mx / 1e6 - x / 1e6) / 2), 2))), 6) AS km FROM near n JOIN store USING (store_id) JOIN centroid c ON c.dealer_id = n.dealer_id AND c.comp = n.comp", near=_NEAR),
+    "p11_haversine": sql("SELECT store_id, n.dealer_id, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(my / 1e6 - y / 1e6) / 2), 2) + cos(radians(y / 1e6)) * cos(radians(my / 1e6)) * pow(sin(radians(mx / 1e6 - x / 1e6) / 2), 2))), 6) AS km, round(sqrt(pow((x - mx) / 1e6 * 102.2, 2) + pow((y - my) / 1e6 * 110.574, 2)), 6) AS flat_km, round(sqrt((x - mx) * (x - mx) + (y - my) * (y - my)), 2) AS units FROM near n JOIN store USING (store_id) JOIN centroid c ON c.dealer_id = n.dealer_id AND c.comp = n.comp", near=_NEAR),
     "p13_direction": sql("SELECT dealer_id, comp, CASE WHEN abs(dx) > abs(dy) THEN CASE WHEN dx > 0 THEN 'E' ELSE 'W' END ELSE CASE WHEN dy > 0 THEN 'N' ELSE 'S' END END AS direction FROM (SELECT dealer_id, comp, mx - (SELECT avg(mx) FROM centroid) AS dx, my - (SELECT avg(my) FROM centroid) AS dy FROM centroid)"),
     "p23_clip_half_plane": sql("SELECT dealer_id, comp, count(y) AS vertices, round(min(y), 3) AS low, round(max(y), 3) AS high FROM (SELECT dealer_id, comp, unnest(CASE WHEN a >= 0 AND b >= 0 THEN [y2::DOUBLE] WHEN a >= 0 THEN [y1 + a / (a - b) * (y2 - y1)] WHEN b >= 0 THEN [y1 + a / (a - b) * (y2 - y1), y2::DOUBLE] ELSE [NULL] END) AS y FROM (SELECT e.*, y1 - (cy - h // 2) AS a, y2 - (cy - h // 2) AS b FROM fence_edge e JOIN dealer USING (dealer_id))) GROUP BY 1, 2"),
     "p20_running_length": sql("SELECT name, seg, count(*) AS vertices, round(max(along), 3) AS length FROM run GROUP BY 1, 2", run=_RUN),

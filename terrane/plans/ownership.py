@@ -61,8 +61,8 @@ def listing(spark, d):
 
 def dossier(spark, d):
     """Per dealer: components, area, stores in its fences and its contract's district."""
-    held = P.store_fence(spark, d).select("dealer_id", "store_id").distinct().groupBy("dealer_id").agg(F.count("*").alias("stores"), F.min("store_id").alias("first_store"))
-    return P.dealer_area(spark, d).join(held, "dealer_id", "left").join(contracts(spark, d), "dealer_id", "left").select("dealer_id", "components", F.round("area_km2", 6).alias("area_km2"), F.coalesce("stores", F.lit(0)).alias("stores"), "first_store", "district")
+    held = P.store_fence(spark, d).select("dealer_id", "store_id").distinct().groupBy("dealer_id").agg(F.count("*").alias("stores"), F.array_join(F.sort_array(F.collect_list("store_id")).cast("array<string>"), ",").alias("store_list"))  # a dealer's own stores
+    return P.dealer_area(spark, d).join(held, "dealer_id", "left").join(contracts(spark, d), "dealer_id", "left").select("dealer_id", "components", F.round("area_km2", 6).alias("area_km2"), F.coalesce("stores", F.lit(0)).alias("stores"), F.coalesce("store_list", F.lit("")).alias("store_list"), "district")
 
 
 def ledger(spark, d):
@@ -116,7 +116,7 @@ SQL = {
     "r10_current_assignment": "SELECT o_custkey AS store_id, arg_max(o_orderkey % 10, (o_orderdate, o_orderkey)) AS dealer_id FROM orders GROUP BY 1",
     "j15_orphan_contracts": "SELECT s_suppkey * 2 AS dealer_id, s_nationkey AS district FROM supplier WHERE s_suppkey * 2 NOT IN (SELECT s_suppkey FROM supplier)",
     "s11_region_listing": sql("SELECT district, coalesce(fences, 0) AS fences, coalesce(stores, 0) AS stores FROM (SELECT s_nationkey AS district, count(*) AS fences FROM (SELECT DISTINCT dealer_id, comp FROM fence_vertex) JOIN supplier ON s_suppkey = dealer_id GROUP BY 1) FULL JOIN (SELECT district, count(*) AS stores FROM store GROUP BY 1) USING (district)"),
-    "s13_dossier": sql("SELECT a.dealer_id, components, round(area_km2, 6) AS area_km2, coalesce(stores, 0) AS stores, first_store, c.district FROM (SELECT dealer_id, sum(area_km2) AS area_km2, count(*) AS components FROM area GROUP BY 1) a LEFT JOIN (SELECT dealer_id, count(DISTINCT store_id) AS stores, min(store_id) AS first_store FROM held GROUP BY 1) USING (dealer_id) LEFT JOIN (SELECT s_suppkey * 2 AS dealer_id, s_nationkey AS district FROM supplier) c USING (dealer_id)"),
+    "s13_dossier": sql("SELECT a.dealer_id, components, round(area_km2, 6) AS area_km2, coalesce(stores, 0) AS stores, coalesce(store_list, '') AS store_list, c.district FROM (SELECT dealer_id, sum(area_km2) AS area_km2, count(*) AS components FROM area GROUP BY 1) a LEFT JOIN (SELECT dealer_id, count(*) AS stores, string_agg(store_id, ',' ORDER BY store_id) AS store_list FROM (SELECT DISTINCT dealer_id, store_id FROM held) GROUP BY 1) USING (dealer_id) LEFT JOIN (SELECT s_suppkey * 2 AS dealer_id, s_nationkey AS district FROM supplier) c USING (dealer_id)"),
     "s14_upsert": sql("SELECT dealer_id, h + dealer_id % 2 AS size, CAST(1 + dealer_id % 2 AS INTEGER) AS version FROM dealer UNION ALL SELECT -dealer_id - 1, h, 2 FROM dealer"),
     "g9_ledger_replay": sql(_LEDGER),
     "a31_ledger_summary": sql("SELECT owner, count(*) AS units FROM led GROUP BY 1", led=_LEDGER),

@@ -151,13 +151,28 @@ def terms(spark, d):
     return S.resolve_terms(table(spark, d, "supplier").selectExpr("s_suppkey AS k").selectExpr("k AS term_id", f"{_TERM} AS term"), attributes)
 
 
+def clauses(c):
+    """(dealer_id, unit_id): what each dealer's clauses name: blocks (streets of which it holds 60 % or more), slices (of streets with 30 to 60 %,
+    the units on the dealer's side of the street's mean x), features (units along the dealer's road in streets that it touches), and pieces
+    (single units of its own with an odd number)."""
+    u = c.units.select("unit_id", "street", "x")
+    total = u.groupBy("street").agg(F.count("*").alias("total"), F.avg("x").alias("sx"))
+    own = c.sets.join(u, "unit_id")
+    share = stored(own.groupBy("dealer_id", "street").agg(F.count("*").alias("n"), F.avg("x").alias("ox")).join(total, "street").withColumn("share", F.col("n") / F.col("total")), "share")
+    block = share.where("share >= 0.6").join(u, "street").select("dealer_id", "unit_id")
+    cut = share.where("share >= 0.3 AND share < 0.6").join(u, "street").where("(ox >= sx AND x >= sx) OR (ox < sx AND x < sx)").select("dealer_id", "unit_id")
+    road = B.landmarks(c.spark, c.d).selectExpr(f"{B.cell(*B.grid(c.spark, c.d))} AS unit_id", "CAST(substring(name, 7) AS BIGINT) AS road").distinct()
+    feature = share.select("dealer_id", "street", (1 + F.col("dealer_id") % 25).alias("road")).join(u.join(road, "unit_id"), ["street", "road"]).select("dealer_id", "unit_id")
+    piece = c.sets.where("unit_id % 2 = 1").select("dealer_id", "unit_id")
+    return block.unionByName(cut).unionByName(feature).unionByName(piece).distinct()
+
+
 def clause_mismatch(spark, d):
-    """Per dealer: units of the streets that its set touches against the set itself; over is what the clauses add."""
+    """Per dealer: units that the union of its clauses adds to its set, and units of the set that it misses."""
     c = Case(spark, d)
-    street = c.units.select("unit_id", "street")
-    clause = c.sets.join(street, "unit_id").select("dealer_id", "street").distinct().join(street, "street").select("dealer_id", "unit_id")
-    over = clause.exceptAll(c.sets.select("dealer_id", "unit_id"))
-    return over.groupBy("dealer_id").agg(F.count("*").alias("over"))
+    said = clauses(c).withColumn("p", F.lit(1))
+    both = said.join(c.sets.select("dealer_id", "unit_id", F.lit(1).alias("t")), ["dealer_id", "unit_id"], "full")
+    return both.groupBy("dealer_id").agg(F.count_if(F.col("t").isNull()).alias("over"), F.count_if(F.col("p").isNull()).alias("miss"), F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("hit"))
 
 
 QUERIES = {
@@ -194,13 +209,15 @@ _NORTH = "SELECT s.dealer_id AS src, s.unit_id, y >= avg(y) OVER (PARTITION BY s
 _ATTR = f"SELECT 1 AS r, '街' || street AS name, unit_id FROM unit UNION SELECT 2, name, {_CELL} FROM landmark, grid UNION SELECT 3, '区' || district, unit_id FROM unit"
 _SIDE = f"SELECT term_id, p, trim(list_extract(string_split(term, '沿'), p)) AS name, len(string_split(term, '沿')) AS sides FROM (SELECT term_id, term, unnest(range(1, len(string_split(term, '沿')) + 1)) AS p FROM (SELECT k AS term_id, {_TERM} AS term FROM (SELECT s_suppkey AS k FROM supplier)))"
 _FOUND = "SELECT DISTINCT term_id, p, sides, unit_id FROM (SELECT *, min(r) OVER (PARTITION BY term_id, p) AS best FROM side JOIN attr USING (name)) WHERE r = best"
+_SHARE = "SELECT dealer_id, street, n / total AS share, ox, sx FROM (SELECT dealer_id, street, count(*) AS n, avg(x) AS ox FROM sets JOIN unit USING (unit_id) GROUP BY 1, 2) JOIN (SELECT street, count(*) AS total, avg(x) AS sx FROM unit GROUP BY 1) USING (street)"
+_CLAUSES = f"SELECT dealer_id, unit_id FROM share JOIN unit USING (street) WHERE share >= 0.6 OR (share >= 0.3 AND ((ox >= sx AND x >= sx) OR (ox < sx AND x < sx))) UNION SELECT dealer_id, unit_id FROM share JOIN unit USING (street) WHERE EXISTS (SELECT 1 FROM (SELECT {_CELL} AS cell, CAST(substr(name, 7) AS BIGINT) AS road FROM landmark, grid) WHERE cell = unit_id AND road = 1 + dealer_id % 25) UNION SELECT dealer_id, unit_id FROM sets WHERE unit_id % 2 = 1"
 SQL = {
     "u8_area_selector": sql("SELECT proposal_id, n, reason FROM verdict", **_V, verdict=_VERDICT),
     "u1_transfer_units": sql("SELECT * FROM later", **_V),
     "u2_merge_zones": sql("SELECT DISTINCT CASE WHEN dealer_id % 7 = 0 THEN dealer_id + 1 ELSE dealer_id END AS dealer_id, unit_id FROM sets WHERE dealer_id % 11 <> 0", **_V),
     "u3_directional_transfer": sql("SELECT * FROM (SELECT * FROM sets EXCEPT SELECT src, unit_id FROM n WHERE north) UNION SELECT src + 1, unit_id FROM n WHERE north", **_V, n=_NORTH),
     "u4_term_resolution": sql("SELECT term_id, unit_id FROM (SELECT term_id, unit_id, any_value(sides) AS sides, count(*) AS n FROM found GROUP BY 1, 2) JOIN (SELECT term_id, count(DISTINCT p) AS known FROM found GROUP BY 1) USING (term_id) WHERE sides = 1 OR known = 1 OR n = 2", attr=_ATTR, side=_SIDE, found=_FOUND),
-    "u5_clause_union": sql("SELECT dealer_id, count(*) AS over FROM (SELECT DISTINCT s.dealer_id, b.unit_id FROM sets s JOIN unit a USING (unit_id) JOIN unit b ON a.street = b.street EXCEPT SELECT * FROM sets) GROUP BY 1", **_V),
+    "u5_clause_union": sql("SELECT dealer_id, count(*) FILTER (WHERE t IS NULL) AS \"over\", count(*) FILTER (WHERE p IS NULL) AS miss, count(*) FILTER (WHERE p = 1 AND t = 1) AS hit FROM (SELECT *, 1 AS p FROM said) FULL JOIN (SELECT *, 1 AS t FROM sets) USING (dealer_id, unit_id) GROUP BY 1", **_V, share=_SHARE, said=_CLAUSES),
     "u6_uncovered_units": sql("SELECT district, count(*) AS n FROM unit WHERE unit_id NOT IN (SELECT unit_id FROM unit_in) GROUP BY 1"),
     "r11_proposal": sql("SELECT proposal_id, reason, n AS units, coalesce(a.c, 0) AS src_before, coalesce(a.c, 0) - n AS src_after, coalesce(b.c, 0) AS dst_before, coalesce(b.c, 0) + coalesce(g.c, 0) AS dst_after, coalesce(m.c, 0) AS stores FROM verdict v LEFT JOIN (SELECT dealer_id, count(*) AS c FROM sets GROUP BY 1) a ON a.dealer_id = v.src LEFT JOIN (SELECT dealer_id, count(*) AS c FROM sets GROUP BY 1) b ON b.dealer_id = v.dst LEFT JOIN (SELECT proposal_id, count(*) AS c FROM picked p WHERE NOT EXISTS (SELECT 1 FROM sets s WHERE s.dealer_id = p.dst AND s.unit_id = p.unit_id) GROUP BY 1) g USING (proposal_id) LEFT JOIN (SELECT proposal_id, count(*) AS c FROM moved GROUP BY 1) m USING (proposal_id)", **_V, verdict=_VERDICT),
     "r13_apply": sql("SELECT k.store_id, CASE WHEN m.store_id IS NULL THEN coalesce(k.dealers, '') ELSE (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT dealer_id AS x FROM kept h WHERE h.store_id = k.store_id AND h.dealer_id <> m.src UNION SELECT m.dst)) END AS dealers, coalesce(m.new_kind, k.kind) AS kind FROM kinded k LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY proposal_id) AS r FROM moved) WHERE r = 1) m ON m.store_id = k.store_id", **_V),
