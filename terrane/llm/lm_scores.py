@@ -7,7 +7,8 @@ what the trie holds, quantised downwards; the rest needs single counts only.
 No count table is ever whole in one place. Texts are tokenised into blocks of about BLOCK_TOKENS tokens, written once. A
 block asks for the counts of its distinct words, each shard of the vocabulary answers from the sums of all blocks; then it
 asks for its distinct pairs, and each shard builds the trie of its contexts and answers with codes. A frequent word or pair
-thus counts once per block. Pairs of very frequent contexts are dealt over several shards.
+thus counts once per block, and requests never outnumber the distinct words and pairs of all blocks. Pairs of very frequent
+contexts are dealt over several shards.
 """
 
 from __future__ import annotations
@@ -107,9 +108,9 @@ def _ask_words(made: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for block, words, learnt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own, n = zstandard.decompress(words).split(b"\n"), unpack(learnt)
-                cut = np.searchsorted(_hashes(own) * shards >> 32, np.arange(shards + 1))
-                some = [s for s in range(shards) if cut[s] < cut[s + 1]]
-                cells = [pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([zstandard.compress(b"\n".join(own[cut[s] : cut[s + 1]]), 1) for s in some], pa.binary()), pa.array([pack(n[cut[s] : cut[s + 1]]) for s in some], pa.binary())]
+                some, cut = np.unique(_hashes(own) * shards >> 32, return_index=True)  # shards that have words of the block
+                parts = list(zip(cut.tolist(), [*cut[1:].tolist(), len(own)], strict=True))
+                cells = [pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([zstandard.compress(b"\n".join(own[a:b]), 1) for a, b in parts], pa.binary()), pa.array([pack(n[a:b]) for a, b in parts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cells, ["shard", "block", "words", "learnt"])
 
     return made.select("block", "words", "learnt").mapInArrow(run, "shard int, block bigint, words binary, learnt binary")
@@ -156,7 +157,8 @@ class Block:
         mixed = lambda x: (x * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> 24
         self.shard = (mixed(self.context) + mixed(self.next) % parts) % shards
         self.order = np.lexsort((self.next, self.context, self.shard))
-        self.cuts = np.searchsorted(self.shard[self.order], np.arange(shards + 1))
+        self.asked, cuts = np.unique(self.shard[self.order], return_index=True)  # shards that have pairs of the block
+        self.cuts = [*cuts.tolist(), len(self.order)]
 
 
 def _rows(made: DataFrame, *more: DataFrame) -> DataFrame:
@@ -176,13 +178,12 @@ def ask_pairs(made: DataFrame, words: DataFrame, total: int, shards: int) -> Dat
         b = Block(pdf[own].iloc[0], pdf[~own], total, shards)
         learnt = np.bincount(b.at[np.repeat(~b.held, b.lengths)], minlength=len(b.context))
         out = []
-        for s in range(shards):
-            rows = b.order[b.cuts[s] : b.cuts[s + 1]]
-            if len(rows):
-                context = b.context[rows]
-                first = np.flatnonzero(np.diff(context, prepend=-1))
-                step = b.next[rows].astype(np.int64)
-                out.append((s, int(pdf["block"].iloc[0]), pack(np.diff(context[first], prepend=0)), pack(b.context_count[rows][first]), pack(np.diff(np.concatenate([first, [len(rows)]])).astype(np.int32)), pack(step), pack(learnt[rows].astype(np.int32))))
+        for n, s in enumerate(b.asked.tolist()):
+            rows = b.order[b.cuts[n] : b.cuts[n + 1]]
+            context = b.context[rows]
+            first = np.flatnonzero(np.diff(context, prepend=-1))
+            step = b.next[rows].astype(np.int64)
+            out.append((s, int(pdf["block"].iloc[0]), pack(np.diff(context[first], prepend=0)), pack(b.context_count[rows][first]), pack(np.diff(np.concatenate([first, [len(rows)]])).astype(np.int32)), pack(step), pack(learnt[rows].astype(np.int32))))
         return pd.DataFrame(out, columns=["shard", "block", "context", "context_count", "follow", "word", "learnt"])
 
     return _rows(made, words).groupBy("block").applyInPandas(work, "shard int, block bigint, context binary, context_count binary, follow binary, word binary, learnt binary")
