@@ -75,17 +75,17 @@ def recall(spark, d):
 
 
 def fidelity(spark, d):
-    """Share of 40 border samples of each dealer's first component within 3 km of the dealer's contract lines (four brands)."""
+    """Share of 40 border samples of each dealer's first component within 150 m of the dealer's contract lines (four brands)."""
     s = stored(Q.ring_samples(B.fences(spark, d).where("comp = 1").select("dealer_id", "ring"), ["dealer_id"], SAMPLES), "samples")
     wanted = B.dealers(spark, d).select("dealer_id", F.explode(F.array(*(F.concat(F.lit("Brand#"), (1 + (F.col("dealer_id") + 6 * k) % 25).cast("string")) for k in range(4)))).alias("name"))
-    met = Q.near_segments(s.join(wanted, "dealer_id"), stretches(spark, d), RADII["r3"], by=("name",))
+    met = Q.near_segments(s.join(wanted, "dealer_id"), stretches(spark, d), 150.0, by=("name",))
     return Q.share_within(s, ["dealer_id"], met)
 
 
 def correlated(spark, d):
-    """Correlation over dealers of fidelity and grid overlap."""
+    """Correlation over dealers of fidelity and grid overlap; null if one of them is the same everywhere."""
     j = fidelity(spark, d).select("dealer_id", "share").join(overlap(spark, d).select("dealer_id", "iou"), "dealer_id")
-    return j.agg(F.count("*").alias("n"), F.round(F.corr("share", "iou"), 8).alias("r"))
+    return j.agg(F.count("*").alias("n"), F.covar_pop("share", "iou").alias("c"), F.var_pop("share").alias("vs"), F.var_pop("iou").alias("vi")).select("n", F.when((F.col("vs") > 1e-12) & (F.col("vi") > 1e-12), F.round(F.col("c") / F.sqrt(F.col("vs") * F.col("vi")), 8)).alias("r"))
 
 
 def deviation(spark, d):
@@ -243,7 +243,7 @@ _SAME = "p.dealer_id = e.dealer_id AND "
 _IOU = {"one": _FIRST, "new": _NEW, "box": _BOX, "cells": _GRID, "ga": _inside("cells", "one", "p.dealer_id, p.x, p.y", _SAME), "gb": _inside("cells", "new", "p.dealer_id, p.x, p.y", _SAME), "both_": _BOTH, "sa": _inside("store", "one", "e.dealer_id, p.store_id", ""), "sb": _inside("store", "new", "e.dealer_id, p.store_id", ""), "aa": _AREA.format("one"), "ab": _AREA.format("new")}
 _IOU_SQL = "SELECT dealer_id, iou, containment, aa.area AS area, ab.area AS rebuilt_area FROM both_ LEFT JOIN (SELECT sa.dealer_id, round(count(sb.store_id) / count(*), 9) AS containment FROM sa LEFT JOIN sb USING (dealer_id, store_id) GROUP BY 1) USING (dealer_id) JOIN aa USING (dealer_id) JOIN ab USING (dealer_id)"
 _CONTRACT = "SELECT dealer_id, 'Brand#' || (1 + (dealer_id + 6 * k) % 25) AS name FROM dealer, range(4) r(k)"
-_FID = {"ones": _FIRST, "os": _samples("ones", "dealer_id"), "line": _LINES, "contract": _CONTRACT, "fid": f"SELECT dealer_id, count(*) AS n, count(*) FILTER (WHERE m <= 3000) AS hit, round(count(*) FILTER (WHERE m <= 3000) / count(*), 9) AS share FROM (SELECT p.dealer_id, p.k, min({_metres('p', 'l')}) AS m FROM os p LEFT JOIN contract c ON c.dealer_id = p.dealer_id LEFT JOIN line l ON l.name = c.name GROUP BY 1, 2) GROUP BY 1"}
+_FID = {"ones": _FIRST, "os": _samples("ones", "dealer_id"), "line": _LINES, "contract": _CONTRACT, "fid": f"SELECT dealer_id, count(*) AS n, count(*) FILTER (WHERE m <= 150) AS hit, round(count(*) FILTER (WHERE m <= 150) / count(*), 9) AS share FROM (SELECT p.dealer_id, p.k, min({_metres('p', 'l')}) AS m FROM os p LEFT JOIN contract c ON c.dealer_id = p.dealer_id LEFT JOIN line l ON l.name = c.name GROUP BY 1, 2) GROUP BY 1"}
 _DEV = f"SELECT dealer_id, round(m, 4) AS m FROM (SELECT p.dealer_id, p.pos, min({_metres('p', 'e')}) AS m FROM (SELECT dealer_id, pos, x1 AS x, y1 AS y FROM one) p JOIN new e ON e.dealer_id = p.dealer_id GROUP BY 1, 2 UNION ALL SELECT p.dealer_id, p.pos, min({_metres('p', 'e')}) FROM (SELECT dealer_id, pos, x1 AS x, y1 AS y FROM new) p JOIN one e ON e.dealer_id = p.dealer_id GROUP BY 1, 2)"
 _OWNED = "SELECT a.dealer_id, CASE WHEN a.dealer_id % 4 <> 0 THEN a.area_km2 END AS owned, coalesce(stores, 0) AS stores, a.area_km2 FROM (SELECT dealer_id, sum(area_km2) AS area_km2 FROM area GROUP BY 1) a LEFT JOIN (SELECT dealer_id, count(DISTINCT store_id) AS stores FROM held GROUP BY 1) USING (dealer_id)"
 _PART = "SELECT s.dealer_id, u.{k}, count(*) AS n, (SELECT count(*) FROM unit o WHERE o.{k} = u.{k}) AS total, (SELECT count(*) FROM sets o WHERE o.dealer_id = s.dealer_id) AS own FROM sets s JOIN unit u USING (unit_id) GROUP BY s.dealer_id, u.{k}"
@@ -259,10 +259,10 @@ SQL = {
     "a27_boundary_recall": sql("SELECT dealer_id, comp, round(count(*) FILTER (WHERE m <= 1000) / count(*), 9) AS r1, round(count(*) FILTER (WHERE m <= 3000) / count(*), 9) AS r3 FROM near_line GROUP BY 1, 2", fs=_FS, line=_LINES, near_line=_NEAREST),
     "a28_boundary_deviation": sql("SELECT dealer_id, max(m) FILTER (WHERE r = n // 2 + 1) AS median FROM (SELECT *, row_number() OVER (PARTITION BY dealer_id ORDER BY m) AS r, count(*) OVER (PARTITION BY dealer_id) AS n FROM dev) GROUP BY 1", one=_FIRST, new=_NEW, dev=_DEV),
     "a29_fidelity": sql("SELECT * FROM fid", **_FID),
-    "a33_correlation": sql(f"SELECT count(*) AS n, round(corr(share, iou), 8) AS r FROM fid JOIN ({_IOU_SQL}) USING (dealer_id)", **_FID, **_IOU),
+    "a33_correlation": sql(f"SELECT count(*) AS n, CASE WHEN var_pop(share) > 1e-12 AND var_pop(iou) > 1e-12 THEN round(covar_pop(share, iou) / sqrt(var_pop(share) * var_pop(iou)), 8) END AS r FROM fid JOIN ({_IOU_SQL}) USING (dealer_id)", **_FID, **_IOU),
     "a36_corridor": sql("SELECT dealer_id, round(max(km) FILTER (WHERE r = least(floor(n * 0.95) + 1, n)) + 1.5, 6) AS radius, max(km) FILTER (WHERE r = least(floor(n * 0.5) + 1, n)) AS tau FROM (SELECT *, row_number() OVER (PARTITION BY dealer_id ORDER BY km) AS r, count(*) OVER (PARTITION BY dealer_id) AS n FROM (SELECT dealer_id, round(sqrt(pow((x - cx) / 1e6 * 102.2, 2) + pow((y - cy) / 1e6 * 110.574, 2)), 6) AS km FROM dealer JOIN landmark ON name = 'Brand#' || (1 + dealer_id % 25) AND pos % 5 = 0)) GROUP BY 1"),
     "j12_unit_roads": sql(f"SELECT DISTINCT unit_id, name FROM unit p, line l WHERE {_metres('p', 'l')} <= 1000", line=_LINES),
-    "j18_candidate_snap": sql("SELECT dealer_id, comp, CAST(k AS INTEGER) AS k, CAST(rank AS INTEGER) AS rank, name, seg, round(-pow(m / 1000.0, 2) / 2 + CASE WHEN CAST(substr(name, 7) AS INTEGER) % 3 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY dealer_id, comp, k ORDER BY m, name, pos) AS rank FROM (SELECT p.dealer_id, p.comp, p.k, l.name, l.seg, l.pos, round(" + _metres("p", "l") + ", 4) AS m FROM fs p, line l) WHERE m <= 3000) WHERE rank <= 5", fs=_FS, line=_LINES),
+    "j18_candidate_snap": sql("SELECT dealer_id, comp, CAST(k AS INTEGER) AS k, CAST(rank AS INTEGER) AS rank, name, seg, round(-pow(m / 1000.0, 2) / 2 + CASE WHEN CAST(substr(name, 7) AS INTEGER) % 3 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END, 6) + 0.0::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY dealer_id, comp, k ORDER BY m, name, pos) AS rank FROM (SELECT p.dealer_id, p.comp, p.k, l.name, l.seg, l.pos, round(" + _metres("p", "l") + ", 4) AS m FROM fs p, line l) WHERE m <= 3000) WHERE rank <= 5", fs=_FS, line=_LINES),
     "p26_clip_radius": sql("SELECT dealer_id, round(sqrt(greatest(2.0::DOUBLE, stores / 0.5::DOUBLE) / pi()) * 1.6::DOUBLE, 6) AS blind, round(oracle, 6) AS oracle FROM owned JOIN (SELECT dealer_id, sqrt(max(pow((x - cx) / 1e6 * 102.2, 2) + pow((y - cy) / 1e6 * 110.574, 2))) * 1.25::DOUBLE AS oracle FROM fence_vertex JOIN dealer USING (dealer_id) GROUP BY 1) USING (dealer_id)", owned=_OWNED),
     "r14_rebuilt_quality": sql("SELECT dealer_id, round(estimate, 6) AS estimate, km2 BETWEEN 0.3 * estimate AND 3 * estimate AS ok FROM (SELECT dealer_id, coalesce(owned, greatest(2.0::DOUBLE, stores / 0.05::DOUBLE)) AS estimate FROM owned) JOIN (SELECT dealer_id, abs(sum((x1 - 113000000) * (y2 - 22500000) - (x2 - 113000000) * (y1 - 22500000))) / 2.0 / 1e12 * 111.32 * 111.32 * cos(radians(22.5)) AS km2 FROM new GROUP BY 1) USING (dealer_id)", owned=_OWNED, new=_NEW),
     "w4_nearest_share": sql("SELECT dealer_id, street, unit_id FROM (SELECT dealer_id, street, unit_id, row_number() OVER (PARTITION BY dealer_id, street ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), unit_id) AS r, count(*) OVER (PARTITION BY dealer_id, street) AS n FROM (SELECT DISTINCT dealer_id, street FROM sets JOIN unit USING (unit_id)) JOIN unit USING (street) JOIN dealer USING (dealer_id)) WHERE r <= greatest(1, round_even(n * 0.4::DOUBLE, 0))", sets=scenarios._SETS),
