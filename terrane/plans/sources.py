@@ -100,6 +100,15 @@ def moved_systems(spark, d):
     return s.select("store_id", F.round("wlon", 6).alias("lon"), F.round("wlat", 6).alias("lat"), (off < 2e-5).alias("back"))
 
 
+def written(spark, d):
+    """Stores as packs write them: every other region in the shifted system, the others as they are, 6 digits; read again as text."""
+    path = _folder(spark, "written")
+    s = B.stores(spark, d).select("store_id", (F.col("x") / 1e6).alias("lon"), (F.col("y") / 1e6).alias("lat"), (F.col("district") % 4).alias("region_id"))
+    lon, lat = packs.from_wgs(F.col("lon"), F.col("lat"), F.col("region_id") % 2 == 1)
+    packs.write_pack(s.select(F.col("store_id").cast("string").alias("name"), lon.alias("lon"), lat.alias("lat"), "region_id"), path)
+    return packs.read_stores(spark, path).select(F.col("name").cast("long").alias("store_id"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.col("region_id").cast("int").alias("region_id"))
+
+
 def rings(spark, d):
     """Rings in hundredths of a degree, rounded to whole ones, closed and without repeats."""
     r = F.transform("ring", lambda p: F.struct((p["x"] / 1e4).alias("x"), (p["y"] / 1e4).alias("y")))
@@ -128,6 +137,7 @@ QUERIES = {
     "j16_chain_problems": lambda s, d: citations(s, d)[1],
     "s7_landmark_lines": extract_lines,
     "s8_stitched_rings": extract_rings,
+    "s9_written_pack": written,
     "p12_coordinate_systems": moved_systems,
     "p18_normalised_rings": rings,
     "p25_area_ids": area_ids,
@@ -150,6 +160,7 @@ SQL = {
     "s7_landmark_lines": sql("SELECT class, name, CAST(count(*) AS BIGINT) AS segments, CAST(sum(n) AS BIGINT) AS points FROM (SELECT 'river' AS class, name, n FROM tagged WHERE waterway = 'river' AND name <> '' UNION ALL SELECT 'road', name, n FROM tagged WHERE highway IN ('primary', 'trunk') AND name <> '' UNION ALL SELECT 'ref', ref, n FROM tagged WHERE highway IN ('primary', 'trunk') AND starts_with(ref, 'G') UNION ALL SELECT 'district', name, n FROM tagged WHERE boundary = 'administrative' AND admin_level = '8' AND name <> '' UNION ALL SELECT 'district', 'F-' || dealer_id || '-' || comp, m FROM (SELECT dealer_id, comp, count(*) AS v FROM fence_vertex WHERE dealer_id % 2 = 0 GROUP BY 1, 2), LATERAL (VALUES (3), (2), (v - 2), (2)) t(m)) GROUP BY 1, 2", tagged=_TAGGED),
     "s8_stitched_rings": sql("SELECT 'F-' || dealer_id || '-' || comp AS name, CAST(0 AS INTEGER) AS ring, CAST(count(*) + 1 AS INTEGER) AS points, true AS closed FROM fence_vertex GROUP BY dealer_id, comp"),
     "p12_coordinate_systems": sql(f"SELECT store_id, round(CASE WHEN store_id % 3 = 0 THEN lon ELSE lon - {_DLON} * 180 / (6378245.0 / sqrt({_MAGIC}) * cos(radians(lat)) * {_PI}) END, 6) AS lon, round(CASE WHEN store_id % 3 = 0 THEN lat ELSE lat - {_DLAT} * 180 / (6378245.0 * (1 - 0.00669342162296594323::DOUBLE) / ({_MAGIC} * sqrt({_MAGIC})) * {_PI}) END, 6) AS lat, true AS back FROM (SELECT store_id, x / 1e6 AS lon, y / 1e6 AS lat FROM store)"),
+    "s9_written_pack": sql(f"SELECT store_id, round(CASE WHEN region_id % 2 = 0 THEN lon ELSE lon + {_DLON} * 180 / (6378245.0 / sqrt({_MAGIC}) * cos(radians(lat)) * {_PI}) END, 6) AS lon, round(CASE WHEN region_id % 2 = 0 THEN lat ELSE lat + {_DLAT} * 180 / (6378245.0 * (1 - 0.00669342162296594323::DOUBLE) / ({_MAGIC} * sqrt({_MAGIC})) * {_PI}) END, 6) AS lat, region_id FROM (SELECT store_id, x / 1e6 AS lon, y / 1e6 AS lat, CAST(district % 4 AS INTEGER) AS region_id FROM store)"),
     "p18_normalised_rings": sql("SELECT dealer_id, comp, CAST(count(*) FILTER (WHERE pos = 0 OR x <> px OR y <> py) + CAST(arg_max(x, pos) <> arg_min(x, pos) OR arg_max(y, pos) <> arg_min(y, pos) AS INTEGER) AS INTEGER) AS points, true AS closed FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM (SELECT dealer_id, comp, pos, round_even(x / 1e4, 0) AS x, round_even(y / 1e4, 0) AS y FROM fence_vertex) WINDOW w AS (PARTITION BY dealer_id, comp ORDER BY pos)) GROUP BY 1, 2"),
     "p25_area_ids": sql("SELECT DISTINCT dealer_id, comp, 'A' || upper(substr(md5(CAST(dealer_id AS VARCHAR)), 1, 8)) || CASE WHEN comp > 1 THEN '-' || comp ELSE '' END AS area_id FROM fence_vertex"),
     "s10_pack_rules": sql("SELECT rule, CAST(r AS INTEGER) AS region_id, count(*) AS n FROM (SELECT 'fence.area_id' AS rule, dealer_id % 3 AS r FROM f WHERE dealer_id % 9 = 4 UNION ALL SELECT 'fence.area_km2', dealer_id % 3 FROM f WHERE dealer_id % 8 = 2 UNION ALL SELECT 'store.district', store_id % 3 FROM store WHERE store_id % 17 = 5 UNION ALL SELECT 'store.lat', store_id % 3 FROM store WHERE store_id % 23 = 7 UNION ALL SELECT 'coordinates', store_id % 3 FROM store WHERE store_id % 19 = 3 UNION ALL SELECT 'illegal_kind', store_id % 3 FROM store WHERE store_id % 29 = 11 UNION ALL SELECT 'kind_total', region_id FROM fault GROUP BY region_id HAVING count(*) FILTER (WHERE kind = 'MULTI') > 0 UNION ALL SELECT 'orphan_contract', dealer_id * 2 % 3 FROM dealer d WHERE dealer_id * 2 NOT IN (SELECT dealer_id FROM dealer)) GROUP BY 1, 2", f="SELECT DISTINCT dealer_id, comp FROM fence_vertex", fault=_FAULTS),
