@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.classify import kind
+from terrane.session import stored
 
 # Words for a whole area, for its halves, and selectors that only stores can answer.
 WHOLE = ["全部", "整体", "所有", "", "不做了", "退出", "整个区域", "整个"]
@@ -42,7 +43,7 @@ def select_units(proposals: DataFrame, sets: DataFrame, units: DataFrame) -> tup
     own = own.join(middle, "proposal_id")
     on_side = F.when(F.col("half") == "east", F.col("x") >= F.col("mx")).when(F.col("half") == "west", F.col("x") < F.col("mx")).when(F.col("half") == "north", F.col("y") >= F.col("my")).when(F.col("half") == "south", F.col("y") < F.col("my"))
     tier = F.when(F.col("src") == F.col("dst"), None).when(F.col("selector").isin(WHOLE), 1).when(F.col("half").isNotNull(), F.when(on_side, 2)).when(F.col("street") == F.col("selector"), 3).when((F.col("district") == F.col("selector")) | (F.col("district") == F.replace("selector", F.lit("区"), F.lit(""))), 4)
-    hit = own.withColumn("tier", tier).where("tier IS NOT NULL")
+    hit = stored(own.withColumn("tier", tier).where("tier IS NOT NULL").select("proposal_id", "unit_id", "src", "dst", "tier"), "hit")  # read several times
     first = hit.groupBy("proposal_id").agg(F.min("tier").alias("tier"))
     picked = hit.join(first.select("proposal_id", "tier"), ["proposal_id", "tier"])
     per = picked.groupBy("proposal_id").agg(F.count("*").alias("n"), F.first("tier").alias("tier"))
