@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrane.llm import host_rules, langid, lm_scores, mixing, piece_codec, quality_mil, sharding, simhash, token_counts, topk
+from terrane.llm import host_rules, langid, licence_scan, lm_scores, mixing, periodic_runs, piece_codec, prefix_trie, quality_mil, sharding, simhash, token_counts, topk
 from terrane.session import table
 
 
@@ -24,12 +24,17 @@ QUERIES = {
     "op8_mixing": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)),
     "op9_piece_codec": lambda spark, sf_dir: piece_codec.digests(piece_codec.round_trip(documents(spark, sf_dir))),
     "op10_sharding": lambda spark, sf_dir: sharding.balanced_shards(documents(spark, sf_dir)),
+    "op11_prefix_trie": lambda spark, sf_dir: prefix_trie.trie_nodes(table(spark, sf_dir, "conversations")),
+    "op12_periodic_runs": lambda spark, sf_dir: periodic_runs.run_digests(documents(spark, sf_dir)),
+    "op13_licence_scan": lambda spark, sf_dir: licence_scan.licences(documents(spark, sf_dir)),
     "pipeline": run,
 }
 ORACLE_SQL = {
     "op6_topk": topk.SQL,
     "op7_host_rules": host_rules.SQL,
     "op8_mixing": mixing.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
+    "op13_licence_scan": licence_scan.SQL,
 }
 if PIPELINE_SQL:
     ORACLE_SQL["pipeline"] = PIPELINE_SQL
