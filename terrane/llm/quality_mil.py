@@ -20,9 +20,9 @@ from terrane.llm.text import by_slices, held_out
 from terrane.session import ship
 
 PASSAGE = 64
-#: Bounds of the fit: labelled documents, those of smallest id hash, and the bytes of their texts together. Texts of more than
-#: LONG bytes come last in this order. Whole texts are learnt from.
-SAMPLE_DOCUMENTS, SAMPLE_BYTES, LONG = 6000, 32 << 20, 1 << 20
+#: Bounds of the fit: labelled documents, those of smallest id hash, and the bytes of their texts together (the last one may
+#: pass it). Whole texts are learnt from.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 6000, 32 << 20
 HIDDEN, GATE, STEPS, RATE, DECAY, BATCH = 16, 8, 250, 0.03, 1e-4, 512
 CUTOFF = 0.3
 #: Added to the spread of a word bucket before it is scaled by it, so that rare words don't count more than frequent ones.
@@ -173,20 +173,18 @@ def train(x: np.ndarray, lengths: np.ndarray, y: np.ndarray, steps: int = STEPS,
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, np.ndarray] | None:
     """Parameters learnt from ``labels`` (doc_id, quality) and the texts of ``documents``; None without labelled texts.
 
-    The sample is the first ``sample`` documents with a label, in order of their id's hash, as long as their texts have
-    ``sample_bytes`` together (the first counts in any case); texts of more than LONG bytes come after all others. Of
-    several labels of one document, and of several rows of one id, the smallest counts. Only features of this bounded
-    sample reach the driver, as 16-bit floats.
+    The sample is the first ``sample`` documents that have both a label and a text, in order of their id's hash, as long as
+    the texts before one have less than ``sample_bytes`` together. Of several labels of one document the smallest counts, of
+    several rows of one id the shortest text. Ids and sizes of all labelled documents meet before the sample is taken, so
+    labels without a document don't thin it. Only features of this bounded sample reach the driver, as 16-bit floats.
     """
     ship(documents.sparkSession)
     ids = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)  # some have no text
-    sizes = documents.where("text is not null").select("doc_id", F.octet_length("text").cast("long").alias("bytes")).join(F.broadcast(ids), "doc_id")  # a bounded sample
-    sizes = sizes.groupBy("doc_id", "quality").agg(F.min("bytes").alias("bytes"))
-    order = Window.orderBy(F.col("bytes") > LONG, F.xxhash64("doc_id"), "doc_id")  # 2 * sample rows at most
-    ranked = sizes.withColumns({"nth": F.row_number().over(order), "sum": F.sum("bytes").over(order)})
-    ids = ranked.where((F.col("nth") <= sample) & ((F.col("sum") <= sample_bytes) | (F.col("nth") == 1)))
-    chosen = documents.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "quality", "bytes")), "doc_id").where(F.octet_length("text") == F.col("bytes"))
+    sizes = documents.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min(F.octet_length("text").cast("long")).alias("bytes"))
+    both = sizes.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # the rows of the sample
+    ids = both.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).where(F.col("before") < sample_bytes)
+    chosen = documents.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "quality", "bytes")), "doc_id").where(F.octet_length("text") == F.col("bytes"))  # ``sample`` rows at most
     chosen = chosen.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
