@@ -8,6 +8,7 @@ Piece probabilities are fitted by expectation-maximisation over the words of a s
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from functools import lru_cache
 from itertools import chain
@@ -23,10 +24,12 @@ from terrane.llm import pieces
 from terrane.llm.text import by_slices, held_out
 from terrane.session import ship
 
-#: Bound of the fit: documents for each language, those of smallest id hash. Their whole texts are counted.
-SAMPLE_PER_LANGUAGE = 300
-#: Characters of the parts that a longer word is cut into while fitting, and words whose matches are held at once.
-PART, HELD_WORDS = 64, 20_000
+#: Bounds of the fit: documents for each language, those of smallest id hash, and the bytes of their texts together (the last
+#: may pass it); languages, those of most rows. Whole texts are counted.
+SAMPLE_PER_LANGUAGE, SAMPLE_BYTES, MOST_LANGUAGES = 300, 8 << 20, 256
+#: Characters from which on a word is fitted in logarithms, characters of it whose matches are held at once, and shorter words
+#: whose matches are.
+LONG_WORD, BLOCK, HELD_WORDS = 64, 1 << 16, 20_000
 #: Ids put in order for each one that is sampled, as expected by their hashes.
 SPARE = 3
 ROUNDS, SMOOTHING = 2, 0.05
@@ -66,20 +69,50 @@ def _longest(path: str) -> int:
     return max(map(len, pieces.load(path).ids))
 
 
-def parts_of(word: str) -> list[str]:
-    """A word with its gap, in parts of PART characters."""
-    word = pieces.GAP + word
-    return [word] if len(word) <= PART else [word[k : k + PART] for k in range(0, len(word), PART)]
-
-
-def fit_language(counts: Counter, automaton: ahocorasick.Automaton, size: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities that expectation-maximisation finds for counts of words or their parts, from equal ones on."""
-    held = {w: matches_of(automaton, w) for w in list(counts)[:HELD_WORDS]}  # the rest is matched again in each round
+def matches_within(automaton: ahocorasick.Automaton, word: str, a: int, b: int, longest: int) -> list[list[tuple[int, int]]]:
+    """:func:`matches_of` ``word`` for the end positions from a to b; no piece has more than ``longest`` characters."""
+    back = max(0, a - longest)
+    return [[(s + back, k) for s, k in found] for found in matches_of(automaton, word[back:b])[a - back :]]
+
+
+def expect_long(word: str, n: int, log_p: list[float], expected: list[float], automaton: ahocorasick.Automaton, longest: int) -> None:
+    """Adds ``n`` times the expected pieces of one word of any length to ``expected``: forward and backward in logarithms, two
+    numbers a character and the matches of BLOCK characters at once."""
+    size = len(word)
+    forward = array("d", [0.0])
+    for a in range(0, size, BLOCK):
+        for found in matches_within(automaton, word, a, min(size, a + BLOCK), longest):
+            own = [forward[s] + log_p[k] for s, k in found]
+            most = max(own)
+            forward.append(most + math.log(sum(math.exp(x - most) for x in own)))
+    backward = array("d", [-math.inf]) * size
+    backward.append(0.0)
+    total = forward[size]
+    for a in reversed(range(0, size, BLOCK)):
+        b = min(size, a + BLOCK)
+        found = matches_within(automaton, word, a, b, longest)
+        for end in range(b, a, -1):
+            for s, k in found[end - 1 - a]:
+                x = backward[end] + log_p[k]
+                expected[k] += n * math.exp(forward[s] + x - total)
+                high, low = max(backward[s], x), min(backward[s], x)
+                backward[s] = high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
+def fit_language(counts: Counter, automaton: ahocorasick.Automaton, size: int, longest: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Piece probabilities that expectation-maximisation finds for counts of words, from equal ones on; ``longest``: characters
+    of the longest piece."""
+    short = [w for w in counts if len(w) <= LONG_WORD]
+    held = {w: matches_of(automaton, w) for w in short[:HELD_WORDS]}  # the rest is matched again in each round
     prob = np.full(size + 1, 1.0 / size)
     prob[-1] = UNKNOWN  # index -1
     for _ in range(rounds):
         p, expected = prob.tolist(), [0.0] * (size + 1)
+        log_p = np.log(prob).tolist()
         for word, n in counts.items():
+            if len(word) > LONG_WORD:
+                expect_long(word, n, log_p, expected, automaton, longest)
+                continue
             ends = held.get(word) or matches_of(automaton, word)
             forward = [1.0] + [0.0] * len(ends)
             for end, found in enumerate(ends, 1):
@@ -100,40 +133,47 @@ def fit_language(counts: Counter, automaton: ahocorasick.Automaton, size: int, r
     return prob[:-1]
 
 
-def fit(documents: DataFrame, model: str | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(documents: DataFrame, model: str | None = None, per_language: int = SAMPLE_PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, pieces x languages log probabilities, log priors) from ``documents`` (doc_id, text, lang).
 
-    At most ``per_language`` documents of each language are looked at, those of smallest id hash; rows with a null
-    language or text aren't. Only ids whose hash is below SPARE times the share that is wanted are put in order, each once,
-    so a hot language or id sends no more than a small one; of rows of equal language and id, the smallest text counts.
-    All words of these texts count; words of more than PART characters count as their parts. Languages are fitted in
-    parallel; what reaches the driver is bounded by the vocabulary and one row for each language.
+    The ``most`` languages of most rows are learnt (ties: by name), each from at most ``per_language`` documents, those of
+    smallest id hash, as long as the texts before one have less than ``sample_bytes`` together; rows with a null language or
+    text aren't looked at. Only ids whose hash is below SPARE times the share that is wanted are put in order, each once, so
+    a hot language or id sends no more than a small one; of rows of equal language and id, the shortest and then smallest
+    text counts. Words are counted where the texts lie and the counts summed by word; then languages are fitted in parallel,
+    from counts of bounded size. What reaches the driver is bounded by the vocabulary and one row for each language.
     """
     ship(documents.sparkSession)
     path = model or pieces.default_model()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    labelled = documents.where("lang is not null and text is not null")
-    seen = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).collect()  # one row per language
+    labelled = documents.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    seen = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(most).collect()
     priors, share = {r.lang: r.n for r in seen}, {r.lang: SPARE * per_language / max(1, r.ids) for r in seen}
     if not priors:
         return [], np.empty((0, 0)), np.empty(0)
     below = F.create_map(*[F.lit(x) for name, part in share.items() for x in (name, (1 << 63) - 1 if part >= 1 else int(2.0**63 * (2 * part - 1)))])
-    few = labelled.where(F.xxhash64("doc_id") <= below[F.col("lang")]).select("lang", "doc_id").distinct()
-    ids = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "doc_id")
-    chosen = labelled.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"])  # a bounded sample
-    chosen = chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    few = labelled.where(F.xxhash64("doc_id") <= below[F.col("lang")]).groupBy("lang", "doc_id").agg(F.min(F.octet_length("text").cast("long")).alias("bytes"))
+    ids = few.withColumns({"r": F.row_number().over(order), "before": F.sum("bytes").over(order) - F.col("bytes")})
+    ids = ids.where((F.col("r") <= per_language) & (F.col("before") < sample_bytes)).select("lang", "doc_id", "bytes")
+    chosen = labelled.join(F.broadcast(ids), ["lang", "doc_id"]).where(F.octet_length("text") == F.col("bytes"))  # a bounded sample
+    chosen = chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts: Counter = Counter()
+        for lang, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for word in t.lower().split():
+                counts[lang, word] += 1
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
+
+    words = by_slices(chosen, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         automaton, size = _automaton(path)
-        counts: Counter = Counter()
-        for t in pdf["text"]:
-            for word, n in Counter(t.lower().split()).items():
-                for part in parts_of(word):
-                    counts[part] += n
-        prob = fit_language(counts, automaton, size)
+        counts = Counter({pieces.GAP + w: n for w, n in sorted(zip(pdf["word"], pdf["n"].tolist(), strict=True))})
+        prob = fit_language(counts, automaton, size, _longest(path))
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "prob": [prob.tolist()]})
 
-    rows = sorted(chosen.groupBy("lang").applyInPandas(work, "lang string, prob array<double>").collect(), key=lambda r: r.lang)
+    rows = sorted(words.groupBy("lang").applyInPandas(work, "lang string, prob array<double>").collect(), key=lambda r: r.lang)
     names = [r.lang for r in rows]
     if not names:
         return [], np.empty((0, 0)), np.empty(0)
@@ -154,7 +194,8 @@ class LanguageScorer:
     def long_word(self, word: str) -> np.ndarray:
         """One word of any length, rescaled as it goes so that nothing underflows."""
         forward, scale = {0: np.ones(self.prob.shape[1])}, np.zeros(self.prob.shape[1])
-        for end, found in enumerate(matches_of(self.automaton, word), 1):
+        blocks = (matches_within(self.automaton, word, a, min(len(word), a + BLOCK), self.longest) for a in range(0, len(word), BLOCK))
+        for end, found in enumerate(chain.from_iterable(blocks), 1):
             forward[end] = sum(forward[s] * self.prob[k] for s, k in found)
             forward.pop(end - self.longest, None)  # no later piece starts there
             if end % 16 == 0:

@@ -8,6 +8,7 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import ahocorasick
 import duckdb
 import numpy as np
 import pytest
@@ -163,18 +164,57 @@ def test_quality_of_repeated_ids_clashing_labels_and_extra_columns(spark):
     out = quality_mil.quality(df, labels).collect()
     assert len(out) == 360 and all(r.predicted == r.doc_id % 2 for r in out if r.doc_id != 2)
     assert quality_mil.fit(df, labels, sample=7) is not None and quality_mil.fit(df, labels.limit(0)) is None
-
-
-def test_language_fit_reads_whole_words_and_texts():
-    assert "".join(langid.parts_of("x" * 200)) == pieces.GAP + "x" * 200
-    automaton, size = langid._automaton(pieces.default_model())
-    near = langid.fit_language(Counter({pieces.GAP + "the": 5}), automaton, size)
-    held = langid.HELD_WORDS
-    try:
-        langid.HELD_WORDS = 0
-        assert np.array_equal(near, langid.fit_language(Counter({pieces.GAP + "the": 5}), automaton, size))
-    finally:
-        langid.HELD_WORDS = held
+    lost = spark.range(1000, 61_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality").unionByName(labels.selectExpr("doc_id", "cast(quality as int) quality"))
+    assert quality_mil.fit(df, lost, sample=20) is not None  # most labels have no document
+
+
+def small_vocabulary(words):
+    automaton = ahocorasick.Automaton()
+    for k, w in enumerate(words):
+        automaton.add_word(w, (k << 10) | len(w))
+    automaton.make_automaton()
+    return automaton
+
+
+def segmentations(word, ids):
+    """All ways to cut a word into pieces; a character that is no piece stands for itself as -1."""
+    if not word:
+        yield []
+    for k in range(1, len(word) + 1):
+        piece = ids.get(word[:k], -1 if k == 1 else None)
+        if piece is not None:
+            for rest in segmentations(word[k:], ids):
+                yield [piece, *rest]
+
+
+@pytest.mark.parametrize("long_word", [64, 3, 0])
+def test_language_fit_equals_sums_over_all_segmentations(monkeypatch, long_word):
+    monkeypatch.setattr(langid, "LONG_WORD", long_word)
+    monkeypatch.setattr(langid, "BLOCK", 3)
+    monkeypatch.setattr(langid, "HELD_WORDS", 2)
+    vocabulary = ["a", "b", "c", "ab", "bc", "abc", "ca", "aa", "bca", "cab"]
+    ids = {w: k for k, w in enumerate(vocabulary)}
+    counts = Counter({"abca": 3, "aabcab": 2, "b": 5, "axbc": 1, "cabcabcab": 4})
+    prob = np.full(11, 0.1)
+    prob[-1] = langid.UNKNOWN
+    for _ in range(2):
+        expected = np.zeros(11)
+        for word, n in counts.items():
+            ways = [(np.prod([prob[k] for k in way]), way) for way in segmentations(word, ids)]
+            for p, way in ways:
+                for k in way:
+                    expected[k] += n * p / sum(x for x, _ in ways)
+        prob = (expected + langid.SMOOTHING) / (expected + langid.SMOOTHING)[:-1].sum()
+        prob[-1] = langid.UNKNOWN
+    got = langid.fit_language(counts, small_vocabulary(vocabulary), 10, 3, 2)
+    assert np.allclose(got, prob[:-1], rtol=1e-9)
+
+
+def test_language_fit_is_bounded_in_bytes_and_languages(spark):
+    rows = [(k, "word " * 2000, f"l{k % 40:02d}") for k in range(400)] + [(1000 + k, "le chat dort", "fr") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, probs, priors = langid.fit(df, sample_bytes=15_000, most=3)
+    assert names == ["fr", "l00", "l01"] and probs.shape[1] == 3 and len(priors) == 3
 
 
 def test_very_long_words_and_texts_of_no_words(spark):
