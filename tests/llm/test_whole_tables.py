@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import sys
+import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -13,6 +14,7 @@ import duckdb
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer, models
 
@@ -107,24 +109,58 @@ def test_mix_of_a_split_tie_keeps_other_columns(spark):
     assert Counter(map(tuple, out)) == Counter(rows)
 
 
-def test_shards_of_hot_groups_are_even_and_whole_where_there_is_room(spark):
+def plain_shards(rows, shards=24):
+    """(doc_id, size, crc32, shard, slot) by sorting all rows in one list."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def sub(doc):
+        return 42 % sharding.PARTS if doc is None else signed(xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42)) % sharding.PARTS
+
+    def key(row):
+        t = (row[1] or "").encode()
+        return signed(xxhash.xxh64_intdigest(t, 42)), zlib.crc32(t), len(t) + 8, sub(row[0]), row[0] is not None, row[0] or 0
+
+    order = sorted(key(r) for r in rows)
+    sizes = Counter()
+    for o in order:
+        sizes[o[:3]] += o[2]
+    total, start, groups = sum(sizes.values()), 0, []
+    for own in dict.fromkeys(o[:3] for o in order):
+        groups.append((start, sizes[own]))
+        start += sizes[own]
+    cuts = []
+    for k in range(1, shards):
+        at = total * k / shards
+        s, n = next(g for g in groups if g[0] <= at < g[0] + g[1])
+        near = s if at - s <= s + n - at else s + n
+        cuts.append(near if abs(near - at) <= total / shards / 32 else at)
+    out, at, slots = [], 0, Counter()
+    for o in order:
+        shard = sum(c <= at + o[2] / 2 for c in cuts)
+        out.append((o[5] if o[4] else None, o[2], o[1], shard, slots[shard]))
+        slots[shard] += 1
+        at += o[2]
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_shards_equal_a_plain_sort(spark, parts):
     cases = {
-        "near a shard": [("same", 380)] + [(f"t{k:05d}", 1) for k in range(9620)],
-        "many large": [(f"g{k:04d}", 300) for k in range(30)] + [(f"t{k:05d}", 1) for k in range(1000)],
-        "one holds a third": [("hot", 4000)] + [(f"t{k:05d}", 1) for k in range(8000)],
+        "near a shard": [("same", 380)] + [(f"t{k:05d}", 1) for k in range(4000)],
+        "many large": [(f"g{k:04d}", 300) for k in range(20)] + [(f"t{k:05d}", 1) for k in range(1000)],
+        "one holds a third": [("hot", 3000)] + [(f"t{k:05d}" * (1 + k % 9), 1) for k in range(3000)],
+        "long and blank": [("x" * 50_000, 1), ("", 5), (None, 5)] + [("é" * k, 2) for k in range(200)],
+        "few": [("a", 1), ("b", 2)],
     }
     for name, groups in cases.items():
-        rows = [(None if k % 97 == 0 else k // 2, t) for k, t in enumerate(t for t, n in groups for _ in range(n))]
-        out = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).toPandas()
-        per = out.groupby("shard")["size"].sum()
-        target = out["size"].sum() / 24
-        assert len(out) == len(rows) and len(per) == 24 and abs(per - target).max() <= target / 16 + out["size"].max(), name
-        assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
-        parts = out.groupby("text_crc32").shard.nunique()
-        if name == "near a shard":
-            assert parts.max() == 1
-        if name == "one holds a third":
-            assert (parts > 1).sum() == 1
+        rows = [(None if k % 97 == 0 else 7 if k % 3 == 0 else k // 2, t) for k, t in enumerate(t for t, n in groups for _ in range(n))]
+        rows += rows[:1] * 2500 if name == "one holds a third" else []
+        out = sharding.balanced_shards(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, shard int").repartition(parts)).collect()
+        assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in out) == Counter(plain_shards(rows)), name
+        per, target = Counter(), sum(r.size for r in out) / 24
+        for r in out:
+            per[r.shard] += r.size
+        assert max(abs(per[k] - target) for k in range(24)) <= target / 16 + max(r.size for r in out)
 
 
 def test_gradients_equal_finite_differences():
