@@ -16,7 +16,7 @@ from terrane.session import stored
 
 WEIGHTS, MAX_EPOCHS, SALT = (5, 2, 1), 3, "|mix|"
 #: Documents of one source that one task puts in order, and parts that an interval of keys is cut into until they are so few.
-PER_RANGE, BINS = 256, 1024
+PER_RANGE, BINS = 4096, 1024
 STATE = ["s", "source_size", "target", "epochs", "rest", "lo", "hi", "start", "n", "prev"]
 
 
@@ -35,11 +35,11 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, target) from ``sizes`` (source, source_size), one row per source.
+    """(source, source_size, target) and other columns from ``sizes`` (source, source_size, ...), one row per source.
 
     The limit of resharing any excess over ``epochs`` times a source's size by weight: target = min(cap, level * weight).
     Sources in order of cap / weight are at their cap as long as that is below the level that the remaining total and
-    weights give. Runs on one row per source.
+    weights give. Runs on one row per source, in one task for all of them.
     """
     order = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
     pick = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -51,7 +51,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     heavy = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     levels = named.withColumn("level", left / heavy).withColumn("free", F.col("cap") / F.col("weight") > F.col("level"))
     level = F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(everything)["level"]
-    return levels.withColumn("at", level).select("source", "source_size", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least(F.col("cap").cast("double"), F.col("at") * F.col("weight"))).cast("double").alias("target"))
+    more = [c for c in sizes.columns if c not in ("source", "source_size")]
+    return levels.withColumn("at", level).select("source", "source_size", *more, F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least(F.col("cap").cast("double"), F.col("at") * F.col("weight"))).cast("double").alias("target"))
 
 
 def _narrowed(rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -81,12 +82,11 @@ def cuts(rows: DataFrame) -> DataFrame:
     equal key and id (repeated rows) are one row with a count there, however many they are.
     """
     rows = rows.select("source", "mix.*")
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")))
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    ends = rows.groupBy("source").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).withColumnRenamed("source", "_s")
     nothing = F.lit(None).cast("struct<key:double,id:string>")
-    state = goal.join(ends, goal["source"].eqNullSafe(F.col("_s"))).select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "lo", "hi", F.lit(0).cast("long").alias("start"), "n", nothing.alias("prev"))
+    state = goal.select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "lo", "hi", F.lit(0).cast("long").alias("start"), "n", nothing.alias("prev"))
     state = stored(state, "state")
     while state.where((F.col("n") > PER_RANGE) & (F.col("hi") > F.col("lo"))).limit(1).count():
         state = stored(_narrowed(rows, state), "state")
@@ -101,27 +101,32 @@ def cuts(rows: DataFrame) -> DataFrame:
 
 
 def taken(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``rows`` (source, mix, ...) with source_size, target and copies (how often the mix takes the document).
+    """``rows`` (source, mix, ...) and struct ``_taken``: source_size, target and copies (how often the mix takes the document).
 
     ``chosen`` (one row per source) is written first: its size is then known when the join is planned, and Spark broadcasts
     it if that is below its threshold instead of shuffling ``rows`` by source. If a cut falls among repeated rows, these are
     counted by all their columns in a pass of their own and dealt out again, the first in order once more than the others.
+    Other columns may have any name but ``_goal``, ``_taken``, ``_d``, ``_k`` and ``_i``.
     """
-    chosen = stored(chosen, "cuts").withColumnRenamed("source", "_s")
-    cut, own = F.struct("cut.key", "cut.id"), F.struct("mix.key", "mix.id")
-    joined = rows.join(chosen, rows["source"].eqNullSafe(F.col("_s")))
-    split = F.coalesce(F.col("part").isNotNull() & (own == cut), F.lit(False))
-    copies = (F.col("epochs") + F.coalesce(own <= cut, F.lit(False)).cast("int")).cast("int")
-    columns = [*rows.columns, "source_size", "target"]
-    if not chosen.where("part is not null").limit(1).count():
-        return joined.select(*columns, copies.alias("copies"))
-    same = joined.where(split).groupBy(*columns, "epochs", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy(*[F.to_json(F.struct(*rows.columns))]).rowsBetween(Window.unboundedPreceding, -1)
-    again = F.greatest(F.lit(0), F.least(F.col("n"), F.col("part") - F.coalesce(F.sum("n").over(before), F.lit(0))))
-    dealt = same.withColumn("again", again).select(*columns, F.explode(F.array(F.struct(F.col("again").alias("n"), (F.col("epochs") + 1).alias("copies")), F.struct((F.col("n") - F.col("again")).alias("n"), F.col("epochs").alias("copies")))).alias("d"))
-    dealt = dealt.where("d.n > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.expr("(d.n - 1) div 1000"))))  # rows in thousands, so that many tasks deal them out
-    dealt = dealt.repartition("k").withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("d.n") - F.col("k") * 1000))))
-    return joined.where(~split).select(*columns, copies.alias("copies")).unionByName(dealt.select(*columns, F.col("d.copies").cast("int").alias("copies")))
+    goal = stored(chosen.select(F.struct("*").alias("_goal")), "cuts")
+    cut, own = F.struct("_goal.cut.key", "_goal.cut.id"), F.struct("mix.key", "mix.id")
+    joined = rows.join(goal, rows["source"].eqNullSafe(F.col("_goal.source")))
+    split = F.coalesce(F.col("_goal.part").isNotNull() & (own == cut), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    as_taken = lambda copies: F.struct("_goal.source_size", "_goal.target", copies.cast("int").alias("copies")).alias("_taken")
+    copies = F.col("_goal.epochs") + F.coalesce(own <= cut, F.lit(False)).cast("int")
+    if not goal.where("_goal.part is not null").limit(1).count():
+        return joined.select(*columns, as_taken(copies))
+    same = joined.where(split).groupBy(*columns, "_goal").agg(F.count("*").alias("_d"))
+    before = Window.partitionBy("source").orderBy(F.to_json(F.struct(*columns))).rowsBetween(Window.unboundedPreceding, -1)
+    again = F.greatest(F.lit(0), F.least(F.col("_d"), F.col("_goal.part") - F.coalesce(F.sum("_d").over(before), F.lit(0))))
+    both = F.array(F.struct(again.alias("n"), (F.col("_goal.epochs") + 1).alias("copies")), F.struct((F.col("_d") - again).alias("n"), F.col("_goal.epochs").alias("copies")))
+    dealt = same.select(*columns, "_goal", both.alias("_d")).withColumn("_d", F.explode("_d")).where("_d.n > 0")
+    thousand = F.explode(F.sequence(F.lit(0), F.expr("(_d.n - 1) div 1000")))  # rows in thousands, so that many tasks deal them out
+    dealt = dealt.select("*", thousand.alias("_k")).repartition("_k")
+    each = F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("_d.n") - F.col("_k") * 1000))).alias("_i")
+    dealt = dealt.select("*", each).select(*columns, as_taken(F.col("_d.copies")))
+    return joined.where(~split).select(*columns, as_taken(copies)).unionByName(dealt)
 
 
 def mix(documents: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def mix(documents: DataFrame) -> DataFrame:
     """
     rows = stored(keyed(documents.select("doc_id", "text", "source")).select("doc_id", "source", "mix"), "mix")
     out = taken(rows, cuts(rows))
-    return out.select("doc_id", F.col("mix.size").alias("size"), "source_size", "target", (F.col("copies") * F.col("mix.size")).cast("long").alias("taken"), "source")
+    return out.select("doc_id", F.col("mix.size").alias("size"), "_taken.source_size", "_taken.target", (F.col("_taken.copies") * F.col("mix.size")).cast("long").alias("taken"), "source")
 
 
 SQL_MIX = r"""
