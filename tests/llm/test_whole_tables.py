@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -16,12 +17,13 @@ import pytest
 import sentencepiece
 import xxhash
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 
 import corpus_pipeline  # noqa: E402
-from terrane.llm import langid, mixing, pieces, quality_mil, queries, sharding, simhash, text, topk  # noqa: E402
+from terrane.llm import host_rules, langid, mixing, pieces, quality_mil, queries, sharding, simhash, text, topk  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -280,3 +282,63 @@ def test_pipeline_stages_keep_null_and_repeated_ids(spark):
     copies = Counter((r.doc_id, r.text) for r in mixed.collect())
     assert mixed.columns == corpus_pipeline.COLUMNS and sum(copies.values()) == 4 and max(copies.values()) <= 3
     assert sum(n for (k, _), n in copies.items() if k is None) == 3  # source a weighs 5 of 7
+
+
+def test_pipeline_stages_take_extra_columns_of_any_name(spark):
+    docs = queries.documents(spark, SF)
+    names = ["target", "epochs", "cut", "part", "source_size", "copies", "mix", "rules", "size", "key", "row", "label", "h", "n", "lang_pred", "score", "kept", "s", "k"]
+    wide = docs.select("*", *[F.lit(7).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        plain, more = (stage(spark, df, SF) for df in (docs, wide))
+        assert plain.columns == more.columns and Counter(map(tuple, plain.collect())) == Counter(map(tuple, more.collect())), name
+
+
+def near_groups(rows):
+    """Groups of (doc_id, text) rows by similarity 0.8 of five-word shingles, all pairs compared."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and (sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)):
+                label = [label[i] if x == label[j] else x for x in label]
+    return label
+
+
+def test_pipeline_equals_the_stages_applied_by_hand(spark, tmp_path):
+    rng = random.Random(3)
+    fields = "doc_id long, text string, lang string, source string, n_chars long"
+    word = {"en": ["the", "cat", "house", "with", "water", "green"], "de": ["und", "das", "haus", "nicht", "straße", "grün"]}
+    rows = []
+    for k in range(120):
+        lang = "en" if k % 2 else "de"
+        t = " ".join(rng.choice(word[lang]) + (str(rng.randrange(9)) if rng.random() < 0.5 else "") for _ in range(rng.choice([20, 80, 120])))
+        rows.append((k, t, lang, "abc"[k % 3], len(t)))
+    rows += [(200 + k, rows[k][1] + " more", rows[k][2], "a", 1) for k in range(30)] + [(300, None, None, None, None), (301, "123 !!", None, "b", 0), (302, "same line\n" * 60, "en", "b", 0)]
+    spark.createDataFrame(rows, fields).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+
+    frame = lambda kept: spark.createDataFrame(kept, fields)
+    said = {r.doc_id: r for r in langid.identify(frame(rows), frame(rows)).collect()}
+    kept = [r for r in rows if said[r[0]].lang_pred != "und" and said[r[0]].score >= 0.5]
+    assert {300, 301}.isdisjoint(r[0] for r in kept) and len(kept) >= 145
+    rule = {r.doc_id: r.kept for r in host_rules.verdicts(frame(kept)).collect()}
+    kept = [r for r in kept if rule[r[0]]]
+    assert all(len(r[1].split()) >= 50 for r in kept) and 302 not in {r[0] for r in kept}
+    label = near_groups([r[:2] for r in kept])
+    first = {}
+    for x, r in sorted(zip(label, kept, strict=True), key=lambda p: p[1][0]):
+        first.setdefault(x, r)
+    kept = list(first.values())
+    assert len(kept) < len(label)
+    want = Counter()
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    text_of = {r[0]: r[1] for r in kept}
+    for r in mixing.mix(frame(kept)).collect():
+        ids = sp.encode(text_of[r.doc_id])
+        want[r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))] += r.taken // r.size
+    assert got == +want
