@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from terrane.llm import simhash
 from terrane.llm.components import components
-from terrane.llm.text import Memo, by_slices, spread
+from terrane.llm.text import by_slices, spread
 from terrane.session import checkpoint, ship, stored
 
 SHINGLE, SIMILARITY, SAMPLES, SAMPLE = 5, 0.8, 24, 5
 #: Odd multipliers and addends of the hash orders, fixed.
 _MIX = np.random.default_rng(5).integers(0, 1 << 63, (2, SAMPLES * SAMPLE), dtype=np.uint64) | np.uint64(1)
-#: Shingles that are ordered at once, texts whose shingles a task holds while it verifies, and shingles of a block of keys.
-PIECE, HELD, BLOCK = 1 << 12, 64, 1 << 17
+#: Shingles that are ordered at once, and shingles of a block of keys.
+PIECE, BLOCK = 1 << 12, 1 << 17
 
 
 def row_key() -> Column:
@@ -78,23 +78,39 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and both * 5 >= (len(a) + len(b) - both) * 4
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose ``texts`` (key, text) are similar."""
+def verified(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): those pairs of ``stars`` (a, b, weight) whose ``texts`` (key, text) are similar.
+
+    The others b of one centre a are dealt to units of BLOCK shingles as expected (weight: shingles of the centre's largest
+    bucket). The centre's text is sent once for each unit, each other's text once for each pair; a task holds the shingles of
+    one centre and one other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Memo(lambda t: np.unique(simhash.shingle_hashes(t, SHINGLE)), HELD, longest=1 << 20)
+        unit, centre, own = None, None, np.empty(0, np.uint64)
         for batch in batches:
-            same = [alike(shingles[x], shingles[y]) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    left, right = (texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def _near_sizes(met: DataFrame) -> DataFrame:
-    """(a, b): the distinct pairs of ``met`` (key, size, other, other_size) whose sizes allow the similarity."""
-    met = met.where("key <> other AND 5 * least(size, other_size) >= 4 * greatest(size, other_size)")
-    return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+            found, links = [], []
+            for u, a, key, text in zip(*(batch.column(k) for k in range(4)), strict=True):
+                hashes = np.unique(simhash.shingle_hashes(text.as_py(), SHINGLE))
+                if (u.as_py(), a.as_py()) != (unit, centre):  # the centre comes first
+                    unit, centre, own = u.as_py(), a.as_py(), hashes
+                elif alike(own, hashes):
+                    found.append(key.as_py())
+                    links.append(centre)
+            yield pa.RecordBatch.from_arrays([pa.array(links, pa.int64()), pa.array(found, pa.int64())], ["a", "b"])
+
+    blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
+    dealt = stars.withColumn("unit", F.xxhash64("a", blocks, F.pmod(F.xxhash64("b"), blocks)))
+    centres = dealt.select("unit", "a", F.col("a").alias("key"), F.lit(0).alias("nth")).distinct()
+    both = centres.unionByName(dealt.select("unit", "a", F.col("b").alias("key"), F.lit(1).alias("nth")))
+    with_text = both.join(texts, "key").repartition("unit").sortWithinPartitions("unit", "a", "nth")
+    return with_text.select("unit", "a", "key", "text").mapInArrow(run, "a bigint, b bigint")
+
+
+def stars_of(filed: DataFrame) -> DataFrame:
+    """(a, b, weight): the distinct pairs of a bucket's first key a and another key b of it whose sizes allow the similarity."""
+    near = "key <> centre AND 5 * least(size, centre_size) >= 4 * greatest(size, centre_size)"
+    return filed.where(near).groupBy(F.col("centre").alias("a"), F.col("key").alias("b")).agg(F.max("weight").alias("weight"))
 
 
 def links_in_unit(keys: np.ndarray, labels: np.ndarray, left: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -170,7 +186,7 @@ def groups(documents: DataFrame) -> DataFrame:
     filed = whole.unionByName(sampled)
     first = filed.groupBy("bucket").agg(F.min(F.struct("key", "size")).alias("c"), F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1").select("bucket", F.col("c.key").alias("centre"), F.col("c.size").alias("centre_size"), "n", "weight")
     filed = checkpoint(filed.join(first, "bucket"))
-    stars = _near_sizes(filed.select("key", "size", F.col("centre").alias("other"), F.col("centre_size").alias("other_size")))
+    stars = stars_of(filed)
 
     wanted = filed.select("key").distinct().join(rows.groupBy("key").agg(F.min("row").alias("row")), "key")
     texts = spread(documents.select(row_key().alias("row"), "text"), "row")
