@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from terrane import bindings as B
-from terrane.operators import rules as R
 from terrane.plans import containment as P
 from terrane.plans import rules
 from terrane.session import shared_dir, stored
@@ -18,6 +17,10 @@ STORE = ["c_custkey AS store_id", "c_mktsegment AS channel", "c_nationkey AS dis
 SCOPE, BAD = "user_id % 8", "CAST(event_type = 'error' AS BIGINT)"
 
 
+#: Days from 1970 to the period 0 of the gaps.
+DAY_ZERO = 19_723
+
+
 def events(spark, d):
     return J.read_stream(spark, f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
 
@@ -30,14 +33,14 @@ def live(spark, d):
 
 
 def decisions(spark, d):
-    """The trigger state machine over gaps that arrive in four parts, in order of period."""
-    g = stored(rules.scored(spark, d).select("scope", "n", R.magnitude(F.col("gap_value"), F.col("reference")).alias("gap")), "gaps")
+    """The trigger state machine over gaps that arrive in four parts, in order of period; it is restarted for each."""
+    g = stored(rules.triggers(spark, d).withColumn("at", F.timestamp_seconds((F.col("n") + DAY_ZERO) * 86_400)), "gaps")
     low, high = g.agg(F.min("n"), F.max("n")).first()
-    path = f"{shared_dir(spark)}/gaps-{uuid.uuid4().hex}"
+    path, base = (f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}" for name in ("gaps", "x3"))
     for k in range(4):
-        g.where(F.expr(f"(n - {low}) * 4 div ({high} - {low} + 1) = {k}")).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return J.drain(J.triggered(stream, 0.3, 0.15, 2, 3), "x3")
+        g.where(F.expr(f"(n - {low}) * 4 div ({high} - {low} + 1) = {k}")).write.mode("append").parquet(path)
+        out = J.drain(J.triggered(spark.readStream.schema(g.schema).parquet(path), rules.TRIGGER), "x3", rocks=True, base=base)
+    return out
 
 
 def owners(spark, d):

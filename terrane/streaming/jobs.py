@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from terrane.operators import classify, rules
@@ -26,12 +26,21 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs ``stream`` into Parquet in the shared folder until all input is handled, and returns what it wrote."""
+def drain(stream: DataFrame, name: str, mode: str = "append", rocks: bool = False, base: str | None = None) -> DataFrame:
+    """Runs ``stream`` into Parquet in the shared folder until all input is handled, and returns what it wrote. ``rocks``: state is
+    kept in RocksDB (the session's own setting is put back). With the same ``base`` a restarted run goes on where the last stopped."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
+    base = base or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    setting, before = "spark.sql.streaming.stateStore.providerClass", None
+    if rocks:
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, ROCKS)
+    try:
+        query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if rocks:
+            spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -94,18 +103,52 @@ def changelog(log: DataFrame, name: str, base: str | None = None) -> DataFrame:
     return last(kept(log.select("unit_id", "owner", "seq"), name, last, base))
 
 
-def triggered(gaps: DataFrame, entry: float, exit_: float, min_persistence: int, cooldown: int) -> DataFrame:
-    """(scope, n, decision) of a stream (scope, n, gap): persistence and cooldown are kept as state of each scope. Rows of a
-    scope must arrive in order of n from batch to batch; within a batch they are put in order. Equal to rules.fold_cooldown
-    over the same rows."""
-    ship(gaps.sparkSession)
+class TriggerStates(StatefulProcessor):
+    """A scope's state under a trigger as a value, cleared by a timer once the scope has been idle.
+
+    Periods are days; a row of period n carries its event time ``at``, which rises with n. The timer stands at the scope's last event
+    time plus the trigger's idle periods and one: once the watermark has passed it the state is gone, and a later row starts
+    afresh, as it would by the trigger's own rule.
+    """
+
+    def __init__(self, trigger: rules.Trigger):
+        self.trigger = trigger
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "state long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows)).sort_values("n")
+        state, last = self.kept.get() if self.kept.exists() else (0, None)
+        state, last, out = self.trigger.fold(state, last, zip(own["n"].tolist(), own["gap"].tolist(), own["level"].tolist(), own["confidence"].tolist(), strict=True))
+        self.kept.update((int(state), int(last)))
+        if self.trigger.idle is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int(own["at"].max().timestamp() * 1000) + (self.trigger.idle + 1) * DAY_MS)
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=["scope", "n", "decision", "reason"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter([])
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, last = state.get if state.exists else (0, None)
-        now = {"run": run, "last": last}
-        rows = pd.concat(list(frames)).sort_values("n")
-        out = rules.step_scope(rows, now, entry, exit_, min_persistence, cooldown)
-        state.update((now["run"], now["last"]))
-        yield pd.DataFrame(out, columns=["scope", "n", "decision"])
+    def close(self) -> None:
+        pass
 
-    return gaps.groupBy("scope").applyInPandasWithState(step, "scope long, n long, decision string", "run int, last long", "append", GroupStateTimeout.NoTimeout)
+
+#: Milliseconds of a period.
+DAY_MS = 86_400_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def triggered(gaps: DataFrame, trigger: rules.Trigger, delay: str = "1 day") -> DataFrame:
+    """(scope, n, decision, reason) of a stream (scope, n, at, gap, level, confidence): periods in a row and cooldown are kept as
+    state of each scope, in RocksDB. Rows of a scope must arrive in order of n from batch to batch; within a batch they are
+    put in order. Equal to rules.fold_cooldown over the same rows.
+
+    The session needs RocksDB's state store while the stream runs; :func:`drain` with ``rocks`` sees to that.
+    """
+    ship(gaps.sparkSession)
+    keyed = gaps.withWatermark("at", delay).groupBy("scope")
+    return keyed.transformWithStateInPandas(TriggerStates(trigger), rules.DECISIONS, "append", "EventTime")

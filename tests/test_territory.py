@@ -71,12 +71,6 @@ def test_equality_index_and_rebalance(spark):
     assert all(a.eq < b.eq for a, b in zip(moves, moves[1:], strict=False))
 
 
-def test_cooldown_depends_on_earlier_decisions(spark):
-    gaps = spark.createDataFrame([(1, n, 0.5) for n in range(6)], "scope long, n long, gap double")
-    got = [r.decision for r in rules.fold_cooldown(gaps, 0.3, 0.15, 2, 2).orderBy("n").collect()]
-    assert got == ["HOLD", "CREATE", "COOLDOWN", "COOLDOWN", "CREATE", "COOLDOWN"]
-
-
 def test_exclusive_conflicts_of_all_years(spark, tmp_path):
     data = [(1, 7, "1995-01-05"), (2, 7, "1995-01-20"), (3, 7, "1997-12-20"), (4, 7, "1998-01-10"), (5, 8, "1998-03-01"), (6, 8, "1998-03-30"), (7, 8, "1998-03-31"), (11, 8, "1996-03-01"), (16, 8, "1996-03-02")]
     spark.createDataFrame(data, "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "CAST(d AS TIMESTAMP) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
