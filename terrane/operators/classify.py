@@ -105,19 +105,21 @@ def one_per_dealer(fences: DataFrame) -> DataFrame:
     return fences.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def gap_classes(kinded: DataFrame, nearest: DataFrame, dealers: DataFrame, far: float) -> DataFrame:
-    """GAP stores as (store_id, district, class, structural): without upstream, with a fence dealer upstream, or other;
-    structural if the nearest fence centroid is more than ``far`` away."""
+def gap_classes(kinded: DataFrame, nearest: DataFrame, dealers: DataFrame, far_km: float = 5.0) -> DataFrame:
+    """GAP stores as (store_id, district, class, layer, structural, nearest_km): without upstream (layer DATA), with a fence
+    dealer upstream, or other (layer D); structural if the nearest fence centroid, to two decimals, is more than ``far_km``
+    away. Without any fence nearest_km is null and nothing is structural."""
     known = dealers.select(F.col("dealer_id").alias("upstream")).distinct().withColumn("is_dealer", F.lit(True))
-    gaps = kinded.where("kind = 'GAP'").join(known, "upstream", "left").join(nearest.select("store_id", "d2"), "store_id")
+    gaps = kinded.where("kind = 'GAP'").join(known, "upstream", "left").join(nearest.select("store_id", F.round("km", 2).alias("nearest_km")), "store_id", "left")
     named = F.when(F.col("upstream").isNull(), "no_upstream").when(F.col("is_dealer"), "dealer_outside").otherwise("other_upstream")
-    return gaps.select("store_id", "district", named.alias("class"), (F.col("d2") > far * far).alias("structural"))
+    structural = F.coalesce(F.col("nearest_km") > far_km, F.lit(False))
+    return gaps.select("store_id", "district", named.alias("class"), F.when(F.col("upstream").isNull(), "DATA").otherwise("D").alias("layer"), structural.alias("structural"), "nearest_km")
 
 
 def gap_summary(classed: DataFrame) -> DataFrame:
-    """Counts by class, by district, by structural flag, and in all: one row per group with its grouping."""
-    out = classed.groupingSets([["class"], ["district"], ["structural"], []], "class", "district", "structural").agg(F.grouping_id().cast("int").alias("g"), F.count("*").alias("n"))
-    return out.select("g", "class", "district", "structural", "n")
+    """Counts by class, by layer, by district, by structural flag, and in all: one row per group with its grouping."""
+    out = classed.groupingSets([["class"], ["layer"], ["district"], ["structural"], []], "class", "layer", "district", "structural").agg(F.grouping_id().cast("int").alias("g"), F.count("*").alias("n"))
+    return out.select("g", "class", "layer", "district", "structural", "n")
 
 
 def conflicts(kinded: DataFrame, n: int = 5) -> DataFrame:

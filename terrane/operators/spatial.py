@@ -7,6 +7,7 @@ ordinary equi-join, which Spark may run as a broadcast, hash or sort-merge join
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,8 @@ CELL, RATIO, LEVELS = 25_000, 8, 4
 KM_PER_DEGREE = 111.32
 #: Kilometres per degree at the latitude of the landmarks, fixed values.
 LON_KM, LAT_KM = 102.2, 110.574
+#: Radius of the sphere.
+EARTH_KM = 6371.0
 
 
 def edges(ring: Column) -> Column:
@@ -74,46 +77,87 @@ def ring_area_km2(ring: Column, x0: int, y0: int, latitude: float) -> Column:
     return F.abs(twice) / 2.0 / 1e12 * KM_PER_DEGREE * KM_PER_DEGREE * F.cos(F.radians(F.lit(latitude)))
 
 
+def _arc_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = 6371.0) -> Column:
+    h = F.pow(F.sin((lat2 - lat1) / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(F.sin((lon2 - lon1) / 2), 2)
+    return 2 * radius * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+
+
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = 6371.0) -> Column:
     """Great-circle distance between points in degrees."""
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(a))
+    return _arc_km(F.radians(lon1), F.radians(lat1), F.radians(lon2), F.radians(lat2), radius)
 
 
-def nearest(points: DataFrame, sites: DataFrame, key: str, site: str, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """(key, site, d2): for each of ``points`` (key, x, y) the nearest of ``sites`` (site, mx, my, order) by planar squared distance.
+def _search(points: DataFrame, sites: DataFrame, key: str, site: str, order: list[str], by: tuple[str, ...], axes: list[str], name: str, measure: Column) -> DataFrame:
+    """(key, site, ``name``): for each of ``points`` (key, by, p_axis...) the site of smallest ``measure`` among ``sites`` (site, by,
+    order, s_axis...).
 
-    Points meet the sites of their own and the neighbouring cells in an equi-join; a site found within one cell width is
-    final. What is left is written and meets cells RATIO / 2 times as wide, until a cell spans all points and sites. The first
-    width holds one site a cell as expected. Ties go to the first in ``order``. Points without coordinates have no answer.
-    ``by``: columns of both in which a point and its site must be equal; points without such a site have no answer.
+    Points meet the sites of their own and the neighbouring cells in an equi-join. ``measure`` must rise with the distance along
+    the axes; a site no further than a cell is wide is final, since all others that near have been met. What is left is
+    written and meets cells RATIO / 2 times as wide, until a cell spans all. The first width holds one site a cell as expected.
     """
-    sites, left = stored(sites, "sites"), stored(points.select(key, *by, "x", "y").where("x IS NOT NULL AND y IS NOT NULL"), "points")
-    low_high = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n")]
-    box, others = sites.selectExpr("mx AS x", "my AS y").agg(*low_high).first(), left.agg(*low_high).first()
-    if not box.n or not others.n:
-        return points.select(key).crossJoin(sites.select(site)).withColumn("d2", F.lit(0.0)).limit(0)  # no rows
-    span = max(max(box.x1, others.x1) - min(box.x0, others.x0), max(box.y1, others.y1) - min(box.y0, others.y0), 1)
+    sites = stored(sites, "sites")
+    box = sites.agg(F.count("*").alias("n"), *[f(f"s_{a}").alias(f"{w}_{a}") for a in axes for w, f in (("low", F.min), ("high", F.max))]).first()
+    own, left = points.columns, points
+    if not box.n:
+        return points.select(key).crossJoin(sites.select(site)).withColumn(name, F.lit(0.0)).limit(0)  # no rows
     if by:
         left = left.join(sites.select(*by).distinct(), list(by), "left_semi")
-    width, out = max(1, math.ceil(span / math.sqrt(box.n))), None
+    span = max(box[f"high_{a}"] - box[f"low_{a}"] for a in axes)
+    width, out = (span / math.sqrt(box.n)) or 1.0, None
     while True:
         cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
-        around = F.explode(F.array(*(F.struct((cell("mx") + dx).alias("kx"), (cell("my") + dy).alias("ky")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-        filed = sites.withColumn("k", around).select(*sites.columns, "k.kx", "k.ky")
-        near = left.withColumn("kx", cell("x")).withColumn("ky", cell("y")).join(filed, ["kx", "ky", *by])
-        d2 = (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")) + (F.col("y") - F.col("my")) * (F.col("y") - F.col("my"))
-        best = near.withColumn("d2", d2.cast("double")).groupBy(key).agg(F.min_by(F.struct(site, "d2"), F.struct("d2", *order)).alias("b"))
-        met = stored(left.join(best.select(key, f"b.{site}", "b.d2"), key, "left"), "nearest")
-        final = F.coalesce(F.col("d2") <= float(width) * width, F.lit(False))
-        done = met.where(final).select(key, site, "d2")
+        around = [F.struct(*[(cell(f"s_{a}") + step).alias(f"k_{a}") for a, step in zip(axes, steps, strict=True)]) for steps in itertools.product((-1, 0, 1), repeat=len(axes))]
+        filed = sites.withColumn("_k", F.explode(F.array(*around))).select(*sites.columns, "_k.*")
+        cells = [f"k_{a}" for a in axes]
+        near = left.withColumns({f"k_{a}": cell(f"p_{a}") for a in axes}).join(filed, [*cells, *by], "left")
+        gap = sum((F.pow(F.col(f"p_{a}") - F.col(f"s_{a}"), 2) for a in axes), F.lit(0.0))
+        near = near.withColumns({name: measure.cast("double"), "_gap": gap})
+        met = near.groupBy(*own).agg(F.min_by(F.struct(site, name, "_gap"), F.when(F.col(name).isNotNull(), F.struct(name, *order))).alias("b"))
+        met = stored(met.select(*own, f"b.{site}", f"b.{name}", "b._gap"), "nearest")
+        final = F.coalesce(F.col("_gap") <= width * width, F.lit(False))
+        done = met.where(final).select(key, site, name)
         out = done if out is None else out.unionByName(done)
-        left = met.where(~final).select(key, *by, "x", "y")
+        left = met.where(~final).select(own)
         if not left.limit(1).count():
             return out
         width *= RATIO // 2
 
 
+def nearest(points: DataFrame, sites: DataFrame, key: str, site: str, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, site, d2): for each of ``points`` (key, x, y) the nearest of ``sites`` (site, mx, my, order) by planar squared distance.
+
+    Ties go to the first in ``order``. Points without coordinates have no answer. ``by``: columns of both in which a point and
+    its site must be equal; points without such a site have no answer.
+    """
+    at = points.where("x IS NOT NULL AND y IS NOT NULL").select(key, *by, F.col("x").alias("p_x"), F.col("y").alias("p_y"))
+    known = sites.withColumns({"s_x": F.col("mx"), "s_y": F.col("my")})
+    dx, dy = F.col("p_x") - F.col("s_x"), F.col("p_y") - F.col("s_y")
+    return _search(at, known, key, site, order, by, ["x", "y"], "d2", dx * dx + dy * dy)
+
+
+def nearest_km(points: DataFrame, sites: DataFrame, key: str, site: str, order: list[str], by: tuple[str, ...] = (), flat: bool = False) -> DataFrame:
+    """(key, site, km): as :func:`nearest`, for micro-degrees on the sphere: by great-circle distance anywhere on it, or, if
+    ``flat``, on the plane of the landmarks' latitude.
+
+    On the sphere cells are cubes round unit vectors times the radius. A chord is shorter than its arc and rises with it, so the
+    cell bound holds for the arc: a site not met yet is more than a cell's width away along the chord.
+    """
+    points = points.where("x IS NOT NULL AND y IS NOT NULL")
+    degrees = lambda c: F.col(c) / 1e6
+    if flat:
+        at = points.select(key, *by, (degrees("x") * LON_KM).alias("p_x"), (degrees("y") * LAT_KM).alias("p_y"))
+        known = sites.withColumns({"s_x": degrees("mx") * LON_KM, "s_y": degrees("my") * LAT_KM})
+        return _search(at, known, key, site, order, by, ["x", "y"], "km", F.hypot(F.col("p_x") - F.col("s_x"), F.col("p_y") - F.col("s_y")))
+
+    def vector(lon: Column, lat: Column, mark: str) -> dict[str, Column]:
+        lon, lat = F.radians(lon), F.radians(lat)
+        return {f"{mark}_u": EARTH_KM * F.cos(lat) * F.cos(lon), f"{mark}_v": EARTH_KM * F.cos(lat) * F.sin(lon), f"{mark}_w": EARTH_KM * F.sin(lat), f"{mark}_lon": lon, f"{mark}_lat": lat}
+
+    at = points.select(key, *by, *[v.alias(k) for k, v in vector(degrees("x"), degrees("y"), "p").items()])
+    known = sites.withColumns(vector(degrees("mx"), degrees("my"), "s"))
+    return _search(at, known, key, site, order, by, ["u", "v", "w"], "km", _arc_km(*(F.col(c) for c in ("p_lon", "p_lat", "s_lon", "s_lat"))))
+
+
 def km2(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Squared kilometres between points in micro-degrees, on a plane at one latitude."""
     return F.pow((x1 - x2) / 1e6 * LON_KM, 2) + F.pow((y1 - y2) / 1e6 * LAT_KM, 2)

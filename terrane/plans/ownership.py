@@ -41,7 +41,7 @@ def excluded(spark, d):
 
 
 def allocation(spark, d):
-    return O.allocate(P.kinded(spark, d), P.nearest_fence(spark, d), B.dealers(spark, d), F.col("store_id") % 41 == 0)
+    return O.allocate(P.kinded(spark, d), P.nearest_dealer(spark, d), B.dealers(spark, d), F.col("store_id") % 41 == 0)
 
 
 def history(spark, d):
@@ -112,7 +112,7 @@ SQL = {
     "w1_rule_assign": sql("SELECT * FROM assigned", **_R),
     "j4_overrides": sql("SELECT store_id, coalesce(to_dealer, dealer_id) AS dealer_id, CASE WHEN to_dealer IS NOT NULL THEN 'MANUAL' ELSE cause END AS cause, actor, CASE WHEN to_dealer IS NOT NULL THEN node_id END AS overwritten_node_id FROM assigned LEFT JOIN override USING (store_id) WHERE store_id % 41 <> 0", **_R),
     "j4_override_violations": sql("SELECT store_id, 'actor' AS problem FROM override WHERE actor = '' UNION ALL SELECT store_id, 'reason' FROM override WHERE reason = '' UNION ALL SELECT store_id, 'dealer' FROM override WHERE to_dealer NOT IN (SELECT dealer_id FROM dealer)", **_R),
-    "j5_allocation": sql("SELECT k.store_id, CASE WHEN k.store_id % 41 <> 0 THEN coalesce(d.dealer_id, k.first_dealer, n.dealer_id) END AS dealer_id, CASE WHEN k.store_id % 41 = 0 THEN 'EXCLUDED' WHEN d.dealer_id IS NOT NULL THEN 'UPSTREAM' WHEN k.first_dealer IS NOT NULL THEN 'CURRENT_FENCE' WHEN n.dealer_id IS NOT NULL THEN 'NEAREST_CENTROID' ELSE 'UNASSIGNED' END AS rule FROM kinded k LEFT JOIN dealer d ON d.dealer_id = k.upstream LEFT JOIN near n ON n.store_id = k.store_id", near=P._NEAR),
+    "j5_allocation": sql("SELECT k.store_id, CASE WHEN k.store_id % 41 <> 0 THEN coalesce(d.dealer_id, k.first_dealer, n.dealer_id) END AS dealer_id, CASE WHEN k.store_id % 41 = 0 THEN 'EXCLUDED' WHEN d.dealer_id IS NOT NULL THEN 'UPSTREAM' WHEN k.first_dealer IS NOT NULL THEN 'CURRENT_FENCE' WHEN n.dealer_id IS NOT NULL THEN 'NEAREST_CENTROID' ELSE 'UNASSIGNED' END AS rule FROM kinded k LEFT JOIN dealer d ON d.dealer_id = k.upstream LEFT JOIN near n ON n.store_id = k.store_id", near=P._POOLED),
     "r10_current_assignment": "SELECT o_custkey AS store_id, arg_max(o_orderkey % 10, (o_orderdate, o_orderkey)) AS dealer_id FROM orders GROUP BY 1",
     "j15_orphan_contracts": "SELECT s_suppkey * 2 AS dealer_id, s_nationkey AS district FROM supplier WHERE s_suppkey * 2 NOT IN (SELECT s_suppkey FROM supplier)",
     "s11_region_listing": sql("SELECT district, coalesce(fences, 0) AS fences, coalesce(stores, 0) AS stores FROM (SELECT s_nationkey AS district, count(*) AS fences FROM (SELECT DISTINCT dealer_id, comp FROM fence_vertex) JOIN supplier ON s_suppkey = dealer_id GROUP BY 1) FULL JOIN (SELECT district, count(*) AS stores FROM store GROUP BY 1) USING (district)"),
