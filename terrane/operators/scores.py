@@ -7,20 +7,37 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.operators.spatial import LAT_KM, LON_KM, edges
+from terrane.operators.spatial import LAT_KM, LON_KM, edges, inside, with_box
 
 
-def ring_samples(rings: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys, k, x, y): ``n`` points at equal steps along each ring of ``rings`` (keys, ring), the first vertex first."""
+def ring_samples(rings: DataFrame, keys: list[str], n: int | Column, middle: bool = False) -> DataFrame:
+    """(keys, k, x, y): points at equal steps along each ring of ``rings`` (keys, ring), from the first vertex on, or half a step
+    after it if ``middle``. ``n``: how many, as a number or a function of the ring's length ``whole``."""
     e = rings.select(*keys, F.posexplode(edges(F.col("ring"))).alias("pos", "e")).select(*keys, "pos", "e.*").withColumn("len", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
     w = Window.partitionBy(*keys)
     e = e.withColumns({"to": F.sum("len").over(w.orderBy("pos")), "whole": F.sum("len").over(w)}).withColumn("from", F.col("to") - F.col("len"))
-    step = F.col("whole") / n
-    points = e.where("len > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where((F.col("k") * step >= F.col("from")) & (F.col("k") * step < F.col("to")))
-    share = (F.col("k") * step - F.col("from")) / F.col("len")
+    shift = 0.5 if middle else 0.0
+    e = e.where("len > 0").withColumn("n", n.cast("long") if isinstance(n, Column) else F.lit(n).cast("long")).withColumn("step", F.col("whole") / F.col("n"))
+    low, high = F.floor(F.col("from") / F.col("step") - shift) - 1, F.ceil(F.col("to") / F.col("step") - shift) + 1
+    points = e.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), low), F.least(F.col("n") - 1, high)))).withColumn("at", (F.col("k") + shift) * F.col("step"))
+    points = points.where((F.col("k") < F.col("n")) & (F.col("at") >= F.col("from")) & (F.col("at") < F.col("to")))
+    share = (F.col("at") - F.col("from")) / F.col("len")
     return points.select(*keys, "k", (F.col("x1") + share * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + share * (F.col("y2") - F.col("y1"))).alias("y"))
 
 
+def vertex_samples(rings: DataFrame, keys: list[str], about: int) -> DataFrame:
+    """(keys, k, x, y): every max(1, vertices div ``about``)-th vertex of each ring."""
+    v = rings.withColumn("stride", F.greatest(F.lit(1), F.expr(f"size(ring) div {about}"))).select(*keys, "stride", F.posexplode("ring").alias("k", "v"))
+    return v.where("k % stride = 0").select(*keys, "k", "v.x", "v.y")
+
+
+def thinned(rings: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, k, x, y): all vertices of each ring, or ``most`` of a longer one, from the first to the last at even places."""
+    n = F.size("ring")
+    places = F.when(n <= most, F.sequence(F.lit(0), n - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (n - 1) / (most - 1)).cast("int")))
+    return rings.where(n > 0).withColumn("k", F.explode(places)).select(*keys, "k", F.get("ring", F.col("k")).alias("v")).select(*keys, "k", "v.x", "v.y")
+
+
 def metres_to_segment(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Metres from a point to a stretch, all in micro-degrees, on a plane at one latitude."""
     kx, ky = LON_KM / 1e3, LAT_KM / 1e3
@@ -36,25 +53,94 @@ def segments(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys, "pos", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("x2 IS NOT NULL")
 
 
+def cells_along(stretches: DataFrame, reach: Column | int, width: Column | int) -> DataFrame:
+    """Rows of ``stretches`` (x1, y1, x2, y2, ...) with each cell (kx, ky) of ``width`` that may hold a point up to ``reach`` away
+    from it along both axes: for each column of cells the rows that the stretch, widened by the reach, passes within it."""
+    reach, width = (F.lit(v) if isinstance(v, int) else v for v in (reach, width))
+    named = stretches.withColumns({"_r": reach.cast("double"), "_w": width.cast("double")})
+    low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
+    column = F.explode(F.sequence(F.floor((low - F.col("_r")) / F.col("_w")), F.floor((high + F.col("_r")) / F.col("_w"))))
+    named = named.withColumn("kx", column)
+    ends = [F.greatest(low.cast("double"), F.least(high.cast("double"), F.col("kx") * F.col("_w") - F.col("_r"))), F.greatest(low.cast("double"), F.least(high.cast("double"), (F.col("kx") + 1) * F.col("_w") + F.col("_r")))]
+    at = [F.when(high > low, F.col("y1") + (x - F.col("x1")) / F.when(high > low, F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))) for x in ends]
+    bottom = F.when(high > low, F.least(*at)).otherwise(F.least("y1", "y2")) - F.col("_r") - 1
+    top = F.when(high > low, F.greatest(*at)).otherwise(F.greatest("y1", "y2")) + F.col("_r") + 1
+    return named.withColumn("ky", F.explode(F.sequence(F.floor(bottom / F.col("_w")), F.floor(top / F.col("_w"))))).drop("_r", "_w")
+
+
+#: Cells that a long stretch is filed under along an axis, at most about; longer ones go to wider cells.
+PER_AXIS, LEVELS = 64, 8
+
+
 def near_segments(points: DataFrame, stretches: DataFrame, metres: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``points`` (x, y, ...) with every stretch (x1, y1, x2, y2, ...) up to ``metres`` away and their distance m. They
-    meet by cells: a stretch is filed under the cells of its box widened by the radius, on the level of cells that suits its
-    length, a point under its own cell on each level. ``by``: columns of both that must be equal."""
+    """Rows of ``points`` (x, y, ...) with every stretch (x1, y1, x2, y2, ...) up to ``metres`` away and their distance m.
+
+    They meet by cells: a stretch is filed under the cells along it, on the level of cells that suits its length, a point under
+    its own cell on each level in use. ``by``: columns of both that must be equal.
+    """
     reach = math.ceil(metres / 1e3 / min(LON_KM, LAT_KM) * 1e6)
-    levels, first = 6, max(reach * 2, 1000)
-    x0, x1, y0, y1 = F.least("x1", "x2") - reach, F.greatest("x1", "x2") + reach, F.least("y1", "y2") - reach, F.greatest("y1", "y2") + reach
-    wide = F.greatest(x1 - x0, y1 - y0)
-    level = sum(((wide > first * 4 ** (k + 1)).cast("int") for k in range(levels - 1)), F.lit(0))
+    first = max(reach * 2, 1000)
+    wide = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) + 2 * reach
+    level = sum(((wide > first * PER_AXIS * 4**k).cast("int") for k in range(LEVELS - 1)), F.lit(0))
     width = lambda level: F.lit(first) * F.pow(F.lit(4), level).cast("long")
-    filed = stretches.withColumn("level", level).withColumn("w", width(F.col("level")))
-    filed = filed.withColumn("kx", F.explode(F.sequence(F.floor(x0 / F.col("w")), F.floor(x1 / F.col("w"))))).withColumn("ky", F.explode(F.sequence(F.floor(y0 / F.col("w")), F.floor(y1 / F.col("w"))))).drop("w")
-    keyed = points.withColumn("level", F.explode(F.array(*map(F.lit, range(levels)))))
+    leveled = stretches.withColumn("level", level)
+    used = sorted(r.level for r in leveled.select("level").distinct().collect())  # LEVELS rows at most
+    filed = cells_along(leveled, reach, width(F.col("level")))
+    keyed = points.withColumn("level", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>")))
     keyed = keyed.withColumns({"kx": F.floor(F.col("x") / width(F.col("level"))), "ky": F.floor(F.col("y") / width(F.col("level")))})
     met = keyed.join(filed, ["level", "kx", "ky", *by]).drop("level", "kx", "ky")
     m = metres_to_segment(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
     return met.withColumn("m", m).where(F.col("m") <= metres)
 
 
+def grid_overlap(old: DataFrame, new: DataFrame, steps: DataFrame, key: str) -> DataFrame:
+    """(key, inter, either): points of a grid over the box of all rings of a key that lie in both, and in either, of ``old`` and
+    ``new`` (key, ring; any number of rings a key). ``steps``: (key, sx, sy). The grid starts at the box's south-west corner; only
+    points within some ring's own box are made."""
+    both = old.select(key, "ring", F.lit(True).alias("is_old")).unionByName(new.select(key, "ring", F.lit(False).alias("is_old")))
+    boxed = with_box(both).withColumn("e", edges(F.col("ring")))
+    origin = boxed.groupBy(key).agg(F.min("bx0").alias("ox"), F.min("by0").alias("oy"))
+    boxed = boxed.join(origin.join(steps, key), key)
+    index = lambda lo, hi, o, step: F.explode(F.sequence(F.ceil((F.col(lo) - F.col(o)) / F.col(step)), F.floor((F.col(hi) - F.col(o)) / F.col(step))))
+    some = boxed.where("ceil((bx0 - ox) / sx) <= floor((bx1 - ox) / sx) AND ceil((by0 - oy) / sy) <= floor((by1 - oy) / sy)")
+    grid = some.withColumn("i", index("bx0", "bx1", "ox", "sx")).withColumn("j", index("by0", "by1", "oy", "sy"))
+    held = grid.where(inside(F.col("e"), F.col("ox") + F.col("i") * F.col("sx"), F.col("oy") + F.col("j") * F.col("sy")))
+    cells = held.groupBy(key, "i", "j").agg(F.bool_or("is_old").alias("o"), F.bool_or(~F.col("is_old")).alias("n"))
+    return cells.groupBy(key).agg(F.count_if(F.col("o") & F.col("n")).alias("inter"), F.count("*").alias("either"))
+
+
+def shared_borders(borders: DataFrame, key: str) -> DataFrame:
+    """(a, b, metres): how long the borders of each two keys run along each other. ``borders``: (key, x1, y1, x2, y2) in whole units.
+
+    A border lies on a line, named by its reduced direction and its offset, and is a stretch of that line in steps of the
+    direction. Stretches of one line meet by ranges of it, and each overlap counts where it begins, so it counts once.
+    """
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    g = _gcd(F.abs(dx), F.abs(dy))
+    sign = F.when((dx < 0) | ((dx == 0) & (dy < 0)), -1).otherwise(1)
+    lines = borders.where((dx != 0) | (dy != 0)).select(key, (sign * dx / g).cast("long").alias("ux"), (sign * dy / g).cast("long").alias("uy"), "x1", "y1", "x2", "y2")
+    along = lambda x, y: F.coalesce(F.floor(F.col(x) / F.when(F.col("ux") != 0, F.col("ux"))), F.floor(F.col(y) / F.col("uy")))
+    lines = lines.withColumn("offset", F.col("ux") * F.col("y1") - F.col("uy") * F.col("x1")).withColumns({"s": F.least(along("x1", "y1"), along("x2", "y2")), "t": F.greatest(along("x1", "y1"), along("x2", "y2"))})
+    filed = lines.withColumn("part", F.explode(F.sequence(F.floor(F.col("s") / PART), F.floor((F.col("t") - 1) / PART))))
+    filed = filed.select(key, "ux", "uy", "offset", "s", "t", "part").distinct()
+    other = filed.select("ux", "uy", "offset", "part", F.col(key).alias("b"), F.col("s").alias("s2"), F.col("t").alias("t2"))
+    met = filed.withColumnRenamed(key, "a").join(other, ["ux", "uy", "offset", "part"]).where("a < b AND s < t2 AND s2 < t")
+    start = F.greatest("s", "s2")
+    met = met.where(F.floor(start / PART) == F.col("part"))
+    steps = F.least("t", "t2") - start
+    return met.groupBy("a", "b").agg(F.sum(steps * F.hypot(F.col("ux") * LON_KM / 1e3, F.col("uy") * LAT_KM / 1e3)).alias("metres"))
+
+
+#: Steps of a line that are met in one task.
+PART = 100_000
+
+
+def _gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor of whole numbers, by forty steps of Euclid's, enough for numbers below 10^8 and left to stand after that."""
+    pair = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), pair, lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), (p["a"] % F.when(p["b"] != 0, p["b"])).alias("b"))), lambda p: p["a"])
+
+
 def share_within(samples: DataFrame, keys: list[str], hits: DataFrame) -> DataFrame:
     """(keys, n, hit, share) of ``samples`` (keys, k) that are in ``hits`` (keys, k)."""
     j = samples.select(*keys, "k").join(hits.select(*keys, "k").distinct().withColumn("hit", F.lit(1)), [*keys, "k"], "left")
@@ -88,11 +174,14 @@ def quantiles(values: DataFrame, key: str, value: str, places: dict[str, float],
     return met.where("at < end AND at >= end - n").groupBy(key).agg(*(F.max(F.when(F.col("name") == n, F.col(value))).alias(n) for n in places))
 
 
-def best_matches(met: DataFrame, keys: list[str], k: int, sigma: float, prior: Column) -> DataFrame:
-    """The ``k`` nearest stretches of each sample of ``met`` (keys, k, m, order...), with their score -(m / sigma)^2 / 2 + prior and rank by distance."""
+def best_matches(samples: DataFrame, met: DataFrame, keys: list[str], k: int, sigma: float, prior: Column, most: float, missing: float = -3.0) -> DataFrame:
+    """The ``k`` nearest stretches of each sample of ``met`` (keys, m, name, pos...), with their score -(m / sigma)^2 / 2 + prior and rank
+    by distance. A sample without any gets one row of rank 1 without a name, at distance ``most`` and with the prior ``missing``."""
     w = Window.partitionBy(*keys).orderBy("m", "name", "pos")
     out = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out.withColumn("score", -F.pow(F.col("m") / sigma, 2) / 2 + prior)
+    out = out.withColumn("score", -F.pow(F.col("m") / sigma, 2) / 2 + prior)
+    alone = samples.select(*keys).join(met.select(*keys).distinct(), keys, "left_anti").withColumns({"rank": F.lit(1), "score": F.lit(-((most / sigma) ** 2) / 2 + missing)})
+    return out.unionByName(alone, allowMissingColumns=True)
 
 
 def clip_radii(contracts: DataFrame) -> DataFrame:
@@ -107,22 +196,28 @@ def rebuilt_quality(rows: DataFrame) -> DataFrame:
     return rows.withColumn("estimate", estimate).withColumn("ok", F.coalesce(F.col("rebuilt_km2").between(0.3 * F.col("estimate"), 3.0 * F.col("estimate")), F.lit(False)))
 
 
-def nearest_share(units: DataFrame, street: str, share: float) -> DataFrame:
-    """Per street of ``units`` (street, unit_id, d) the round(share * n) nearest ones, at least one; halves round to even."""
-    n = F.count("*").over(Window.partitionBy("dealer_id", street))
-    ranked = units.withColumns({"n": n, "r": F.row_number().over(Window.partitionBy("dealer_id", street).orderBy("d", "unit_id"))})
-    return ranked.where(F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("n") * share).cast("int"))).drop("n", "r")
+def nearest_share(units: DataFrame, keys: list[str]) -> DataFrame:
+    """Per ``keys`` of ``units`` (keys, unit_id, d, share) the round(share * n) nearest ones, at least one; halves round to even."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    ranked = units.withColumns({"n": n, "r": F.row_number().over(Window.partitionBy(*keys).orderBy("d", "unit_id"))})
+    return ranked.where(F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("n") * F.col("share")).cast("int"))).drop("n", "r")
+
+
+def street_core(token: Column) -> Column:
+    """What a text may call a street: its name without the district before it and without 街道 or 镇."""
+    return F.replace(F.replace(F.element_at(F.split(token, "·"), -1), F.lit("街道")), F.lit("镇"))
 
 
 def search(queries: DataFrame, registry: DataFrame, k: int = 8) -> DataFrame:
     """(query_id, rank, area_id, score): the ``k`` fences of most points for each of ``queries`` (query_id, text).
 
-    ``registry``: (area_id, area_km2, kind, token) with a row for each boundary road, street, district and neighbour: 3 points for each road and
-    street that the text contains, 2 for a neighbour, 1 for a district, and 1 if the area is 0.6 to 1.6 times the one stated in
+    ``registry``: (area_id, area_km2, kind, token) with a row for each boundary road, street, district and neighbour: 3 points for
+    each road and street (by its core) that the text contains, 2 for a neighbour, 1 for a district, and 1 if the area is 0.6 to 1.6 times the one stated in
     square kilometres. Tokens meet texts by their distinct values; fences without points don't appear.
     """
     stated = F.regexp_extract("text", r"(\d+(?:\.\d+)?)\s*(?:平方公里|km²|km2)", 1)
     asked = queries.select("query_id", "text", F.when(stated != "", stated.cast("double")).alias("km2"))
+    registry = registry.withColumn("token", F.when(F.col("kind") == "street", street_core(F.col("token"))).otherwise(F.col("token")))
     tokens = registry.where("length(token) > 0").select("token").distinct()
     lengths = [r.n for r in tokens.select(F.length("token").alias("n")).distinct().orderBy("n").collect()]  # a few lengths
 
