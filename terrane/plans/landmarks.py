@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrane import bindings as B
 from terrane.bindings import SIDE, X0, Y0, sql
+from terrane.operators import barriers as barriers_of
 from terrane.operators import landmarks as L
 from terrane.operators import scenarios as S
 from terrane.operators import spatial
@@ -153,11 +155,39 @@ def along_road(spark, d):
     return per.select("dealer_id", F.when(F.col("dealer_id") % 5 != 0, F.col("dealer_id") + 1).alias("dst"), "chosen", "other", F.coalesce("stores", F.lit(0)).alias("stores"), status.alias("status"))
 
 
+def broken_lines(spark, d):
+    """(dealer_id, barrier, pos, x, y): two broken lines for each dealer, twelve vertices of a landmark each, drawn round its centre."""
+    own = Window.partitionBy("name", "seg")
+    v = B.landmarks(spark, d).withColumns({"place": F.row_number().over(own.orderBy("pos")) - 1, "n": F.count("*").over(own)})
+    k = F.explode(F.array(F.lit(0), F.lit(1)))
+    pick = B.dealers(spark, d).withColumn("k", k).selectExpr("dealer_id", "k", "cx", "cy", "h", "concat('Brand#', 1 + (dealer_id + 6 * k) % 25) AS name", "(dealer_id + k) % 4 AS seg")
+    met = pick.join(v, ["name", "seg"]).where("place BETWEEN (dealer_id * 7) % greatest(1, n - 11) AND (dealer_id * 7) % greatest(1, n - 11) + 11")
+    moved = lambda c, at, zero: f"{c} + floor(({at} - {zero} - 500000) * h / 250000.0D) AS {at}"
+    return met.selectExpr("dealer_id", "concat(if(k = 0, '河', '路'), substring(name, 7)) AS barrier", "place AS pos", moved("cx", "x", X0), moved("cy", "y", Y0))
+
+
 def split_stores(spark, d):
-    """Stores of each dealer by upstream, on either side of a straight road through its centre; those outside its fences are unassigned."""
-    k = P.kinded(spark, d).where("upstream IS NOT NULL").join(B.dealers(spark, d).select(F.col("dealer_id").alias("upstream"), "cx"), "upstream")
-    label = F.when(~F.array_contains("dealers", F.col("upstream")), "unassigned").when(F.col("x") >= F.col("cx"), "road-东").otherwise("road-西")
-    return k.groupBy(F.col("upstream").alias("dealer_id"), label.alias("piece")).agg(F.count("*").alias("stores"), F.min("store_id").alias("first_store"))
+    """Stores of each component on the sides of two broken lines; a dealer's stores by upstream that none of its fences holds are unassigned."""
+    f, s = B.fences(spark, d), B.stores(spark, d)
+    lines = broken_lines(spark, d)
+    barriers = f.select("dealer_id", "comp").join(lines, "dealer_id")
+    placed, _ = barriers_of.split_regions(s, f, barriers, ["dealer_id", "comp"], "store_id")
+    k = P.kinded(spark, d).where("upstream IS NOT NULL AND NOT array_contains(dealers, upstream)").join(B.dealers(spark, d).select(F.col("dealer_id").alias("upstream")), "upstream")
+    rest = k.select("store_id", F.col("upstream").alias("dealer_id"), F.lit(None).cast("int").alias("comp"), F.lit("unassigned").alias("piece"))
+    every = placed.select("store_id", "dealer_id", "comp", "piece").unionByName(rest)
+    return every.groupBy("dealer_id", "comp", "piece").agg(F.count("*").alias("stores"), F.min("store_id").alias("first_store"))
+
+
+def bounded_stores(spark, d):
+    """Each component's stores cut by broken lines as northern and eastern bound: how many lie on the kept side of each, and within both."""
+    f, lines = B.fences(spark, d), broken_lines(spark, d)
+    first = F.substring("barrier", 1, 1) == "河"
+    barriers = f.select("dealer_id", "comp").join(lines.withColumns({"scheme": F.when(first, "ns").otherwise("ew"), "barrier": F.when(first, "北").otherwise("东")}), "dealer_id")
+    keys = ["dealer_id", "comp"]
+    held = spatial.contain(B.stores(spark, d).select("store_id", "x", "y"), f, keys)
+    by = barriers_of.sides(held, barriers_of.closed(f, barriers, keys), keys, "store_id").withColumn("kept", F.col("side") != F.col("barrier"))
+    per = by.groupBy("store_id", *keys).agg(F.bool_or((F.col("barrier") == "北") & F.col("kept")).alias("south"), F.bool_or((F.col("barrier") == "东") & F.col("kept")).alias("west"))
+    return per.groupBy(*keys).agg(F.count("*").alias("stores"), F.count_if("south").alias("south_of_bound"), F.count_if("west").alias("west_of_bound"), F.count_if(F.col("south") & F.col("west")).alias("kept"))
 
 
 def halves(spark, d):
@@ -195,6 +225,7 @@ QUERIES = {
     "j21_line_sides": line_sides,
     "r12_along_road": along_road,
     "j22_split_stores": split_stores,
+    "g8_bounded_stores": bounded_stores,
     "p15_half_areas": halves,
     "j17_moved_stores": moved_stores,
     "w3_heads": heads,
@@ -235,6 +266,43 @@ _SIDED = "SELECT dealer_id, unit_id, axis, CASE WHEN axis = 'y' THEN y >= ny ELS
 _CUT = {"sets": scenarios._SETS, "road": _ROAD, "axis": _AXIS, "sided": _SIDED}
 _MEAN = "SELECT class, name, avg(x) AS mx, avg(y) AS my FROM mark JOIN (SELECT class, name, min(seg) AS seg FROM mark GROUP BY 1, 2) USING (class, name, seg) GROUP BY 1, 2"
 _RANK = "CASE c " + " ".join(f"WHEN {k} THEN {L.CLASS_RANK.get(c, L.OTHER_RANK)}" for k, c in enumerate(_CLASSES)) + " END"
+def _far(d: str, at: str, low: str, high: str) -> str:
+    return f"CASE WHEN {d} > 0 THEN ({high} - {at}) / {d} WHEN {d} < 0 THEN ({low} - {at}) / {d} END"
+
+
+def _out(name: str, x: str, y: str, bx: str, by: str) -> str:
+    """Where the ray from (x, y) away from (bx, by) leaves the frame, and its place along it, as columns."""
+    tx, ty = _far(f"({x} - {bx})", x, "fx0", "fx1"), _far(f"({y} - {by})", y, "fy0", "fy1")
+    t = f"least(coalesce({tx}, 1e300), coalesce({ty}, 1e300))"
+    return f"{x} + {t} * ({x} - {bx}) AS {name}_x, {y} + {t} * ({y} - {by}) AS {name}_y, coalesce({tx} = {t}, false) AS {name}_side"
+
+
+def _turn(p: str) -> str:
+    across, up = f"(({p}_x - fx0) / (fx1 - fx0))", f"(({p}_y - fy0) / (fy1 - fy0))"
+    return f"CASE WHEN {p}_side AND {across} > 0.5 THEN 1 + {up} WHEN {p}_side THEN 4 - {up} WHEN {up} > 0.5 THEN 3 - {across} ELSE {across} END"
+
+
+_mod = lambda a: f"(({a}) - 4 * floor(({a}) / 4))"
+_round = lambda frm, to: f"list_sort(list_transform(list_filter([1, 2, 3, 4], lambda k: {_mod(f'k - {frm}')} < {_mod(f'{to} - {frm}')}), lambda k: {_mod(f'k - {frm}')}))"
+_BAR = "SELECT dealer_id, CASE WHEN k = 0 THEN '河' ELSE '路' END || substr(name, 7) AS barrier, k, place, cx + floor((x - 113000000 - 500000) * h / 250000.0::DOUBLE) AS x, cy + floor((y - 22500000 - 500000) * h / 250000.0::DOUBLE) AS y FROM dealer, range(2) r(k) JOIN (SELECT *, row_number() OVER (PARTITION BY name, seg ORDER BY pos) - 1 AS place, count(*) OVER (PARTITION BY name, seg) AS n FROM landmark) l ON l.name = 'Brand#' || (1 + (dealer_id + 6 * k) % 25) AND l.seg = (dealer_id + k) % 4 WHERE place BETWEEN (dealer_id * 7) % greatest(1, n - 11) AND (dealer_id * 7) % greatest(1, n - 11) + 11"
+_BLN = "SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM (SELECT * FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM bar WINDOW w AS (PARTITION BY dealer_id, k ORDER BY place)) WHERE px IS NULL OR px <> x OR py <> y) WINDOW w AS (PARTITION BY dealer_id, k ORDER BY place)"
+_END = "SELECT dealer_id, k, any_value(barrier) AS barrier, arg_min(x, place) AS ax, arg_min(y, place) AS ay, arg_min(x2, place) AS ax2, arg_min(y2, place) AS ay2, arg_max(x, place) FILTER (WHERE x2 IS NOT NULL) AS bx, arg_max(y, place) FILTER (WHERE x2 IS NOT NULL) AS by_, arg_max(x2, place) FILTER (WHERE x2 IS NOT NULL) AS bx2, arg_max(y2, place) FILTER (WHERE x2 IS NOT NULL) AS by2, min(x) AS lx0, max(x) AS lx1, min(y) AS ly0, max(y) AS ly1 FROM bln GROUP BY 1, 2 HAVING bx IS NOT NULL"
+
+
+def _edges(scheme: str) -> dict[str, str]:
+    """Views down to cedge: the edges of the closed lines; ``scheme``: SQL of ew or ns for a row of end."""
+    frame = f"SELECT e.*, comp, {scheme} AS scheme, least(x0, lx0) - 1000.0 AS fx0, greatest(x1, lx1) + 1000.0 AS fx1, least(y0, ly0) - 1000.0 AS fy0, greatest(y1, ly1) + 1000.0 AS fy1 FROM bend e JOIN (SELECT dealer_id, comp, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fence_vertex GROUP BY 1, 2) USING (dealer_id)"
+    ends = f"SELECT *, {_out('start', 'ax', 'ay', 'ax2', 'ay2')}, {_out('stop', 'bx2', 'by2', 'bx', 'by_')} FROM bframe"
+    turns = f"SELECT *, {_turn('start')} AS s, {_turn('stop')} AS t, CASE scheme WHEN 'ew' THEN 1.5 ELSE 2.5 END AS m FROM bout"
+    ways = f"SELECT *, CASE WHEN {_mod('m - t')} < {_mod('s - t')} THEN list_transform({_round('t', 's')}, lambda v: CAST(round(v + t) AS BIGINT) % 4) ELSE list_reverse(list_transform({_round('s', 't')}, lambda v: CAST(round(v + s) AS BIGINT) % 4)) END AS way FROM bturn"
+    point = lambda x, y: f"{{'x': CAST({x} AS DOUBLE), 'y': CAST({y} AS DOUBLE)}}"
+    corner = point("CASE WHEN c IN (1, 2) THEN fx1 ELSE fx0 END", "CASE WHEN c IN (2, 3) THEN fy1 ELSE fy0 END")
+    rest = f"SELECT dealer_id, comp, k, barrier, scheme, list_concat([{point('bx2', 'by2')}, {point('stop_x', 'stop_y')}], list_transform(way, lambda c: {corner}), [{point('start_x', 'start_y')}, {point('ax', 'ay')}]) AS rest FROM bway"
+    edges = "SELECT dealer_id, comp, k, barrier, scheme, rest[i].x AS x1, rest[i].y AS y1, rest[i + 1].x AS x2, rest[i + 1].y AS y2 FROM (SELECT *, unnest(range(1, len(rest))) AS i FROM brest) UNION ALL SELECT l.dealer_id, comp, l.k, l.barrier, scheme, l.x, l.y, l.x2, l.y2 FROM bln l JOIN brest r ON r.dealer_id = l.dealer_id AND r.k = l.k WHERE l.x2 IS NOT NULL"
+    sided = "SELECT h.store_id, e.dealer_id, e.comp, e.k, any_value(e.barrier) AS barrier, any_value(scheme) AS scheme, count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) / (y2 - y1) * (x2 - x1)) % 2 = 1 AS odd FROM held h JOIN store USING (store_id) JOIN cedge e ON e.dealer_id = h.dealer_id AND e.comp = h.comp GROUP BY 1, 2, 3, 4"
+    return {"bar": _BAR, "bln": _BLN, "bend": _END, "bframe": frame, "bout": ends, "bturn": turns, "bway": ways, "brest": rest, "cedge": edges, "sides": sided}
+
+
 SQL = {
     "j8_landmark_snap": sql(f"SELECT s.store_id, coalesce({_CHANNEL}, r.name) AS river, o.name AS road FROM store s LEFT JOIN river r USING (store_id) LEFT JOIN road o USING (store_id)", mark=_MARK, river=_snap("store", "p.store_id", "river", RIVER_KM), road=_snap("store", "p.store_id", "road", ROAD_KM)),
     "a23_main_district": sql("SELECT * FROM mains", **_BOUNDS),
@@ -249,7 +317,8 @@ SQL = {
     "j20_street_district": sql(_MAIN.format(k="street", t="ud"), ud=_district("(SELECT street, unit_id AS pos, x, y FROM unit)")),
     "j21_line_sides": sql("SELECT * FROM sided", **_CUT),
     "r12_along_road": sql("SELECT dealer_id, CASE WHEN dealer_id % 5 <> 0 THEN dealer_id + 1 END AS dst, chosen, other, coalesce(stores, 0) AS stores, CASE WHEN chosen = 0 THEN 'nothing_on_side' WHEN other = 0 THEN 'all_on_side' ELSE 'ok' END AS status FROM (SELECT dealer_id, count(*) FILTER (WHERE after) AS chosen, count(*) FILTER (WHERE NOT after) AS other FROM sided GROUP BY 1) LEFT JOIN (SELECT dealer_id, count(*) FILTER (WHERE after) AS stores FROM (SELECT DISTINCT store_id, dealer_id FROM held) JOIN placed USING (store_id) JOIN sided USING (dealer_id, unit_id) GROUP BY 1) USING (dealer_id)", **_CUT, placed=scenarios._AT),
-    "j22_split_stores": sql("SELECT upstream AS dealer_id, piece, count(*) AS stores, min(store_id) AS first_store FROM (SELECT k.store_id, upstream, CASE WHEN NOT EXISTS (SELECT 1 FROM held h WHERE h.store_id = k.store_id AND h.dealer_id = upstream) THEN 'unassigned' WHEN x >= cx THEN 'road-东' ELSE 'road-西' END AS piece FROM kinded k JOIN dealer ON dealer.dealer_id = upstream) GROUP BY 1, 2"),
+    "j22_split_stores": sql("SELECT dealer_id, comp, piece, count(*) AS stores, min(store_id) AS first_store FROM (SELECT store_id, dealer_id, comp, string_agg(barrier || '-' || CASE WHEN scheme = 'ew' THEN CASE WHEN odd THEN '东' ELSE '西' END ELSE CASE WHEN odd THEN '北' ELSE '南' END END, '|' ORDER BY barrier) AS piece FROM sides GROUP BY 1, 2, 3 UNION ALL SELECT store_id, upstream, NULL, 'unassigned' FROM kinded k WHERE EXISTS (SELECT 1 FROM dealer d WHERE d.dealer_id = upstream) AND NOT EXISTS (SELECT 1 FROM held h WHERE h.store_id = k.store_id AND h.dealer_id = upstream)) GROUP BY 1, 2, 3", **_edges("CASE WHEN (ly1 - ly0) * 110.574 > (lx1 - lx0) * 102.2 THEN 'ew' ELSE 'ns' END")),
+    "g8_bounded_stores": sql("SELECT dealer_id, comp, count(*) AS stores, count(*) FILTER (WHERE south) AS south_of_bound, count(*) FILTER (WHERE west) AS west_of_bound, count(*) FILTER (WHERE south AND west) AS kept FROM (SELECT store_id, dealer_id, comp, bool_or(k = 0 AND NOT odd) AS south, bool_or(k = 1 AND NOT odd) AS west FROM sides GROUP BY 1, 2, 3) GROUP BY 1, 2", **_edges("CASE WHEN k = 0 THEN 'ns' ELSE 'ew' END")),
     "p15_half_areas": sql("SELECT dealer_id, " + ", ".join(f"count(*) FILTER (WHERE {c} {o} 0) AS {n}" for n, c, o in (("east", "dx", ">="), ("west", "dx", "<"), ("north", "dy", ">="), ("south", "dy", "<"), ("strict_east", "dx", ">"), ("strict_west", "dx", "<"), ("strict_north", "dy", ">"), ("strict_south", "dy", "<"))) + " FROM (SELECT dealer_id, x - avg(x) OVER (PARTITION BY dealer_id) AS dx, y - avg(y) OVER (PARTITION BY dealer_id) AS dy FROM sets JOIN unit USING (unit_id)) GROUP BY 1", sets=scenarios._SETS),
     "j17_moved_stores": sql("SELECT proposal_id, store_id, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT dealer_id AS x FROM kept h WHERE h.store_id = m.store_id AND h.dealer_id <> m.src UNION SELECT m.dst)) AS dealers FROM moved m", **scenarios._V),
     "w3_heads": sql("SELECT proposal_id, n, store_id FROM (SELECT proposal_id, store_id, CAST(row_number() OVER (PARTITION BY proposal_id ORDER BY store_id) AS INTEGER) AS n FROM moved) WHERE n <= 5", **scenarios._V),

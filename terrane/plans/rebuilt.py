@@ -37,14 +37,17 @@ def from_bounds(spark, d):
 
 
 def clipped(spark, d):
-    """The box of each dealer's fence cut by the fitted lines of its contract, moved to pass near the dealer: notes of the four cuts, vertices and area left."""
-    box = S.with_box(B.fences(spark, d)).where("comp = 1")
+    """The box of each component (id: dealer * 10 + component) cut by the fitted lines of its dealer's contract, moved to pass near the dealer:
+    notes of the four cuts, vertices and area left."""
+    box = S.with_box(B.fences(spark, d)).withColumn("id", F.expr("dealer_id * 10 + comp"))
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    regions = box.select(F.col("dealer_id").alias("id"), F.array(corner("bx0", "by0"), corner("bx1", "by0"), corner("bx1", "by1"), corner("bx0", "by1")).alias("ring"))
+    regions = box.select("id", F.array(corner("bx0", "by0"), corner("bx1", "by0"), corner("bx1", "by1"), corner("bx0", "by1")).alias("ring"))
     fit = S.fit_line(lines(spark, d), ["name"]).select("name", "nx", "ny")
     shift = "CASE side WHEN '北' THEN 1 WHEN '东' THEN 1 ELSE -1 END * (id % 7 - 2) * h div 4"
     at = contracts(spark, d).join(B.dealers(spark, d).select(F.col("dealer_id").alias("id"), "cx", "cy", "h"), "id").join(fit, "name")
-    cuts = at.selectExpr("id", "side", f"cx + {shift} AS px", f"cy + {shift} AS py", "nx", "ny")
+    at = at.withColumnRenamed("id", "dealer_id").join(box.select("dealer_id", "comp"), "dealer_id").withColumn("own", F.expr("dealer_id * 10 + comp"))
+    shift = shift.replace("id %", "dealer_id %")
+    cuts = at.selectExpr("own AS id", "side", f"cx + {shift} AS px", f"cy + {shift} AS py", "nx", "ny")
     rings, notes = R.clip_by_bounds(regions, cuts)
     said = notes.groupBy("id").agg(*(F.max(F.when(F.col("side") == s, F.col("note"))).alias(n) for s, n in zip(R.CUTS, ("north", "south", "east", "west"), strict=True)))
     twice = F.aggregate(S.edges(F.col("ring")), F.lit(0.0), lambda acc, e: acc + (e["x1"] - B.X0) * (e["y2"] - B.Y0) - (e["x2"] - B.X0) * (e["y1"] - B.Y0))
@@ -63,9 +66,9 @@ _V = "SELECT id, o, k, x, y FROM (SELECT *, row_number() OVER (PARTITION BY id,
 _RING = "SELECT id, x, y, row_number() OVER (PARTITION BY id ORDER BY o, k) AS pos FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM v WINDOW w AS (PARTITION BY id ORDER BY o, k)) WHERE px IS NULL OR px <> x OR py <> y"
 _AREA = "SELECT id, count(*) AS vertices, CAST(sum((x - 113000000) * (y2 - 22500000) - (x2 - 113000000) * (y - 22500000)) AS BIGINT) AS doubled, NULL AS problem FROM (SELECT id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM ring WINDOW w AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY 1"
 _FIT = "SELECT name, CASE WHEN by_x THEN -slope ELSE 1 END / sqrt(1 + slope * slope) AS nx, CASE WHEN by_x THEN 1 ELSE -slope END / sqrt(1 + slope * slope) AS ny FROM (SELECT name, var_pop(x) >= var_pop(y) AS by_x, covar_pop(x, y) / greatest(var_pop(x), var_pop(y)) AS slope FROM landmark GROUP BY 1)"
-_SHIFT = "CASE side WHEN '北' THEN 1 WHEN '东' THEN 1 ELSE -1 END * (id % 7 - 2) * h"
-_LINE = f"SELECT c.id, side, cx + CAST(trunc({_SHIFT} / 4) AS BIGINT) AS px, cy + CAST(trunc({_SHIFT} / 4) AS BIGINT) AS py, CASE WHEN side IN ('北', '东') THEN -nx ELSE nx END AS nx, CASE WHEN side IN ('北', '东') THEN -ny ELSE ny END AS ny FROM con c JOIN dealer ON dealer_id = id JOIN fit USING (name)"
-_BOX = "SELECT dealer_id AS id, unnest([0, 1, 2, 3]) AS pos, CAST(unnest([x0, x1, x1, x0]) AS DOUBLE) AS x, CAST(unnest([y0, y0, y1, y1]) AS DOUBLE) AS y FROM (SELECT dealer_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fence_vertex WHERE comp = 1 GROUP BY 1)"
+_SHIFT = "CASE side WHEN '北' THEN 1 WHEN '东' THEN 1 ELSE -1 END * (c.id % 7 - 2) * h"
+_LINE = f"SELECT c.id * 10 + comp AS id, side, cx + CAST(trunc({_SHIFT} / 4) AS BIGINT) AS px, cy + CAST(trunc({_SHIFT} / 4) AS BIGINT) AS py, CASE WHEN side IN ('北', '东') THEN -nx ELSE nx END AS nx, CASE WHEN side IN ('北', '东') THEN -ny ELSE ny END AS ny FROM con c JOIN dealer ON dealer.dealer_id = c.id JOIN (SELECT DISTINCT dealer_id, comp FROM fence_vertex) f ON f.dealer_id = c.id JOIN fit USING (name)"
+_BOX = "SELECT dealer_id * 10 + comp AS id, unnest([0, 1, 2, 3]) AS pos, CAST(unnest([x0, x1, x1, x0]) AS DOUBLE) AS x, CAST(unnest([y0, y0, y1, y1]) AS DOUBLE) AS y FROM (SELECT dealer_id, comp, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fence_vertex GROUP BY 1, 2)"
 
 
 def _cut(k: int, side: str) -> dict[str, str]:
