@@ -75,26 +75,39 @@ def border_edges(cells: DataFrame, key: str) -> DataFrame:
     return sides.join(own.select(key, F.col("i").alias("ni"), F.col("j").alias("nj")), [key, "ni", "nj"], "left_anti").select(key, "x1", "y1", "x2", "y2")
 
 
-def _trace(edges: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
-    """Rings of directed unit edges; where two leave a vertex the one that turns left most is taken, so rings don't touch themselves."""
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x1, y1, x2, y2 in sorted(edges):
-        out.setdefault((x1, y1), []).append((x2, y2))
-    rings = []
-    for first in sorted(out):
-        while out[first]:
-            ring, at, step = [first], first, None
-            while True:
-                choice = out[at]
-                if step is not None:
-                    choice.sort(key=lambda p: step[0] * (p[1] - at[1]) - step[1] * (p[0] - at[0]))
-                to = choice.pop()
-                step, at = (to[0] - at[0], to[1] - at[1]), to
-                if at == first:
-                    break
-                ring.append(at)
-            rings.append(ring)
-    return rings
+def successors(edges: DataFrame, key: str) -> DataFrame:
+    """``edges`` (key, x1, y1, x2, y2) with x3, y3, the end of the edge that follows: where two leave a vertex the one that turns
+    left most, so rings don't touch themselves."""
+    after = edges.select(key, F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("x3"), F.col("y2").alias("y3"))
+    turn = (F.col("x2") - F.col("x1")) * (F.col("y3") - F.col("y2")) - (F.col("y2") - F.col("y1")) * (F.col("x3") - F.col("x2"))
+    met = edges.join(after, [key, "x2", "y2"]).groupBy(key, "x1", "y1", "x2", "y2").agg(F.max_by(F.struct("x3", "y3"), turn).alias("n"))
+    return met.select(key, "x1", "y1", "x2", "y2", "n.x3", "n.y3")
+
+
+def _paths(edges: list[tuple[int, ...]]) -> list[tuple[tuple, tuple | None, list[tuple[int, int]]]]:
+    """(first edge, edge that follows the last, vertices before each step) of each maximal path of ``edges`` (x1, y1, x2, y2, x3, y3);
+    a closed path has nothing that follows."""
+    following = {e[:4]: e[2:] for e in edges}
+    inner = set(following.values())
+    heads = sorted(e for e in following if e not in inner)
+    out, seen = [], set()
+    for closed, starts in ((False, heads), (True, sorted(following))):
+        for first in starts:
+            if first in seen:
+                continue
+            at, path = first, []
+            while at in following and at not in seen:
+                seen.add(at)
+                path.append(at[:2])
+                at = following[at]
+            out.append((first, None if closed else at, path))
+    return out
+
+
+def _corners(path: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A path's first and last vertex and those at which it turns."""
+    turns = [b for a, b, c in zip(path, path[1:], path[2:], strict=False) if (b[0] - a[0], b[1] - a[1]) != (c[0] - b[0], c[1] - b[1])]
+    return [path[0], *turns, *path[-1:]] if len(path) > 1 else path
 
 
 def _far(p: tuple, a: tuple, b: tuple) -> float:
@@ -117,25 +130,66 @@ def simplified(points: list[tuple], tolerance: float) -> list[tuple]:
     return [points[k] for k in sorted(keep)]
 
 
-def rings(cells: DataFrame, key: str, tolerance: float) -> DataFrame:
+#: Cells along a side of a tile, in which one task follows border edges.
+TILE = 256
+
+
+def rings(cells: DataFrame, key: str, tolerance: float, tile: int = TILE) -> DataFrame:
     """(key, ring, edges, points, doubled): rings round each key's cells (key, i, j), simplified to within ``tolerance`` cells.
 
     edges and doubled (twice the signed area in cells; holes are negative) are those of the ring before it is simplified,
-    points (x, y) those after it. A key's border edges are traced in one task; cells themselves are not gathered.
+    points (x, y) those after it, from its smallest vertex on. Rings are numbered by length, then by their first vertices.
+
+    Every border edge finds the edge that follows it by a join. A task follows the edges of one tile of a key; the paths that
+    leave their tile are joined to rings by labels that jump along pointers, so a long border is never followed in one task.
+    Lengths and areas are sums over paths; only a ring's corners are gathered, to be simplified.
     """
-    schema = f"{key} long, ring int, edges int, doubled long, points array<struct<x:double,y:double>>"
+    ship(cells.sparkSession)
+    edges = stored(border_edges(cells, key), "border")
+    tiled = successors(edges, key).withColumns({"tx": F.floor(F.col("x1") / tile), "ty": F.floor(F.col("y1") / tile)})
+    xy = "array<struct<x:long,y:long>>"
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        found = _trace([tuple(map(int, e)) for e in pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False)])
-        for n, ring in enumerate(sorted(found, key=lambda r: (-len(r), r)), 1):
-            doubled = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]], strict=True))
-            kept = simplified(ring, tolerance) if len(ring) > 4 else ring
-            rows.append((int(pdf[key].iloc[0]), n, len(ring), doubled, [{"x": float(x), "y": float(y)} for x, y in kept]))
-        return pd.DataFrame(rows, columns=[key, "ring", "edges", "doubled", "points"])
-
-    ship(cells.sparkSession)
-    return border_edges(cells, key).groupBy(key).applyInPandas(trace, schema)
+        for first, after, path in _paths(list(pdf[["x1", "y1", "x2", "y2", "x3", "y3"]].itertuples(index=False, name=None))):
+            ends = [*path[1:], path[0] if after is None else after[:2]]
+            doubled = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(path, ends, strict=True))
+            rows.append((pdf[key].iloc[0], _name(first), _name(after) if after else None, len(path), doubled, [{"x": x, "y": y} for x, y in _corners(path)]))
+        return pd.DataFrame(rows, columns=[key, "unit_id", "after", "edges", "doubled", "corners"])
+
+    kind = cells.schema[key].dataType.simpleString()
+    paths = stored(tiled.groupBy(key, "tx", "ty").applyInPandas(follow, f"{key} {kind}, unit_id string, after string, edges long, doubled long, corners {xy}"), "paths")
+    open_ = paths.where("after IS NOT NULL")
+    if open_.limit(1).count():
+        label = labelled(open_.select(key, "unit_id"), open_.select(key, F.col("unit_id").alias("a"), F.col("after").alias("b")), [key])
+        paths = paths.join(label, [key, "unit_id"], "left")
+    else:
+        paths = paths.withColumn("label", F.lit(None).cast("string"))
+
+    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = {u: (a, [(int(p["x"]), int(p["y"])) for p in c]) for u, a, c in zip(pdf["unit_id"], pdf["after"], pdf["corners"], strict=True)}
+        at, ring = next(iter(own)), []
+        for _ in own:
+            after, corners = own[at]
+            ring, at = ring + corners, after
+        start = ring.index(min(ring))
+        ring = ring[start:] + ring[:start]
+        (x, y), (nx, ny) = ring[0], ring[1]
+        second = (x + (nx > x) - (nx < x), y + (ny > y) - (ny < y))
+        (ex, ey), back = ring[-1], ring[0]
+        last = (back[0] - (back[0] > ex) + (back[0] < ex), back[1] - (back[1] > ey) + (back[1] < ey))
+        turns = _corners([*ring, last] if last != ring[-1] else ring)
+        n = int(pdf["edges"].sum())
+        kept = simplified(turns, tolerance) if n > 4 else turns
+        return pd.DataFrame([(pdf[key].iloc[0], n, int(pdf["doubled"].sum()), [{"x": float(px), "y": float(py)} for px, py in kept], x, y, *second)], columns=[key, "edges", "doubled", "points", "x", "y", "x2", "y2"])
+
+    made = paths.withColumn("label", F.coalesce("label", "unit_id")).groupBy(key, "label").applyInPandas(join_up, f"{key} {kind}, edges int, doubled long, points array<struct<x:double,y:double>>, x long, y long, x2 long, y2 long")
+    order = Window.partitionBy(key).orderBy(F.desc("edges"), "x", "y", "x2", "y2")  # a row for each ring
+    return made.select(key, F.row_number().over(order).alias("ring"), "edges", "doubled", "points")
+
+
+def _name(edge: tuple[int, ...]) -> str:
+    return ",".join(map(str, edge[:4]))
 
 
 def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -174,29 +228,28 @@ def compact_terms(truth: DataFrame, terms: DataFrame, most: int = 12) -> DataFra
     """(dealer_id, n, term, gain): a short description of each dealer's units, greedily: the term of largest (hits less extra
     units, hits, share of hits), as long as that gain is 1 or more. Equal terms go by name.
 
-    ``truth``: (dealer_id, unit_id); ``terms``: (term, unit_id). A term is a candidate of the dealers it touches; candidates
-    arrive as one row with their units, and the choice for one dealer is made in one task.
+    ``truth``: (dealer_id, unit_id); ``terms``: (term, unit_id). A term is a candidate of the dealers it touches. Rounds run for
+    all dealers at once on a table of candidates' units: a candidate's hits and extra units are counted once and lessened
+    by the units that each round covers, so a unit of a candidate is met again only in the round that covers it.
     """
-    ship(truth.sparkSession)
-    whole = terms.groupBy("term").agg(F.collect_set("unit_id").alias("units"))  # units of one term
-    touched = truth.join(terms, "unit_id").select("dealer_id", "term").distinct()
-    own = truth.groupBy("dealer_id").agg(F.collect_set("unit_id").alias("own"))  # units of one dealer
-    asked = touched.join(whole, "term").join(own, "dealer_id").select("dealer_id", "term", "units", "own")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        goal, covered, rows = set(pdf["own"].iloc[0]), set(), []
-        left = {t: set(u) for t, u in sorted(zip(pdf["term"], pdf["units"], strict=True))}
-        while left and len(rows) < most and not goal <= covered:
-            def worth(t: str) -> tuple:
-                new = left[t] - covered
-                hit = len(new & goal)
-                return 2 * hit - len(new), hit, hit / max(len(new), 1)
-            best = max(left, key=worth)
-            gain, hit, _ = worth(best)
-            if hit == 0 or gain < 1:
-                break
-            covered |= left.pop(best)
-            rows.append((int(pdf["dealer_id"].iloc[0]), len(rows) + 1, best, gain))
-        return pd.DataFrame(rows, columns=["dealer_id", "n", "term", "gain"])
-
-    return asked.groupBy("dealer_id").applyInPandas(choose, "dealer_id long, n int, term string, gain long")
+    own = truth.select("dealer_id", "unit_id").distinct()
+    every = terms.select("term", "unit_id").distinct()
+    touched = own.join(every, "unit_id").select("dealer_id", "term").distinct()
+    held = touched.join(every, "term").join(own.withColumn("hit", F.lit(1)), ["dealer_id", "unit_id"], "left")
+    held = stored(held.select("dealer_id", "term", "unit_id", F.coalesce("hit", F.lit(0)).alias("hit")), "candidates")
+    counts = stored(held.groupBy("dealer_id", "term").agg(F.sum("hit").alias("hits"), F.count("*").alias("size")), "counts")
+    covered, out = held.select("dealer_id", "unit_id").limit(0), None
+    for n in range(1, most + 1):
+        gain = 2 * F.col("hits") - F.col("size")
+        worth = F.struct((-gain).alias("g"), (-F.col("hits")).alias("h"), (-F.col("hits") / F.greatest("size", F.lit(1))).alias("s"), F.col("term").alias("t"))
+        best = counts.groupBy("dealer_id").agg(F.min_by(F.struct("term", gain.alias("gain"), "hits"), worth).alias("b"))
+        best = stored(best.where("b.hits > 0 AND b.gain >= 1").select("dealer_id", F.lit(n).alias("n"), "b.term", "b.gain"), "chosen")
+        out = best if out is None else out.unionByName(best)
+        if n == most or not best.limit(1).count():
+            return out
+        new = stored(held.join(best.select("dealer_id", "term"), ["dealer_id", "term"]).select("dealer_id", "unit_id").join(covered, ["dealer_id", "unit_id"], "left_anti"), "covered")
+        covered = covered.unionByName(new)
+        lost = held.join(new, ["dealer_id", "unit_id"]).groupBy("dealer_id", "term").agg(F.sum("hit").alias("h"), F.count("*").alias("s"))
+        left = counts.join(best.select("dealer_id", "term"), ["dealer_id", "term"], "left_anti").join(best.select("dealer_id"), "dealer_id", "left_semi")
+        counts = stored(left.join(lost, ["dealer_id", "term"], "left").select("dealer_id", "term", (F.col("hits") - F.coalesce("h", F.lit(0))).alias("hits"), (F.col("size") - F.coalesce("s", F.lit(0))).alias("size")), "counts")
+    return out

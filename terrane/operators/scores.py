@@ -158,8 +158,9 @@ def rank_at(values: DataFrame, keys: list[str], value: str, places: dict[str, Co
     return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("r") == at, F.col(value))).alias(name) for name, at in places.items()))
 
 
-def quantiles(values: DataFrame, key: str, value: str, places: dict[str, float], width: float) -> DataFrame:
-    """(key, name...): nearest-rank quantiles, the element at floor((n - 1) p) in rising order for each of ``places`` (name: p).
+def quantiles(values: DataFrame, key: str, value: str, places: dict[str, float | Column], width: float) -> DataFrame:
+    """(key, name...): nearest-rank quantiles, the element at floor((n - 1) p) in rising order for each of ``places`` (name: p, or the
+    element's place from 0 as a function of the count ``all``).
 
     Equal values are counted first. The counts of stretches of ``width`` are summed up, so each key's order is known from
     these few sums, and only one stretch is put in order in one task.
@@ -168,12 +169,18 @@ def quantiles(values: DataFrame, key: str, value: str, places: dict[str, float],
     parts = counts.groupBy(key, "part").agg(F.sum("n").alias("pn"))
     before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
     parts = parts.withColumns({"start": F.coalesce(F.sum("pn").over(before), F.lit(0)), "all": F.sum("pn").over(Window.partitionBy(key))})
-    wanted = parts.select(key, "part", "start", "pn", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.floor((F.col("all") - 1) * p).alias("at")) for n, p in places.items()))).alias("q")).select(key, "part", "start", "q.*", "pn").where("at >= start AND at < start + pn")
+    wanted = parts.select(key, "part", "start", "pn", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), (p if isinstance(p, Column) else F.floor((F.col("all") - 1) * p)).cast("long").alias("at")) for n, p in places.items()))).alias("q")).select(key, "part", "start", "q.*", "pn").where("at >= start AND at < start + pn")
     within = Window.partitionBy(key, "part", "name").orderBy(value)
     met = counts.join(wanted, [key, "part"]).withColumn("end", F.col("start") + F.sum("n").over(within))
     return met.where("at < end AND at >= end - n").groupBy(key).agg(*(F.max(F.when(F.col("name") == n, F.col(value))).alias(n) for n in places))
 
 
+def medians(values: DataFrame, key: str, value: str, width: float) -> DataFrame:
+    """(key, median): the middle value, or the mean of the middle two."""
+    middle = {"low": F.floor((F.col("all") - 1) / 2), "high": F.floor(F.col("all") / 2)}
+    return quantiles(values, key, value, middle, width).select(key, ((F.col("low") + F.col("high")) / 2).alias("median"))
+
+
 def best_matches(samples: DataFrame, met: DataFrame, keys: list[str], k: int, sigma: float, prior: Column, most: float, missing: float = -3.0) -> DataFrame:
     """The ``k`` nearest stretches of each sample of ``met`` (keys, m, name, pos...), with their score -(m / sigma)^2 / 2 + prior and rank
     by distance. A sample without any gets one row of rank 1 without a name, at distance ``most`` and with the prior ``missing``."""

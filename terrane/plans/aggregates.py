@@ -10,7 +10,7 @@ from terrane.operators import scores as Q
 from terrane.operators import sizing as Z
 from terrane.operators import spatial as S
 from terrane.plans import containment as P
-from terrane.session import table
+from terrane.session import stored, table
 
 CAPACITY = 3000.0
 
@@ -30,20 +30,27 @@ def unit_truth(spark, d):
     return S.contain(B.units(spark, d).select("unit_id", "x", "y"), B.fences(spark, d), ["dealer_id", "comp"]).select("unit_id", "dealer_id").distinct()
 
 
-def compose(spark, d):
-    """Share of each street's units that a dealer holds, with its tag."""
-    total = B.units(spark, d).groupBy("street").agg(F.count("*").alias("total"))
-    own = unit_truth(spark, d).join(B.units(spark, d).select("unit_id", "street"), "unit_id").groupBy("dealer_id", "street").agg(F.count("*").alias("n")).join(total, "street")
+def composed(units, truth):
+    """(dealer_id, street, share, tag): share of each street's ``units`` that a dealer holds by ``truth``, with its tag."""
+    total = units.groupBy("street").agg(F.count("*").alias("total"))
+    own = truth.join(units.select("unit_id", "street"), "unit_id").groupBy("dealer_id", "street").agg(F.count("*").alias("n")).join(total, "street")
     share = F.col("n") / F.col("total")
     tag = F.when(share > 0.95, "全部").when(share >= 0.6, "大部").when(share >= 0.3, "约半").otherwise(F.concat(F.lit("约"), F.bround(share * 100).cast("int").cast("string"), F.lit("%")))
     return own.select("dealer_id", "street", F.round(share, 9).alias("share"), tag.alias("tag"))
 
 
+def compose(spark, d):
+    return composed(B.units(spark, d), unit_truth(spark, d))
+
+
 def overlap(spark, d):
-    """Predicted units (those of streets held by 30 % or more) against true ones, per dealer."""
-    predicted = compose(spark, d).where("share >= 0.3").select("dealer_id", "street").join(B.units(spark, d).select("street", "unit_id"), "street").select("dealer_id", "unit_id", F.lit(1).alias("p"))
-    both = predicted.join(unit_truth(spark, d).withColumn("t", F.lit(1)), ["dealer_id", "unit_id"], "full")
-    s = both.groupBy("dealer_id").agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("hit"), F.count_if(F.col("t").isNull()).alias("over"), F.count_if(F.col("p").isNull()).alias("miss"))
+    """Predicted units (those of streets held by 30 % or more) against true ones, per dealer. Units and truth are written once."""
+    units = stored(B.units(spark, d).select("unit_id", "street", "x", "y"), "units")
+    truth = stored(S.contain(units.select("unit_id", "x", "y"), B.fences(spark, d), ["dealer_id", "comp"]).select("unit_id", "dealer_id").distinct(), "truth")
+    predicted = composed(units, truth).where("share >= 0.3").select("dealer_id", "street").join(units.select("street", "unit_id"), "street").select("dealer_id", "unit_id")
+    rows = predicted.withColumns({"p": F.lit(1), "t": F.lit(0)}).unionByName(truth.select("dealer_id", "unit_id", F.lit(0).alias("p"), F.lit(1).alias("t")))
+    both = rows.groupBy("dealer_id", "unit_id").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
+    s = both.groupBy("dealer_id").agg(F.count_if((F.col("p") > 0) & (F.col("t") > 0)).alias("hit"), F.count_if(F.col("t") == 0).alias("over"), F.count_if(F.col("p") == 0).alias("miss"))
     return s.select("*", F.round(F.when(F.col("hit") + F.col("over") > 0, F.col("hit") / (F.col("hit") + F.col("over"))), 9).alias("precision"), F.round(F.col("hit") / (F.col("hit") + F.col("miss")), 9).alias("recall"), F.round(F.col("hit") / (F.col("hit") + F.col("over") + F.col("miss")), 9).alias("jaccard"))
 
 
@@ -117,7 +124,7 @@ QUERIES = {
     "a17_street_summary": lambda s, d: compose(s, d).where("share >= 0.15").select("dealer_id", "street", F.when(F.col("share") > 0.95, "full").otherwise("part").alias("held")),
     "a19_set_overlap": overlap,
     "a25_nearest_rank": nearest_rank,
-    "a26_median": lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", 0.5), 4).alias("median")),
+    "a26_median": lambda s, d: Q.medians(table(s, d, "orders").select("o_orderpriority", F.col("o_totalprice").cast("double").alias("v")), "o_orderpriority", "v", 1000.0).select("o_orderpriority", F.round("median", 4).alias("median")),
     "a34_tiling": tiling,
     "j13_fence_adjacency": adjacency,
     "j13_close_fences": close_fences,

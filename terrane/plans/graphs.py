@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from terrane import bindings as B
 from terrane.bindings import X0, Y0, sql
 from terrane.operators import graph as G
+from terrane.operators import scores as Q
 from terrane.operators import spatial as S
+from terrane.plans import containment as P
 from terrane.plans.scenarios import _SETS, Case
 from terrane.session import stored
 
@@ -15,10 +17,12 @@ HOPS = 4
 
 
 def adjacency(spark, d):
-    """Units that share a border of 50 m or more, with its length."""
-    _, step = B.grid(spark, d)
+    """Units that share a border of 50 m or more, or of half a side where cells are smaller than that, with its length."""
+    n, step = B.grid(spark, d)
     e = G.borders(B.units(spark, d).withColumn("all", F.lit(0)), ["all"])
-    return e.select("a", "b", F.lit(round(step * 0.11132, 3)).alias("metres")).where("metres >= 50")
+    upright = F.expr(f"a div {n} <> b div {n}")  # neighbours from west to east share an upright side
+    metres = F.when(upright, step * S.LAT_KM / 1e3).otherwise(step * S.LON_KM / 1e3)
+    return e.withColumn("metres", metres).where(F.col("metres") >= F.least(F.lit(50.0), F.col("metres") / 2)).select("a", "b", F.round("metres", 3).alias("metres"))
 
 
 def walls(edges, c, meridians):
@@ -58,22 +62,26 @@ WINDOW = 6
 
 
 def grid_flood(spark, d):
-    """A flood over a square window of cells round each dealer's centre, where cells with a landmark vertex are walls.
+    """A flood over a window of cells, a quarter of the dealer's half-width each, round its centre. Walls are the cells whose centre
+    lies in the band of a fence border, 0.6 of a cell to each side; every third dealer's first border is left open. A seed
+    in a wall moves to the nearest free cell, square by square.
 
-    leak: it reached the window's edge. A leaking flood is cut to the cells of the fence's box. iou: against the cells whose centre the dealer's
-    fences hold, among the window's cells.
+    leak: the flood reached the window's edge. A leaking flood is cut to the cells of the fence's box. iou: against the cells whose
+    centre the dealer's fences hold, among the window's cells.
     """
-    n, step = B.grid(spark, d)
-    mid = f"{step // 2}"
-    seeds = B.dealers(spark, d).selectExpr("dealer_id", f"least((cx - {X0}) div {step}, {n - 1}) AS ci", f"least((cy - {Y0}) div {step}, {n - 1}) AS cj")
     around = F.explode(F.sequence(F.lit(-WINDOW), F.lit(WINDOW)))
-    cells = seeds.withColumn("di", around).withColumn("dj", around).selectExpr("dealer_id", "di", "dj", "ci + di AS i", "cj + dj AS j").selectExpr("*", f"(i + {WINDOW}) * {n + 2 * WINDOW} + j + {WINDOW} AS unit_id", f"{X0} + i * {step} + {mid} AS x", f"{Y0} + j * {step} + {mid} AS y")
-    wall = B.landmarks(spark, d).where("pos % 3 = 0").selectExpr(f"least((x - {X0}) div {step}, {n - 1}) AS i", f"least((y - {Y0}) div {step}, {n - 1}) AS j").distinct()
-    cells = stored(cells, "window")
-    free = stored(cells.join(wall, ["i", "j"], "left_anti"), "free")
-    got = G.flood(free.where("di = 0 AND dj = 0"), G.borders(free, ["dealer_id"]), ["dealer_id"], (2 * WINDOW + 1) ** 2).select("dealer_id", "unit_id")
+    cells = B.dealers(spark, d).selectExpr("dealer_id", "cx", "cy", "greatest(1, h div 4) AS s").withColumn("i", around).withColumn("j", around)
+    cells = stored(cells.selectExpr("dealer_id", "i", "j", f"(i + {WINDOW}) * {2 * WINDOW + 1} + j + {WINDOW} AS unit_id", "cx + i * s AS x", "cy + j * s AS y"), "window")
+    bands = P.ring_edges(spark, d).where("NOT (dealer_id % 3 = 0 AND comp = 1 AND pos = 0)").join(B.dealers(spark, d).selectExpr("dealer_id", "cx", "cy", "greatest(1, h div 4) AS s"), "dealer_id")
+    bands = bands.withColumns({"metres": F.col("s") * 0.6 * S.LAT_KM / 1e3, **{f"{c}{k}": F.expr(f"{c}{k} - c{c} + s / 2") for c in "xy" for k in (1, 2)}})  # seen from the window's middle cell
+    filed = Q.cells_along(bands, F.col("s") * 0.6 * S.LAT_KM / S.LON_KM, F.col("s")).where(f"abs(kx) <= {WINDOW} AND abs(ky) <= {WINDOW}")
+    centre = [F.expr(f"(k{c} + 0.5D) * s") for c in "xy"]
+    wall = filed.where(Q.metres_to_segment(*centre, *map(F.col, ("x1", "y1", "x2", "y2"))) <= F.col("metres")).select("dealer_id", F.col("kx").alias("i"), F.col("ky").alias("j")).distinct()
+    free = stored(cells.join(wall, ["dealer_id", "i", "j"], "left_anti"), "free")
+    seeds = free.groupBy("dealer_id").agg(F.min_by("unit_id", F.struct(F.greatest(F.abs("i"), F.abs("j")).alias("far"), "i", "j")).alias("unit_id"))
+    got = G.flood(seeds, G.borders(free, ["dealer_id"]), ["dealer_id"], (2 * WINDOW + 1) ** 2).select("dealer_id", "unit_id")
     got = got.join(cells, ["dealer_id", "unit_id"])
-    leak = got.groupBy("dealer_id").agg(F.max((F.abs("di") == WINDOW) | (F.abs("dj") == WINDOW)).alias("leak"))
+    leak = got.groupBy("dealer_id").agg(F.max((F.abs("i") == WINDOW) | (F.abs("j") == WINDOW)).alias("leak"))
     box = S.with_box(B.fences(spark, d)).groupBy("dealer_id").agg(F.min("bx0").alias("x0"), F.max("bx1").alias("x1"), F.min("by0").alias("y0"), F.max("by1").alias("y1"))
     kept = got.join(leak, "dealer_id").join(box, "dealer_id").where("NOT leak OR (x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)").select("dealer_id", "unit_id", F.lit(1).alias("p"))
     holds = S.contain(cells.select("x", "y").distinct(), B.fences(spark, d), ["dealer_id"]).distinct()
@@ -134,15 +142,17 @@ def _recursive(body: str, before: str, **views: str) -> str:
 _SEED = "SELECT dealer_id, cx2, least((cx - 113000000) // step, n - 1) AS ci, least((cy - 22500000) // step, n - 1) AS cj FROM dealer, grid"
 _WIN = f"SELECT dealer_id, cx2, u.unit_id, u.i, u.j, u.x, u.i = ci AND u.j = cj AS seed FROM seed JOIN unit u ON abs(u.i - ci) + abs(u.j - cj) <= {HOPS}"
 _FLOOD = f"went AS (SELECT dealer_id, unit_id, i, j, x, 0 AS hop FROM win WHERE seed UNION SELECT w.dealer_id, w.unit_id, w.i, w.j, w.x, r.hop + 1 FROM went r JOIN win w ON w.dealer_id = r.dealer_id AND abs(w.i - r.i) + abs(w.j - r.j) = 1 AND (w.x < cx2) = (r.x < cx2) WHERE r.hop < {HOPS})"
-_CELLS = f"SELECT dealer_id, a - {WINDOW} AS di, b - {WINDOW} AS dj, ci + a - {WINDOW} AS i, cj + b - {WINDOW} AS j, 113000000 + (ci + a - {WINDOW}) * step + step // 2 AS x, 22500000 + (cj + b - {WINDOW}) * step + step // 2 AS y FROM seed, grid, range({2 * WINDOW + 1}) p(a), range({2 * WINDOW + 1}) q(b)"
-_FREE = "SELECT * FROM gcell g WHERE NOT EXISTS (SELECT 1 FROM landmark l, grid WHERE l.pos % 3 = 0 AND least((l.x - 113000000) // step, n - 1) = g.i AND least((l.y - 22500000) // step, n - 1) = g.j)"
-_FILL = "filled AS (SELECT dealer_id, di, dj FROM free WHERE di = 0 AND dj = 0 UNION SELECT f.dealer_id, f.di, f.dj FROM filled r JOIN free f ON f.dealer_id = r.dealer_id AND abs(f.di - r.di) + abs(f.dj - r.dj) = 1)"
+_CELLS = f"SELECT dealer_id, a - {WINDOW} AS di, b - {WINDOW} AS dj, cx + (a - {WINDOW}) * greatest(1, h // 4) AS x, cy + (b - {WINDOW}) * greatest(1, h // 4) AS y, greatest(1, h // 4) AS s FROM dealer, range({2 * WINDOW + 1}) p(a), range({2 * WINDOW + 1}) q(b)"
+_PX, _PY, _DX, _DY = "((g.x - e.x1) * 0.1022::DOUBLE)", "((g.y - e.y1) * 0.110574::DOUBLE)", "((e.x2 - e.x1) * 0.1022::DOUBLE)", "((e.y2 - e.y1) * 0.110574::DOUBLE)"
+_T = f"greatest(0, least(1, ({_PX} * {_DX} + {_PY} * {_DY}) / ({_DX} * {_DX} + {_DY} * {_DY})))"
+_FREE = f"SELECT * FROM gcell g WHERE NOT EXISTS (SELECT 1 FROM fence_edge e WHERE e.dealer_id = g.dealer_id AND NOT (e.dealer_id % 3 = 0 AND comp = 1 AND pos = 0) AND sqrt(pow({_PX} - {_T} * {_DX}, 2) + pow({_PY} - {_T} * {_DY}, 2)) <= g.s * 0.6 * 0.110574)"
+_FILL = "filled AS (SELECT dealer_id, arg_min(di, (greatest(abs(di), abs(dj)), di, dj)) AS di, arg_min(dj, (greatest(abs(di), abs(dj)), di, dj)) AS dj FROM free GROUP BY 1 UNION SELECT f.dealer_id, f.di, f.dj FROM filled r JOIN free f ON f.dealer_id = r.dealer_id AND abs(f.di - r.di) + abs(f.dj - r.dj) = 1)"
 _TRUTH = "SELECT DISTINCT dealer_id, di, dj FROM (SELECT g.dealer_id, g.di, g.dj, comp, count(*) AS n FROM gcell g JOIN fence_edge e ON e.dealer_id = g.dealer_id AND (e.y1 > g.y) <> (e.y2 > g.y) AND CASE WHEN e.y2 > e.y1 THEN (g.x - e.x1) * (e.y2 - e.y1) < (g.y - e.y1) * (e.x2 - e.x1) ELSE (g.x - e.x1) * (e.y2 - e.y1) > (g.y - e.y1) * (e.x2 - e.x1) END GROUP BY ALL) WHERE n % 2 = 1"
 _LEAK = f"SELECT dealer_id, bool_or(abs(di) = {WINDOW} OR abs(dj) = {WINDOW}) AS leak FROM filled GROUP BY 1"
 _KEPT = "SELECT f.dealer_id, f.di, f.dj FROM filled f JOIN gcell g USING (dealer_id, di, dj) JOIN leaks USING (dealer_id) JOIN (SELECT dealer_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM fence_vertex GROUP BY 1) USING (dealer_id) WHERE NOT leak OR (g.x BETWEEN x0 AND x1 AND g.y BETWEEN y0 AND y1)"
 _HELD = "SELECT DISTINCT dealer_id, x // 5000 AS i, y // 5000 AS j FROM held JOIN store USING (store_id)"
 SQL = {
-    "j14_unit_adjacency": sql("SELECT p.unit_id AS a, q.unit_id AS b, round(step * 0.11132::DOUBLE, 3) AS metres FROM unit p JOIN unit q ON (q.i = p.i + 1 AND q.j = p.j) OR (q.i = p.i AND q.j = p.j + 1), grid"),
+    "j14_unit_adjacency": sql("SELECT p.unit_id AS a, q.unit_id AS b, round(CASE WHEN q.i > p.i THEN step * 0.110574::DOUBLE ELSE step * 0.1022::DOUBLE END, 3) AS metres FROM unit p JOIN unit q ON (q.i = p.i + 1 AND q.j = p.j) OR (q.i = p.i AND q.j = p.j + 1), grid"),
     "g2_barrier_flood": _recursive("SELECT dealer_id, unit_id, hop FROM least_hop", _FLOOD, seed=_SEED, win=_WIN, least_hop="SELECT dealer_id, unit_id, CAST(min(hop) AS INTEGER) AS hop FROM went GROUP BY 1, 2"),
     "g3_grid_flood": _recursive("SELECT dealer_id, count(p) AS cells, count(*) FILTER (WHERE p = 1 AND t = 1) AS hit, coalesce(any_value(leak), false) AS leak, round(count(*) FILTER (WHERE p = 1 AND t = 1) / count(*), 9) AS iou FROM (SELECT *, 1 AS p FROM gkept) FULL JOIN (SELECT *, 1 AS t FROM gtruth) USING (dealer_id, di, dj) LEFT JOIN leaks USING (dealer_id) GROUP BY 1", _FILL, seed=_SEED, gcell=_CELLS, free=_FREE, leaks=_LEAK).replace("leaks AS (" + _LEAK + ")", "leaks AS (" + _LEAK + "),\ngkept AS (" + _KEPT + "),\ngtruth AS (" + _TRUTH + ")"),
     "g4_cut_components": _recursive(f"SELECT dealer_id, label, size, CAST(number AS INTEGER) AS number, {_NAME}, split FROM pieces", _REACH, sets=_SETS, own=_OWN, pieces=_PIECES),
