@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import scans
+
 from terrane.operators.graph import labelled
 
 #: Bands of the pair score: from MATCH on one entity, below UNCERTAIN two; and the weights of name, place and contact.
@@ -58,17 +60,19 @@ def survivors(records: DataFrame) -> DataFrame:
     return rest.join(names, "cluster", "left")
 
 
-def as_of(versions: DataFrame, asked: DataFrame, key: str, value: str) -> DataFrame:
+def as_of(versions: DataFrame, asked: DataFrame, key: str, value: str, rows: int = scans.ROWS) -> DataFrame:
     """(asked columns, version, value): what was known at each of ``asked`` (ask_id, key, at): the version of latest valid_from
     among those both valid and recorded by then, of equal ones the largest id. ``versions``: (key, version, valid_from, recorded, value).
 
     A version counts from the later of its two times on, so one sort by key and time and a running maximum answer all
-    questions; nothing recorded later is looked at.
+    questions; nothing recorded later is looked at. The maximum is carried over ranges of time of about ``rows`` rows, so one
+    key may hold any share of them.
     """
     v = versions.select(key, F.greatest("valid_from", "recorded").alias("t"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("ask_id"), F.struct("valid_from", "version", F.col(value).alias("value")).alias("v"))
     q = asked.select(key, F.col("at").alias("t"), F.lit(1).alias("ask"), F.col("ask_id").cast("long").alias("ask_id"), F.lit(None).cast(v.schema["v"].dataType).alias("v"))
-    w = Window.partitionBy(key).orderBy("t", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    return v.unionByName(q).withColumn("known", F.max("v").over(w)).where("ask = 1").select("ask_id", key, F.col("known.version").alias("version"), F.col("known.value").alias(value))
+    both, span = scans.ranged(v.unionByName(q).withColumn("_at", F.col("t").cast("timestamp").cast("double")), "_at", rows)
+    both = scans.running(both, [key], ["t", "ask"], span, {"known": ("max", F.col("v"), True)})
+    return both.where("ask = 1").select("ask_id", key, F.col("known.version").alias("version"), F.col("known.value").alias(value))
 
 
 def agreement(assigned: DataFrame) -> DataFrame:

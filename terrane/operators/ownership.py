@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import scans
+from terrane.session import stored
+
 DIMS = ["province", "city", "channel"]
 POOL = "UNASSIGNED"
 
@@ -78,8 +81,27 @@ def orphans(contracts: DataFrame, fences: DataFrame) -> DataFrame:
     return contracts.join(fences.select("dealer_id").distinct(), "dealer_id", "left_anti")
 
 
-def exclusive_conflicts(intervals: DataFrame) -> DataFrame:
-    """(store_id, a, b): owners whose validity intervals (store_id, owner, start, end) overlap."""
-    a, b = intervals.alias("a"), intervals.alias("b")
-    on = (F.col("a.store_id") == F.col("b.store_id")) & (F.col("a.owner") < F.col("b.owner")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    return a.join(b, on).select("a.store_id", F.col("a.owner").alias("a"), F.col("b.owner").alias("b")).distinct()
+def merged_intervals(intervals: DataFrame, keys: list[str], rows: int = scans.ROWS) -> DataFrame:
+    """(keys, s, e): the union of each key's ``intervals`` (keys, start, end) as stretches that don't touch, in seconds. Empty ones and
+    those without a start or end are left out. Ranges of time of about ``rows`` rows are worked on apart."""
+    iv = intervals.select(*keys, F.col("start").cast("timestamp").cast("double").alias("s"), F.col("end").cast("timestamp").cast("double").alias("e")).where("s < e")
+    iv, span = scans.ranged(iv, "s", rows)
+    iv = scans.running(iv, keys, ["s", "e"], span, {"_before": ("max", F.col("e"), False)})
+    iv = scans.running(iv.withColumn("_new", (F.col("_before").isNull() | (F.col("_before") < F.col("s"))).cast("long")), keys, ["s", "e"], span, {"_nth": ("sum", F.col("_new"), True)})
+    return iv.groupBy(*keys, "_nth").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_nth")
+
+
+def exclusive_conflicts(intervals: DataFrame, rows: int = scans.ROWS) -> DataFrame:
+    """(store_id, a, b): owners whose validity intervals (store_id, owner, start, end) overlap.
+
+    Each owner's intervals of a store are merged first. What is left meets by store and bucket of time, wide enough that an
+    interval touches two or three buckets as a rule and about 64 at most, so a store with many intervals is met piece by piece.
+    """
+    iv = stored(merged_intervals(intervals, ["store_id", "owner"], rows), "intervals")
+    size = iv.agg(F.avg(F.col("e") - F.col("s")).alias("mean"), F.max(F.col("e") - F.col("s")).alias("most")).first()
+    width = max(size.mean or 1.0, (size.most or 0.0) / 64)
+    bucket = F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width)))
+    filed = iv.withColumn("bucket", bucket)
+    other = filed.select("store_id", "bucket", F.col("owner").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    met = filed.withColumnRenamed("owner", "a").join(other, ["store_id", "bucket"]).where("a < b AND s < e2 AND s2 < e")
+    return met.select("store_id", "a", "b").distinct()

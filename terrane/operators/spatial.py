@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import scans
 from terrane.session import stored
 
 #: Width of a cell on the finest level; each further level is RATIO times as wide. Rings get the finest level on which
@@ -199,11 +200,13 @@ def fit_line(points: DataFrame, keys: list[str]) -> DataFrame:
     return f.select(*keys, "by_x", "slope", "px", "py", (F.when(F.col("by_x"), -F.col("slope")).otherwise(1.0) / norm).alias("nx"), (F.when(F.col("by_x"), 1.0).otherwise(-F.col("slope")) / norm).alias("ny"))
 
 
-def running_length(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds ``along``: the length of the line up to each vertex of ``lines`` (keys, order, x, y)."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    return lines.withColumn("along", F.sum(F.coalesce(step, F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def running_length(lines: DataFrame, keys: list[str], order: str, rows: int = scans.ROWS) -> DataFrame:
+    """Adds ``along``: the length of the line up to each vertex of ``lines`` (keys, order, x, y), the order a number. Ranges of it of
+    about ``rows`` vertices are worked on apart, so one line may have any number of them."""
+    ranged, span = scans.ranged(lines, order, rows)
+    ranged = scans.running(ranged, keys, [order], span, {"_b": ("max", F.struct(order, F.col("x").alias("px"), F.col("y").alias("py")), False)})
+    step = F.coalesce(F.hypot(F.col("x") - F.col("_b.px"), F.col("y") - F.col("_b.py")), F.lit(0.0))
+    return scans.running(ranged, keys, [order], span, {"along": ("sum", step, True)}).select(*lines.columns, "along")
 
 
 def resample(lines: DataFrame, keys: list[str], order: str, step: float) -> DataFrame:

@@ -121,7 +121,7 @@ def components_after(spark, d):
     return G.numbered_components(own, "dealer_id").groupBy("dealer_id").agg(F.count("*").alias("components"), F.max("size").alias("largest"), F.sum("size").alias("units"))
 
 
-def compared(spark, d):
+def compared_moves(spark, d):
     """Stores in fences now against stores whose unit is in the dealer's set after all moves."""
     c = Case(spark, d)
     now = c.kinded.select(F.explode("dealers").alias("dealer_id"), "store_id")
@@ -129,6 +129,28 @@ def compared(spark, d):
     return S.compare(now, then)
 
 
+#: Side of a cell of generated fences.
+GENERATED = 50_000
+
+
+def compared(spark, d):
+    """Stores that each dealer's fences hold now against those that a fence drawn round the cells of the stores it supplies would hold,
+    without excluded stores; one row more, without a dealer, has the sums and the rate of changes to stores."""
+    k = stored(P.kinded(spark, d).select("store_id", "x", "y", "upstream", (F.col("store_id") % 41 == 0).alias("excluded")), "kinded")
+    supplied = k.join(B.dealers(spark, d).select(F.col("dealer_id").alias("upstream")), "upstream")
+    cells = supplied.select(F.col("upstream").alias("dealer_id"), F.floor(F.col("x") / GENERATED).alias("i"), F.floor(F.col("y") / GENERATED).alias("j")).distinct()
+    outer = G.rings(cells, "dealer_id", 0.0).where("doubled > 0")  # holes are within a ring too
+    new = outer.select("dealer_id", "ring", F.transform("points", lambda p: F.struct((p["x"] * GENERATED).cast("long").alias("x"), (p["y"] * GENERATED).cast("long").alias("y"))).alias("points"))
+    asked = k.where("NOT excluded").select("store_id", "x", "y")
+    now = contain(asked, B.fences(spark, d), ["dealer_id"]).select("dealer_id", "store_id").distinct()
+    then = contain(asked, new.select("dealer_id", F.col("points").alias("ring")), ["dealer_id"]).select("dealer_id", "store_id").distinct()
+    per = stored(S.compare(now, then), "compared")
+    stores = asked.agg(F.count("*").alias("stores"))
+    total = per.agg(*(F.sum(c).alias(c) for c in per.columns if c != "dealer_id")).crossJoin(F.broadcast(stores))  # one row each
+    rate = F.round(F.col("changed") / F.greatest("stores", F.lit(1)), 4)
+    return per.withColumn("changed_rate", F.lit(None).cast("double")).unionByName(total.select(F.lit(None).cast("long").alias("dealer_id"), "now_covered", "generated_covers", "changed", rate.alias("changed_rate")))
+
+
 def merged(spark, d):
     ids = B.dealers(spark, d).select("dealer_id")
     merges = ids.where("dealer_id % 7 = 0").select("dealer_id", (F.col("dealer_id") + 1).alias("into"))
@@ -190,6 +212,7 @@ QUERIES = {
     "a12_kind_changes": kind_changes,
     "a13_become_oof": become_out,
     "a15_compare": compared,
+    "a15_compare_moves": compared_moves,
 }
 _SETS = "SELECT DISTINCT dealer_id, unit_id FROM unit_in"
 _PROPOSED = f"SELECT dealer_id AS proposal_id, dealer_id AS src, CASE WHEN dealer_id % 30 = 0 THEN dealer_id ELSE dealer_id + 1 END AS dst, {_AREA.format(**_blocks('n', 'step', '//'))} AS selector FROM dealer, grid WHERE dealer_id % 3 = 0"
@@ -211,6 +234,13 @@ _SIDE = f"SELECT term_id, p, trim(list_extract(string_split(term, '沿'), p)) AS
 _FOUND = "SELECT DISTINCT term_id, p, sides, unit_id FROM (SELECT *, min(r) OVER (PARTITION BY term_id, p) AS best FROM side JOIN attr USING (name)) WHERE r = best"
 _SHARE = "SELECT dealer_id, street, n / total AS share, ox, sx FROM (SELECT dealer_id, street, count(*) AS n, avg(x) AS ox FROM sets JOIN unit USING (unit_id) GROUP BY 1, 2) JOIN (SELECT street, count(*) AS total, avg(x) AS sx FROM unit GROUP BY 1) USING (street)"
 _CLAUSES = f"SELECT dealer_id, unit_id FROM share JOIN unit USING (street) WHERE share >= 0.6 OR (share >= 0.3 AND ((ox >= sx AND x >= sx) OR (ox < sx AND x < sx))) UNION SELECT dealer_id, unit_id FROM share JOIN unit USING (street) WHERE EXISTS (SELECT 1 FROM (SELECT {_CELL} AS cell, CAST(substr(name, 7) AS BIGINT) AS road FROM landmark, grid) WHERE cell = unit_id AND road = 1 + dealer_id % 25) UNION SELECT dealer_id, unit_id FROM sets WHERE unit_id % 2 = 1"
+_OCC = "SELECT DISTINCT upstream AS dealer_id, x // 50000 AS i, y // 50000 AS j FROM kinded JOIN dealer ON dealer.dealer_id = upstream"
+_GBOX = "SELECT dealer_id, min(i) - 1 AS i0, max(i) + 1 AS i1, min(j) - 1 AS j0, max(j) + 1 AS j1 FROM occ GROUP BY 1"
+_FREE = "SELECT dealer_id, i, j, i = i0 AND j = j0 AS seed FROM (SELECT *, unnest(range(j0, j1 + 1)) AS j FROM (SELECT *, unnest(range(i0, i1 + 1)) AS i FROM gbox)) c WHERE NOT EXISTS (SELECT 1 FROM occ o WHERE o.dealer_id = c.dealer_id AND o.i = c.i AND o.j = c.j)"
+_OUTSIDE = "SELECT dealer_id, i, j FROM gfree WHERE seed UNION SELECT f.dealer_id, f.i, f.j FROM outside r JOIN gfree f ON f.dealer_id = r.dealer_id AND greatest(abs(f.i - r.i), abs(f.j - r.j)) = 1"
+_COVER = "SELECT b.dealer_id, store_id FROM gbox b JOIN store ON x // 50000 BETWEEN i0 AND i1 AND y // 50000 BETWEEN j0 AND j1 WHERE store_id % 41 <> 0 AND NOT EXISTS (SELECT 1 FROM outside o WHERE o.dealer_id = b.dealer_id AND o.i = x // 50000 AND o.j = y // 50000)"
+_CMP = "SELECT dealer_id, count(*) FILTER (WHERE now IS NOT NULL) AS now_covered, count(*) FILTER (WHERE gen IS NOT NULL) AS generated_covers, count(*) FILTER (WHERE now IS NULL OR gen IS NULL) AS changed FROM (SELECT DISTINCT dealer_id, store_id, 1 AS now FROM held WHERE store_id % 41 <> 0) FULL JOIN (SELECT *, 1 AS gen FROM cover) USING (dealer_id, store_id) GROUP BY 1"
+_GEN = {"occ": _OCC, "gbox": _GBOX, "gfree": _FREE, "outside": _OUTSIDE, "cover": _COVER, "cmp": _CMP}
 SQL = {
     "u8_area_selector": sql("SELECT proposal_id, n, reason FROM verdict", **_V, verdict=_VERDICT),
     "u1_transfer_units": sql("SELECT * FROM later", **_V),
@@ -225,5 +255,6 @@ SQL = {
     "a12_move_impact": sql("SELECT proposal_id, side, stores_before, stores_after, n_ok, n_oof, n_multi, n_direct_in, round(stores_after / a.area_km2, 6) AS density FROM counts JOIN (SELECT dealer_id, sum(area_km2) AS area_km2 FROM area GROUP BY 1) a USING (dealer_id)", **_V, sides=_SIDES, state=_STATE, counts=_COUNTS),
     "a12_kind_changes": sql("SELECT proposal_id, kind, new_kind, count(*) AS n FROM moved GROUP BY 1, 2, 3", **_V),
     "a13_become_oof": sql("SELECT proposal_id, count(*) FILTER (WHERE kind IN ('OK', 'DIRECT_IN') AND new_kind = 'OOF') AS become_oof, count(*) FILTER (WHERE kind = 'MULTI') AS multi FROM moved GROUP BY 1", **_V),
-    "a15_compare": sql("SELECT dealer_id, count(*) FILTER (WHERE now IS NOT NULL) AS now_covered, count(*) FILTER (WHERE gen IS NOT NULL) AS generated_covers, count(*) FILTER (WHERE now IS NULL OR gen IS NULL) AS changed FROM (SELECT dealer_id, store_id, 1 AS now FROM kept) FULL JOIN (SELECT DISTINCT dealer_id, store_id, 1 AS gen FROM later JOIN placed USING (unit_id)) USING (dealer_id, store_id) GROUP BY 1", **_V),
+    "a15_compare": sql("SELECT dealer_id, now_covered, generated_covers, changed, NULL::DOUBLE AS changed_rate FROM cmp UNION ALL SELECT NULL, CAST(sum(now_covered) AS BIGINT), CAST(sum(generated_covers) AS BIGINT), CAST(sum(changed) AS BIGINT), round(sum(changed) / (SELECT count(*) FROM store WHERE store_id % 41 <> 0), 4) FROM cmp", **_GEN).replace("WITH ", "WITH RECURSIVE ", 1),
+    "a15_compare_moves": sql("SELECT dealer_id, count(*) FILTER (WHERE now IS NOT NULL) AS now_covered, count(*) FILTER (WHERE gen IS NOT NULL) AS generated_covers, count(*) FILTER (WHERE now IS NULL OR gen IS NULL) AS changed FROM (SELECT dealer_id, store_id, 1 AS now FROM kept) FULL JOIN (SELECT DISTINCT dealer_id, store_id, 1 AS gen FROM later JOIN placed USING (unit_id)) USING (dealer_id, store_id) GROUP BY 1", **_V),
 }
