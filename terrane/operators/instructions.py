@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.operators.containment_index import contained
+
 # Sentence patterns in order, name endings, zone operations and side words.
 TRANSFERS = [
     "把(.+?)的(.+?)划给(.+)",
@@ -66,19 +68,17 @@ def clean_name(name: Column) -> Column:
     return F.trim(out)
 
 
-def parts(names: DataFrame, name: str) -> DataFrame:
-    """(part, n, first): for every substring of the distinct values of ``name`` how many of them have it, and the first such."""
-    known = names.select(F.col(name).alias("whole")).where("length(whole) > 0").distinct()
-    starts = F.sequence(F.lit(1), F.length("whole"))
-    cut = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.length("whole") - s + 1), lambda n: F.substring(F.col("whole"), s, n))))
-    each = known.select("whole", F.explode(F.array_distinct(cut)).alias("part"))
-    return each.groupBy("part").agg(F.count("*").alias("n"), F.min("whole").alias("first"), F.max((F.col("whole") == F.col("part")).cast("int")).alias("exact"))
+def holders(asked: DataFrame, part: str, names: DataFrame, name: str) -> DataFrame:
+    """(part, n, first, exact): for each distinct value of ``part`` of ``asked`` that some values of ``name`` hold, how many do, the
+    first of them, and whether one is equal to it."""
+    met = contained(asked, names.select(F.col(name).alias("_whole")), part, "_whole")
+    return met.groupBy(part).agg(F.count("*").alias("n"), F.min("_whole").alias("first"), F.max((F.col("_whole") == F.col(part)).cast("int")).alias("exact"))
 
 
 def resolve(asked: DataFrame, column: str, known: DataFrame, name: str) -> DataFrame:
     """``asked`` with match and status: NONE if no known name has the asked one as a part, MATCHED if one has or one of many
     is equal to it, else AMBIGUOUS. Null and empty names have no match."""
-    found = parts(known, name)
+    found = holders(asked.select(F.col(column).alias("part")), "part", known, name)
     j = asked.join(found, asked[column] == found["part"], "left")
     status = F.when(F.col("n").isNull(), "NONE").when((F.col("n") == 1) | (F.col("exact") == 1), "MATCHED").otherwise("AMBIGUOUS")
     match = F.when(F.col("n") == 1, F.col("first")).when(F.col("exact") == 1, F.col("part"))
@@ -120,11 +120,9 @@ def sided_bounds(texts: DataFrame, key: str, text: str, landmarks: DataFrame, na
     found = F.arrays_zip(F.regexp_extract_all(t, F.lit(SIDED), F.lit(1)).alias("x"), F.regexp_extract_all(t, F.lit(SIDED), F.lit(2)).alias("w"))
     said = texts.select(key, F.posexplode(found).alias("at", "f")).select(key, "at", "f.x", "f.w")
     side = F.element_at(F.create_map(*(F.lit(v) for kv in OPPOSITE.items() for v in kv)), F.col("w"))
-    within = parts(landmarks, name).select(F.col("part").alias("x"), F.col("first").alias("landmark"))
     asked = said.select("x").distinct()
-    starts = F.sequence(F.lit(1), F.length("x"))
-    pieces = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.length("x") - s + 1), lambda n: F.substring(F.col("x"), s, n)))))
-    names = landmarks.select(F.col(name).alias("landmark")).distinct()
-    holding = asked.where("length(x) >= 3").select("x", F.explode(pieces).alias("landmark")).join(names, "landmark").select("x", "landmark")
-    best = asked.join(within, "x").unionByName(holding).groupBy("x").agg(F.min("landmark").alias("landmark"))
+    names = landmarks.select(F.col(name).alias("landmark"))
+    within = holders(asked, "x", names, "landmark").select("x", F.col("first").alias("landmark"))
+    holding = contained(names, asked.where("length(x) >= 3"), "landmark", "x")
+    best = within.unionByName(holding).groupBy("x").agg(F.min("landmark").alias("landmark"))
     return said.join(best, "x").withColumn("side", side).groupBy(key, "side").agg(F.min_by("landmark", "at").alias("landmark"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.containment_index import contained
 from terrane.operators.rules import lookup
 from terrane.operators.spatial import nearest, within
 
@@ -40,12 +41,6 @@ def snap(points: DataFrame, keys: list[str], marks: DataFrame, kind: str, radius
     return within(points.select(*keys, "x", "y"), sites, radius_km).groupBy(*keys).agg(F.min_by("name", F.struct("d2", "name")).alias("name"))
 
 
-def substrings(text: Column) -> Column:
-    """All distinct parts of a text, as an array."""
-    starts = F.sequence(F.lit(1), F.length(text))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.length(text) - s + 1), lambda n: F.substring(text, s, n)))))
-
-
 def resolve(asked: DataFrame, names: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, tier, class, landmark) of each of ``asked`` (id, name, x, y) that the cascade resolves.
 
@@ -64,12 +59,12 @@ def resolve(asked: DataFrame, names: DataFrame, vertices: DataFrame) -> DataFram
 
     exact = words.join(known, words["name"] == known["landmark"])
     tiers = tiered(exact, lookup({"district": 1, "ref": 2, "river": 4, "road": 5}, F.col("class")))
-    refs = known.where("class = 'ref'").select("class", "landmark", F.explode(substrings(F.col("landmark"))).alias("name")).groupBy("name").agg(F.min("landmark").alias("landmark"))
-    tiers = tiers.unionByName(tiered(words.join(refs, "name").withColumn("class", F.lit("ref")), F.lit(3)))
+    refs = contained(words, known.where("class = 'ref'"), "name", "landmark").groupBy("name").agg(F.min("landmark").alias("landmark"))
+    tiers = tiers.unionByName(tiered(refs.withColumn("class", F.lit("ref")), F.lit(3)))
     short = words.withColumn("landmark", F.replace("name", F.lit(DROPPED), F.lit(""))).join(lines, "landmark")
     tiers = tiers.unionByName(tiered(short, lookup({"river": 6, "road": 7}, F.col("class"))))
-    inside = lines.select("class", "landmark", F.explode(substrings(F.col("landmark"))).alias("name")).join(words, "name")
-    around = words.select("name", F.explode(substrings(F.col("name"))).alias("landmark")).join(lines, "landmark")
+    inside = contained(words, lines, "name", "landmark").join(lines, "landmark")
+    around = contained(lines, words, "landmark", "name").join(lines, "landmark")
     tiers = tiers.unionByName(tiered(inside, F.lit(8))).unionByName(tiered(around, F.lit(8)))
     start = words.where("length(name) >= 2").select("name", F.explode(F.array(F.substring("name", 1, 2), F.substring("name", 1, 1))).alias("start"))
     alike = start.join(lines.withColumn("start", F.substring("landmark", 1, 2)), "start")
@@ -79,9 +74,10 @@ def resolve(asked: DataFrame, names: DataFrame, vertices: DataFrame) -> DataFram
     found = asked.join(best, "name")
     first = F.struct((F.col("class") == "river").alias("river"), "landmark")
     sure = found.where("tier < 8 OR x IS NULL").groupBy("id", "tier").agg(F.min(first).alias("f"), F.min_by("class", first).alias("class")).select("id", "tier", "class", "f.landmark")
-    near = found.where("tier >= 8 AND x IS NOT NULL").join(vertices.select("class", F.col("name").alias("landmark"), F.col("x").alias("vx"), F.col("y").alias("vy")), ["class", "landmark"])
-    far = (F.pow(F.col("x") - F.col("vx"), 2) + F.pow(F.col("y") - F.col("vy"), 2)).cast("double")
-    near = near.groupBy("id", "tier").agg(F.min_by(F.struct("class", "landmark"), F.struct(far, (F.col("class") == "river"), F.col("landmark"))).alias("f"))
+    asks = found.where("tier >= 8 AND x IS NOT NULL").select(F.struct("id", "tier", "class", "landmark").alias("key"), "class", "landmark", "x", "y").distinct()
+    sites = vertices.select("class", F.col("name").alias("landmark"), F.col("x").alias("mx"), F.col("y").alias("my"), F.lit(0).alias("site"))
+    near = nearest(asks, sites, "key", "site", [], by=("class", "landmark"))
+    near = near.groupBy("key.id", "key.tier").agg(F.min_by(F.struct("key.class", "key.landmark"), F.struct("d2", F.col("key.class") == "river", "key.landmark")).alias("f"))
     return sure.unionByName(near.select("id", "tier", "f.class", "f.landmark"))
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.containment_index import contained
 from terrane.operators.spatial import LAT_KM, LON_KM, edges, inside, with_box
 
 
@@ -220,19 +221,13 @@ def search(queries: DataFrame, registry: DataFrame, k: int = 8) -> DataFrame:
 
     ``registry``: (area_id, area_km2, kind, token) with a row for each boundary road, street, district and neighbour: 3 points for
     each road and street (by its core) that the text contains, 2 for a neighbour, 1 for a district, and 1 if the area is 0.6 to 1.6 times the one stated in
-    square kilometres. Tokens meet texts by their distinct values; fences without points don't appear.
+    square kilometres. Tokens meet texts by their rarest grams; fences without points don't appear.
     """
     stated = F.regexp_extract("text", r"(\d+(?:\.\d+)?)\s*(?:平方公里|km²|km2)", 1)
     asked = queries.select("query_id", "text", F.when(stated != "", stated.cast("double")).alias("km2"))
     registry = registry.withColumn("token", F.when(F.col("kind") == "street", street_core(F.col("token"))).otherwise(F.col("token")))
     tokens = registry.where("length(token) > 0").select("token").distinct()
-    lengths = [r.n for r in tokens.select(F.length("token").alias("n")).distinct().orderBy("n").collect()]  # a few lengths
-
-    def cut(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda s: F.substring(F.col("text"), s, F.lit(n)))
-
-    pieces = F.array_distinct(F.flatten(F.array(*map(cut, lengths)))) if lengths else F.array().cast("array<string>")
-    said = asked.select("query_id", F.explode(pieces).alias("token")).join(tokens, "token")
+    said = asked.join(contained(tokens, asked, "token", "text"), "text").select("query_id", "token")
     weight = F.when(F.col("kind").isin("road", "street"), 3).when(F.col("kind") == "neighbour", 2).otherwise(1)
     points = said.join(registry, "token").select("query_id", "area_id", weight.alias("w"))
     areas = registry.select("area_id", "area_km2").distinct()

@@ -13,27 +13,21 @@ from terrane.plans import containment as P
 from terrane.plans.scenarios import Case
 from terrane.session import stored, table
 
-# A customer is one record of source a; every second one is a record of source b too, with slips in name, place or contact.
+# A customer is one record of source a; every second one is a record of source b too, with slips in name, place or contact. The SQL of both:
 _A = "SELECT c_custkey * 2 AS record_id, 'a' AS source, c_custkey AS entity, c_name AS name, c_nationkey AS place, CASE WHEN c_custkey % 10 <> 9 THEN round(c_acctbal * 100) END AS contact, c_custkey % 7 AS updated FROM customer"
 _B = "SELECT c_custkey * 2 + 1 AS record_id, 'b' AS source, c_custkey AS entity, CASE WHEN c_custkey % 3 = 0 THEN replace(c_name, 'Customer', 'Custmer') ELSE c_name END AS name, CASE WHEN c_custkey % 5 = 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS place, CASE WHEN c_custkey % 8 <> 6 THEN round(c_acctbal * 100) WHEN c_custkey % 24 = 6 THEN -1 END AS contact, c_custkey % 5 AS updated FROM customer WHERE c_custkey % 2 = 0"
 
 
 def records(spark, d):
-    c = table(spark, d, "customer")
-    both = [c.selectExpr(*(x.strip() for x in _split(q))) for q in (_A, _B.split(" WHERE ")[0])]
-    return stored(both[0].unionByName(both[1].where("entity % 2 = 0")).withColumns({"contact": F.col("contact").cast("long"), "place": F.col("place").cast("long")}), "records")
-
-
-def _split(query):
-    """The select list of a simple query."""
-    out, depth = [""], 0
-    for ch in query[len("SELECT ") : query.index(" FROM ")]:
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            out.append("")
-        else:
-            out[-1] += ch
-    return out
+    key = F.col("c_custkey")
+    c = table(spark, d, "customer").select(key.cast("long").alias("entity"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("place"), F.round(F.col("c_acctbal") * 100).cast("long").alias("contact"))
+    entity = F.col("entity")
+    a = c.select((entity * 2).alias("record_id"), F.lit("a").alias("source"), "entity", "name", "place", F.when(entity % 10 != 9, F.col("contact")).alias("contact"), (entity % 7).alias("updated"))
+    slip = F.when(entity % 3 == 0, F.replace("name", F.lit("Customer"), F.lit("Custmer"))).otherwise(F.col("name"))
+    moved = F.when(entity % 5 == 0, (F.col("place") + 1) % 25).otherwise(F.col("place"))
+    changed = F.when(entity % 8 != 6, F.col("contact")).when(entity % 24 == 6, F.lit(-1))
+    b = c.where(entity % 2 == 0).select((entity * 2 + 1).alias("record_id"), F.lit("b").alias("source"), "entity", slip.alias("name"), moved.alias("place"), changed.cast("long").alias("contact"), (entity % 5).alias("updated"))
+    return stored(a.unionByName(b), "records")
 
 
 def pairs(r):

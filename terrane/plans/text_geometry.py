@@ -44,8 +44,9 @@ def transfers(spark, d):
 def zones(spark, d):
     """Zone operations whose references each fit one zone."""
     z = I.zone_operations(texts(spark, d, "zone"))
-    fits = I.parts(names(spark, d), "s_name").where("n = 1").select(F.col("part").alias("ref"), F.col("first").alias("zone"))
-    each = z.select("k", F.posexplode("refs").alias("at", "ref")).join(fits, "ref", "left")
+    said = z.select("k", F.posexplode("refs").alias("at", "ref"))
+    fits = I.holders(said, "ref", names(spark, d), "s_name").where("n = 1").select("ref", F.col("first").alias("zone"))
+    each = said.join(fits, "ref", "left")
     ok = each.groupBy("k").agg((F.count("zone") == F.count("*")).alias("resolved"))
     return z.join(ok, "k", "left").select("k", F.array_join("refs", "|").alias("refs"), "op", "side", "cut", F.coalesce("resolved", F.lit(False)).alias("resolved"))
 

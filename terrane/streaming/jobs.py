@@ -92,15 +92,50 @@ def classified(stores: DataFrame, fences: DataFrame, suppliers: DataFrame, name:
     return kept(stores, name, work, base)
 
 
-def changelog(log: DataFrame, name: str, base: str | None = None) -> DataFrame:
+#: Parts that a changelog may have before they are folded into one.
+PARTS = 8
+
+
+def changelog(log: DataFrame, name: str, base: str | None = None, parts: int = PARTS) -> DataFrame:
     """(unit_id, owner, seq): the last writer of each unit in a stream (unit_id, seq, owner).
 
-    Each micro-batch writes the last writers among its own rows, so its cost is that of its rows; the view over all batches
-    picks the last of them.
+    Each micro-batch writes the last writers among its own rows. Once ``parts`` parts stand beside the state, the batch folds
+    them and its own into a new state, named by its number, which a batch that is run again overwrites; so a read meets
+    one state and a few parts, and the cost of folding is spread over the batches. Parts up to a state's number count no more.
     """
+    spark = log.sparkSession
+    base = base or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     latest = F.max_by(F.struct("owner", "seq"), F.struct("seq", "owner")).alias("s")
     last = lambda df: df.groupBy("unit_id").agg(latest).select("unit_id", "s.owner", "s.seq")
-    return last(kept(log.select("unit_id", "owner", "seq"), name, last, base))
+    rows = log.select("unit_id", "owner", "seq")
+
+    def write(batch: DataFrame, number: int) -> None:
+        state, own = _standing(spark, base, number - 1)
+        if len(own) < parts:
+            last(batch).write.mode("overwrite").parquet(f"{base}/part={number}")
+        else:
+            last(_read(spark, rows, base, state, own).unionByName(batch)).write.mode("overwrite").parquet(f"{base}/state={number}")
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    return last(_read(spark, rows, base, *_standing(spark, base)))
+
+
+def _standing(spark: SparkSession, base: str, upto: int | None = None) -> tuple[int | None, list[int]]:
+    """Number of the latest finished state below ``base``, and those of the finished parts after it, up to a batch number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"state": [], "part": []}
+    for status in files.listStatus(path) if files.exists(path) else []:
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in found and files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")) and (upto is None or int(number) <= upto):
+            found[kind].append(int(number))
+    state = max(found["state"], default=None)
+    return state, sorted(k for k in found["part"] if state is None or k > state)
+
+
+def _read(spark: SparkSession, like: DataFrame, base: str, state: int | None, parts: list[int]) -> DataFrame:
+    paths = [f"{base}/state={state}"] * (state is not None) + [f"{base}/part={k}" for k in parts]
+    return spark.read.schema(like.schema).parquet(*paths) if paths else spark.createDataFrame([], like.schema)
 
 
 class TriggerStates(StatefulProcessor):

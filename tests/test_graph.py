@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from terrane.operators import graph, identity, ownership, scores, spatial  # noqa: E402
+from terrane.operators import containment_index, graph, identity, ownership, scores, spatial  # noqa: E402
+from terrane.streaming import jobs  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -130,3 +131,29 @@ def test_medians_take_the_middle_two(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 9, 4, 4)] + [("b", float(v)) for v in (5, 1, 100)] + [("c", 7.0), ("d", None)], "k string, v double")
     assert {r.k: r.median for r in scores.medians(df, "k", "v", 3.0).collect()} == {"a": 4.0, "b": 5.0, "c": 7.0}
     assert {r.k: r.median for r in scores.medians(df.where("k = 'a'").unionByName(df.where("k = 'c'").withColumn("k", F.lit("a"))), "k", "v", 1.0).collect()} == {"a": 4.0}
+
+
+def test_texts_that_hold_others(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("ab路c") for _ in range(r.randrange(1, 9))) for _ in range(150)] + ["", None, "路", "zz", "aa"]
+    parts, wholes = words[:90] + words[-5:], words[40:] + ["路" * 50]
+    df = lambda rows, name: spark.createDataFrame([(x, k) for k, x in enumerate(rows)], f"{name} string, k int")
+    got = [tuple(x) for x in containment_index.contained(df(parts, "p"), df(wholes, "w"), "p", "w").collect()]
+    want = {(p, w) for p in parts for w in wholes if p and w and p in w}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_changelog_folds_its_parts(spark, tmp_path):
+    r, rows = random.Random(3), []
+    for k in range(14):
+        own = [(r.randrange(20), k * 100 + i, r.randrange(5)) for i in range(30)] + ([(1, 5000, 3)] if k == 2 else [])
+        rows += own
+        spark.createDataFrame(own, "unit_id long, seq long, owner long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("unit_id long, seq long, owner long").parquet(f"{tmp_path}/in")
+        got = {tuple(x) for x in jobs.changelog(stream, "c", f"{tmp_path}/base", parts=3).collect()}
+        want = {}
+        for unit, seq, owner in rows:
+            want[unit] = max(want.get(unit, (-1, -1)), (seq, owner))
+        assert got == {(u, o, s) for u, (s, o) in want.items()}
+    names = sorted(p.name for p in (tmp_path / "base").iterdir() if "=" in p.name)
+    assert [n for n in names if n.startswith("state")] == ["state=11", "state=3", "state=7"]
