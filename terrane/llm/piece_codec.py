@@ -35,8 +35,8 @@ class PieceCodec:
             if self.merged(piece) == [piece]:
                 self.matches.add_word(piece, (len(piece), piece))
         self.matches.make_automaton()
-        self.compatible = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], 500_000)
-        self.words = Memo(lambda w: self.encode_run(pieces.GAP + w), 700_000)
+        self.compatible = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], 200_000)
+        self.words = Memo(lambda w: self.encode_run(pieces.GAP + w), 300_000)
         self.bare = Memo(self.encode_run, 50_000)
         self.raw = [bytes([vocabulary.bytes.index(i)]) if i in set(vocabulary.bytes) else b"" if i in vocabulary.control else t.replace(pieces.GAP, " ").encode() for i, t in enumerate(vocabulary.texts)]
         self.raw[vocabulary.unknown] = " ⁇ ".encode()
