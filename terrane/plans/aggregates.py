@@ -9,7 +9,6 @@ from terrane.bindings import sql
 from terrane.operators import scores as Q
 from terrane.operators import sizing as Z
 from terrane.operators import spatial as S
-from terrane.plans import containment as P
 from terrane.session import stored, table
 
 CAPACITY = 3000.0

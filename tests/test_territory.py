@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from terrane import bindings, catalog  # noqa: E402
-from terrane.operators import classify, ownership, rules, sizing, spatial  # noqa: E402
+from terrane.operators import classify, ownership, sizing, spatial  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
