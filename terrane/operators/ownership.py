@@ -34,9 +34,23 @@ def match_rules(stores: DataFrame, rules: DataFrame, dims: list[str]) -> DataFra
 
 
 def rule_assign(stores: DataFrame, rules: DataFrame, dims: list[str]) -> DataFrame:
-    """(store_id, node_id, dealer_id, cause): the most specific rule, of equal ones the largest node_id; else the pool."""
-    best = match_rules(stores, rules, dims).groupBy("store_id").agg(F.max(F.struct("spec", "node_id", "dealer_id")).alias("b"))
-    return stores.select("store_id").join(best, "store_id", "left").select("store_id", F.col("b.node_id").alias("node_id"), F.col("b.dealer_id").alias("dealer_id"), F.when(F.col("b").isNull(), POOL).otherwise("RULE").alias("cause"))
+    """(store_id, node_id, dealer_id, cause): the most specific rule, of equal ones the largest node_id; else the pool.
+
+    Of rules with the same dimensions only the last can win, so they are cut down to it first and written. Then stores meet
+    each set of fixed dimensions that occurs in one left join, and the best of what they met is taken row by row.
+    """
+    fixes = sum((F.col(d).isNotNull().cast("int") * (1 << k) for k, d in enumerate(dims)), F.lit(0))
+    last = rules.groupBy(*dims).agg(F.max(F.struct("node_id", "dealer_id")).alias("r"))
+    last = stored(last.select(*dims, fixes.alias("mask"), F.struct(specificity(dims).alias("spec"), "r.node_id", "r.dealer_id").alias("r")), "rules")
+    met, found = stores.select("store_id", *dims), []
+    for mask in sorted(r.mask for r in last.select("mask").distinct().collect()):  # a few sets of dimensions
+        fixed = [d for k, d in enumerate(dims) if mask >> k & 1]
+        some = last.where(F.col("mask") == mask).select(*fixed, F.col("r").alias(f"_{mask}"))
+        met = met.join(some, fixed, "left") if fixed else met.crossJoin(F.broadcast(some))  # one rule fixes nothing
+        found.append(F.col(f"_{mask}"))
+    best = F.greatest(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("struct<spec:int,node_id:long,dealer_id:long>")
+    met = met.select("store_id", best.alias("b"))
+    return met.select("store_id", F.col("b.node_id").alias("node_id"), F.col("b.dealer_id").alias("dealer_id"), F.when(F.col("b").isNull(), POOL).otherwise("RULE").alias("cause"))
 
 
 def with_overrides(assigned: DataFrame, overrides: DataFrame, excluded: DataFrame) -> DataFrame:

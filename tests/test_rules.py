@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from terrane.operators import rules, scans  # noqa: E402
+from terrane.operators import ownership, rules, scans  # noqa: E402
 from terrane.streaming import jobs  # noqa: E402
 
 
@@ -178,3 +178,20 @@ def test_streamed_states_equal_the_batch_fold_and_idle_ones_go(spark, tmp_path):
     assert got == want and len(got) > 200
     state = spark.read.format("statestore").option("stateVarName", "kept").load(f"{base}/log")
     assert {r.key.scope if hasattr(r.key, "scope") else r.key[0] for r in state.collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rules_with_any_set_of_dimensions_equal_a_plain_search(spark, seed):
+    r = np.random.default_rng(seed)
+    some = lambda n: None if r.random() < (0.7 if seed == 2 else 0.4) else int(r.integers(0, n))
+    nodes = [(k, some(3), some(4), None if (c := some(2)) is None else "ab"[c], int(r.integers(0, 9))) for k in range(0 if seed == 3 else 40)]
+    nodes += [(None, 0, 0, "a", 5)] if seed == 3 else []
+    stores = [(k, some(3), some(4), None if (c := some(2)) is None else "ab"[c]) for k in range(60)]
+    fields = "province long, city long, channel string"
+    got = ownership.rule_assign(spark.createDataFrame(stores, f"store_id long, {fields}"), spark.createDataFrame(nodes, f"node_id long, {fields}, dealer_id long"), ownership.DIMS).collect()
+    assert len(got) == 60
+    for x in got:
+        own = stores[x.store_id][1:]
+        fits = [(sum(v is not None for v in n[1:4]), n[0] if n[0] is not None else -1, n[4]) for n in nodes if all(v is None or v == o for v, o in zip(n[1:4], own, strict=True))]
+        best = max(fits, default=None)
+        assert (x.dealer_id, x.cause) == ((best[2], "RULE") if best else (None, "UNASSIGNED"))
