@@ -89,12 +89,14 @@ def test_fence_queries_read_all_components(spark):
     assert rows(q["j13_fence_adjacency"]) == rows(meet)
     centre = {k: (sum(x for x, _ in v) / len(v), sum(y for _, y in v) / len(v)) for k, v in rings.items()}
     stores, seconds = {r.store_id: (r.x, r.y) for r in bindings.stores(spark, SF).collect()}, 0
+
+    def arc(*at):
+        x, y, mx, my = (math.radians(c / 1e6) for c in at)
+        return 2 * 6371.0 * math.asin(math.sqrt(math.sin((my - y) / 2) ** 2 + math.cos(y) * math.cos(my) * math.sin((mx - x) / 2) ** 2))
+
     for r in q["p11_haversine"]:
         x, y = stores.pop(r.store_id)
-        _, *near = min(((x - mx) ** 2 + (y - my) ** 2, *k) for k, (mx, my) in centre.items())
-        mx, my = (math.radians(c / 1e6) for c in centre[tuple(near)])
-        x, y = math.radians(x / 1e6), math.radians(y / 1e6)
-        km = 2 * 6371.0 * math.asin(math.sqrt(math.sin((my - y) / 2) ** 2 + math.cos(y) * math.cos(my) * math.sin((mx - x) / 2) ** 2))
+        km, *near = min((arc(x, y, *c), *k) for k, c in centre.items())
         assert r.dealer_id == near[0] and r.km == pytest.approx(km, abs=2e-6)
         seconds += near[1] == 2
     assert not stores and seconds
