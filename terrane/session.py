@@ -32,6 +32,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def measured_joins(spark: SparkSession) -> SparkSession:
+    """Let joins broadcast a side only by its measured size, not by the planner's estimate.
+
+    The estimate takes a compressed file's bytes for its rows' and leaves out what explode adds, so that sides of gigabytes
+    passed as small ones and were gathered on the driver. Adaptive execution knows a side's size once it is shuffled.
+    """
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if most != "-1":
+        if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", most)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables: what ``spark.checkpoint.dir`` names, or a temporary one on a local master.
 
