@@ -16,10 +16,20 @@ WEIGHTS = {"name": 0.5, "place": 0.2, "contact": 0.3}
 
 def candidates(records: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """(a, b): distinct pairs of ``records`` (record_id, source, ...) of different sources that share one of the block ``keys``
-    (null keys share nothing). Each key is an equi-join; a < b."""
-    blocks = records.select("record_id", "source", F.explode(F.array(*(F.when(c.isNotNull(), F.concat_ws(":", F.lit(n), c.cast("string"))) for n, c in keys.items()))).alias("block")).where("block IS NOT NULL")
-    other = blocks.select(F.col("record_id").alias("b"), F.col("source").alias("other"), "block")
-    return blocks.withColumnRenamed("record_id", "a").join(other, "block").where("a < b AND source <> other").select("a", "b").distinct()
+    (null keys share nothing). Each key is an equi-join; a < b.
+
+    A record is filed for each smaller source of its block, so records of one source never meet, however many share a block. A
+    pair counts under the first key that it shares, so pairs are made once.
+    """
+    own = records.select("record_id", "source", F.array(*(c.cast("string") for c in keys.values())).alias("keys"))
+    blocks = own.select("record_id", "source", "keys", F.posexplode("keys").alias("nth", "block")).where("block IS NOT NULL")
+    smaller = blocks.select("nth", "block", F.col("source").alias("with")).distinct()
+    other = blocks.join(smaller, ["nth", "block"]).where("with < source").select("nth", "block", F.col("with").alias("source"), F.col("record_id").alias("other"), F.col("keys").alias("their"))
+    earlier = [(F.col("nth") > k) & F.coalesce(F.get("keys", F.lit(k)) == F.get("their", F.lit(k)), F.lit(False)) for k in range(len(keys) - 1)]
+    met = blocks.join(other, ["nth", "block", "source"]).where(F.col("record_id") != F.col("other"))
+    for seen in earlier:
+        met = met.where(~seen)
+    return met.select(F.least("record_id", "other").alias("a"), F.greatest("record_id", "other").alias("b"))
 
 
 def recall(pairs: DataFrame, truth: DataFrame) -> DataFrame:
