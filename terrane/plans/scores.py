@@ -72,18 +72,16 @@ def border_points(spark, d, step):
 def recall(spark, d):
     """Share of each fence's border, sampled every 55 metres or so, with a line within 1 and 3 km."""
     s = border_points(spark, d, RECALL_STEP)
-    met = Q.near_segments(s, stretches(spark, d), RADII["r3"]).groupBy(*FENCE, "k").agg(F.min("m").alias("m"))
-    met = stored(met, "met")
-    near, far = (Q.share_within(s, FENCE, met.where(F.col("m") <= r)).select(*FENCE, F.col("share").alias(n)) for n, r in RADII.items())
-    return near.join(far, FENCE)
+    met = Q.reach_class(s, [*FENCE, "k"], stretches(spark, d), list(RADII.values()))
+    return met.groupBy(*FENCE).agg(*(F.round(F.count_if(F.col("reached") <= k) / F.count("*"), 9).alias(n) for k, n in enumerate(RADII)))
 
 
 def fidelity(spark, d):
     """Share of 200 border samples of each of a dealer's components within 150 m of the dealer's contract lines (four brands)."""
     s = stored(Q.ring_samples(B.fences(spark, d), FENCE, PART_POINTS), "samples")
-    met = Q.near_segments(s.join(contract_lines(spark, d), "dealer_id"), stretches(spark, d), 150.0, by=("name",))
-    hit = s.select(*FENCE, "k").join(met.select(*FENCE, "k").distinct().withColumn("hit", F.lit(1)), [*FENCE, "k"], "left")
-    return hit.groupBy("dealer_id").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).withColumn("share", F.round(F.col("hit") / F.col("n"), 9))
+    met = Q.reach_class(s.join(contract_lines(spark, d), "dealer_id"), [*FENCE, "k"], stretches(spark, d), [150.0], by=("name",))
+    hit = met.groupBy(*FENCE, "k").agg(F.min("reached").alias("reached"))
+    return hit.groupBy("dealer_id").agg(F.count("*").alias("n"), F.count_if(F.col("reached") == 0).alias("hit")).withColumn("share", F.round(F.col("hit") / F.col("n"), 9))
 
 
 def contract_lines(spark, d):
@@ -124,14 +122,15 @@ def corridor(spark, d):
 
 def unit_roads(spark, d):
     """Roads with a stretch within 1 km of a unit's centre."""
-    u = B.units(spark, d).select("unit_id", "x", "y")
-    return Q.near_segments(u, stretches(spark, d), 1_000.0).select("unit_id", "name").distinct()
+    lines = stretches(spark, d)
+    u = B.units(spark, d).select("unit_id", "x", "y").crossJoin(stored(lines.select("name").distinct(), "names"))  # 25 names at every scale
+    return Q.reach_class(u, ["unit_id"], lines, [1_000.0], by=("name",)).where("reached = 0").select("unit_id", "name")
 
 
 def snapped(spark, d):
     """The five nearest stretches within 3 km of each border sample, rivers ahead by a prior; samples without any stand alone."""
     s = border_points(spark, d, SNAP_STEP)
-    met = stored(Q.near_segments(s, stretches(spark, d), RADII["r3"]).withColumn("m", F.round("m", 4)), "met")
+    met = stored(Q.nearest_stretches(s, [*FENCE, "k"], stretches(spark, d), ["name", "seg", "pos"], 5, RADII["r3"]).withColumn("m", F.round("m", 4)), "met")
     prior = F.when(F.substring("name", 7, 9).cast("int") % 3 == 0, 0.5).otherwise(0.0)
     found = Q.best_matches(s, met, [*FENCE, "k"], 5, 1_000.0, prior, RADII["r3"])
     return found.select(*FENCE, F.col("k").cast("int").alias("k"), F.col("rank").cast("int").alias("rank"), "name", "seg", F.round("score", 6).alias("score"))
