@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.operators.containment_index import contained
 from terrane.operators.rules import lookup
-from terrane.operators.spatial import nearest, within
+from terrane.operators.spatial import nearest, nearest_within
 
 # Channels by box (south, north, west, east in degrees), the first that holds a point counts.
 CHANNELS = [
@@ -38,7 +38,8 @@ def snap(points: DataFrame, keys: list[str], marks: DataFrame, kind: str, radius
     """(keys, name): for each of ``points`` (keys, x, y) the landmark of ``kind`` with the nearest vertex less than
     ``radius_km`` away; of equal ones the first by name. ``marks``: (class, name, x, y)."""
     sites = marks.where(F.col("class") == kind).select("name", F.col("x").alias("mx"), F.col("y").alias("my"))
-    return within(points.select(*keys, "x", "y"), sites, radius_km).groupBy(*keys).agg(F.min_by("name", F.struct("d2", "name")).alias("name"))
+    found = nearest_within(points.select(F.struct(*keys).alias("point"), "x", "y"), sites, "point", "name", radius_km)
+    return found.select(*(F.col(f"point.{k}").alias(k) for k in keys), "name")
 
 
 def resolve(asked: DataFrame, names: DataFrame, vertices: DataFrame) -> DataFrame:

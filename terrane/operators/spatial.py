@@ -88,13 +88,14 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius:
     return _arc_km(F.radians(lon1), F.radians(lat1), F.radians(lon2), F.radians(lat2), radius)
 
 
-def _search(points: DataFrame, sites: DataFrame, key: str, site: str, order: list[str], by: tuple[str, ...], axes: list[str], name: str, measure: Column) -> DataFrame:
+def _search(points: DataFrame, sites: DataFrame, key: str, site: str, order: list[str], by: tuple[str, ...], axes: list[str], name: str, measure: Column, most: float | None = None) -> DataFrame:
     """(key, site, ``name``): for each of ``points`` (key, by, p_axis...) the site of smallest ``measure`` among ``sites`` (site, by,
     order, s_axis...).
 
     Points meet the sites of their own and the neighbouring cells in an equi-join. ``measure`` must rise with the distance along
     the axes; a site no further than a cell is wide is final, since all others that near have been met. What is left is
     written and meets cells RATIO / 2 times as wide, until a cell spans all. The first width holds one site a cell as expected.
+    ``most``: sites further away than that along the axes aren't asked for, so the search ends with cells of that width.
     """
     sites = stored(sites, "sites")
     box = sites.agg(F.count("*").alias("n"), *[f(f"s_{a}").alias(f"{w}_{a}") for a in axes for w, f in (("low", F.min), ("high", F.max))]).first()
@@ -105,6 +106,7 @@ def _search(points: DataFrame, sites: DataFrame, key: str, site: str, order: lis
         left = left.join(sites.select(*by).distinct(), list(by), "left_semi")
     span = max(box[f"high_{a}"] - box[f"low_{a}"] for a in axes)
     width, out = (span / math.sqrt(box.n)) or 1.0, None
+    width = width if most is None else min(width, most)
     while True:
         cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
         around = [F.struct(*[(cell(f"s_{a}") + step).alias(f"k_{a}") for a, step in zip(axes, steps, strict=True)]) for steps in itertools.product((-1, 0, 1), repeat=len(axes))]
@@ -115,13 +117,14 @@ def _search(points: DataFrame, sites: DataFrame, key: str, site: str, order: lis
         near = near.withColumns({name: measure.cast("double"), "_gap": gap})
         met = near.groupBy(*own).agg(F.min_by(F.struct(site, name, "_gap"), F.when(F.col(name).isNotNull(), F.struct(name, *order))).alias("b"))
         met = stored(met.select(*own, f"b.{site}", f"b.{name}", "b._gap"), "nearest")
-        final = F.coalesce(F.col("_gap") <= width * width, F.lit(False))
+        last = most is not None and width >= most
+        final = F.lit(True) if last else F.coalesce(F.col("_gap") <= width * width, F.lit(False))
         done = met.where(final).select(key, site, name)
         out = done if out is None else out.unionByName(done)
         left = met.where(~final).select(own)
-        if not left.limit(1).count():
+        if last or not left.limit(1).count():
             return out
-        width *= RATIO // 2
+        width = width * (RATIO // 2) if most is None else min(width * (RATIO // 2), most)
 
 
 def nearest(points: DataFrame, sites: DataFrame, key: str, site: str, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
@@ -164,6 +167,15 @@ def km2(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.pow((x1 - x2) / 1e6 * LON_KM, 2) + F.pow((y1 - y2) / 1e6 * LAT_KM, 2)
 
 
+def nearest_within(points: DataFrame, sites: DataFrame, key: str, site: str, radius_km: float) -> DataFrame:
+    """(key, site, d2): for each of ``points`` (key, x, y) the nearest of ``sites`` (site, mx, my) less than ``radius_km`` away, by
+    :func:`km2`, of equally near ones the first. Points without one have no row."""
+    at = points.where("x IS NOT NULL AND y IS NOT NULL").select(key, "x", "y", (F.col("x") / 1e6 * LON_KM).alias("p_x"), (F.col("y") / 1e6 * LAT_KM).alias("p_y"))
+    known = sites.withColumns({"s_x": F.col("mx") / 1e6 * LON_KM, "s_y": F.col("my") / 1e6 * LAT_KM})
+    found = _search(at, known, key, site, [site], (), ["x", "y"], "d2", km2(F.col("x"), F.col("y"), F.col("mx"), F.col("my")), radius_km)
+    return found.where(F.col("d2") < radius_km * radius_km)
+
+
 def within(points: DataFrame, sites: DataFrame, radius_km: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``points`` (x, y, ...) with every row of ``sites`` (mx, my, ...) less than ``radius_km`` away, and their d2 in
     square kilometres. They meet by cells as wide as the radius; ``by``: columns of both that must be equal."""
