@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.session import stored
+
 
 def loads(accounts: DataFrame) -> DataFrame:
     """(territory_id, load): minutes per year of each territory of ``accounts`` (territory_id, calls, minutes)."""
@@ -31,18 +35,35 @@ def balance(load: DataFrame, capacity: float) -> DataFrame:
 def nearby(sites: DataFrame, radius_km: float, k: int) -> DataFrame:
     """(territory_id, near_id, distance, rank): the ``k`` nearest others with headroom within the radius.
 
-    ``sites`` (territory_id, x_km, y_km, headroom) meet by grid cells as wide as the radius. Rank by distance rounded to
-    4 digits, then id; the radius holds for the unrounded distance.
+    ``sites`` (territory_id, x_km, y_km, headroom) meet by grid cells that hold about k + 1 of those with headroom at first. A
+    site is done once ``k`` others are nearer than a cell is wide, since all that near have been met; the rest meet cells
+    four times as wide, up to the radius. Rank by distance rounded to 4 digits, then id; the radius holds for the unrounded distance.
     """
-    cell = lambda c: F.floor(F.col(c) / radius_km)
-    near = sites.where("headroom > 0").select(F.col("territory_id").alias("near_id"), F.col("x_km").alias("nx"), F.col("y_km").alias("ny"))
-    around = F.explode(F.array(*(F.struct((cell("nx") + dx).alias("kx"), (cell("ny") + dy).alias("ky")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-    near = near.withColumn("c", around).select("near_id", "nx", "ny", "c.kx", "c.ky")
-    pairs = sites.select("territory_id", "x_km", "y_km", cell("x_km").alias("kx"), cell("y_km").alias("ky")).join(near, ["kx", "ky"]).where("near_id <> territory_id")
-    d = F.sqrt(F.pow(F.col("x_km") - F.col("nx"), 2) + F.pow(F.col("y_km") - F.col("ny"), 2))
-    pairs = pairs.withColumn("d", d).where(F.col("d") <= radius_km).withColumn("distance", F.bround("d", 4))
-    w = Window.partitionBy("territory_id").orderBy("distance", "near_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("territory_id", "near_id", "distance", "rank")
+    sites = stored(sites.select("territory_id", "x_km", "y_km", "headroom"), "sites")
+    free = sites.where("headroom > 0").select(F.col("territory_id").alias("near_id"), F.col("x_km").alias("nx"), F.col("y_km").alias("ny"))
+    box = free.agg(F.count("*").alias("n"), F.greatest(F.max("nx") - F.min("nx"), F.max("ny") - F.min("ny")).cast("double").alias("span")).first()
+    width = min(radius_km, (box.span or 0.0) * math.sqrt((k + 1) / max(box.n, 1)) or radius_km)
+    left, out = sites.select("territory_id", "x_km", "y_km"), None
+    per = Window.partitionBy("territory_id")
+    while True:
+        cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
+        around = F.explode(F.array(*(F.struct((cell("nx") + dx).alias("kx"), (cell("ny") + dy).alias("ky")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
+        near = free.withColumn("c", around).select("near_id", "nx", "ny", "c.kx", "c.ky")
+        pairs = left.withColumns({"kx": cell("x_km"), "ky": cell("y_km")}).join(near, ["kx", "ky"]).where("near_id <> territory_id")
+        d = F.sqrt(F.pow(F.col("x_km") - F.col("nx"), 2) + F.pow(F.col("y_km") - F.col("ny"), 2))
+        pairs = pairs.withColumn("d", d).where(F.col("d") <= radius_km).withColumn("distance", F.bround("d", 4))
+        sure = F.count_if(F.col("d") <= width - 2e-4).over(per)  # nearer than all not met yet, also when rounded
+        met = pairs.withColumns({"rank": F.row_number().over(per.orderBy("distance", "near_id")), "sure": sure}).where(F.col("rank") <= k)
+        met = stored(met.select("territory_id", "near_id", "distance", "rank", "sure"), "nearby")
+        last = width >= radius_km
+        done = (met if last else met.where(F.col("sure") >= k)).drop("sure")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        left = stored(left.join(done.select("territory_id").distinct(), "territory_id", "left_anti"), "left")
+        if not left.limit(1).count():
+            return out
+        width = min(4 * width, radius_km)
 
 
 def rebalance(accounts: DataFrame, moves: int = 5) -> DataFrame:
