@@ -111,14 +111,17 @@ def resolve_terms(terms: DataFrame, attributes: DataFrame) -> DataFrame:
     """(term_id, unit_id) of ``terms`` (term_id, term). ``attributes``: (kind_rank, name, unit_id), kinds in order of search.
 
     "a 沿 b" is the intersection of both sides' units, or their union if a side has none; each side, as a plain term, is the
-    units of the first kind that knows the name.
+    units of the first kind that knows the name. Equal texts are resolved once.
     """
-    sides = terms.select("term_id", F.posexplode(F.split("term", "沿", 2)).alias("p", "name")).withColumn("name", F.trim("name"))
-    asked = terms.select("term_id", F.size(F.split("term", "沿", 2)).alias("sides"))
-    found = sides.join(attributes, "name").withColumn("best", F.min("kind_rank").over(Window.partitionBy("term_id", "p"))).where("kind_rank = best").select("term_id", "p", "unit_id").distinct()
-    known = found.groupBy("term_id").agg(F.count_distinct("p").alias("known"))
-    per = found.groupBy("term_id", "unit_id").agg(F.count("*").alias("n"))
-    return per.join(known, "term_id").join(asked, "term_id").where("sides = 1 OR known = 1 OR n = 2").select("term_id", "unit_id")
+    texts = terms.select("term").distinct().withColumn("parts", F.split("term", "沿", 2))
+    sides = texts.select("term", F.size("parts").alias("sides"), F.posexplode("parts").alias("p", "name")).withColumn("name", F.trim("name"))
+    units = attributes.select("kind_rank", "name", "unit_id").join(sides.select("name").distinct(), "name", "left_semi").distinct()
+    best = units.groupBy("name").agg(F.min("kind_rank").alias("kind_rank"))
+    known = sides.join(best, "name")
+    texts_known = known.groupBy("term").agg(F.count("*").alias("known"))
+    per = known.join(units, ["name", "kind_rank"]).groupBy("term", "sides", "unit_id").agg(F.count("*").alias("n"))
+    found = per.join(texts_known, "term").where("sides = 1 OR known = 1 OR n = 2").select("term", "unit_id")
+    return terms.select("term_id", "term").join(found, "term").select("term_id", "unit_id")
 
 
 def uncovered(units: DataFrame, covered: DataFrame) -> DataFrame:
