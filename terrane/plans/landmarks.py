@@ -157,11 +157,12 @@ def along_road(spark, d):
 
 def broken_lines(spark, d):
     """(dealer_id, barrier, pos, x, y): two broken lines for each dealer, twelve vertices of a landmark each, drawn round its centre."""
-    own = Window.partitionBy("name", "seg")
-    v = B.landmarks(spark, d).withColumns({"place": F.row_number().over(own.orderBy("pos")) - 1, "n": F.count("*").over(own)})
+    v = B.landmarks(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("name", "seg").orderBy("pos")) - 1)
+    n = v.groupBy("name", "seg").agg(F.count("*").alias("n"))
     k = F.explode(F.array(F.lit(0), F.lit(1)))
     pick = B.dealers(spark, d).withColumn("k", k).selectExpr("dealer_id", "k", "cx", "cy", "h", "concat('Brand#', 1 + (dealer_id + 6 * k) % 25) AS name", "(dealer_id + k) % 4 AS seg")
-    met = pick.join(v, ["name", "seg"]).where("place BETWEEN (dealer_id * 7) % greatest(1, n - 11) AND (dealer_id * 7) % greatest(1, n - 11) + 11")
+    places = pick.join(n, ["name", "seg"]).withColumn("first", F.expr("(dealer_id * 7) % greatest(1, n - 11)")).withColumn("place", F.explode(F.expr("sequence(first, first + 11)")))
+    met = places.join(v.withColumn("place", F.col("place").cast("long")), ["name", "seg", "place"])  # twelve places a line, not all of its vertices
     moved = lambda c, at, zero: f"{c} + floor(({at} - {zero} - 500000) * h / 250000.0D) AS {at}"
     return met.selectExpr("dealer_id", "concat(if(k = 0, '河', '路'), substring(name, 7)) AS barrier", "place AS pos", moved("cx", "x", X0), moved("cy", "y", Y0))
 
