@@ -42,7 +42,7 @@ def nearby(sites: DataFrame, radius_km: float, k: int) -> DataFrame:
     sites = stored(sites.select("territory_id", "x_km", "y_km", "headroom"), "sites")
     free = sites.where("headroom > 0").select(F.col("territory_id").alias("near_id"), F.col("x_km").alias("nx"), F.col("y_km").alias("ny"))
     box = free.agg(F.count("*").alias("n"), F.greatest(F.max("nx") - F.min("nx"), F.max("ny") - F.min("ny")).cast("double").alias("span")).first()
-    width = min(radius_km, (box.span or 0.0) * math.sqrt((k + 1) / max(box.n, 1)) or radius_km)
+    width = min(radius_km, box.span or radius_km) * min(1.0, math.sqrt((k + 1) / max(box.n, 1)))  # a crowd may be as narrow as the radius
     left, out = sites.select("territory_id", "x_km", "y_km"), None
     per = Window.partitionBy("territory_id")
     while True:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from terrane import catalog  # noqa: E402
-from terrane.operators import identity, scenarios, scores, sizing, spatial  # noqa: E402
-from terrane.plans import landmarks  # noqa: E402
+from terrane.operators import graph, identity, scenarios, scores, sizing, spatial  # noqa: E402
+from terrane.plans import landmarks, rebuilt  # noqa: E402
+from terrane.plans import scores as score_plans  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
