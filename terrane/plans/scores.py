@@ -16,8 +16,8 @@ from terrane.plans.landmarks import FENCE
 from terrane.plans.scenarios import Case
 from terrane.session import stored
 
-#: Sampling as parameters: vertices of a street or fence ring, points of a border by its length in micro-degrees, points of a part.
-STREET_VERTICES, FENCE_VERTICES, RECALL_STEP, SNAP_STEP, PART_POINTS = 40, 200, 500, 2_500, 200
+#: Sampling as parameters: points of a street's border, vertices of a fence ring, points of a border by its length in micro-degrees, points of a part.
+STREET_SAMPLES, FENCE_VERTICES, RECALL_STEP, SNAP_STEP, PART_POINTS = 40, 200, 500, 2_500, 200
 
 
 def street_rings(spark, d):
@@ -29,12 +29,17 @@ def street_rings(spark, d):
     return B.units(spark, d).select("street").distinct().select("street", F.array(*(corner(i, j) for i, j in round_)).alias("ring"))
 
 
+def street_squares(spark, d):
+    """(street, ring) of the streets that have units, by their four corners."""
+    return street_rings(spark, d).select("street", F.array(*(F.get("ring", F.lit(k)) for k in (0, 5, 10, 15))).alias("ring"))
+
+
 def street_coverage(spark, d):
-    """Share of each street's sampled border vertices that a dealer's fences hold, from 0.15 on."""
-    s = stored(Q.vertex_samples(street_rings(spark, d), ["street"], STREET_VERTICES), "samples")
+    """Share of 40 samples of each street's border that a dealer's fences hold, from 0.15 on."""
+    s = stored(Q.ring_samples(street_squares(spark, d), ["street"], STREET_SAMPLES), "samples")
     held = S.contain(s, B.fences(spark, d), ["dealer_id"]).select("street", "k", "dealer_id").distinct().groupBy("dealer_id", "street").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.col("whole")
-    return held.join(s.groupBy("street").agg(F.count("*").alias("whole")), "street").select("dealer_id", "street", F.round(share, 9).alias("share"), Q.coverage_class(share).alias("held")).where("held IS NOT NULL")
+    share = F.col("n") / STREET_SAMPLES
+    return held.select("dealer_id", "street", F.round(share, 9).alias("share"), Q.coverage_class(share).alias("held")).where("held IS NOT NULL")
 
 
 def rebuilt(spark, d):
@@ -112,12 +117,12 @@ def deviation(spark, d):
 def corridor(spark, d):
     """Per dealer, distances in km from its centre to every fifth vertex, by place, of each part of its contract lines: the 95 %
     rank plus 1.5 km, and the middle one."""
-    c = contract_lines(spark, d).join(B.dealers(spark, d).select("dealer_id", "cx", "cy"), "dealer_id")
+    own = contract_lines(spark, d).groupBy("dealer_id").agg(F.sort_array(F.collect_list("name")).alias("lines"))  # four names
+    c = own.join(B.dealers(spark, d).select("dealer_id", "cx", "cy"), "dealer_id")
     place = F.row_number().over(Window.partitionBy("name", "seg").orderBy("pos")) - 1
-    v = c.join(B.landmarks(spark, d).withColumn("place", place).where("place % 5 = 0").select("name", "x", "y"), "name")
-    km = v.select("dealer_id", F.round(F.sqrt(S.km2(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))), 6).alias("km"))
-    at = lambda p: F.least(F.floor(F.col("n") * p) + 1, F.col("n"))
-    return Q.rank_at(km, ["dealer_id"], "km", {"p95": at(0.95), "tau": at(0.5)}).select("dealer_id", F.round(F.col("p95") + 1.5, 6).alias("radius"), "tau")
+    v = B.landmarks(spark, d).withColumn("place", place).where("place % 5 = 0").select("name", "x", "y")
+    km = Q.distance_ranks(c, "lines", v, "name", "dealer_id", [0.95, 0.5])
+    return km.select("dealer_id", F.round(F.round("p0", 6) + 1.5, 6).alias("radius"), F.round("p1", 6).alias("tau"))
 
 
 def unit_roads(spark, d):
@@ -262,7 +267,7 @@ def _metres(p: str, e: str) -> str:
     return f"sqrt(pow({px} - {t} * {dx}, 2) + pow({py} - {t} * {dy}, 2))"
 
 
-_SV = "SELECT street, k, 113000000 + (street // (n // 5)) * 5 * step + i * step AS x, 22500000 + (street % (n // 5)) * 5 * step + j * step AS y FROM (SELECT DISTINCT street, 1000000 // n AS step, n FROM unit, grid), (SELECT k, CASE WHEN k < 5 THEN k WHEN k < 10 THEN 5 WHEN k < 15 THEN 15 - k ELSE 0 END AS i, CASE WHEN k < 5 THEN 0 WHEN k < 10 THEN k - 5 WHEN k < 15 THEN 5 ELSE 20 - k END AS j FROM range(20) r(k))"
+_SQ = "SELECT street, 0 AS comp, pos, x1, y1, x2, y2 FROM (SELECT DISTINCT street, 1000000 // n AS step, n FROM unit, grid), LATERAL (SELECT 113000000 + (street // (n // 5)) * 5 * step AS a, 22500000 + (street % (n // 5)) * 5 * step AS b, 5 * step AS w), LATERAL (VALUES (0, a, b, a + w, b), (1, a + w, b, a + w, b + w), (2, a + w, b + w, a, b + w), (3, a, b + w, a, b)) v(pos, x1, y1, x2, y2)"
 _NEW = "SELECT dealer_id, 9 AS comp, pos, x1, y1, x2, y2 FROM dealer, LATERAL (SELECT cx - h + h // 10 AS a, cx + h + h // 10 AS b, cy - h AS c, cy + h AS e), LATERAL (VALUES (0, a, c, b, c), (1, b, c, b, e), (2, b, e, a, e), (3, a, e, a, c)) v(pos, x1, y1, x2, y2)"
 _LINES = "SELECT name, seg, pos, x AS x1, y AS y1, x2, y2 FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM landmark WINDOW w AS (PARTITION BY name, seg ORDER BY pos)) WHERE x2 IS NOT NULL"
 _FS = _samples("fence_edge", "dealer_id, comp", f"greatest(1, floor(whole / {RECALL_STEP}))", 0.5)
@@ -290,7 +295,7 @@ _LIST = ", ".join(f"{_LISTED.format('、', k, 6)} AS {k}" for k in ("district",
 _PROFILE = f"{_LISTED.format('/', 'district', 6)} || ' ' || {_LISTED.format('、', 'street', 6)} || ' 边界:' || {_LISTED.format('/', 'road', 6)} || ' 邻:' || {_LISTED.format('/', 'neighbour', 4)} || ' 面积' || CAST(round(area_km2, 0) AS BIGINT) || 'km²' AS profile"
 _TEXT = "SELECT dealer_id AS query_id, '找第' || dealer_id % 30 || '附近、区' || dealer_id % 5 || '，挨着D' || dealer_id % 7 || '，约' || (50 + dealer_id % 90) || '平方公里' AS text, 50 + dealer_id % 90 AS km2 FROM dealer"
 SQL = {
-    "a18_street_coverage": sql("SELECT dealer_id, street, round(n / 20, 9) AS share, CASE WHEN n / 20 >= 0.85 THEN 'full' ELSE 'part' END AS held FROM (SELECT dealer_id, street, count(*) AS n FROM inn GROUP BY 1, 2) WHERE n / 20 >= 0.15", ss=_SV, inn=_inside("ss", "fence_edge", "e.dealer_id, p.street, p.k", "")),
+    "a18_street_coverage": sql(f"SELECT dealer_id, street, round(n / {STREET_SAMPLES}, 9) AS share, CASE WHEN n / {STREET_SAMPLES} >= 0.85 THEN 'full' ELSE 'part' END AS held FROM (SELECT dealer_id, street, count(*) AS n FROM inn GROUP BY 1, 2) WHERE n / {STREET_SAMPLES} >= 0.15", sq=_SQ, ss=_samples("sq", "street", str(STREET_SAMPLES)), inn=_inside("ss", "fence_edge", "e.dealer_id, p.street, p.k", "")),
     "a20_grid_overlap": sql(_IOU_SQL, **_IOU),
     "a27_boundary_recall": sql("SELECT dealer_id, comp, round(count(*) FILTER (WHERE m <= 1000) / count(*), 9) AS r1, round(count(*) FILTER (WHERE m <= 3000) / count(*), 9) AS r3 FROM near_line GROUP BY 1, 2", fs=_FS, line=_LINES, near_line=_NEAREST),
     "a28_boundary_deviation": sql("SELECT dealer_id, max(m) FILTER (WHERE r = n // 2 + 1) AS median FROM (SELECT *, row_number() OVER (PARTITION BY dealer_id ORDER BY m) AS r, count(*) OVER (PARTITION BY dealer_id) AS n FROM dev) GROUP BY 1", new=_NEW, dev=_DEV),
