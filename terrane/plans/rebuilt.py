@@ -26,14 +26,18 @@ def contracts(spark, d):
 
 def from_bounds(spark, d):
     """Each contract's ring: vertices, twice its signed area and the sums of its coordinates; or why there is none."""
-    rings, problems = R.from_bounds(contracts(spark, d), lines(spark, d))
+    c = contracts(spark, d)
+    said = stored(c.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("side", "name"))).alias("said")), "contracts")  # four sides at most
+    same = stored(said.join(said.groupBy("said").agg(F.min("id").alias("first")), "said").select("id", "first"), "same")
+    rings, problems = R.from_bounds(c.join(same.where("id = first").select("id"), "id"), lines(spark, d))  # contracts of the same words have the same ring
     rings = stored(rings, "rings")
     n = rings.groupBy("id").agg(F.count("*").alias("n"))
     following = rings.select("id", (F.col("pos") - 1).alias("pos"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     first = heads(rings.select("id", "pos", "x", "y"), "id", "pos", 1).select("id", "pos").join(rings, ["id", "pos"]).join(n, "id").select("id", F.col("n").alias("pos"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     e = rings.join(following.where("pos > 0").unionByName(first), ["id", "pos"])
     out = e.groupBy("id").agg(F.count("*").alias("vertices"), F.sum((F.col("x") - B.X0) * (F.col("y2") - B.Y0) - (F.col("x2") - B.X0) * (F.col("y") - B.Y0)).alias("doubled"))
-    return out.select("id", "vertices", "doubled", F.lit(None).cast("string").alias("problem")).unionByName(problems.select("id", F.lit(None).cast("long").alias("vertices"), F.lit(None).cast("long").alias("doubled"), "problem"))
+    out = out.select("id", "vertices", "doubled", F.lit(None).cast("string").alias("problem")).unionByName(problems.select("id", F.lit(None).cast("long").alias("vertices"), F.lit(None).cast("long").alias("doubled"), "problem"))
+    return same.join(out.withColumnRenamed("id", "first"), "first").select("id", "vertices", "doubled", "problem")
 
 
 def clipped(spark, d):
