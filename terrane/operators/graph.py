@@ -5,6 +5,9 @@ Iterations run on tables: each round is written, and only a count reaches the dr
 
 from __future__ import annotations
 
+import itertools
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,6 +133,26 @@ def simplified(points: list[tuple], tolerance: float) -> list[tuple]:
     return [points[k] for k in sorted(keep)]
 
 
+def _by_groups(rows: DataFrame, keys: int, work, schema: str) -> DataFrame:
+    """What ``work`` makes of the rows of each group by the first ``keys`` columns, as rows of ``schema``. Groups follow each other in a
+    partition's batches, one in memory at a time, so that millions of small ones cost little more than their rows."""
+    ship(rows.sparkSession)
+    names = [c.split()[0] for c in re.split(r", (?![^<]*>)", schema)]
+
+    def run(batches):
+        out = []
+        each = itertools.chain.from_iterable(b.itertuples(index=False, name=None) for b in batches)
+        for _, own in itertools.groupby(each, key=lambda r: r[:keys]):
+            out += work(list(own))
+            if len(out) >= 1000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+    on = rows.columns[:keys]
+    return rows.repartition(*on).sortWithinPartitions(*on).mapInPandas(run, schema)
+
+
 #: Cells along a side of a tile, in which one task follows border edges.
 TILE = 256
 
@@ -149,16 +172,17 @@ def rings(cells: DataFrame, key: str, tolerance: float, tile: int = TILE) -> Dat
     tiled = successors(edges, key).withColumns({"tx": F.floor(F.col("x1") / tile), "ty": F.floor(F.col("y1") / tile)})
     xy = "array<struct<x:long,y:long>>"
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+    def follow(own: list[tuple]) -> list[tuple]:
         rows = []
-        for first, after, path in _paths(list(pdf[["x1", "y1", "x2", "y2", "x3", "y3"]].itertuples(index=False, name=None))):
+        for first, after, path in _paths([r[3:] for r in own]):
             ends = [*path[1:], path[0] if after is None else after[:2]]
             doubled = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(path, ends, strict=True))
-            rows.append((pdf[key].iloc[0], _name(first), _name(after) if after else None, len(path), doubled, [{"x": x, "y": y} for x, y in _corners(path)]))
-        return pd.DataFrame(rows, columns=[key, "unit_id", "after", "edges", "doubled", "corners"])
+            rows.append((own[0][0], _name(first), _name(after) if after else None, len(path), doubled, [{"x": x, "y": y} for x, y in _corners(path)]))
+        return rows
 
     kind = cells.schema[key].dataType.simpleString()
-    paths = stored(tiled.groupBy(key, "tx", "ty").applyInPandas(follow, f"{key} {kind}, unit_id string, after string, edges long, doubled long, corners {xy}"), "paths")
+    tiled = tiled.select(key, "tx", "ty", "x1", "y1", "x2", "y2", "x3", "y3")
+    paths = stored(_by_groups(tiled, 3, follow, f"{key} {kind}, unit_id string, after string, edges long, doubled long, corners {xy}"), "paths")
     open_ = paths.where("after IS NOT NULL")
     if open_.limit(1).count():
         label = labelled(open_.select(key, "unit_id"), open_.select(key, F.col("unit_id").alias("a"), F.col("after").alias("b")), [key])
@@ -166,8 +190,8 @@ def rings(cells: DataFrame, key: str, tolerance: float, tile: int = TILE) -> Dat
     else:
         paths = paths.withColumn("label", F.lit(None).cast("string"))
 
-    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = {u: (a, [(int(p["x"]), int(p["y"])) for p in c]) for u, a, c in zip(pdf["unit_id"], pdf["after"], pdf["corners"], strict=True)}
+    def join_up(rows: list[tuple]) -> list[tuple]:
+        own = {u: (a, [(int(p["x"]), int(p["y"])) for p in c]) for _, _, u, a, c, _, _ in rows}
         at, ring = next(iter(own)), []
         for _ in own:
             after, corners = own[at]
@@ -179,11 +203,12 @@ def rings(cells: DataFrame, key: str, tolerance: float, tile: int = TILE) -> Dat
         (ex, ey), back = ring[-1], ring[0]
         last = (back[0] - (back[0] > ex) + (back[0] < ex), back[1] - (back[1] > ey) + (back[1] < ey))
         turns = _corners([*ring, last] if last != ring[-1] else ring)
-        n = int(pdf["edges"].sum())
+        n = sum(r[5] for r in rows)
         kept = simplified(turns, tolerance) if n > 4 else turns
-        return pd.DataFrame([(pdf[key].iloc[0], n, int(pdf["doubled"].sum()), [{"x": float(px), "y": float(py)} for px, py in kept], x, y, *second)], columns=[key, "edges", "doubled", "points", "x", "y", "x2", "y2"])
+        return [(rows[0][0], n, sum(r[6] for r in rows), [{"x": float(px), "y": float(py)} for px, py in kept], x, y, *second)]
 
-    made = paths.withColumn("label", F.coalesce("label", "unit_id")).groupBy(key, "label").applyInPandas(join_up, f"{key} {kind}, edges int, doubled long, points array<struct<x:double,y:double>>, x long, y long, x2 long, y2 long")
+    paths = paths.select(key, F.coalesce("label", "unit_id").alias("label"), "unit_id", "after", "corners", "edges", "doubled")
+    made = _by_groups(paths, 2, join_up, f"{key} {kind}, edges int, doubled long, points array<struct<x:double,y:double>>, x long, y long, x2 long, y2 long")
     order = Window.partitionBy(key).orderBy(F.desc("edges"), "x", "y", "x2", "y2")  # a row for each ring
     return made.select(key, F.row_number().over(order).alias("ring"), "edges", "doubled", "points")
 
@@ -215,13 +240,13 @@ def hulls(points: DataFrame, key: str, parts: int = 64) -> DataFrame:
     """
     ship(points.sparkSession)
 
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = _hull(list(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True)))
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(own), "pos": range(len(own)), "x": [p[0] for p in own], "y": [p[1] for p in own]})
+    def hull(rows: list[tuple]) -> list[tuple]:
+        return [(rows[0][0], n, *p) for n, p in enumerate(_hull([r[-2:] for r in rows]))]
 
     schema = f"{key} long, pos int, x double, y double"
     dealt = points.select(F.col(key).cast("long").alias(key), F.round("x", 6).cast("double").alias("x"), F.round("y", 6).cast("double").alias("y")).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts)))
-    return dealt.groupBy(key, "part").applyInPandas(hull, schema).groupBy(key).applyInPandas(hull, schema)
+    parted = _by_groups(dealt.select(key, "part", "x", "y"), 2, hull, schema)
+    return _by_groups(parted.select(key, "x", "y"), 1, hull, schema)
 
 
 def compact_terms(truth: DataFrame, terms: DataFrame, most: int = 12) -> DataFrame:
