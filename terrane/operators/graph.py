@@ -8,7 +8,10 @@ from __future__ import annotations
 import itertools
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +73,38 @@ def flood(seeds: DataFrame, edges: DataFrame, keys: list[str], hops: int) -> Dat
     return reached
 
 
+def flood_windows(windows: DataFrame, key: str, side: int) -> DataFrame:
+    """(key, unit_id): cells reached from the seed by shared borders in each of ``windows`` (key, seed, free) of ``side`` x ``side`` cells.
+
+    free: the cells that aren't walls, as numbers row * side + column; a seed that isn't among them reaches nothing. A window is one
+    row, so its flood needs no rounds of jobs; a batch of windows is flooded at once in a task.
+    """
+    ship(windows.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            n, seed = batch.num_rows, batch.column(1).to_numpy(zero_copy_only=False)
+            free = np.zeros((n, side + 2, side + 2), bool)  # with a border of walls
+            cell = pc.list_flatten(batch.column(2)).to_numpy(zero_copy_only=False)
+            free[pc.list_parent_indices(batch.column(2)).to_numpy(zero_copy_only=False), cell // side + 1, cell % side + 1] = True
+            got = np.zeros_like(free)
+            got[np.arange(n), seed // side + 1, seed % side + 1] = True
+            got, before = got & free, None
+            while before is None or not np.array_equal(got, before):
+                before, got = got, got.copy()
+                got[:, 1:] |= before[:, :-1]
+                got[:, :-1] |= before[:, 1:]
+                got[:, :, 1:] |= before[:, :, :-1]
+                got[:, :, :-1] |= before[:, :, 1:]
+                got &= free
+            row, i, j = np.nonzero(got)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((i - 1) * side + j - 1, pa.int64())], [key, "unit_id"])
+
+    kind = windows.schema[key].dataType.simpleString()
+    rows = windows.select(key, F.col("seed").cast("long"), F.col("free").cast("array<bigint>"))
+    return rows.mapInArrow(run, f"{key} {kind}, unit_id bigint")
+
+
 def border_edges(cells: DataFrame, key: str) -> DataFrame:
     """(key, x1, y1, x2, y2): directed edges round each key's cells (key, i, j), cells on the left, in cell coordinates."""
     side = lambda k, di, dj, *e: F.struct((F.col("i") + di).alias("ni"), (F.col("j") + dj).alias("nj"), *((F.col("i" if n % 2 == 0 else "j") + v).cast("long").alias(c) for n, (c, v) in enumerate(zip(("x1", "y1", "x2", "y2"), e, strict=True))))
