@@ -8,7 +8,7 @@ from terrane import bindings as B
 from terrane.bindings import X0, Y0, sql
 from terrane.operators import classify as C
 from terrane.operators import spatial as S
-from terrane.session import table
+from terrane.session import stored, table
 
 LAT = 22.5
 
@@ -73,7 +73,7 @@ def ring_edges(spark, d):
 def first_district(spark, d):
     """First district (square of the window, by number) that holds each store."""
     n, step = B.grid(spark, d)
-    square = B.units(spark, d).select("district").distinct()
+    square = stored(B.units(spark, d).select("district").distinct(), "districts")  # else filters on the rings are worked out for every store
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     edge = lambda k, at: F.when(k == n // 10, at + B.SIDE).otherwise(at + k * 10 * step)
     across, up = F.expr(f"district div {n // 10}"), F.expr(f"district % {n // 10}")

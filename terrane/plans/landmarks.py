@@ -40,7 +40,8 @@ def district_squares(spark, d):
     edge = lambda k, at: F.when(k == n // 10, at + SIDE).otherwise(at + k * 10 * step)
     across, up = F.expr(f"district div {n // 10}"), F.expr(f"district % {n // 10}")
     x0, x1, y0, y1 = edge(across, X0), edge(across + 1, X0), edge(up, Y0), edge(up + 1, Y0)
-    return B.units(spark, d).select("district").distinct().select("district", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("ring"))
+    squares = stored(B.units(spark, d).select("district").distinct(), "districts")  # else filters on the rings are worked out for every store
+    return squares.select("district", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("ring"))
 
 
 def in_district(points, keys, spark, d):
