@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from terrane.llm import simhash
 from terrane.llm.components import components
 from terrane.llm.text import by_slices, spread
-from terrane.session import checkpoint, ship, stored
+from terrane.session import checkpoint, freed_shuffles, ship, stored
 
 SHINGLE, SIMILARITY, SAMPLES, SAMPLE = 5, 0.8, 24, 5
 #: Odd multipliers and addends of the hash orders, fixed.
@@ -177,7 +177,7 @@ def groups(documents: DataFrame) -> DataFrame:
     connected. They meet in units of a block of such keys and a block of all keys: texts are sent once for each unit, never
     once for each pair, and a unit gives no more links than it has labels.
     """
-    ship(documents.sparkSession)
+    freed_shuffles(ship(documents.sparkSession))  # the rounds make more than a hundred shuffles, each with files for every task
     rows = checkpoint(marked(documents))
     classes = checkpoint(rows.where("size > 0").groupBy("key").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("samples").alias("samples")))
     near = components(simhash.links(classes.select("fp").distinct())).select(F.col("node").alias("fp"), F.col("label").alias("near"))

@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Compressed bytes of a shuffle that adaptive execution gives to one task.
+SHARE = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -32,17 +34,29 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def freed_shuffles(spark: SparkSession) -> SparkSession:
+    """Let shuffle files go as soon as the action that made them has ended, not when the driver happens to collect its garbage.
+
+    For loops that write each round: what a round shuffled isn't read again. An action that does need it makes it anew.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return spark
+
+
 def measured_joins(spark: SparkSession) -> SparkSession:
     """Let joins broadcast a side only by its measured size, not by the planner's estimate.
 
     The estimate takes a compressed file's bytes for its rows' and leaves out what explode adds, so that sides of gigabytes
-    passed as small ones and were gathered on the driver. Adaptive execution knows a side's size once it is shuffled.
+    passed as small ones and were gathered on the driver. Adaptive execution knows a side's size once it is shuffled. A task's
+    share of a shuffle is a quarter of Spark's own, unless the session sets one: its rows take many times the compressed bytes.
     """
     most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     if most != "-1":
         if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
             spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", most)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    if spark.conf.get(SHARE, None) is None:
+        spark.conf.set(SHARE, "16m")
     return spark
 
 
