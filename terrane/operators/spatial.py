@@ -19,6 +19,8 @@ from terrane.session import stored
 #: Width of a cell on the finest level; each further level is RATIO times as wide. Rings get the finest level on which
 #: their box spans RATIO cells at most.
 CELL, RATIO, LEVELS = 25_000, 8, 4
+#: Pairs of a point and a site that one task of a search is to compare, and the most tasks of a round.
+PAIRS, TASKS = 1 << 19, 1 << 13
 #: Kilometres per degree of latitude, and of longitude at latitude 0.
 KM_PER_DEGREE = 111.32
 #: Kilometres per degree at the latitude of the landmarks, fixed values.
@@ -90,40 +92,53 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius:
 
 def _search(points: DataFrame, sites: DataFrame, key: str, site: str, order: list[str], by: tuple[str, ...], axes: list[str], name: str, measure: Column, most: float | None = None) -> DataFrame:
     """(key, site, ``name``): for each of ``points`` (key, by, p_axis...) the site of smallest ``measure`` among ``sites`` (site, by,
-    order, s_axis...).
+    mx, my, order, s_axis...).
 
+    Of sites at one place (mx, my) the first in ``order`` stands for all, and points of one place are searched for once. The tasks
+    of a join are set by the pairs it is expected to make: bytes of a shuffle say little, since near points compress well.
     Points meet the sites of their own and the neighbouring cells in an equi-join. ``measure`` must rise with the distance along
     the axes; a site no further than a cell is wide is final, since all others that near have been met. What is left is
     written and meets cells RATIO / 2 times as wide, until a cell spans all. The first width holds one site a cell as expected.
     ``most``: sites further away than that along the axes aren't asked for, so the search ends with cells of that width.
     """
-    sites = stored(sites, "sites")
+    place = [*by, "mx", "my"]
+    rest = [c for c in sites.columns if c not in place]
+    first = sites.groupBy(*place).agg(F.min_by(F.struct(*rest), F.struct(*(order or rest))).alias("b"))
+    sites = stored(first.select(*place, *[F.col("b")[c].alias(c) for c in rest]), "sites")
     box = sites.agg(F.count("*").alias("n"), *[f(f"s_{a}").alias(f"{w}_{a}") for a in axes for w, f in (("low", F.min), ("high", F.max))]).first()
-    own, left = points.columns, points
     if not box.n:
         return points.select(key).crossJoin(sites.select(site)).withColumn(name, F.lit(0.0)).limit(0)  # no rows
+    own, points = [c for c in points.columns if c != key], stored(points.distinct(), "points")
+    left, group = points.select(own).distinct(), box.n  # group: the most sites that a point can meet
     if by:
-        left = left.join(sites.select(*by).distinct(), list(by), "left_semi")
+        groups = sites.groupBy(*by).agg(F.count("*").alias("n"))
+        left, group = left.join(groups.select(*by), list(by), "left_semi"), groups.agg(F.max("n")).first()[0]
+    left = stored(left, "places")
     span = max(box[f"high_{a}"] - box[f"low_{a}"] for a in axes)
-    width, out = (span / math.sqrt(box.n)) or 1.0, None
-    width = width if most is None else min(width, most)
+    first_width = width = (span / math.sqrt(box.n)) or 1.0
+    width, out, n = width if most is None else min(width, most), None, left.count()
     while True:
+        tasks = min(TASKS, math.ceil(n * group * min(1, 9 * (width / first_width) ** 2 / box.n) / PAIRS))
         cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
         around = [F.struct(*[(cell(f"s_{a}") + step).alias(f"k_{a}") for a, step in zip(axes, steps, strict=True)]) for steps in itertools.product((-1, 0, 1), repeat=len(axes))]
         filed = sites.withColumn("_k", F.explode(F.array(*around))).select(*sites.columns, "_k.*")
         cells = [f"k_{a}" for a in axes]
-        near = left.withColumns({f"k_{a}": cell(f"p_{a}") for a in axes}).join(filed, [*cells, *by], "left")
+        asked = left.withColumns({f"k_{a}": cell(f"p_{a}") for a in axes})
+        if tasks > 1:
+            asked = asked.repartition(max(tasks, sites.sparkSession.sparkContext.defaultParallelism), *cells, *by)
+        near = asked.join(filed, [*cells, *by], "left")
         gap = sum((F.pow(F.col(f"p_{a}") - F.col(f"s_{a}"), 2) for a in axes), F.lit(0.0))
         near = near.withColumns({name: measure.cast("double"), "_gap": gap})
         met = near.groupBy(*own).agg(F.min_by(F.struct(site, name, "_gap"), F.when(F.col(name).isNotNull(), F.struct(name, *order))).alias("b"))
         met = stored(met.select(*own, f"b.{site}", f"b.{name}", "b._gap"), "nearest")
         last = most is not None and width >= most
         final = F.lit(True) if last else F.coalesce(F.col("_gap") <= width * width, F.lit(False))
-        done = met.where(final).select(key, site, name)
+        done = met.where(final).select(*own, site, name)
         out = done if out is None else out.unionByName(done)
         left = met.where(~final).select(own)
-        if last or not left.limit(1).count():
-            return out
+        n = 0 if last else left.count()
+        if not n:
+            return points.join(out, own).select(key, site, name)
         width = width * (RATIO // 2) if most is None else min(width * (RATIO // 2), most)
 
 
