@@ -73,11 +73,12 @@ def flood(seeds: DataFrame, edges: DataFrame, keys: list[str], hops: int) -> Dat
     return reached
 
 
-def flood_windows(windows: DataFrame, key: str, side: int) -> DataFrame:
+def flood_windows(windows: DataFrame, key: str, side: int, hops: int | None = None) -> DataFrame:
     """(key, unit_id): cells reached from the seed by shared borders in each of ``windows`` (key, seed, free) of ``side`` x ``side`` cells.
 
     free: the cells that aren't walls, as numbers row * side + column; a seed that isn't among them reaches nothing. A window is one
     row, so its flood needs no rounds of jobs; a batch of windows is flooded at once in a task.
+    ``hops``: the most borders to cross; then a column hop tells how many a cell is away.
     """
     ship(windows.sparkSession)
 
@@ -90,19 +91,23 @@ def flood_windows(windows: DataFrame, key: str, side: int) -> DataFrame:
             got = np.zeros_like(free)
             got[np.arange(n), seed // side + 1, seed % side + 1] = True
             got, before = got & free, None
-            while before is None or not np.array_equal(got, before):
+            far = np.where(got, 0, -1)
+            while (before is None or not np.array_equal(got, before)) and (hops is None or far.max(initial=0) < hops):
                 before, got = got, got.copy()
                 got[:, 1:] |= before[:, :-1]
                 got[:, :-1] |= before[:, 1:]
                 got[:, :, 1:] |= before[:, :, :-1]
                 got[:, :, :-1] |= before[:, :, 1:]
                 got &= free
+                far[got & ~before] = far.max(initial=0) + 1
             row, i, j = np.nonzero(got)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((i - 1) * side + j - 1, pa.int64())], [key, "unit_id"])
+            out = [batch.column(0).take(pa.array(row)), pa.array((i - 1) * side + j - 1, pa.int64())]
+            out += [] if hops is None else [pa.array(far[row, i, j], pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, [key, "unit_id", "hop"][: len(out)])
 
     kind = windows.schema[key].dataType.simpleString()
     rows = windows.select(key, F.col("seed").cast("long"), F.col("free").cast("array<bigint>"))
-    return rows.mapInArrow(run, f"{key} {kind}, unit_id bigint")
+    return rows.mapInArrow(run, f"{key} {kind}, unit_id bigint" + ("" if hops is None else ", hop int"))
 
 
 def border_edges(cells: DataFrame, key: str) -> DataFrame:
