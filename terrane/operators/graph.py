@@ -110,6 +110,39 @@ def flood_windows(windows: DataFrame, key: str, side: int, hops: int | None = No
     return rows.mapInArrow(run, f"{key} {kind}, unit_id bigint" + ("" if hops is None else ", hop int"))
 
 
+def filled(cells: DataFrame, key: str, low: tuple[int, int], side: int) -> DataFrame:
+    """(key, i, j): each key's ``cells`` (key, i, j) and the cells of their holes: all that the outer ones of the key's ``rings`` hold.
+
+    Cells lie in the square of ``side`` x ``side`` cells from ``low`` on, else it is an error; a cell without a place is left out. What is
+    outside is flooded from round the square, across borders and corners, since cells that only meet at a corner don't close a ring.
+    A square is one row, so filling needs no rounds of jobs; a batch of squares is flooded at once in a task.
+    """
+    ship(cells.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            n, own = batch.num_rows, pc.list_flatten(batch.column(1)).to_numpy(zero_copy_only=False)
+            free = np.ones((n, side + 2, side + 2), bool)  # with a border that is outside
+            free[pc.list_parent_indices(batch.column(1)).to_numpy(zero_copy_only=False), own // side + 1, own % side + 1] = False
+            out, before = np.zeros_like(free), None
+            out[:, [0, -1]] = out[:, :, [0, -1]] = True
+            while before is None or not np.array_equal(out, before):
+                before, wide = out, out.copy()
+                wide[:, 1:] |= before[:, :-1]
+                wide[:, :-1] |= before[:, 1:]
+                out = wide.copy()
+                out[:, :, 1:] |= wide[:, :, :-1]
+                out[:, :, :-1] |= wide[:, :, 1:]
+                out &= free
+            row, i, j = np.nonzero(~out)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(i - 1 + low[0], pa.int64()), pa.array(j - 1 + low[1], pa.int64())], [key, "i", "j"])
+
+    i, j = F.col("i") - low[0], F.col("j") - low[1]
+    at = F.when(i.between(0, side - 1) & j.between(0, side - 1), (i * side + j).cast("long")).otherwise(F.raise_error(F.lit("a cell outside the square")).cast("long"))
+    squares = cells.where("i IS NOT NULL AND j IS NOT NULL").groupBy(key).agg(F.collect_set(at).alias("own"))  # side x side numbers at most
+    return squares.mapInArrow(run, f"{key} {cells.schema[key].dataType.simpleString()}, i bigint, j bigint")
+
+
 def border_edges(cells: DataFrame, key: str) -> DataFrame:
     """(key, x1, y1, x2, y2): directed edges round each key's cells (key, i, j), cells on the left, in cell coordinates."""
     side = lambda k, di, dj, *e: F.struct((F.col("i") + di).alias("ni"), (F.col("j") + dj).alias("nj"), *((F.col("i" if n % 2 == 0 else "j") + v).cast("long").alias(c) for n, (c, v) in enumerate(zip(("x1", "y1", "x2", "y2"), e, strict=True))))

@@ -107,6 +107,20 @@ def compare(current: DataFrame, generated: DataFrame) -> DataFrame:
     return both.groupBy("dealer_id").agg(F.sum("now").alias("now_covered"), F.sum("gen").alias("generated_covers"), F.count_if(F.col("now") != F.col("gen")).alias("changed"))
 
 
+def compare_cells(current: DataFrame, generated: DataFrame, stores: DataFrame) -> DataFrame:
+    """As ``compare``, for a generated state that has whole cells: it holds each of ``stores`` (store_id, i, j) that lies in a cell of
+    ``generated`` (dealer_id, i, j). ``current``: (dealer_id, store_id, i, j).
+
+    Pairs of a dealer and a store of its cells are counted by cell, not made: where stores and dealers both grow, they grow with the square.
+    """
+    cell = ["i", "j"]
+    now = current.groupBy("dealer_id", *cell).agg(F.count_distinct("store_id").alias("now"))
+    sizes = stores.groupBy(*cell).agg(F.count_distinct("store_id").alias("gen"))
+    both = now.join(generated.distinct().join(sizes, cell), ["dealer_id", *cell], "full").fillna({"now": 0, "gen": 0})
+    changed = F.when(F.col("gen") > 0, F.col("gen") - F.col("now")).otherwise(F.col("now"))  # a generated cell has all stores that the current state has there
+    return both.groupBy("dealer_id").agg(F.sum("now").alias("now_covered"), F.sum("gen").alias("generated_covers"), F.sum(changed).alias("changed"))
+
+
 def resolve_terms(terms: DataFrame, attributes: DataFrame) -> DataFrame:
     """(term_id, unit_id) of ``terms`` (term_id, term). ``attributes``: (kind_rank, name, unit_id), kinds in order of search.
 
